@@ -49,7 +49,7 @@ def enforce(violations: DataFrame, what: str) -> None:
         raise ContractViolation(f"{what}: {[r.asDict() for r in sample]}")
 
 
-def _column_checks(name: str, rule: ColumnRule) -> dict[str, Column]:
+def _column_checks(name: str, rule: ColumnRule, dtype: T.DataType) -> dict[str, Column]:
     c = F.col(name)
     some = c.isNotNull()
     checks: dict[str, Column] = {}
@@ -66,7 +66,7 @@ def _column_checks(name: str, rule: ColumnRule) -> dict[str, Column]:
         if rule.maximum is not None:
             checks["above_max"] = number > rule.maximum
     elif rule.dtype == "date":
-        checks["not_a_date"] = some & strict_date(name).isNull()
+        checks["not_a_date"] = some & strict_date(name, dtype).isNull()
     elif rule.dtype == "datetime":
         checks["not_a_datetime"] = some & c.try_cast("timestamp").isNull()
     elif rule.dtype == "enum":
@@ -83,7 +83,7 @@ def check_schema(df: DataFrame, contract: TableContract) -> DataFrame:
         (name, rule_name): cond
         for name, rule in contract.columns.items()
         if name in df.columns
-        for rule_name, cond in _column_checks(name, rule).items()
+        for rule_name, cond in _column_checks(name, rule, df.schema[name].dataType).items()
     }
     counted = df.agg(
         *[count_where(cond).alias(f"{n}|{r}") for (n, r), cond in checks.items()],
@@ -97,13 +97,18 @@ def check_schema(df: DataFrame, contract: TableContract) -> DataFrame:
     )
 
 
-def strict_date(name: str | Column) -> Column:
-    """Calendar date of a 10-character string or a midnight timestamp, else null."""
+def strict_date(name: str | Column, dtype: T.DataType | None = None) -> Column:
+    """Calendar date of a 10-character text, or of a date or midnight timestamp; else null."""
     c = as_col(name)
-    text = F.trim(c.cast("string"))
-    as_day = F.try_to_timestamp(F.substring(text, 1, 10), F.lit("yyyy-MM-dd")).cast("date")
-    only_day = text.rlike(r"^\d{4}-\d{2}-\d{2}$") | text.rlike(r"^\d{4}-\d{2}-\d{2} 00:00:00$")
-    return F.when(only_day, as_day)
+    if isinstance(dtype, T.DateType):
+        return c
+    if isinstance(dtype, T.TimestampType | T.TimestampNTZType):
+        return F.when(F.date_trunc("day", c) == c, c.cast("date"))
+    text = F.trim(c)
+    return F.when(
+        text.rlike(r"^\d{4}-\d{2}-\d{2}$"),
+        F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date"),
+    )
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.columns import ratio
+from panelspark.functions.columns import digest_int, ratio
 
 # WGS84 and the standard parallel of the equal-area grid.
 A = 6378137.0
@@ -271,6 +271,13 @@ def cell_window(
     )
 
 
+def grid_fingerprints(cells: DataFrame, *, day: str, cell: str) -> DataFrame:
+    """Cell count and order-free digest of the grid in use on each day."""
+    return cells.groupBy(day).agg(
+        F.count(F.lit(1)).alias("n_cells"), F.sum(digest_int(cell)).alias("fingerprint")
+    )
+
+
 def build_reference(
     boundaries: DataFrame,
     population: DataFrame,

@@ -213,14 +213,14 @@ def week_days(spine: DataFrame, day: str = "day") -> DataFrame:
     return spine.withColumn(day, F.explode(F.sequence("week_start", "week_end")))
 
 
-def rollup_status(df: DataFrame, *, status: str, totals: Sequence[str]) -> DataFrame:
+def rollup_status(
+    df: DataFrame, *, status: str, totals: Sequence[str], by: Sequence[str] = ()
+) -> DataFrame:
     """Overall status and totals of per-chunk acquisition records."""
-    return df.agg(
+    return df.groupBy(*by).agg(
         F.when(F.bool_and(F.col(status) == "complete"), "complete")
         .otherwise("incomplete")
         .alias("status"),
         F.count(F.lit(1)).alias("chunks"),
         *[F.sum(c).cast("long").alias(c) for c in totals],
     )
-
-

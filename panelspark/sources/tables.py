@@ -76,14 +76,15 @@ def file_manifest(spark: SparkSession, root: str, *, glob: str = "*") -> DataFra
 
     Hashing runs in the tasks that read the files; no content reaches the driver.
     """
-    base = root.rstrip("/") + "/"
+    base = root.rstrip("/").split(":", 1)[-1] + "/"
+    after_root = F.locate(base, F.col("path")) + len(base)
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
         .load(root)
         .select(
-            F.element_at(F.split("path", F.lit(base.split(":", 1)[-1])), -1).alias("rel_path"),
+            F.expr("path").substr(after_root, F.length("path")).alias("rel_path"),
             F.col("length").alias("size_bytes"),
             F.sha2("content", 256).alias("sha256"),
         )
