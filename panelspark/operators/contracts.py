@@ -477,3 +477,25 @@ def dtype_of(df: DataFrame, column: str) -> T.DataType:
     return df.schema[column].dataType
 
 
+
+
+def panel_contract(
+    df: DataFrame, *, entity: str, start: str, end: str, value: str, cutoff: str
+) -> DataFrame:
+    """Composite contract of a panel read: violations per rule.
+
+    The row rules share one pass; only the key rule needs a shuffle.
+    """
+    span = F.datediff(F.col(end), F.col(start))
+    rows = df.agg(
+        (F.count(F.lit(1)) == 0).cast("long").alias("empty_table"),
+        count_where(span.isNull() | (span != 6)).alias("bad_interval"),
+        count_where(F.col(entity).isNull()).alias("null_entity"),
+        count_where(F.col(end) >= F.lit(cutoff).cast("date")).alias("past_cutoff"),
+        count_where(F.col(value).isNotNull() & ~finite_nonnegative(value)).alias(
+            "not_finite_nonnegative"
+        ),
+    )
+    per_rule = rows.unpivot([], rows.columns, "rule", "violations")
+    keys = union_violations([("duplicate_key", duplicate_keys(df, [entity, start]))])
+    return per_rule.unionByName(keys)

@@ -7,15 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.functions.columns import as_col, count_where, present
+from panelspark.functions.columns import as_col, count_where, plus_days, present
 from panelspark.functions.text import alias_key
 
 
 def alias_dimension(names: DataFrame, *, entity: str, aliases: str) -> DataFrame:
     """One row per (lookup key, entity) from an array column of aliases."""
-    return names.select(
-        entity, alias_key(F.explode(aliases)).alias("alias_key")
-    ).distinct()
+    spread = names.select(entity, F.explode(aliases).alias("alias"))
+    return spread.select(entity, alias_key("alias").alias("alias_key")).distinct()
 
 
 def alias_conflicts(dimension: DataFrame, *, entity: str) -> DataFrame:
@@ -370,7 +369,7 @@ def source_calendar(
 ) -> DataFrame:
     """Start date of a source (year, week) from the anchor of the year's week 1."""
     return df.join(anchors.select(year, "anchor"), year, "left").withColumn(
-        "expected_start", F.date_add("anchor", (F.col(week) - 1) * 7)
+        "expected_start", plus_days("anchor", (F.col(week) - 1) * 7)
     )
 
 
@@ -386,3 +385,119 @@ def wanted_issues(
     """Issues of the wanted years plus the first weeks of the year after."""
     tail = (F.col(year) == end_year + 1) & F.col(week).between(1, tail_weeks)
     return df.filter(F.col(year).between(start_year, end_year) | tail)
+
+
+def comparison_summary(
+    pairs: DataFrame, *, exact: str, period: str, left: str, right: str
+) -> DataFrame:
+    """Counts of overlapping pairs by comparability."""
+    reason = F.when(F.col(exact), "exact_interval").otherwise("not_comparable_interval")
+    return pairs.groupBy(reason.alias("reason")).agg(
+        F.count(F.lit(1)).alias("pairs"),
+        F.count_distinct(period).alias("periods"),
+        F.sum("overlap_days").alias("overlap_days"),
+        count_where(F.col(left) == F.col(right)).alias("equal_values"),
+    )
+
+
+def corroboration_warnings(
+    quality: DataFrame, doc: Sequence[str], *, reported: str, calculated: str, corroborating: str
+) -> DataFrame:
+    """One explained warning per accepted document with its first known totals."""
+    return quality.groupBy(*doc).agg(
+        F.lit("accepted_first_week_corroboration").alias("warning_type"),
+        F.first(reported, ignorenulls=True).alias("raw_reported"),
+        F.first(calculated, ignorenulls=True).alias("calculated"),
+        F.first(corroborating, ignorenulls=True).alias("corroborating_total"),
+        F.first(calculated, ignorenulls=True).alias("chosen_value"),
+        F.count(F.lit(1)).alias("quality_rows"),
+    )
+
+
+def issue_summary(conflicts: DataFrame, kind: str = "conflict_type") -> DataFrame:
+    """Counts by conflict type and the overall status."""
+    typed = F.coalesce(F.col(kind), F.lit("accepted_cross_source"))
+    within = count_where(typed == "within_report_national")
+    return conflicts.agg(
+        count_where(typed == "accepted_cross_source").alias("accepted_cross_source"),
+        within.alias("within_report_national"),
+        F.count(F.lit(1)).alias("total_issues"),
+        F.when(within > 0, "unresolved_or_quarantined_conflicts_present")
+        .otherwise("no_unresolved_or_quarantined_conflicts_reported")
+        .alias("status"),
+    )
+
+
+def requested_coverage(
+    entities: DataFrame,
+    reports: DataFrame,
+    weather: DataFrame,
+    *,
+    first: str,
+    last: str,
+    value: str,
+    available: str,
+    entity: str = "entity_id",
+) -> DataFrame:
+    """Per requested year: expected entity-weeks against the two sources."""
+    weeks = F.sequence(
+        F.lit(first).cast("date"), F.lit(last).cast("date"), F.expr("interval 7 days")
+    )
+    spine = entities.select(entity, F.explode(weeks).alias("week_start"))
+    keys = [entity, "week_start"]
+    joined = spine.join(reports.select(*keys, value), keys, "left").join(
+        weather.select(*keys, available), keys, "left"
+    )
+    n, r, w = F.col("expected_rows"), F.col("observed_reports"), F.col("observed_weather")
+    return (
+        joined.groupBy(F.year("week_start").cast("long").alias("year"))
+        .agg(
+            F.count(F.lit(1)).alias("expected_rows"),
+            F.count(value).alias("observed_reports"),
+            count_where(F.col(available)).alias("observed_weather"),
+        )
+        .withColumn("report_coverage_pct", F.round(r / n * 100.0, 2))
+        .withColumn("weather_coverage_pct", F.round(w / n * 100.0, 2))
+        .withColumn(
+            "status",
+            F.when((r == n) & (w == n), "complete").otherwise("partial_boundary_or_gaps"),
+        )
+    )
+
+
+def cohort_status(
+    index: DataFrame, *, date: str, failed: str, first: str, last: str
+) -> DataFrame:
+    """Status per document: quarantined, parsed, or outside the wanted dates."""
+    inside = F.col(date).between(F.lit(first).cast("date"), F.lit(last).cast("date"))
+    return index.withColumn(
+        "status",
+        F.when(F.col(failed) == 1, "quarantined")
+        .when(inside, "parsed")
+        .otherwise("excluded_outside_cohort"),
+    )
+
+
+def quarantine_summary(
+    index: DataFrame, *, status: str, reason: str, document: str, observed: str
+) -> DataFrame:
+    return index.groupBy(status, reason).agg(
+        F.count(F.lit(1)).alias("documents"),
+        F.sum(observed).alias("observed_rows"),
+        F.min(document).alias("first_document"),
+    )
+
+
+def wide_to_long(
+    printed: DataFrame, keys: Sequence[str], columns: Sequence[str]
+) -> DataFrame:
+    """One row per printed component cell with its count and revision mark."""
+    from panelspark.functions.text import printed_count, revision_mark
+
+    cells = F.array(
+        *[F.struct(F.lit(c).alias("component"), F.col(c).alias("cell")) for c in columns]
+    )
+    long = printed.select(*keys, F.explode(cells).alias("c")).select(*keys, "c.*")
+    return long.select(
+        *keys, "component", printed_count("cell").alias("value"), revision_mark("cell").alias("revised")
+    )

@@ -103,7 +103,7 @@ def main() -> int:
                 rows = df.collect()
                 ok, note = True, f"rows only: {len(rows)}"
         except Exception as exc:  # noqa: BLE001
-            ok, note = False, f"{type(exc).__name__}: {str(exc)[:1500]}"
+            ok, note = False, f"{type(exc).__name__}: {str(exc)[:400]}"
         took = time.time() - start
         slow.append((took, name))
         if not ok:
