@@ -15,6 +15,7 @@ from panelspark.functions.columns import (
     count_where,
     finite,
     finite_nonnegative,
+    flag,
     null_safe_differs,
     plus_days,
     present,
@@ -499,3 +500,89 @@ def panel_contract(
     per_rule = rows.unpivot([], rows.columns, "rule", "violations")
     keys = union_violations([("duplicate_key", duplicate_keys(df, [entity, start]))])
     return per_rule.unionByName(keys)
+
+
+def expected_combinations(df: DataFrame, config: Sequence[str], fold: str) -> DataFrame:
+    """Every configuration with every fold seen in a metric table.
+
+    The folds travel as one array (they are bounded by the calendar years), not as a join.
+    """
+    folds = df.agg(F.collect_set(fold)).scalar()
+    return df.select(*config).distinct().withColumn(fold, F.explode(folds))
+
+
+def prediction_contract(
+    pred: DataFrame,
+    expected: DataFrame,
+    *,
+    config: Sequence[str],
+    key: Sequence[str],
+    expected_key: Sequence[str],
+    target: str = "observed_target",
+    prediction: str = "prediction_model",
+    tolerance: float = 1e-12,
+) -> DataFrame:
+    """Per configuration: duplicate, missing and extra keys, bad values, targets that differ.
+
+    The expected keys are offered to every configuration by explode and met in one full join.
+    """
+    configs = pred.select(*config).distinct()
+    shared = [c for c in config if c in expected.columns]
+    want = (
+        expected.select(
+            *shared,
+            *[F.col(e).alias(k) for e, k in zip(expected_key, key, strict=True)],
+            F.col("target").alias("_target"),
+        )
+        .distinct()
+        .join(configs, shared)
+        .withColumn("_w", F.lit(1))
+    )
+    have = pred.groupBy(*config, *key).agg(
+        F.count(F.lit(1)).alias("_copies"),
+        F.max(flag(~finite_nonnegative(prediction))).alias("_bad"),
+        F.max(F.col(target).cast("double")).alias("_hi"),
+        F.min(F.col(target).cast("double")).alias("_lo"),
+    )
+    joined = want.join(have, [*config, *key], "full_outer")
+    off = lambda c: F.abs(F.col(c) - F.col("_target").cast("double")) > tolerance
+    return joined.groupBy(*config).agg(
+        count_where(F.col("_copies") > 1).alias("duplicate_keys"),
+        count_where(F.col("_copies").isNull()).alias("missing_keys"),
+        count_where(F.col("_w").isNull()).alias("extra_keys"),
+        count_where(F.col("_bad") == 1).alias("bad_values"),
+        count_where(off("_hi") | off("_lo")).alias("target_mismatch"),
+    )
+
+
+def recomputed_agreement(
+    saved: DataFrame,
+    pred: DataFrame,
+    keys: Sequence[str],
+    *,
+    target: str,
+    prediction: str,
+    tolerance: float = 1e-9,
+) -> DataFrame:
+    """Recorded MAE against the one recomputed from saved predictions, with null parity."""
+    err = F.abs(F.col(prediction) - F.col(target).cast("double"))
+    again = pred.groupBy(*keys).agg(F.avg(err).alias("recomputed_mae"))
+    joined = saved.withColumnRenamed("mae", "saved_mae").join(again, list(keys), "full_outer")
+    same_nulls = F.col("saved_mae").isNull() == F.col("recomputed_mae").isNull()
+    close = F.coalesce(
+        F.abs(F.col("saved_mae") - F.col("recomputed_mae")) <= tolerance, F.lit(True)
+    )
+    return joined.withColumn("agrees", same_nulls & close)
+
+
+def evidence_agreement(
+    plan: DataFrame, registry: DataFrame, keys: Sequence[str], columns: Sequence[str]
+) -> DataFrame:
+    """Per planned fit: whether it is registered and which recorded facts equal the plan."""
+    reg = registry.select(*keys, F.lit(True).alias("_r"), *[F.col(c).alias(f"_r_{c}") for c in columns])
+    joined = plan.join(reg, list(keys), "left")
+    return joined.select(
+        *keys,
+        F.col("_r").isNotNull().alias("registered"),
+        *[F.col(c).eqNullSafe(F.col(f"_r_{c}")).alias(f"{c}_ok") for c in columns],
+    )

@@ -240,7 +240,7 @@ SELECT entity_id, week_start, case_missing_flag, weather_missing_flag, case_hist
 """,
 )
 def row_quality(p: Panels) -> DataFrame:
-    return p.model_panel.select(
+    return p.model_panel_plan.select(
         "entity_id", "week_start", "case_missing_flag", "weather_missing_flag",
         "case_history_missing_flag", "row_quality_flag", "is_trainable",
     )

@@ -616,8 +616,8 @@ def period_infer(p: Panels) -> DataFrame:
     """
 WITH anchors AS (SELECT year AS source_year, min(week_start) AS anchor FROM labelled_obs WHERE week <= 2 GROUP BY 1),
 o AS (SELECT DISTINCT year AS source_year, week + CASE WHEN week = 30 THEN 1 ELSE 0 END AS source_week, week_start FROM labelled_obs)
-SELECT o.source_year, source_week, week_start, (anchor + 7 * (source_week - 1))::DATE AS expected_start,
-  week_start IS DISTINCT FROM (anchor + 7 * (source_week - 1))::DATE AS mismatch,
+SELECT o.source_year, source_week, week_start, (anchor + (7 * (source_week - 1))::INT)::DATE AS expected_start,
+  week_start IS DISTINCT FROM (anchor + (7 * (source_week - 1))::INT)::DATE AS mismatch,
   source_year || '-W' || lpad(source_week::VARCHAR, 2, '0') AS year_week
 FROM o LEFT JOIN anchors a USING (source_year)
 """,

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.functions.columns import as_col
 
 HOURLY_SCHEMA = T.ArrayType(
     T.StructType(
@@ -222,29 +221,25 @@ def inventory_records(df: DataFrame, document: str) -> DataFrame:
     Fixed values: the alternative field names, first present wins.
     """
     schema = (
-        "source string, source_name string, provider string, url string, source_url string, "
-        "request_url string, params map<string,string>, retrieved_at string, downloaded_at string, "
-        "sha256 string, content_sha256 string, bytes bigint, size_bytes bigint"
+        "source_name string, source string, request_url string, upstream_url string, "
+        "request_params map<string,string>, sha256 string, byte_length bigint, "
+        "content_length bigint, retrieved_at string, licenses string, license string"
     )
-    d = df.withColumn("_d", F.from_json(F.col(document), schema))
+    keys = [c for c in df.columns if c != document]
+    d = df.select(*keys, F.from_json(F.col(document), schema).alias("_d"))
     c = lambda *names: F.coalesce(*[F.col(f"_d.{n}") for n in names])
     pairs = F.transform(
-        F.array_sort(F.map_entries("_d.params")),
-        lambda e: F.concat_ws("=", e["key"], e["value"]),
+        F.map_entries("_d.request_params"),
+        lambda e: F.concat_ws("=", F.url_encode(e["key"]), F.url_encode(e["value"])),
     )
-    query = F.array_join(pairs, "&")
-    url = c("url", "source_url", "request_url")
+    asked = F.concat_ws("?", "_d.request_url", F.array_join(pairs, "&"))
+    has_query = F.col("_d.request_url").isNotNull() & F.col("_d.request_params").isNotNull()
     return d.select(
-        *df.columns,
-        c("source", "source_name", "provider").alias("source"),
-        F.when(F.coalesce(F.length(query), F.lit(0)) > 0, F.concat_ws("?", url, query))
-        .otherwise(url)
-        .alias("full_url"),
-        c("retrieved_at", "downloaded_at").alias("retrieved"),
-        c("sha256", "content_sha256").alias("digest"),
-        c("bytes", "size_bytes").alias("size_bytes"),
-    ).drop(document)
-
-
-def text_of(value: str | Column) -> Column:
-    return as_col(value).cast("string")
+        *keys,
+        c("source_name", "source").alias("source_name"),
+        F.when(has_query, asked).otherwise(c("upstream_url", "request_url")).alias("source_url"),
+        F.col("_d.sha256").alias("sha256"),
+        c("byte_length", "content_length").alias("size_bytes"),
+        F.col("_d.retrieved_at").alias("retrieved_at"),
+        c("licenses", "license").alias("licenses"),
+    )

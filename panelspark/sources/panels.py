@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from panelspark.functions.columns import plus_days, week_start
 from panelspark.operators import calendar, features, weather
 from panelspark.operators.contracts import normalize_quality_tokens
+from panelspark.session import stage_table
 from panelspark.sources.tables import table
 
 # Parameters of the derived panels.
@@ -282,6 +283,11 @@ class Panels:
 
     @cached_property
     def model_panel(self) -> DataFrame:
+        """The model panel as a staged table, for work that reads it more than once."""
+        return stage_table(self.model_panel_plan, "model_panel")
+
+    @cached_property
+    def model_panel_plan(self) -> DataFrame:
         """The columns the temporal stages read: value, lags, direct targets, weather, quality."""
         over = features.entity_weeks()
         base = self.master.withColumns(
@@ -297,6 +303,11 @@ class Panels:
             )
         )
 
+    @cached_property
+    def origin_table(self) -> DataFrame:
+        """The origin panel as a staged table."""
+        return stage_table(self.origins, "origins")
+
     @cached_property
     def origins(self) -> DataFrame:
         """Weather-free panel with lags and direct targets, for cohorts and baselines."""
