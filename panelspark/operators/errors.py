@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.columns import count_where, finite, plus_days, present, ratio
+from panelspark.functions.columns import count_where, finite, plus_days, ratio
 from panelspark.functions.quantiles import exact_quantiles
 from panelspark.operators import metrics as M
 from panelspark.operators.selection import relative_improvement
@@ -486,8 +486,13 @@ def series_with_breaks(
     return points.unionByName(breaks)
 
 
-def has_history(columns: Sequence[str]) -> Column:
-    out = F.lit(True)
-    for c in columns:
-        out = out & present(c)
-    return out
+def missingness_masks() -> dict[str, Column]:
+    """Overlapping row groups by history, imputation, quality and trainability flags."""
+    flag = lambda c, absent: F.coalesce(F.col(c), F.lit(absent))
+    return {
+        "complete_recent_case_history": ~flag("case_history_missing_flag", True),
+        "partial_historical_case_context": flag("case_history_missing_flag", True),
+        "rows_requiring_feature_imputation": flag("weather_missing_flag", True),
+        "rows_with_quality_warnings": flag("row_quality_flag", "OK") != "OK",
+        "not_trainable": ~flag("is_trainable", False),
+    }

@@ -172,10 +172,12 @@ def worst_reason(support_table: DataFrame) -> Column:
 
 
 def model_vs_persistence(
-    pred: DataFrame, keys: Sequence[str], *, reps: int = REPS, seed: int = SEED
+    weekly: DataFrame, keys: Sequence[str], *, reps: int = REPS, seed: int = SEED
 ) -> DataFrame:
-    """Bootstrap interval of the mean-of-folds MAE difference, model minus persistence."""
-    weekly = weekly_error_sums(pred, keys)
+    """Bootstrap interval of the mean-of-folds MAE difference, model minus persistence.
+
+    Takes the table of :func:`weekly_error_sums`.
+    """
     positions = week_positions(weekly, ["fold"])
     sums = ["n", "model", "persistence"]
     return interval_table(
@@ -220,14 +222,13 @@ def _paired_sums(
 
 
 def added_vs_base(
-    pred: DataFrame,
+    weekly: DataFrame,
     comparisons: Sequence[tuple[str, str, str]],
     *,
     reps: int = REPS,
     seed: int = SEED,
 ) -> DataFrame:
     """Bootstrap interval of the mean-of-folds MAE difference of two feature sets."""
-    weekly = weekly_error_sums(pred, ["horizon", "family", "feature_set"])
     pairs = _paired_sums(weekly, comparisons, ["horizon", "family"])
     keys = ["horizon", "family", "comparison"]
     stat = F.col("added") / F.col("added_n") - F.col("base") / F.col("base_n")
@@ -244,11 +245,11 @@ def added_vs_base(
 
 
 def weekly_cluster_interval(
-    pred: DataFrame, keys: Sequence[str], *, reps: int = REPS, seed: int = SEED
+    sums_by_week: DataFrame, keys: Sequence[str], *, reps: int = REPS, seed: int = SEED
 ) -> DataFrame:
     """Interval of the mean of weekly mean differences, all weeks as one series of clusters."""
     weekly = (
-        weekly_error_sums(pred, keys)
+        sums_by_week
         .groupBy(*keys, "origin_start")
         .agg(
             (F.sum(F.col("model") - F.col("persistence")) / F.sum("n")).alias("diff"),

@@ -24,9 +24,10 @@ COMPARISONS = (
 def scorers() -> dict[tuple[str, str], F.Column]:
     """Linear scores of the origin columns, so that error tables do not depend on a fit."""
     mean4 = sum((F.col(f"cases_lag_{k}") for k in (2, 3, 4)), F.col("cases_lag_1")) / 4.0
-    rain = F.coalesce("rainfall_sum_mm", F.lit(0.0)) * 0.002
-    temp = (F.coalesce("temp_mean_c", F.lit(25.0)) - 25.0) * 0.01
-    base = {"ridge": F.col("cases") * 0.5 + mean4 * 0.5, "boosted": F.col("cases") * 0.3 + mean4 * 0.7}
+    rain = F.coalesce("rainfall_sum_mm", F.lit(0.0)) / 613.0
+    temp = (F.coalesce("temp_mean_c", F.lit(25.0)) - 25.0) / 97.0
+    mix = lambda w: (F.col("cases") * w + mean4 * (13.0 - w)) / 13.0
+    base = {"ridge": mix(6.0), "boosted": mix(4.0)}
     extra = {"cases_only": F.lit(0.0), "cases_rainfall": rain, "cases_full_weather": rain + temp}
     return {(fam, fs): base[fam] + extra[fs] for fam in FAMILIES for fs in FEATURE_SETS}
 

@@ -20,7 +20,7 @@ from panelspark.session import stage_table
 from panelspark.sources.panels import Panels
 
 
-def _round(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
+def _round(df: DataFrame, *cols: str, digits: int = 8) -> DataFrame:
     return df.withColumns({c: rounded(c, digits) for c in cols})
 
 
@@ -63,7 +63,7 @@ def baseline_last_week(p: Panels) -> DataFrame:
 
 @query(
     "baseline_mean_4w_8w",
-    "SELECT entity_id, week_start, round(naive_4w_mean, 6) AS naive_4w_mean, round(naive_8w_mean, 6) AS naive_8w_mean FROM base_hist",
+    "SELECT entity_id, week_start, round(naive_4w_mean, 8) AS naive_4w_mean, round(naive_8w_mean, 8) AS naive_8w_mean FROM base_hist",
 )
 def baseline_mean(p: Panels) -> DataFrame:
     return _round(
@@ -78,7 +78,7 @@ def baseline_seasonal_52w(p: Panels) -> DataFrame:
 
 @query(
     "baseline_seasonal_mean",
-    "SELECT s.entity_id, s.week_start, round(entity_seasonal_mean, 6) AS entity_seasonal_mean FROM spine s"
+    "SELECT s.entity_id, s.week_start, round(entity_seasonal_mean, 8) AS entity_seasonal_mean FROM spine s"
     " LEFT JOIN base_season b ON b.entity_id = s.entity_id AND b.week_start = s.week_start",
 )
 def baseline_seasonal_mean(p: Panels) -> DataFrame:
@@ -96,7 +96,7 @@ WITH w AS (SELECT h.*, b.entity_seasonal_mean FROM base_hist h LEFT JOIN base_se
 l AS (SELECT 'naive_last_week' AS baseline, naive_last_week AS v FROM w UNION ALL SELECT 'naive_4w_mean', naive_4w_mean FROM w
   UNION ALL SELECT 'naive_8w_mean', naive_8w_mean FROM w UNION ALL SELECT 'seasonal_52w', seasonal_52w FROM w
   UNION ALL SELECT 'entity_seasonal_mean', entity_seasonal_mean FROM w)
-SELECT baseline, count(v)::BIGINT AS available, count(*)::BIGINT AS total, round(count(v)::DOUBLE / count(*), 6) AS coverage FROM l GROUP BY 1
+SELECT baseline, count(v)::BIGINT AS available, count(*)::BIGINT AS total, round(count(v)::DOUBLE / count(*), 8) AS coverage FROM l GROUP BY 1
 """,
 )
 def baseline_wide_coverage(p: Panels) -> DataFrame:
@@ -139,17 +139,17 @@ def sql_metrics(y: str, p: str) -> str:
     """Metric expressions of the SQL checks; rows with a null prediction do not count."""
     yy, pp = f"CASE WHEN {p} IS NOT NULL THEN {y}::DOUBLE END", f"({p})::DOUBLE"
     e = f"({pp} - {y}::DOUBLE)"
-    return f"""count({p})::BIGINT AS n, round(avg(abs({e})), 6) AS mae, round(sqrt(avg({e} * {e})), 6) AS rmse,
-  round(CASE WHEN count({p}) >= 2 AND var_pop({yy}) > 0 THEN 1 - sum({e} * {e}) / (var_pop({yy}) * count({p})) END, 6) AS r2,
-  round(avg(2 * (CASE WHEN {yy} > 0 THEN {yy} * ln({yy} / greatest({pp}, 1e-12)) ELSE 0 END - {yy} + CASE WHEN {p} IS NOT NULL THEN greatest({pp}, 1e-12) END)), 6) AS poisson_deviance,
-  round(avg({e}), 6) + 0.0 AS bias"""
+    return f"""count({p})::BIGINT AS n, round(avg(abs({e})), 8) AS mae, round(sqrt(avg({e} * {e})), 8) AS rmse,
+  round(CASE WHEN count({p}) >= 2 AND var_pop({yy}) > 0 THEN 1 - sum({e} * {e}) / (var_pop({yy}) * count({p})) END, 8) AS r2,
+  round(avg(2 * (CASE WHEN {yy} > 0 THEN {yy} * ln({yy} / greatest({pp}, 1e-12)) ELSE 0 END - {yy} + CASE WHEN {p} IS NOT NULL THEN greatest({pp}, 1e-12) END)), 8) AS poisson_deviance,
+  round(avg({e}), 8) + 0.0 AS bias"""
 
 
 _FOLD_METRICS = f"""
-SELECT b.fold_id, baseline, count(*)::BIGINT AS total, round(count(prediction)::DOUBLE / count(*), 6) AS coverage,
+SELECT b.fold_id, baseline, count(*)::BIGINT AS total, round(count(prediction)::DOUBLE / count(*), 8) AS coverage,
   {sql_metrics("cases_next_week", "prediction")},
-  round(avg(CASE WHEN cases_next_week >= threshold90 THEN abs(prediction - cases_next_week) END), 6) AS mae_top_90,
-  round(avg(CASE WHEN cases_next_week >= threshold95 THEN abs(prediction - cases_next_week) END), 6) AS mae_top_95
+  round(avg(CASE WHEN cases_next_week >= threshold90 THEN abs(prediction - cases_next_week) END), 8) AS mae_top_90,
+  round(avg(CASE WHEN cases_next_week >= threshold95 THEN abs(prediction - cases_next_week) END), 8) AS mae_top_95
 FROM fold_base b JOIN fold_thr t ON t.fold_id = b.fold_id GROUP BY 1, 2
 """
 cte("baseline_metrics", _FOLD_METRICS)
@@ -194,7 +194,7 @@ def rank_full_coverage(p: Panels) -> DataFrame:
     """
 WITH a AS (SELECT fold_id, baseline, count(prediction)::BIGINT AS n, avg(abs(prediction - cases_next_week)) AS m FROM fold_base
   WHERE prediction IS NOT NULL GROUP BY 1, 2)
-SELECT fold_id, baseline, n, round(m, 6) AS fold_mae, round(avg(m) OVER (PARTITION BY baseline), 6) AS mean_fold_mae FROM a
+SELECT fold_id, baseline, n, round(m, 8) AS fold_mae, round(avg(m) OVER (PARTITION BY baseline), 8) AS mean_fold_mae FROM a
 """,
 )
 def fold_mae_rows(p: Panels) -> DataFrame:
@@ -210,7 +210,7 @@ cte(
     "fold_model",
     """
 SELECT fold_id, entity_id, week_start, cases_next_week AS target,
-  0.5 * cases + 0.5 * (cases_lag_1 + cases_lag_2 + cases_lag_3 + cases_lag_4) / 4.0 AS prediction, threshold90, threshold95
+  (6 * cases + 7 * (cases_lag_1 + cases_lag_2 + cases_lag_3 + cases_lag_4) / 4.0) / 13 AS prediction, threshold90, threshold95
 FROM fold_rows JOIN fold_thr USING (fold_id) WHERE role = 'validation'
 """,
 )
@@ -249,9 +249,9 @@ UNION ALL SELECT fold_id, entity_id, target, threshold90, threshold95, 'all_base
     "shared_support_compare",
     f"""
 SELECT fold_id, support_type, series_role, baseline, count(*)::BIGINT AS total, {sql_metrics("target", "p")},
-  round(avg(CASE WHEN target >= threshold90 THEN abs(p - target) END), 6) AS mae_top_90,
-  round(avg(CASE WHEN target >= threshold95 THEN abs(p - target) END), 6) AS mae_top_95,
-  count(DISTINCT CASE WHEN p IS NOT NULL THEN entity_id END)::BIGINT AS entities, round(count(p)::DOUBLE / count(*), 6) AS coverage
+  round(avg(CASE WHEN target >= threshold90 THEN abs(p - target) END), 8) AS mae_top_90,
+  round(avg(CASE WHEN target >= threshold95 THEN abs(p - target) END), 8) AS mae_top_95,
+  count(DISTINCT CASE WHEN p IS NOT NULL THEN entity_id END)::BIGINT AS entities, round(count(p)::DOUBLE / count(*), 8) AS coverage
 FROM support_rows GROUP BY 1, 2, 3, 4
 """,
 )
@@ -268,7 +268,7 @@ cte(
     "hold_model",
     """
 SELECT 'holdout' AS fold_id, m.entity_id, m.week_start, cases_next_week AS target,
-  0.5 * cases + 0.5 * (cases_lag_1 + cases_lag_2 + cases_lag_3 + cases_lag_4) / 4.0 AS prediction, threshold90, threshold95
+  (6 * cases + 7 * (cases_lag_1 + cases_lag_2 + cases_lag_3 + cases_lag_4) / 4.0) / 13 AS prediction, threshold90, threshold95
 FROM model_panel m, (SELECT quantile_cont(cases_next_week::DOUBLE, 0.9) AS threshold90, quantile_cont(cases_next_week::DOUBLE, 0.95) AS threshold95
   FROM model_panel, locked WHERE is_trainable AND week_end + 14 < locked_start) WHERE is_trainable AND year(week_start) = 2000
 """,
@@ -299,9 +299,9 @@ r AS (
   UNION ALL SELECT fold_id, entity_id, target, threshold90, threshold95, 'all_baselines_intersection', 'baseline', baseline, CASE WHEN every THEN bp END FROM x
   UNION ALL SELECT fold_id, entity_id, target, threshold90, threshold95, 'all_baselines_intersection', 'model', '', CASE WHEN every THEN prediction END FROM x WHERE baseline = 'naive_last_week')
 SELECT fold_id, support_type, series_role, baseline, count(*)::BIGINT AS total, {sql_metrics("target", "p")},
-  round(avg(CASE WHEN target >= threshold90 THEN abs(p - target) END), 6) AS mae_top_90,
-  round(avg(CASE WHEN target >= threshold95 THEN abs(p - target) END), 6) AS mae_top_95,
-  count(DISTINCT CASE WHEN p IS NOT NULL THEN entity_id END)::BIGINT AS entities, round(count(p)::DOUBLE / count(*), 6) AS coverage
+  round(avg(CASE WHEN target >= threshold90 THEN abs(p - target) END), 8) AS mae_top_90,
+  round(avg(CASE WHEN target >= threshold95 THEN abs(p - target) END), 8) AS mae_top_95,
+  count(DISTINCT CASE WHEN p IS NOT NULL THEN entity_id END)::BIGINT AS entities, round(count(p)::DOUBLE / count(*), 8) AS coverage
 FROM r GROUP BY 1, 2, 3, 4
 """,
 )
@@ -356,7 +356,7 @@ def prep_rows(p: Panels) -> DataFrame:
 
 @query(
     "preprocess_fit",
-    "SELECT fold_id, feature, n_rows, n_present, dropped, round(median, 6) AS median, round(mean, 6) AS mean, round(scale, 6) AS scale FROM prep_state",
+    "SELECT fold_id, feature, n_rows, n_present, dropped, round(median, 8) AS median, round(mean, 8) AS mean, round(scale, 8) AS scale FROM prep_state",
 )
 def preprocess_fit(p: Panels) -> DataFrame:
     state = P.fit_numeric(prep_rows(p).filter("role = 'train'"), "fold_id", NUMERIC)
@@ -372,7 +372,7 @@ _LEVELS = ("1", "3", "99")
 WITH s AS (SELECT fold_id, max(CASE WHEN feature = 'temp_c' THEN median END) AS mt, max(CASE WHEN feature = 'cases_lag_1' THEN median END) AS m1,
   max(CASE WHEN feature = 'wind_ms' THEN median END) AS mw FROM prep_state GROUP BY 1)
 SELECT r.fold_id, role, entity_id, week_start, coalesce(cases_lag_1, m1) AS cases_lag_1, (cases_lag_1 IS NULL)::INT::DOUBLE AS cases_lag_1__missing,
-  round(coalesce(temp_c, mt), 6) AS temp_c, (temp_c IS NULL)::INT::DOUBLE AS temp_c__missing, mw AS wind_ms, NULL::DOUBLE AS wind_ms__missing,
+  round(coalesce(temp_c, mt), 8) AS temp_c, (temp_c IS NULL)::INT::DOUBLE AS temp_c__missing, mw AS wind_ms, NULL::DOUBLE AS wind_ms__missing,
   (entity_id = 1)::INT::DOUBLE AS entity_id__1, (entity_id = 3)::INT::DOUBLE AS entity_id__3, 0.0::DOUBLE AS entity_id__99
 FROM prep_rows r JOIN s ON s.fold_id = r.fold_id
 """,
@@ -391,8 +391,8 @@ def preprocess_transform(p: Panels) -> DataFrame:
     "preprocess_scale",
     """
 SELECT l.fold_id, l.role, l.entity_id, l.week_start,
-  round(max(CASE WHEN l.feature = 'cases_lag_1' THEN (coalesce(value, median) - mean) / scale END), 6) + 0.0 AS cases_lag_1,
-  round(max(CASE WHEN l.feature = 'temp_c' THEN (coalesce(value, median) - mean) / scale END), 6) + 0.0 AS temp_c,
+  round(max(CASE WHEN l.feature = 'cases_lag_1' THEN (coalesce(value, median) - mean) / scale END), 8) + 0.0 AS cases_lag_1,
+  round(max(CASE WHEN l.feature = 'temp_c' THEN (coalesce(value, median) - mean) / scale END), 8) + 0.0 AS temp_c,
   max(CASE WHEN l.feature = 'temp_c' THEN (value IS NULL)::INT::DOUBLE END) AS temp_c__missing
 FROM prep_long l JOIN prep_state s ON s.fold_id = l.fold_id AND s.feature = l.feature GROUP BY 1, 2, 3, 4
 """,
@@ -416,12 +416,12 @@ cte(
     "predictions",
     """
 WITH w AS (SELECT entity_id, week_start, rainfall_sum_mm, temp_mean_c FROM weather_weekly),
-b AS (SELECT e.*, 0.002 * coalesce(rainfall_sum_mm, 0) AS rain, 0.01 * (coalesce(temp_mean_c, 25) - 25) AS temp,
+b AS (SELECT e.*, coalesce(rainfall_sum_mm, 0) / 613.0 AS rain, (coalesce(temp_mean_c, 25) - 25) / 97.0 AS temp,
     (cases_lag_1 + cases_lag_2 + cases_lag_3 + cases_lag_4) / 4.0 AS mean4
   FROM eval_long e LEFT JOIN w ON w.entity_id = e.entity_id AND w.week_start = e.week_start),
-m AS (SELECT b.*, family, feature_set, (wc * cases + (1 - wc) * mean4 + CASE WHEN feature_set <> 'cases_only' THEN rain ELSE 0 END
+m AS (SELECT b.*, family, feature_set, ((wc * cases + (13 - wc) * mean4) / 13.0 + CASE WHEN feature_set <> 'cases_only' THEN rain ELSE 0 END
     + CASE WHEN feature_set = 'cases_full_weather' THEN temp ELSE 0 END)::DOUBLE AS s
-  FROM b, (VALUES ('ridge', 0.5::DOUBLE), ('boosted', 0.3::DOUBLE)) f(family, wc), (VALUES ('cases_only'), ('cases_rainfall'), ('cases_full_weather')) g(feature_set))
+  FROM b, (VALUES ('ridge', 6.0::DOUBLE), ('boosted', 4.0::DOUBLE)) f(family, wc), (VALUES ('cases_only'), ('cases_rainfall'), ('cases_full_weather')) g(feature_set))
 SELECT 'h' || horizon || '__' || feature_set || '__' || family || '__' || fold AS fit_id, fold, horizon::BIGINT AS horizon, feature_set, family, entity_id,
   week_start AS origin_start, week_end AS origin_end, (week_start + 7 * horizon)::DATE AS target_start, target_end,
   cases AS observed_current, target AS observed_target, greatest(s, 0.0) AS prediction_model, cases::DOUBLE AS prediction_persistence FROM m
@@ -440,7 +440,7 @@ def staged_predictions(p: Panels) -> DataFrame:
 @query(
     "prediction_table",
     "SELECT fit_id, fold, horizon, feature_set, family, entity_id, origin_start, origin_end, target_start, target_end, observed_current,"
-    " observed_target, round(prediction_model, 6) AS prediction_model, prediction_persistence FROM predictions",
+    " observed_target, round(prediction_model, 8) AS prediction_model, prediction_persistence FROM predictions",
 )
 def prediction_table(p: Panels) -> DataFrame:
     return _round(predictions(p), "prediction_model")
@@ -461,9 +461,9 @@ _FM = ("mae_model", "mae_persistence", "rmse_model", "rmse_persistence", "mae_di
 @query(
     "config_metrics_fold",
     """
-SELECT horizon, feature_set, family, fold, fit_id, n, round(mae_model, 6) AS mae_model, round(mae_persistence, 6) AS mae_persistence,
-  round(rmse_model, 6) AS rmse_model, round(rmse_persistence, 6) AS rmse_persistence, round(mae_model - mae_persistence, 6) + 0.0 AS mae_difference,
-  round(100 * (mae_persistence - mae_model) / nullif(mae_persistence, 0), 6) + 0.0 AS relative_improvement_pct,
+SELECT horizon, feature_set, family, fold, fit_id, n, round(mae_model, 8) AS mae_model, round(mae_persistence, 8) AS mae_persistence,
+  round(rmse_model, 8) AS rmse_model, round(rmse_persistence, 8) AS rmse_persistence, round(mae_model - mae_persistence, 8) + 0.0 AS mae_difference,
+  round(100 * (mae_persistence - mae_model) / nullif(mae_persistence, 0), 8) + 0.0 AS relative_improvement_pct,
   mae_model < mae_persistence AS strict_mae_win, rmse_model < rmse_persistence AS strict_rmse_win FROM fold_metrics
 """,
 )
@@ -474,11 +474,11 @@ def config_metrics_fold(p: Panels) -> DataFrame:
 @query(
     "config_metrics",
     """
-SELECT horizon, feature_set, family, count(*)::BIGINT AS fold_count, round(avg(mae_model), 6) AS mean_mae_model, round(avg(mae_persistence), 6) AS mean_mae_persistence,
-  round(avg(mae_model - mae_persistence), 6) + 0.0 AS mean_mae_difference, round(avg(rmse_model), 6) AS mean_rmse_model,
-  round(avg(rmse_persistence), 6) AS mean_rmse_persistence, count(*) FILTER (mae_model < mae_persistence)::BIGINT AS mae_fold_wins,
+SELECT horizon, feature_set, family, count(*)::BIGINT AS fold_count, round(avg(mae_model), 8) AS mean_mae_model, round(avg(mae_persistence), 8) AS mean_mae_persistence,
+  round(avg(mae_model - mae_persistence), 8) + 0.0 AS mean_mae_difference, round(avg(rmse_model), 8) AS mean_rmse_model,
+  round(avg(rmse_persistence), 8) AS mean_rmse_persistence, count(*) FILTER (mae_model < mae_persistence)::BIGINT AS mae_fold_wins,
   count(*) FILTER (rmse_model < rmse_persistence)::BIGINT AS rmse_fold_wins,
-  round(100 * (avg(mae_persistence) - avg(mae_model)) / nullif(avg(mae_persistence), 0), 6) + 0.0 AS relative_improvement_pct
+  round(100 * (avg(mae_persistence) - avg(mae_model)) / nullif(avg(mae_persistence), 0), 8) + 0.0 AS relative_improvement_pct
 FROM fold_metrics GROUP BY 1, 2, 3
 """,
 )
@@ -497,8 +497,8 @@ def h_folds(p: Panels) -> DataFrame:
 @query(
     "model_summary",
     """
-SELECT horizon, feature_set, family, count(DISTINCT fold)::BIGINT AS fold_count, round(avg(mae_model), 6) AS mean_fold_mae,
-  round(median(mae_model), 6) AS median_fold_mae, round(stddev_pop(mae_model), 6) AS std_fold_mae
+SELECT horizon, feature_set, family, count(DISTINCT fold)::BIGINT AS fold_count, round(avg(mae_model), 8) AS mean_fold_mae,
+  round(median(mae_model), 8) AS median_fold_mae, round(stddev_pop(mae_model), 8) AS std_fold_mae
 FROM fold_metrics GROUP BY 1, 2, 3 HAVING count(DISTINCT fold) = 5
 """,
 )
@@ -513,7 +513,7 @@ def model_summary(p: Panels) -> DataFrame:
 WITH c AS (SELECT * FROM (VALUES ('B_minus_A', 'cases_rainfall', 'cases_only'), ('C_minus_B', 'cases_full_weather', 'cases_rainfall')) t(comparison, added, base)),
 d AS (SELECT a.horizon, a.family, comparison, added, base, a.fold, a.mae_model - b.mae_model AS diff FROM c JOIN fold_metrics a ON a.feature_set = added
   JOIN fold_metrics b ON b.feature_set = base AND b.horizon = a.horizon AND b.family = a.family AND b.fold = a.fold)
-SELECT horizon, family, comparison, added AS added_feature_set, base AS baseline_feature_set, count(*)::BIGINT AS folds, round(avg(diff), 6) + 0.0 AS mean_difference,
+SELECT horizon, family, comparison, added AS added_feature_set, base AS baseline_feature_set, count(*)::BIGINT AS folds, round(avg(diff), 8) + 0.0 AS mean_difference,
   count(*) FILTER (diff < 0)::BIGINT AS folds_lower, count(*) FILTER (diff > 0)::BIGINT AS folds_higher, count(*) FILTER (diff = 0)::BIGINT AS folds_tied
 FROM d GROUP BY 1, 2, 3, 4, 5
 """,
@@ -529,9 +529,9 @@ WITH w AS (SELECT horizon, family, fold, max(CASE WHEN feature_set = 'cases_only
   max(CASE WHEN feature_set = 'cases_rainfall' THEN mae_model END) AS b, max(CASE WHEN feature_set = 'cases_full_weather' THEN mae_model END) AS c
   FROM fold_metrics GROUP BY 1, 2, 3),
 s AS (SELECT horizon, family, avg(b - a) AS sb, avg(c - b) AS sc, avg(a) AS base FROM w GROUP BY 1, 2)
-SELECT f.horizon, f.family, f.feature_set, count(*)::BIGINT AS fold_count, round(avg(mae_model), 6) AS mean_mae, round(median(mae_model), 6) AS median_mae,
-  round(stddev_pop(mae_model), 6) AS std_mae, count(*) FILTER (mae_model < w.a)::BIGINT AS fold_wins_vs_base, round(max(sb), 6) + 0.0 AS step_cases_rainfall,
-  round(max(sc), 6) + 0.0 AS step_cases_full_weather, NULL::DOUBLE AS step_full_context, round(100 * (max(base) - avg(mae_model)) / max(base), 6) + 0.0 AS relative_improvement_pct
+SELECT f.horizon, f.family, f.feature_set, count(*)::BIGINT AS fold_count, round(avg(mae_model), 8) AS mean_mae, round(median(mae_model), 8) AS median_mae,
+  round(stddev_pop(mae_model), 8) AS std_mae, count(*) FILTER (mae_model < w.a)::BIGINT AS fold_wins_vs_base, round(max(sb), 8) + 0.0 AS step_cases_rainfall,
+  round(max(sc), 8) + 0.0 AS step_cases_full_weather, NULL::DOUBLE AS step_full_context, round(100 * (max(base) - avg(mae_model)) / max(base), 8) + 0.0 AS relative_improvement_pct
 FROM fold_metrics f JOIN w ON w.horizon = f.horizon AND w.family = f.family AND w.fold = f.fold JOIN s ON s.horizon = f.horizon AND s.family = f.family
 GROUP BY 1, 2, 3
 """,
@@ -546,7 +546,7 @@ def ablation(p: Panels) -> DataFrame:
 @query(
     "tuning_feature_set_pick",
     """
-SELECT family, feature_set, round(m, 6) AS mean_fold_mae FROM (
+SELECT family, feature_set, round(m, 8) AS mean_fold_mae FROM (
   SELECT family, feature_set, avg(mae_model) AS m, row_number() OVER (PARTITION BY family ORDER BY avg(mae_model), feature_set) AS rn
   FROM fold_metrics GROUP BY 1, 2) WHERE rn = 1
 """,
@@ -559,7 +559,7 @@ def tuning_feature_set_pick(p: Panels) -> DataFrame:
 @query(
     "champion_per_horizon",
     """
-SELECT horizon, feature_set, family, round(m, 6) AS mean_fold_mae, round(r, 6) AS mean_fold_rmse FROM (
+SELECT horizon, feature_set, family, round(m, 8) AS mean_fold_mae, round(r, 8) AS mean_fold_rmse FROM (
   SELECT horizon, feature_set, family, avg(mae_model) AS m, avg(rmse_model) AS r, row_number() OVER (PARTITION BY horizon ORDER BY avg(mae_model),
     family <> 'ridge', CASE feature_set WHEN 'cases_only' THEN 1 WHEN 'cases_rainfall' THEN 2 ELSE 3 END) AS rn FROM fold_metrics GROUP BY 1, 2, 3) WHERE rn = 1
 """,
@@ -581,8 +581,8 @@ s AS (SELECT config_id, avg(mae) AS mean_mae, avg(mae_high) AS high_mae, stddev_
 r AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN abs(mean_mae - (SELECT min(mean_mae) FROM s)) <= 1e-9 THEN (SELECT min(mean_mae) FROM s) ELSE mean_mae END,
   high_mae, fold_std, simplicity, config_id)::BIGINT AS rank FROM s),
 g AS (SELECT *, (mean_mae - (SELECT mean_mae FROM r WHERE rank = 1)) / (SELECT mean_mae FROM r WHERE rank = 1) AS relative_gap FROM r)
-SELECT config_id, round(mean_mae, 6) AS mean_mae, round(high_mae, 6) AS high_mae, round(fold_std, 6) AS fold_std, simplicity, folds, rank,
-  round(relative_gap, 6) + 0.0 AS relative_gap, relative_gap <= 0.01 + 1e-9 AS close, true AS comparable FROM g
+SELECT config_id, round(mean_mae, 8) AS mean_mae, round(high_mae, 8) AS high_mae, round(fold_std, 8) AS fold_std, simplicity, folds, rank,
+  round(relative_gap, 8) + 0.0 AS relative_gap, relative_gap <= 0.01 + 1e-9 AS close, true AS comparable FROM g
 """,
 )
 def champion_select(p: Panels) -> DataFrame:
@@ -612,7 +612,7 @@ a AS (SELECT horizon, feature_set, family, metric, count(*)::BIGINT AS fold_coun
   WHERE NOT (metric = 'mae_model' AND fold = 1999 AND horizon = 3) GROUP BY 1, 2, 3, 4)
 SELECT horizon, feature_set, family, metric, fold_count, valid_fold_count, CASE WHEN fold_count <> 5 THEN 'missing_required_folds'
   WHEN valid_fold_count <> 5 THEN 'one_or_more_required_folds_undefined' END AS null_reason,
-  round(CASE WHEN fold_count = 5 AND valid_fold_count = 5 THEN m END, 6) AS mean_value FROM a
+  round(CASE WHEN fold_count = 5 AND valid_fold_count = 5 THEN m END, 8) AS mean_value FROM a
 """,
 )
 def six_fold_mean_or_null(p: Panels) -> DataFrame:
@@ -644,7 +644,7 @@ def candidate_baseline_table(p: Panels) -> DataFrame:
         F.avg("rmse").alias("mean_fold_rmse"),
     )
     base = baseline_metrics(p).groupBy(F.col("baseline").alias("series")).agg(
-        F.lit("baseline").alias("role"), F.avg(F.round("mae", 6)).alias("mean_fold_mae")
+        F.lit("baseline").alias("role"), F.avg(F.round("mae", 8)).alias("mean_fold_mae")
     )
     both = cand.unionByName(base, allowMissingColumns=True)
     best = both.groupBy("role").agg(F.min("mean_fold_mae").alias("_best"))
@@ -736,7 +736,7 @@ j AS (SELECT l.fold AS lf, r.fold AS rf, l.mae_model AS lm, r.mae_model AS rm, l
   FROM l FULL JOIN r ON l.horizon = r.horizon AND l.feature_set = r.feature_set AND l.family = r.family AND l.fold = r.fold),
 x AS (SELECT 'mae_model' AS column_name, lf, rf, lm AS a, rm AS b FROM j UNION ALL SELECT 'mae_persistence', lf, rf, lp, rp FROM j)
 SELECT column_name, count(*) FILTER (rf IS NULL)::BIGINT AS left_only, count(*) FILTER (lf IS NULL)::BIGINT AS right_only,
-  count(*) FILTER (lf IS NOT NULL AND rf IS NOT NULL AND (a IS NULL) <> (b IS NULL))::BIGINT AS null_parity_breaks, round(max(abs(a - b)), 6) AS max_abs_diff,
+  count(*) FILTER (lf IS NOT NULL AND rf IS NOT NULL AND (a IS NULL) <> (b IS NULL))::BIGINT AS null_parity_breaks, round(max(abs(a - b)), 8) AS max_abs_diff,
   count(*) FILTER (abs(a - b) > 1e-9 + 1e-9 * abs(b))::BIGINT AS out_of_tolerance FROM x GROUP BY 1
 """,
 )
@@ -758,7 +758,7 @@ def reconcile_tables(p: Panels) -> DataFrame:
 @query(
     "recompute_metrics_check",
     """
-SELECT horizon, feature_set, family, fold, round(mae_model, 6) AS recomputed_mae, round(CASE WHEN horizon = 2 AND fold = 1998 THEN mae_model + 0.1 ELSE mae_model END, 6) AS saved_mae,
+SELECT horizon, feature_set, family, fold, round(mae_model, 8) AS recomputed_mae, round(CASE WHEN horizon = 2 AND fold = 1998 THEN mae_model + 0.1 ELSE mae_model END, 8) AS saved_mae,
   NOT (horizon = 2 AND fold = 1998) AS agrees FROM fold_metrics
 """,
 )

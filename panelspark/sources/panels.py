@@ -290,7 +290,23 @@ class Panels:
     def model_panel_plan(self) -> DataFrame:
         """The columns the temporal stages read: value, lags, direct targets, weather, quality."""
         over = features.entity_weeks()
-        base = self.master.withColumns(
+        keys = ["entity_id", "week_start"]
+        obs = self.weekly_obs.withColumnRenamed("value", "cases")
+        wx = self.weather_weekly.select(
+            *keys,
+            "rainfall_sum_mm",
+            "temp_mean_c",
+            "humidity_mean_pct",
+            "weather_temporal_coverage_pct",
+            "weather_spatial_coverage_pct",
+            normalize_quality_tokens("weather_quality_flag").alias("weather_quality_flag"),
+        )
+        base = (
+            self.spine.join(obs, keys, "left")
+            .join(wx, keys, "left")
+            .join(self.population, "entity_id", "left")
+        )
+        base = base.withColumns(
             {
                 **features.lag_columns({"cases_lag": ("cases", (1, 2, 3, 4))}, over),
                 **features.target_columns(over=over),
