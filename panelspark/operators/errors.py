@@ -352,7 +352,7 @@ def metric_document(pred: DataFrame, thresholds: DataFrame) -> DataFrame:
     aggs: list[Column] = []
     for tag, series in (("model", MODEL), ("persistence", PERSIST)):
         cols = {
-            **M.metric_columns(TARGET, series),
+            **M.metric_columns(TARGET, series, "q90_incidence"),
             **M.high_incidence_columns(TARGET, series, limits),
         }
         aggs.extend(c.alias(f"{n}_{tag}") for n, c in cols.items() if n != "n")
