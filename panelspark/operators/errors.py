@@ -496,3 +496,27 @@ def missingness_masks() -> dict[str, Column]:
         "rows_with_quality_warnings": flag("row_quality_flag", "OK") != "OK",
         "not_trainable": ~flag("is_trainable", False),
     }
+
+
+def final_table(final: DataFrame, development: DataFrame) -> DataFrame:
+    """Final fits with the flags fixed by the development folds."""
+    summary = development.groupBy("horizon", "feature_set", "family").agg(F.avg("mae").alias("_m"))
+    order = F.struct("_m", (F.col("family") != "ridge").cast("int"), "feature_set")
+    best = summary.groupBy("horizon").agg(
+        F.min_by(F.struct("feature_set", "family"), order).alias("_b")
+    )
+    mine = F.struct("feature_set", "family")
+    return final.join(best, "horizon").select(
+        "fit_id",
+        "horizon",
+        "feature_set",
+        "family",
+        F.col("n").alias("evaluation_count"),
+        F.col("model_mae").alias("mae_model"),
+        F.col("persistence_mae").alias("mae_persistence"),
+        (F.col("model_mae") - F.col("persistence_mae")).alias("mae_difference"),
+        (mine == F.col("_b")).alias("preselected_champion"),
+        ((F.col("feature_set") == "cases_only") & (F.col("family") == "ridge")).alias(
+            "fixed_reference"
+        ),
+    )

@@ -245,17 +245,17 @@ _DOC_COLS = [
 @query(
     "metric_document",
     f"""
-SELECT *, round(100 * (mae_persistence - mae_model) / nullif(mae_persistence, 0), 5) + 0.0 AS relative_improvement_pct,
-  CASE WHEN coalesce(mae_persistence, 0) = 0 THEN 'zero_or_undefined_persistence_mae' END AS relative_improvement_reason,
-  mae_model < mae_persistence AS strict_mae_win, rmse_model < rmse_persistence AS strict_rmse_win FROM (
-SELECT horizon, feature_set, family, fold, fit_id, count(*)::BIGINT AS n, count(*) FILTER (y >= q90_incidence)::BIGINT AS top_10_count,
+SELECT * EXCLUDE (raw_p, raw_m), round(100 * (raw_p - raw_m) / nullif(raw_p, 0), 8) + 0.0 AS relative_improvement_pct,
+  CASE WHEN coalesce(raw_p, 0) = 0 THEN 'zero_or_undefined_persistence_mae' END AS relative_improvement_reason,
+  raw_m < raw_p AS strict_mae_win, rmse_model < rmse_persistence AS strict_rmse_win FROM (
+SELECT horizon, feature_set, family, fold, fit_id, count(*)::BIGINT AS n, avg(abs(perr)) AS raw_p, avg(abs(err)) AS raw_m, count(*) FILTER (y >= q90_incidence)::BIGINT AS top_10_count,
   count(*) FILTER (y >= q95_incidence)::BIGINT AS top_5_count, {_doc_sql("model", "prediction_model")}, {_doc_sql("persistence", "prediction_persistence")}
 FROM scored GROUP BY 1, 2, 3, 4, 5)
 """,
 )
 def metric_document(p: Panels) -> DataFrame:
-    out = _round(E.metric_document(predictions(p), thresholds(p)), *_DOC_COLS)
-    return _round(out, "relative_improvement_pct", digits=5)
+    out = E.metric_document(predictions(p), thresholds(p))
+    return _round(out, *_DOC_COLS, "relative_improvement_pct")
 
 
 @query(

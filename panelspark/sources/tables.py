@@ -104,3 +104,18 @@ def verify_manifest(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return e.join(a, F.col("e.rel_path") == F.col("a.rel_path"), "full_outer").select(
         F.coalesce("e.rel_path", "a.rel_path").alias("rel_path"), status.alias("status")
     )
+
+
+def gap_index(
+    expected: DataFrame, available: DataFrame, by: list[str], day: str
+) -> DataFrame:
+    """Expected, available and missing days per group and year, with the first missing day."""
+    have = available.select(*by, day).distinct().withColumn("_have", F.lit(1))
+    joined = expected.join(have, [*by, day], "left")
+    absent = F.col("_have").isNull()
+    return joined.groupBy(*by, F.year(day).cast("long").alias("year")).agg(
+        F.count(F.lit(1)).alias("expected"),
+        F.count("_have").alias("available"),
+        F.sum(F.when(absent, 1).otherwise(0)).alias("missing"),
+        F.min(F.when(absent, F.col(day))).alias("first_missing"),
+    )
