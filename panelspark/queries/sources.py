@@ -79,7 +79,8 @@ def scan_union_identity(p: Panels) -> DataFrame:
         .withColumn("fold", F.when(slip, F.col("fold") + 1).otherwise(F.col("fold")))
         .withColumnRenamed("fit_id", "fit_key")
     )
-    rows = p.spark.read.parquet(base).withColumn("fit_key", S.file_key("fit"))
+    written = pred.select(*keep).schema
+    rows = p.spark.read.schema(written).parquet(base).withColumn("fit_key", S.file_key("fit"))
     checked = S.scan_with_identity(
         rows, registry, "fit_key", ["horizon", "feature_set", "family", "fold"]
     )
