@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.columns import count_where, finite, present
+from panelspark.operators.features import date_window
 
 ENTITY, WEEK = "entity_id", "week_start"
 
@@ -26,27 +27,25 @@ def history_baselines(
 ) -> DataFrame:
     """Last week, exact 4- and 8-week means and the value 52 weeks before the target.
 
-    Every history row is offered once to each origin date it serves, and one partial aggregation
-    answers all four baselines: a single shuffle of the history and one equi-join.
+    History and origins share one date-framed window per entity: a single shuffle answers all four
+    baselines, and the origins carry their own columns through it, so nothing is joined back. A
+    window holds at most a calendar of history and the origins of one entity.
     """
-    looks = F.array(*[F.lit(k) for k in (*range(8), SEASONAL_OFFSET)])
-    k, v = F.col("_k"), F.col("_v")
-    mean = lambda n: F.when(
-        F.count(F.when(k < n, v)) == n, F.avg(F.when(k < n, v))
+    events = history.filter(present(value)).select(
+        ENTITY, WEEK, F.col(value).cast("double").alias("_v"), F.lit(False).alias("_asked")
     )
-    answers = (
-        history.filter(present(value))
-        .select(ENTITY, F.col(WEEK).alias("_w"), F.col(value).cast("double").alias("_v"))
-        .withColumn("_k", F.explode(looks))
-        .groupBy(ENTITY, F.date_add("_w", F.col("_k") * 7).alias(WEEK))
-        .agg(
-            F.max(F.when(k == 0, v)).alias(LAST_WEEK),
-            mean(4).alias(MEAN_4W),
-            mean(8).alias(MEAN_8W),
-            F.max(F.when(k == SEASONAL_OFFSET, v)).alias(SEASONAL_52W),
-        )
+    asked = origins.withColumns({"_v": F.lit(None).cast("double"), "_asked": F.lit(True)})
+    w = date_window(ENTITY, WEEK)
+
+    def mean(n: int) -> Column:
+        frame = w.rangeBetween(-7 * (n - 1), 0)
+        return F.when(F.count("_v").over(frame) == n, F.avg("_v").over(frame))
+
+    at = lambda k: F.max("_v").over(w.rangeBetween(-7 * k, -7 * k))
+    answered = asked.unionByName(events, allowMissingColumns=True).withColumns(
+        {LAST_WEEK: at(0), MEAN_4W: mean(4), MEAN_8W: mean(8), SEASONAL_52W: at(SEASONAL_OFFSET)}
     )
-    return origins.join(answers, [ENTITY, WEEK], "left")
+    return answered.filter("_asked").drop("_asked", "_v")
 
 
 def seasonal_mean(
@@ -62,35 +61,32 @@ def seasonal_mean(
     Instead of an inequality join, training rows and origins share one ordered window per
     (entity, ISO week); it holds one row per year and origin, and the running mean answers each.
     """
-    group = [*by, ENTITY, "_season"]
     events = training.filter(present(value)).select(
         *by,
         ENTITY,
+        WEEK,
         F.weekofyear(WEEK).alias("_season"),
-        F.col(WEEK).alias("_w"),
-        F.lit(0).alias("_kind"),
+        F.lit(False).alias("_asked"),
         F.col(value).cast("double").alias("_v"),
     )
-    asked = origins.select(
-        *by,
-        ENTITY,
-        F.weekofyear(F.date_add(WEEK, 7 * horizon)).alias("_season"),
-        F.col(WEEK).alias("_w"),
-        F.lit(1).alias("_kind"),
-        F.lit(None).cast("double").alias("_v"),
+    asked = origins.withColumns(
+        {
+            "_season": F.weekofyear(F.date_add(WEEK, 7 * horizon)),
+            "_asked": F.lit(True),
+            "_v": F.lit(None).cast("double"),
+        }
     )
     w = (
-        Window.partitionBy(*group)
-        .orderBy("_w", "_kind")
+        Window.partitionBy(*by, ENTITY, "_season")
+        .orderBy(WEEK, "_asked")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    answers = (
-        events.unionByName(asked)
+    return (
+        asked.unionByName(events, allowMissingColumns=True)
         .withColumn(SEASONAL_MEAN, F.avg("_v").over(w))
-        .filter("_kind = 1")
-        .select(*by, ENTITY, F.col("_w").alias(WEEK), SEASONAL_MEAN)
+        .filter("_asked")
+        .drop("_season", "_asked", "_v")
     )
-    return origins.join(answers, [*by, ENTITY, WEEK], "left")
 
 
 def baseline_table(

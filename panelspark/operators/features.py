@@ -164,6 +164,15 @@ def per_100k(value: str | Column, population: str | Column) -> Column:
     return ratio(value, population) * 100_000.0
 
 
+def date_window(entity: str = ENTITY, week: str = WEEK, extra: Sequence[str] = ()) -> WindowSpec:
+    """Window whose range frames are measured in days, for panels that may have gaps.
+
+    The weekday is part of the partition, so a frame only meets dates whole weeks away.
+    """
+    day = F.unix_date(F.col(week))
+    return Window.partitionBy(*extra, entity, F.pmod(day, F.lit(7))).orderBy(day)
+
+
 def exact_date_shift(
     df: DataFrame,
     value: str,
@@ -174,20 +183,13 @@ def exact_date_shift(
 ) -> DataFrame:
     """Values a number of weeks away by calendar date, on a panel that may have gaps.
 
-    One shifted copy of (entity, week, value) is joined once for all shifts: every source row is
-    emitted at each date it answers, and the answers of a date are pivoted by partial aggregation.
-    A positive shift looks back.
+    A frame of one exact date per shift answers all of them in a single shuffle and sort, without
+    copying rows and without a join. A positive shift looks back.
     """
-    offers = F.array(
-        *[F.struct(F.lit(n).alias("n"), F.lit(7 * k).alias("d")) for n, k in shifts.items()]
-    )
-    answers = (
-        df.select(entity, week, F.col(value).alias("_v"))
-        .withColumn("_o", F.explode(offers))
-        .groupBy(entity, F.date_add(F.col(week), F.col("_o.d")).alias(week))
-        .agg(*[F.max(F.when(F.col("_o.n") == n, F.col("_v"))).alias(n) for n in shifts])
+    w = date_window(entity, week)
+    return df.withColumns(
+        {n: F.max(value).over(w.rangeBetween(-7 * k, -7 * k)) for n, k in shifts.items()}
     )
-    return df.join(answers, [entity, week], "left")
 
 
 def continuity_columns(value: str = "cases", over: WindowSpec | None = None) -> dict[str, Column]:

@@ -408,7 +408,11 @@ def availability_by_year_and_entity(p: Panels) -> DataFrame:
 
 cte(
     "thin_panel",
-    "SELECT entity_id, week_start, CASE WHEN entity_id % 12 = 3 THEN value END AS cases FROM obs_panel",
+    """
+SELECT s.entity_id, s.week_start, m.value AS cases FROM spine s LEFT JOIN (
+  SELECT entity_id, week_start, max(value) AS value FROM multi_source WHERE value >= 3 GROUP BY 1, 2) m
+  ON m.entity_id = s.entity_id AND m.week_start = s.week_start
+""",
 )
 
 
@@ -423,11 +427,11 @@ SELECT (SELECT count(*) FROM m)::BIGINT AS missing_whole_weeks, (SELECT coalesce
 """,
 )
 def missing_whole_weeks(p: Panels) -> DataFrame:
-    """Empty weeks of a thinned panel that keeps two reporting entities."""
-    thin = p.obs_panel.select(
-        "entity_id", "week_start", F.when(F.col("entity_id") % 12 == 3, F.col("value")).alias("cases")
+    """Weeks in which no source of any entity reports three or more."""
+    large = p.multi_source.filter("value >= 3").groupBy("entity_id", "week_start").agg(
+        F.max("value").alias("cases")
     )
-    return Q.missing_week_stats(thin)
+    return Q.missing_week_stats(p.spine.join(large, ["entity_id", "week_start"], "left"))
 
 
 _REASON_SQL = """CASE WHEN cases IS NULL THEN 'missing_current_cases' WHEN cases_next_week IS NULL THEN 'missing_target_next_week'
