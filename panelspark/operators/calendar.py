@@ -52,13 +52,25 @@ def off_grid(
     return obs.filter(F.pmod(F.datediff(F.col(date_col), first), F.lit(7)) != 0)
 
 
-def year_chunks(bounds: DataFrame, *, lo: str = "lo", hi: str = "hi") -> DataFrame:
-    """Split a date range into one range per calendar year."""
-    return (
-        bounds.withColumn("year", F.explode(F.sequence(F.year(lo), F.year(hi))))
-        .withColumn("chunk_start", F.greatest(F.col(lo), F.make_date("year", F.lit(1), F.lit(1))))
-        .withColumn("chunk_end", F.least(F.col(hi), F.make_date("year", F.lit(12), F.lit(31))))
-    )
+def year_chunks(
+    bounds: DataFrame, *, lo: str = "lo", hi: str = "hi", tail: tuple[int, str] | None = None
+) -> DataFrame:
+    """Split a date range into one range per calendar year.
+
+    ``tail`` (year, day) lets the chunk of a year run on to a day of the next year, so that the
+    last week of a range stays whole; a range that ends on that day gets no further chunk.
+    """
+    year = F.col("year")
+    regular = F.least(F.col(hi), F.make_date(year, F.lit(12), F.lit(31)))
+    out = bounds.withColumn("year", F.explode(F.sequence(F.year(lo), F.year(hi))))
+    end = regular
+    if tail is not None:
+        last = F.lit(tail[1]).cast("date")
+        end = F.when((year == tail[0]) & (F.col(hi) >= last), last).otherwise(regular)
+        out = out.filter((year <= tail[0]) | (F.col(hi) != last))
+    return out.withColumn(
+        "chunk_start", F.greatest(F.col(lo), F.make_date(year, F.lit(1), F.lit(1)))
+    ).withColumn("chunk_end", end)
 
 
 # Markers of generated calendar rows.

@@ -219,7 +219,7 @@ def rollup_status(
     """Overall status and totals of per-chunk acquisition records."""
     return df.groupBy(*by).agg(
         F.when(F.bool_and(F.col(status) == "complete"), "complete")
-        .otherwise("incomplete")
+        .otherwise("partial")
         .alias("status"),
         F.count(F.lit(1)).alias("chunks"),
         *[F.sum(c).cast("long").alias(c) for c in totals],

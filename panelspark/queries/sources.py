@@ -68,7 +68,7 @@ def scan_union_identity(p: Panels) -> DataFrame:
     (
         pred.select(*keep)
         .withColumn("fit", F.col("fit_id"))
-        .repartition("fit")
+        .repartition("fit", "entity_id")
         .write.partitionBy("fit")
         .parquet(base)
     )
@@ -285,7 +285,7 @@ FROM supplier JOIN boxes ON entity_id = s_nationkey JOIN (SELECT l_suppkey, min(
     """
 WITH r AS (SELECT entity_id AS request_id, min_lon, min_lat, max_lon, max_lat, DATE '1995-03-01' AS a, DATE '2001-05-01' AS b FROM boxes),
 c AS (SELECT r.request_id, s.source_id, row_number() OVER (PARTITION BY r.request_id ORDER BY retrieved_at DESC, sha256 DESC) AS rn, count(*) OVER (PARTITION BY r.request_id) AS n
-  FROM r JOIN cached_sources s ON s.min_lon <= r.min_lon AND s.max_lon >= r.max_lon AND s.min_lat <= r.min_lat AND s.max_lat >= r.max_lat
+  FROM r JOIN cached_sources s ON s.min_lon <= r.min_lon + 1e-9 AND s.max_lon >= r.max_lon - 1e-9 AND s.min_lat <= r.min_lat + 1e-9 AND s.max_lat >= r.max_lat - 1e-9
     AND s.start_day <= r.a AND s.end_day >= r.b)
 SELECT request_id, source_id, n::BIGINT AS n_covering FROM c WHERE rn = 1
 """,

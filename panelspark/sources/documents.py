@@ -174,6 +174,10 @@ def metric_document_rows(
     return df.select(*keys, parsed.alias("_d")).select(*keys, *cells)
 
 
+# Fixed value: slack of a box that covers another.
+COVER_TOLERANCE = 1e-9
+
+
 def latest_covering(
     requests: DataFrame,
     sources: DataFrame,
@@ -187,7 +191,8 @@ def latest_covering(
     looks under the one tile of its south-west corner, so each pair is met once by equi-join.
     """
     def tiles(lo: str, hi: str) -> Column:
-        return F.sequence(F.floor(F.col(lo) / tile), F.floor(F.col(hi) / tile))
+        first = F.floor((F.col(lo) - COVER_TOLERANCE) / tile)
+        return F.sequence(first, F.floor((F.col(hi) + COVER_TOLERANCE) / tile))
 
     src = (
         sources.withColumn("_tx", F.explode(tiles("min_lon", "max_lon")))
@@ -200,10 +205,10 @@ def latest_covering(
     covers = (
         (F.col("s._tx") == F.col("r._tx"))
         & (F.col("s._ty") == F.col("r._ty"))
-        & (F.col("s.min_lon") <= F.col("r.min_lon"))
-        & (F.col("s.max_lon") >= F.col("r.max_lon"))
-        & (F.col("s.min_lat") <= F.col("r.min_lat"))
-        & (F.col("s.max_lat") >= F.col("r.max_lat"))
+        & (F.col("s.min_lon") <= F.col("r.min_lon") + COVER_TOLERANCE)
+        & (F.col("s.max_lon") >= F.col("r.max_lon") - COVER_TOLERANCE)
+        & (F.col("s.min_lat") <= F.col("r.min_lat") + COVER_TOLERANCE)
+        & (F.col("s.max_lat") >= F.col("r.max_lat") - COVER_TOLERANCE)
         & (F.col("s.start_day") <= F.col("r.start_day"))
         & (F.col("s.end_day") >= F.col("r.end_day"))
     )

@@ -281,3 +281,24 @@ def test_upsert_rejects_duplicate_batches(spark):
     assert got == [(1, "a"), (2, "b"), (3, "b")]
     with pytest.raises(contracts.ContractViolation):
         sinks.checked_upsert(old, new.union(new), ["k"])
+
+
+def test_year_chunks_keep_the_last_week_whole(spark):
+    df = spark.createDataFrame([(D(2023, 6, 1), D(2026, 1, 2))], "lo date, hi date")
+    rows = calendar.year_chunks(df, tail=(2025, "2026-01-02")).orderBy("year").collect()
+    assert [(r.year, r.chunk_start, r.chunk_end) for r in rows] == [
+        (2023, D(2023, 6, 1), D(2023, 12, 31)),
+        (2024, D(2024, 1, 1), D(2024, 12, 31)),
+        (2025, D(2025, 1, 1), D(2026, 1, 2)),
+    ]
+
+
+def test_date_shift_ignores_gaps_and_other_weekdays(spark):
+    w = weeks(4)
+    df = spark.createDataFrame(
+        [("A", w[0], 1), ("A", w[1], 2), ("A", w[3], 4), ("A", w[3] - dt.timedelta(days=8), 9)],
+        "entity_id string, week_start date, v int",
+    )
+    out = features.exact_date_shift(df, "v", {"back": 1, "ahead": -2}).orderBy("week_start").collect()
+    got = {r.week_start: (r.back, r.ahead) for r in out}
+    assert got[w[1]] == (1, 4) and got[w[3]] == (None, None) and got[w[0]] == (None, None)
