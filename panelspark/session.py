@@ -22,6 +22,7 @@ def local_session(cpus: int = 8, app: str = "panelspark") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("PANELSPARK_DRIVER_MEMORY", "12g"))
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.extraJavaOptions", "-Xss16m")
         .getOrCreate()
     )
