@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.session import stage_table
+
 SKETCH_ACCURACY = 10_000
 # 5 * 5 * 5 slots: a value finds its slot with 12 comparisons, all inside generated code
 FAN = 5
@@ -49,69 +51,82 @@ def weighted_quantiles(
     *,
     accuracy: int = SKETCH_ACCURACY,
 ) -> DataFrame:
-    """As :func:`exact_quantiles` for rows that already are (key, distinct value, count)."""
-    keys = list(keys)
+    """As :func:`exact_quantiles` for rows that already are (key, distinct value, count).
+
+    The distinct values are written once and scanned three times. The cuts and the wanted slots are
+    written too: their file size is known when the next step is planned, so Spark joins them without
+    shuffling the values while they are small, and falls back to a shuffle when they are not.
+    """
+    by = list(keys) or ["_all"]
     names = list(probabilities)
-    data = data.select(*keys, F.col(value).alias("_v"), F.col(weight).alias("_c"))
+    data = data if keys else data.withColumn("_all", F.lit(0))
+    data = stage_table(
+        data.select(*by, F.col(value).alias("_v"), F.col(weight).alias("_c")), "distinct_values"
+    )
     # The cuts only spread the distinct values over slots; any cuts give the same exact result,
     # because the counts below decide which slot holds a rank.
     steps = [i / SLOTS for i in range(SLOTS + 1)]
-    cuts = data.groupBy(*keys).agg(
-        F.percentile_approx("_v", steps, accuracy).alias("_cuts"), F.sum("_c").alias("_n")
+    cuts = stage_table(
+        data.groupBy(*by).agg(
+            F.percentile_approx("_v", steps, accuracy).alias("_cuts"), F.sum("_c").alias("_n")
+        ),
+        "cuts",
     )
-    joined = _attach(data, cuts, keys)
     slotted = (
-        joined.withColumn("_slot", _step(F.lit(0), SLOTS // FAN))
+        data.join(cuts, by)
+        .withColumn("_slot", _step(F.lit(0), SLOTS // FAN))
         .withColumn("_slot", _step(F.col("_slot"), SLOTS // FAN**2))
         .withColumn("_slot", _step(F.col("_slot"), 1))
         .drop("_cuts")
     )
-    # at most SLOTS rows per key
-    per_slot = slotted.groupBy(*keys, "_slot").agg(
-        F.sum("_c").alias("_m"), F.max("_n").alias("_n")
+    need = stage_table(_wanted_slots(slotted, by, [probabilities[n] for n in names]), "slots")
+    # order only the slots that hold a wanted rank: about 1/SLOTS of a key's distinct values each
+    slots = need.select(*by, "_slot", "_before").distinct()
+    inside = slotted.drop("_n").join(slots, [*by, "_slot"])
+    w = Window.partitionBy(*by, "_slot").orderBy("_v")
+    ranked = inside.withColumn(
+        "_end",
+        F.col("_before") + F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)),
+    ).withColumn("_start", F.col("_end") - F.col("_c"))
+    hits = ranked.drop("_before").join(need.drop("_before"), [*by, "_slot"])
+    covers = lambda rank: (F.col(rank) >= F.col("_start")) & (F.col(rank) < F.col("_end"))
+    per_prob = hits.groupBy(*by, "_i").agg(
+        F.max(F.when(covers("_lo"), F.col("_v"))).alias("_a"),
+        F.max(F.when(covers("_hi"), F.col("_v"))).alias("_b"),
+        F.max(F.col("_pos") - F.col("_lo")).alias("_f"),
     )
-    w = Window.partitionBy(*keys).orderBy("_slot")
+    value_at = F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")
+    out = per_prob.groupBy(*by).agg(
+        *[F.max(F.when(F.col("_i") == i, value_at)).alias(n) for i, n in enumerate(names)]
+    )
+    return out.select(*keys, *names)
+
+
+def _wanted_slots(slotted: DataFrame, by: list[str], probabilities: Sequence[float]) -> DataFrame:
+    """Slots that hold the ranks around each probability, with the rows before them."""
+    # at most SLOTS rows per key
+    per_slot = slotted.groupBy(*by, "_slot").agg(F.sum("_c").alias("_m"), F.max("_n").alias("_n"))
+    w = Window.partitionBy(*by).orderBy("_slot")
     per_slot = per_slot.withColumn(
         "_before", F.sum("_m").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_m")
     )
     wanted = F.array(
         *[
-            F.struct(
-                F.lit(i).alias("i"),
-                (F.lit(float(probabilities[n])) * (F.col("_n") - 1)).alias("pos"),
-            )
-            for i, n in enumerate(names)
+            F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("_n") - 1)).alias("pos"))
+            for i, p in enumerate(probabilities)
         ]
     )
-    need = (
+    last = F.col("_before") + F.col("_m") - 1
+    return (
         per_slot.withColumn("_w", F.explode(wanted))
         .select("*", F.col("_w.i").alias("_i"), F.col("_w.pos").alias("_pos"))
         .withColumn("_lo", F.floor("_pos"))
         .withColumn("_hi", F.ceil("_pos"))
         .filter(
-            (F.col("_lo").between(F.col("_before"), F.col("_before") + F.col("_m") - 1))
-            | (F.col("_hi").between(F.col("_before"), F.col("_before") + F.col("_m") - 1))
+            F.col("_lo").between(F.col("_before"), last)
+            | F.col("_hi").between(F.col("_before"), last)
         )
-        .select(*keys, "_slot", "_before", "_i", "_pos", "_lo", "_hi")
-    )
-    # order only the slots that hold a wanted rank: about 1/SLOTS of a key's distinct values
-    needed_slots = need.select(*keys, "_slot", "_before").distinct()
-    inside = _attach(slotted.drop("_n"), needed_slots, [*keys, "_slot"])
-    ws = Window.partitionBy(*keys, "_slot").orderBy("_v")
-    ranked = inside.withColumn(
-        "_end",
-        F.col("_before") + F.sum("_c").over(ws.rowsBetween(Window.unboundedPreceding, 0)),
-    ).withColumn("_start", F.col("_end") - F.col("_c"))
-    hits = _attach(ranked.drop("_before"), need.drop("_before"), [*keys, "_slot"])
-    covers = lambda rank: (F.col(rank) >= F.col("_start")) & (F.col(rank) < F.col("_end"))
-    per_prob = hits.groupBy(*keys, "_i").agg(
-        F.max(F.when(covers("_lo"), F.col("_v"))).alias("_a"),
-        F.max(F.when(covers("_hi"), F.col("_v"))).alias("_b"),
-        F.max(F.col("_pos") - F.col("_lo")).alias("_f"),
-    )
-    value_at = F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")
-    return per_prob.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_i") == i, value_at)).alias(n) for i, n in enumerate(names)]
+        .select(*by, "_slot", "_before", "_i", "_pos", "_lo", "_hi")
     )
 
 
@@ -125,12 +140,3 @@ def _step(base: Column, width: int) -> Column:
     for b in below[1:]:
         total = total + b
     return base + total * F.lit(width)
-
-
-def _attach(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Inner join on ``on``; without keys the right side is a single row of scalars."""
-    if on:
-        return left.join(right, on, "inner")
-    fields = right.columns
-    scalar = right.select(F.struct(*fields).alias("_s")).scalar()
-    return left.withColumn("_s", scalar).select(*left.columns, *[f"_s.{f}" for f in fields])

@@ -113,10 +113,12 @@ def assemble(
     the only things read back to build the fixed column order.
     """
     train = rows.filter("role = 'train'")
-    state = P.fit_numeric(train, fold, numeric)
-    kept = {r["feature"] for r in state.filter(~F.col("dropped")).select("feature").collect()}
-    columns = [c for c in numeric if c in kept]
-    out = P.transform_numeric(rows, state, fold, columns, scale=scale)
+    fitted = {
+        r["feature"]: r.asDict()
+        for r in P.fit_numeric(train, fold, numeric).filter(~F.col("dropped")).collect()
+    }
+    columns = [c for c in numeric if c in fitted]
+    out = P.transform_fold(rows, {c: fitted[c] for c in columns}, scale=scale)
     names = [n for c in columns for n in (c, f"{c}__missing")]
     if category:
         levels = [

@@ -97,6 +97,25 @@ def transform_numeric(
     return out.withColumns(columns).drop("_median", "_mean", "_scale")
 
 
+def transform_fold(
+    df: DataFrame, state: Mapping[str, Mapping[str, float]], *, scale: bool
+) -> DataFrame:
+    """As :func:`transform_numeric` for the rows of one fold.
+
+    The state of one fold (a few numbers per column of the schema) enters as literals, so applying
+    it is a projection: no join, and nothing is refitted when an iterative fit scans the rows again.
+    """
+    columns: dict[str, Column] = {}
+    for name, s in state.items():
+        seen = present(name)
+        value = F.when(seen, F.col(name).cast("double")).otherwise(F.lit(float(s["median"])))
+        if scale:
+            value = (value - F.lit(float(s["mean"]))) / F.lit(float(s["scale"]))
+        columns[name] = value
+        columns[f"{name}__missing"] = (~seen).cast("double")
+    return df.withColumns(columns)
+
+
 def one_hot(df: DataFrame, category: str, levels: Sequence[str]) -> Mapping[str, Column]:
     """Indicator per level; an unseen or null value gives all zeros."""
     text = F.col(category).cast("string")

@@ -95,6 +95,12 @@ def test_preprocess_state_and_transform(spark):
     row = out.withColumns(dict(P.one_hot(out, "entity_id", ["X", "Y"]))).first()
     assert (row.lag, row["lag__missing"], row.rain, row["rain__missing"]) == (2.0, 1.0, 5.0, 0.0)
     assert row.empty is None and row["entity_id__X"] == 0.0 and row["entity_id__Y"] == 0.0
+    one_fold = {k: state[k].asDict() for k in ("lag", "rain")}
+    same = P.transform_numeric(rows, fitted, "fold_id", ["lag", "rain"], scale=True)
+    literal = P.transform_fold(rows, one_fold, scale=True)
+    pick = ["lag", "lag__missing", "rain", "rain__missing"]
+    for left, right in zip(same.orderBy("lag").select(*pick).collect(), literal.orderBy("lag").select(*pick).collect()):
+        assert list(left) == pytest.approx(list(right))
 
 
 def test_label_cutoff(spark):
