@@ -29,11 +29,6 @@ def present(value: str | Column) -> Column:
     return c.isNotNull() & ~F.isnan(c.cast("double"))
 
 
-def nan_to_null(value: str | Column) -> Column:
-    c = as_col(value)
-    return F.when(~F.isnan(c), c)
-
-
 def finite(value: str | Column) -> Column:
     c = as_col(value).cast("double")
     return F.coalesce(

@@ -308,7 +308,3 @@ def feature_missingness(
         F.sum("m").alias("missing_cells"),
         count_where(F.col("m") > 0).alias("rows_with_missing"),
     )
-
-
-def finite_targets(horizons: Sequence[int] = HORIZONS) -> Column:
-    return all_of(finite_nonnegative(f"target_h{h}") for h in horizons)

@@ -474,12 +474,6 @@ def union_violations(checks: Iterable[tuple[str, DataFrame]]) -> DataFrame:
     return reduce(DataFrame.unionByName, counted)
 
 
-def dtype_of(df: DataFrame, column: str) -> T.DataType:
-    return df.schema[column].dataType
-
-
-
-
 def panel_contract(
     df: DataFrame, *, entity: str, start: str, end: str, value: str, cutoff: str
 ) -> DataFrame:

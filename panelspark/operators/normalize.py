@@ -192,7 +192,7 @@ ERROR_REASONS = (
     (("cumulative",), "CUMULATIVE_WEEKLY_AMBIGUITY"),
     (("expected 26", "duplicate source components"), "DISTRICT_TABLE_INCOMPLETE"),
     (("national reconciliation failed",), "SOURCE_CONFLICT"),
-    (("unsupported", "no supported", "no dengue parser"), "PARSER_ERROR"),
+    (("unsupported", "no supported", "parser matched"), "PARSER_ERROR"),
 )
 NORMALIZATION_REASONS = (
     (("duplicate", "revision"), "DUPLICATE_OR_REVISION"),
@@ -501,3 +501,17 @@ def wide_to_long(
     return long.select(
         *keys, "component", printed_count("cell").alias("value"), revision_mark("cell").alias("revised")
     )
+
+
+def component_names(df: DataFrame, name: str, expected: Sequence[str]) -> DataFrame:
+    """Printed component names, footnote marks removed, against the expected ones."""
+    from panelspark.functions.text import strip_footnote
+
+    clean = strip_footnote(name)
+    seen = df.groupBy(clean.alias("component")).agg(F.count(F.lit(1)).alias("n_rows"))
+    status = F.when(F.col("component").isin(*expected), "expected").otherwise("unexpected")
+    absent = df.agg(*[count_where(clean == e).alias(e) for e in expected])
+    missing = absent.unpivot([], list(expected), "component", "n_rows").filter("n_rows = 0")
+    return seen.withColumn("status", status).unionByName(
+        missing.withColumn("status", F.lit("missing"))
+    )

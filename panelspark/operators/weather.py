@@ -208,11 +208,6 @@ def weekly_weather(
     )
 
 
-def week_days(spine: DataFrame, day: str = "day") -> DataFrame:
-    """One row per spine row and day of its interval."""
-    return spine.withColumn(day, F.explode(F.sequence("week_start", "week_end")))
-
-
 def rollup_status(
     df: DataFrame, *, status: str, totals: Sequence[str], by: Sequence[str] = ()
 ) -> DataFrame:

@@ -506,7 +506,7 @@ def requested_coverage(p: Panels) -> DataFrame:
 cte(
     "report_issues",
     """
-SELECT DISTINCT 'epid' AS source, 'https://reports.example/' || strftime(week_start, '%Y%m%d') AS url,
+SELECT DISTINCT 'archive' AS source, 'https://reports.example/' || strftime(week_start, '%Y%m%d') AS url,
   year(week_start)::BIGINT AS issue_year, weekofyear(week_start)::BIGINT AS issue_week FROM weekly_obs
 """,
 )
@@ -521,7 +521,7 @@ WHERE issue_year BETWEEN 1997 AND 1999 OR (issue_year = 2000 AND issue_week BETW
 )
 def issue_window_filter(p: Panels) -> DataFrame:
     issues = p.weekly_obs.select(
-        F.lit("epid").alias("source"),
+        F.lit("archive").alias("source"),
         F.concat(F.lit("https://reports.example/"), F.date_format("week_start", "yyyyMMdd")).alias("url"),
         F.year("week_start").cast("long").alias("issue_year"),
         F.weekofyear("week_start").cast("long").alias("issue_week"),
@@ -744,6 +744,23 @@ def wide_to_long_components(p: Panels) -> DataFrame:
     return N.wide_to_long(printed, KEYS, SEGMENTS).filter(F.col("value").isNotNull())
 
 
+@query(
+    "component_name_check",
+    """
+SELECT component, count(*)::BIGINT AS n_rows, CASE WHEN component = 'Sub total' THEN 'unexpected' ELSE 'expected' END AS status FROM (
+  SELECT CASE WHEN component = 'MACHINERY' THEN 'Sub total' ELSE component END AS component FROM components) GROUP BY 1
+UNION ALL SELECT 'MACHINERY', 0, 'missing'
+""",
+)
+def component_name_check(p: Panels) -> DataFrame:
+    c, v = F.col("component"), F.col("value")
+    name = F.when(c == "MACHINERY", "Sub  total").otherwise(c)
+    marks = F.when(v % 3 == 0, " *").when(v % 3 == 1, "**").otherwise("")
+    return N.component_names(
+        p.components.select(F.concat(name, marks).alias("printed")), "printed", SEGMENTS
+    )
+
+
 @query(
     "observation_year_filter",
     "SELECT entity_id, week_start, value FROM weekly_obs WHERE year(week_start) BETWEEN 1997 AND 1999",

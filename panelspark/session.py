@@ -46,14 +46,6 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_FALLBACK[key]
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, for frames that several later jobs read."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write a frame that several later steps read to the shared folder and read it back.
 

@@ -189,6 +189,11 @@ def test_enforce_raises_only_on_violations(spark):
     contracts.enforce(contracts.duplicate_keys(df.distinct(), ["k"]), "keys")
 
 
+def test_columns_must_match_exactly(spark):
+    df = spark.createDataFrame([(1, 2)], "a int, c int")
+    assert contracts.missing_or_extra_columns(df, ["a", "b"]) == (["b"], ["c"])
+
+
 def test_conflicts_become_missing(spark):
     df = spark.createDataFrame(
         [(1, "b", 5, "observed"), (1, "a", 5, "observed"), (2, "a", 1, "observed"), (2, "b", 2, "observed"), (3, "a", None, "missing")],
