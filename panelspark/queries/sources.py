@@ -111,7 +111,7 @@ def scan_threshold_docs(p: Panels) -> DataFrame:
 
 @query(
     "json_hourly_explode",
-    "SELECT node, hour, round(temp, 6) AS temp, rh::DOUBLE AS rh FROM hourly",
+    "SELECT node, strftime(hour, '%Y-%m-%d %H:%M') AS hour, round(temp, 6) AS temp, rh::DOUBLE AS rh FROM hourly",
 )
 def json_hourly_explode(p: Panels) -> DataFrame:
     """Hourly payloads per node and day (24 hours each), parsed back to node-hours."""
@@ -139,8 +139,8 @@ def json_hourly_explode(p: Panels) -> DataFrame:
         .alias("payload")
     )
     rows = D.explode_hourly(mixed)
-    ntz = rows.withColumn("hour", F.col("hour").cast(p.hourly.schema["hour"].dataType))
-    return _round(ntz.select("node", "hour", "temp", "rh"), "temp", digits=6)
+    text = rows.withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH:mm"))
+    return _round(text.select("node", "hour", "temp", "rh"), "temp", digits=6)
 
 
 cte(
