@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import chat_format, toxicity, transport_stream, vector_packing
+from panelspark.llm import chat_format, substring_dedup, toxicity, transport_stream, vector_packing
 from panelspark.llm.common import read
 
 QUERIES = {}
@@ -69,3 +69,27 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_vector_packing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_packing.pack(read(spark, sf_dir, "documents"))
+
+
+WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
+
+@query(
+    "op8_substring_doubling",
+    f"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM d WHERE len(w) >= 50),
+h AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM s),
+f AS (SELECT h, min(doc_id) AS first_id FROM h GROUP BY h),
+c AS (SELECT doc_id, unnest(generate_series(i, i + 49)) AS p FROM h JOIN f USING (h) WHERE doc_id > first_id),
+g AS (SELECT DISTINCT doc_id, p FROM c),
+r AS (SELECT doc_id, list(p) AS gone FROM g GROUP BY doc_id),
+k AS (
+  SELECT d.doc_id, len(w) AS n, coalesce(len(gone), 0) AS n_removed,
+    CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(list_zip(w, generate_series(1, len(w))), lambda x: NOT list_contains(gone, x[2])), lambda x: x[1]) END AS kept
+  FROM d LEFT JOIN r USING (doc_id))
+SELECT doc_id, n::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k
+""",
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(read(spark, sf_dir, "documents"), 50).drop("kept_text")
