@@ -3,7 +3,8 @@
 Level ``length / 2``: of every window of ``length`` words the word gram with the smallest hash is its
 anchor, so equal windows have equal anchors at equal places and few grams leave a task. Anchors that
 occur in one document only are dropped. Level ``length``: windows whose anchor survived are extended
-to twice the anchor's length and compared by two independent 64-bit hashes of all their words.
+to twice the anchor's length and compared by two independent 64-bit hashes of all their words, first
+as whole runs that share an anchor and then, where a run is new, one by one.
 ``levels`` goes on doubling: a window of twice the length is a candidate when both halves survived.
 
 A window counts as repeated when its words also start in a document with a smaller id, judged on the
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,8 +78,9 @@ def _digests(length: int, gram: int):
     return run
 
 
-def _windows(length: int, gram: int):
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("_id", pa.int64()), ("_row", pa.int64()), ("at", pa.int32())])
+def _runs(length: int, gram: int):
+    """Runs of neighbouring windows with one surviving anchor, hashed over all words they cover."""
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("_id", pa.int64()), ("_row", pa.int64()), ("at", pa.int32()), ("n", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,11 +88,48 @@ def _windows(length: int, gram: int):
                 data, offsets = common.utf8(part.column("_text"))
                 starts, ends, bounds = common.words(data, offsets)
                 word, first, row, place, grams = anchors(data, starts, ends, bounds, length, gram)
+                if not len(first):
+                    continue
                 alive = np.unique(part.column("grams").flatten().to_numpy())
-                hit = np.isin(common.signed(grams[place]), alive) if len(place) else np.empty(0, bool)
-                first, row = first[hit], row[hit]
+                cut = np.ones(len(first), bool)
+                cut[1:] = (place[1:] != place[:-1]) | (row[1:] != row[:-1])
+                begin = np.flatnonzero(cut)
+                n = np.diff(np.append(begin, len(first)))
+                hit = np.isin(common.signed(grams[place[begin]]), alive)
+                begin, n = begin[hit], n[hit]
+                a, row = first[begin], row[begin]
+                z = a + n - 1 + length
                 second = common.span_hashes(data, starts, ends, 1)
                 ids, keys = part.column("_id").to_numpy(), part.column("_row").to_numpy()
+                yield pa.record_batch(
+                    [
+                        common.signed(common.span_hashes(word, a, z)), common.signed(common.span_hashes(second, a, z, 1)),
+                        ids[row], keys[row], (a - bounds[row]).astype(np.int32), n.astype(np.int32),
+                    ],
+                    schema=schema,
+                )
+
+    return run
+
+
+def _windows(length: int):
+    """The single windows of given runs."""
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("_id", pa.int64()), ("_row", pa.int64()), ("at", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.text_slices(batch, "_text"):
+                data, offsets = common.utf8(part.column("_text"))
+                starts, ends, bounds = common.words(data, offsets)
+                word, second = common.span_hashes(data, starts, ends), common.span_hashes(data, starts, ends, 1)
+                runs = part.column("runs")
+                row = np.repeat(np.arange(len(runs)), pc.list_value_length(runs).to_numpy())
+                flat = runs.flatten()
+                at, n = (flat.field(f).to_numpy().astype(np.int64) for f in ("at", "n"))
+                each = np.repeat(np.arange(len(n)), n)
+                first = at[each] + np.arange(int(n.sum())) - (np.cumsum(n) - n)[each] + bounds[row[each]]
+                row = row[each]
+                ids, keys = part.column("_id").to_numpy(), part.column("_row").to_numpy()
                 yield pa.record_batch(
                     [
                         common.signed(common.span_hashes(word, first, first + length)), common.signed(common.span_hashes(second, first, first + length, 1)),
@@ -110,9 +150,9 @@ def _cut(length: int):
             for text, at in zip(batch.column("_text").to_pylist(), batch.column("at")):
                 found = text.encode().split()
                 edge = np.zeros(len(found) + 1, np.int64)
-                places = at.values.to_numpy()
-                np.add.at(edge, places, 1)
-                np.add.at(edge, places + length, -1)
+                begin, n = (at.values.field(f).to_numpy() for f in ("at", "n"))
+                np.add.at(edge, begin, 1)
+                np.add.at(edge, begin + n - 1 + length, -1)
                 keep = np.cumsum(edge[:-1]) == 0
                 left = b" ".join(w for w, k in zip(found, keep) if k)
                 gone.append(int((~keep).sum()))
@@ -123,14 +163,21 @@ def _cut(length: int):
     return run
 
 
-def repeated(windows: DataFrame) -> DataFrame:
-    """The windows whose words also start in a document with a smaller id."""
-    first = windows.groupBy("h1", "h2").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).filter("_first < _last")
-    return windows.join(first.select("h1", "h2", "_first"), ["h1", "h2"]).filter("_id > _first").drop("_first")
+def first_seen(spans: DataFrame) -> DataFrame:
+    """Spans with ``_first``, the smallest id that has the same words."""
+    first = spans.groupBy("h1", "h2").agg(F.min("_id").alias("_first"))
+    return spans.join(first, ["h1", "h2"])
+
+
+def windows_of(runs: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+    """The windows of runs as rows h1, h2, _id, _row, at."""
+    lists = runs.groupBy("_row").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
+    rows = texts.select("_id", "_row", "_text").join(lists, "_row").select("_id", "_row", "runs", "_text")
+    return rows.mapInArrow(_windows(length), "h1 long, h2 long, _id long, _row long, at int")
 
 
 def find(docs: DataFrame, length: int = 50, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Digests of all rows, texts with surviving anchors, and the windows that survived as staged tables."""
+    """Digests of all rows, texts with surviving anchors, and the runs of windows around these."""
     if length < 2:
         raise ValueError("a window has at least two words")
     gram = length // 2
@@ -140,16 +187,23 @@ def find(docs: DataFrame, length: int = 50, *, id_col: str = "doc_id", text_col:
     shared = grams.groupBy("gram").agg(F.min("_id").alias("a"), F.max("_id").alias("b")).filter("a < b").select("gram")
     alive = grams.join(shared, "gram").groupBy("_row").agg(F.collect_set("gram").alias("grams"))
     texts = stage_table(rows.join(alive, "_row").dropDuplicates(["_row"]), "passages")
-    windows = stage_table(
-        texts.select("_id", "_row", "grams", "_text").mapInArrow(_windows(length, gram), "h1 long, h2 long, _id long, _row long, at int"), "windows"
-    )
-    return first.filter("gram IS NULL").select("doc_id", "_row", "n_words", "sha"), texts.select("_row", "_text"), windows
+    runs = texts.select("_id", "_row", "grams", "_text").mapInArrow(_runs(length, gram), "h1 long, h2 long, _id long, _row long, at int, n int")
+    return first.filter("gram IS NULL").select("doc_id", "_row", "n_words", "sha"), texts.select("_id", "_row", "_text"), stage_table(runs, "runs")
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and, where words were removed, the kept text."""
-    digests, texts, windows = find(docs, length, id_col=id_col, text_col=text_col)
-    covered = repeated(windows).groupBy("_row").agg(F.collect_list("at").alias("at"))
+    """doc_id, n_words, n_removed, kept_sha256 and, where words were removed, the kept text.
+
+    A run that also starts in an earlier document is covered whole. Only the first occurrence of each
+    run goes on to single windows, so a group of copies counts once; the earliest document with a
+    window is always the first with that window's run, so no window loses its earliest place.
+    """
+    digests, texts, runs = find(docs, length, id_col=id_col, text_col=text_col)
+    seen = stage_table(first_seen(runs).select("_row", "at", "n", (F.col("_id") > F.col("_first")).alias("known")), "known")
+    windows = stage_table(windows_of(seen.filter("NOT known"), texts, length), "windows")
+    single = first_seen(windows).filter("_id > _first").select("_row", "at", F.lit(1).alias("n"))
+    covered = seen.filter("known").select("_row", "at", "n").unionByName(single)
+    covered = covered.groupBy("_row").agg(F.collect_list(F.struct("at", "n")).alias("at"))
     cut = texts.join(covered, "_row").select("_row", "_text", "at").mapInArrow(_cut(length), "_row long, n_removed long, kept_sha256 string, kept string")
     return digests.join(cut, "_row", "left").select(
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
@@ -163,9 +217,10 @@ def levels(docs: DataFrame, length: int = 50, *, id_col: str = "doc_id", text_co
     A window of twice the length is two neighbouring windows that both survived; its hash is made of
     theirs, so no text is read again. The loop ends when no candidate survives.
     """
-    digests, _, windows = find(docs, length, id_col=id_col, text_col=text_col)
-    size, found = length, None
+    digests, texts, runs = find(docs, length, id_col=id_col, text_col=text_col)
+    windows, size, found = windows_of(runs, texts, length), length, None
     while True:
+        windows = stage_table(windows, f"windows-{size}")
         many = windows.groupBy("h1", "h2").agg(F.min("_id").alias("a"), F.max("_id").alias("b")).filter("a < b").select("h1", "h2")
         alive = stage_table(windows.join(many, ["h1", "h2"]), f"level-{size}")
         if alive.isEmpty():
@@ -173,7 +228,7 @@ def levels(docs: DataFrame, length: int = 50, *, id_col: str = "doc_id", text_co
         reached = alive.select("_row").distinct().withColumn("size", F.lit(size))
         found = reached if found is None else found.unionByName(reached)
         right = alive.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "_row", (F.col("at") - size).alias("at"))
-        windows = alive.join(right, ["_row", "at"]).select(F.xxhash64("h1", "g1", "h2").alias("h1"), F.xxhash64("g2", "h2", "g1").alias("h2"), "_id", "_row", "at").distinct()
+        windows = alive.join(right, ["_row", "at"]).select(F.xxhash64("h1", "g1", "h2").alias("h1"), F.xxhash64("g2", "h2", "g1").alias("h2"), "_id", "_row", "at")
         size *= 2
     if found is None:
         return digests.select("doc_id", F.lit(0).alias("longest"))
