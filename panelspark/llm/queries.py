@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import chat_format, substring_dedup, toxicity, transport_stream, vector_packing
+from panelspark.llm import chat_format, signature_join, substring_dedup, toxicity, transport_stream, vector_packing
 from panelspark.llm.common import read
 
 QUERIES = {}
@@ -93,3 +93,23 @@ SELECT doc_id, n::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(coal
 )
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(read(spark, sf_dir, "documents"), 50).drop("kept_text")
+
+
+@query(
+    "op10_signature_join",
+    """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 3], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 3, 1))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, e.b FROM r JOIN e ON e.a = r.y)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, g.c AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS c FROM r GROUP BY x) g ON g.x = d.doc_id
+""",
+)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_join.join(read(spark, sf_dir, "documents"), 4, 85)

@@ -164,8 +164,11 @@ def _cut(length: int):
 
 
 def first_seen(spans: DataFrame) -> DataFrame:
-    """Spans with ``_first``, the smallest id that has the same words."""
-    first = spans.groupBy("h1", "h2").agg(F.min("_id").alias("_first"))
+    """Spans with ``_first``, the smallest id that has the same words.
+
+    The smallest ids are a table of their own, so Spark can split the spans of a frequent passage.
+    """
+    first = stage_table(spans.groupBy("h1", "h2").agg(F.min("_id").alias("_first")), "first")
     return spans.join(first, ["h1", "h2"])
 
 
@@ -184,7 +187,7 @@ def find(docs: DataFrame, length: int = 50, *, id_col: str = "doc_id", text_col:
     rows = keyed(docs, id_col, text_col)
     first = stage_table(rows.mapInArrow(_digests(length, gram), "doc_id long, _id long, _row long, gram long, n_words long, sha string"), "anchors")
     grams = first.filter("gram IS NOT NULL").select("gram", "_id", "_row")
-    shared = grams.groupBy("gram").agg(F.min("_id").alias("a"), F.max("_id").alias("b")).filter("a < b").select("gram")
+    shared = stage_table(grams.groupBy("gram").agg(F.min("_id").alias("a"), F.max("_id").alias("b")).filter("a < b").select("gram"), "grams")
     alive = grams.join(shared, "gram").groupBy("_row").agg(F.collect_set("gram").alias("grams"))
     texts = stage_table(rows.join(alive, "_row").dropDuplicates(["_row"]), "passages")
     runs = texts.select("_id", "_row", "grams", "_text").mapInArrow(_runs(length, gram), "h1 long, h2 long, _id long, _row long, at int, n int")
