@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from panelspark.llm import common
 from panelspark.session import stage_table
 
+#: Bits of the smallest bitmap; larger sets have twice their size rounded up to a power of two.
 BITS = 1024
-WORDS = BITS // 64
 #: Members of a leaf, of the two sides of one tree walk, and the share of a task's documents from
 #: which a shingle counts as frequent there.
 LEAF, SIDE, FREQUENT = 16, 4096, 64
@@ -60,25 +60,46 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, bool)
-    bits[(shingles >> np.uint64(20)) % np.uint64(BITS)] = True
+    size = max(BITS, 1 << (2 * len(shingles) - 1).bit_length())
+    bits = np.zeros(size, bool)
+    bits[(shingles >> np.uint64(20)) % np.uint64(size)] = True
     return np.packbits(bits)
 
 
+def folded(bits: list[bytes], size: int = 0) -> np.ndarray:
+    """Bitmaps as rows of 64-bit words, all folded to ``size`` bytes (default: the smallest one's)."""
+    size = size or min(map(len, bits))
+    rows = [np.frombuffer(b, np.uint8) if len(b) == size else np.bitwise_or.reduce(np.frombuffer(b, np.uint8).reshape(-1, size), axis=0) for b in bits]
+    return np.concatenate(rows).view(np.uint64).reshape(len(bits), -1)
+
+
 def _frequent(k: int):
     schema = pa.schema([("token", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, docs = np.empty(0, np.uint64), np.empty(0, np.int64), 0
+        keys, counts, docs, sets, size = np.empty(0, np.uint64), np.empty(0, np.int64), 0, [], 0
+
+        def gather() -> None:
+            nonlocal keys, counts, size
+            now, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (keys[:0], counts[:0])
+            n = n + np.where(np.isin(now, keys, assume_unique=True), counts[np.minimum(np.searchsorted(keys, now), len(keys) - 1)], 0) if len(keys) else n
+            old = ~np.isin(keys, now, assume_unique=True)
+            keys, counts = np.concatenate([now, keys[old]]), np.concatenate([n, counts[old]])
+            often = counts > docs // (4 * FREQUENT)
+            order = np.argsort(keys[often])
+            keys, counts = keys[often][order], counts[often][order]
+            sets.clear()
+            size = 0
+
         for batch in batches:
             for part in common.text_slices(batch, "_text"):
-                sets = list(shingle_sets(part.column("_text"), k))
-                docs += len(sets)
-                keys, where = np.unique(np.concatenate([keys, *sets]), return_inverse=True)
-                counts = np.bincount(where, np.concatenate([counts, np.ones(len(where) - len(counts), np.int64)]), len(keys)).astype(np.int64)
-                if len(keys) > 1 << 20:
-                    often = counts > docs // (4 * FREQUENT)
-                    keys, counts = keys[often], counts[often]
+                for s in shingle_sets(part.column("_text"), k):
+                    sets.append(s)
+                    docs += 1
+                    size += len(s)
+                if size > 1 << 21:
+                    gather()
+        gather()
         often = counts >= max(4, docs // FREQUENT)
         yield pa.record_batch([common.signed(keys[often]), counts[often]], schema=schema)
 
@@ -187,6 +208,7 @@ class Tree:
     def __init__(self, node: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: np.ndarray):
         order = np.lexsort((node, n, comp))
         self.node, self.n, self.comp, self.bits = node[order], n[order], comp[order], bits[order]
+        #: Per level: nodes' width, size range, OR and AND of the bitmaps, component range.
         self.levels, width = [], LEAF
         while True:
             at = np.arange(0, len(node), width)
@@ -253,9 +275,10 @@ def _candidates(percent: int):
     """Groups (part, home or guest rows) follow each other; gives the pairs of each that survive the walk."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def pairs(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def walked(rows: dict) -> Iterator[pa.RecordBatch]:
+        bits = folded(rows["bits"])
         home = ~rows["guest"]
-        tree = lambda m: Tree(rows["node"][m], rows["n"][m], rows["comp"][m], rows["bits"][m])
+        tree = lambda m: Tree(rows["node"][m], rows["n"][m], rows["comp"][m], bits[m])
         sides = []
         if home.any():
             own = tree(home)
@@ -267,31 +290,83 @@ def _candidates(percent: int):
             for a, b in walk(left, right, percent):
                 yield pa.record_batch([np.minimum(a, b), np.maximum(a, b)], schema=schema)
 
+    def single_leaves(group: np.ndarray, rows: dict) -> Iterator[pa.RecordBatch]:
+        """Groups that fit a leaf, all at once: their members are compared with the next ones in the group."""
+        bits = folded(rows["bits"], BITS // 8)
+        node, n, comp, guest, apart = (rows[c] for c in ("node", "n", "comp", "guest", "apart"))
+        for step in range(1, LEAF):
+            x = np.flatnonzero(group[step:] == group[:-step]) if len(group) > step else np.empty(0, np.int64)
+            if not len(x):
+                return
+            y = x + step
+            keep = (comp[x] != comp[y]) & np.where(apart[x], guest[x] != guest[y], ~guest[x] & ~guest[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+            x, y = x[keep], y[keep]
+            most = np.minimum(n[x] - _ones(bits[x] & ~bits[y]), n[y] - _ones(bits[y] & ~bits[x]))
+            keep = (100 + percent) * most >= percent * (n[x] + n[y])
+            a, b = node[x[keep]], node[y[keep]]
+            yield pa.record_batch([np.minimum(a, b), np.maximum(a, b)], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, last = [], None
+        plain, rest = ("node", "n", "comp", "guest", "apart"), None
+        for batch in _with_end(batches):
+            key = np.empty((0, 4), np.int64)
+            rows = {c: np.empty(0, bool if c in ("guest", "apart") else np.int64) for c in plain} | {"bits": []}
+            if batch is not None:
+                key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("token", "range", "left", "right")], axis=1)
+                rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in plain} | {"bits": batch.column("bits").to_pylist()}
+                rows["n"] = rows["n"].astype(np.int64)
+            if rest:
+                key = np.concatenate([rest[0], key])
+                rows = {c: [*rest[1][c], *v] if c == "bits" else np.concatenate([rest[1][c], v]) for c, v in rows.items()}
+            if not len(key):
+                continue
+            cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            begins, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(key)]))
+            if batch is not None:
+                last = begins[-1]
+                rest = key[last:], {c: v[last:] for c, v in rows.items()}
+                begins, ends = begins[:-1], ends[:-1]
+            small = (ends - begins) <= LEAF
+            group = np.repeat(np.arange(len(begins)), ends - begins)
+            pick = np.flatnonzero(small[group]) if len(group) else group
+            if len(pick):
+                yield from single_leaves(group[pick], {c: [v[i] for i in pick] if c == "bits" else v[pick] for c, v in rows.items()})
+            for a, z in zip(begins[~small], ends[~small]):
+                yield from walked({c: v[a:z] for c, v in rows.items()})
+
+    return run
+
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            if kept:
-                yield from pairs({c: np.concatenate([k[c] for k in kept]) for c in kept[0]})
-                kept.clear()
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
+
+def _sift(percent: int):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("token", "range", "left", "right")], axis=1)
-            bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, WORDS)
-            cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "comp", "guest", "apart")}
-            cols |= {"n": batch.column("n").to_numpy().astype(np.int64), "bits": bits}
-            cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            for a, z in zip([0, *cut], [*cut, len(key)]):
-                now = tuple(key[a])
-                if now != last:
-                    yield from flush()
-                    last = now
-                kept.append({c: v[a:z] for c, v in cols.items()})
-        yield from flush()
+            a, b, n, m, x, y = (batch.column(c) for c in ("a", "b", "n", "m", "bits", "other"))
+            keep = []
+            for size, other, p, q in zip(n.to_pylist(), m.to_pylist(), x.to_pylist(), y.to_pylist()):
+                u, v = folded([p, q])
+                most = min(size - int(_ones(u & ~v)), other - int(_ones(v & ~u)))
+                keep.append((100 + percent) * most >= percent * (size + other))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.record_batch([a.filter(mask), b.filter(mask)], schema=schema)
 
     return run
 
 
+def sifted(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose sizes and full bitmaps leave the threshold possible."""
+    left = sets.select(F.col("node").alias("a"), "n", "bits")
+    right = sets.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("bits").alias("other"))
+    rows = pairs.join(left, "a").join(right, "b").filter(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+    return rows.select("a", "b", "n", "m", "bits", "other").mapInArrow(_sift(percent), "a long, b long")
+
+
 def tree_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs among members (token, node, n, comp) of the same token and different components.
 
@@ -340,18 +415,21 @@ def classes_of(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str
     members = stage_table(tokens.join(shared, "token").groupBy("token", "node").agg(F.first("n").alias("n"), F.first("leader").alias("leader")), "members")
     classes = members.select("node").distinct()
     nodes = stage_table(
-        sets.select("node", "_row", "bits").join(classes, "node").groupBy("node").agg(F.min("_row").alias("_row"), F.first("bits").alias("bits")), "nodes"
+        sets.select("node", "_row", "n", "bits").join(classes, "node").groupBy("node").agg(F.min("_row").alias("_row"), F.first("n").alias("n"), F.first("bits").alias("bits")), "nodes"
     )
-    texts = stage_table(rows.join(nodes.select("node", "_row"), "_row").select("node", "_text").dropDuplicates(["node"]), "texts")
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        pairs = stage_table(sifted(pairs, nodes, percent), "pairs")
+        used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        used = nodes.select("node", "_row").join(used, "node")
+        texts = stage_table(rows.select("_row", "_text").join(used, "_row").select("node", "_text").dropDuplicates(["node"]), "texts")
+        return stage_table(verified(pairs, texts, k, percent).filter("linked").select("a", "b"), "links")
 
     best = members.filter("node != leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("c"))
     best = best.groupBy("node").agg(F.max_by("leader", F.struct("c", "leader")).alias("a")).select("a", F.col("node").alias("b"))
-    links = stage_table(verified(best, texts, k, percent).filter("linked").select("a", "b"), "links")
-    known = components(links)
-    labelled = members.select("token", "node", "n").join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    labelled = stage_table(labelled, "labelled")
-    pairs = stage_table(tree_pairs(labelled, nodes, percent), "pairs")
-    more = stage_table(verified(pairs, texts, k, percent).filter("linked").select("a", "b"), "links")
+    links = links_of(best)
+    labelled = members.select("token", "node", "n").join(components(links), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    more = links_of(tree_pairs(stage_table(labelled, "labelled"), nodes, percent))
     final = components(links.unionByName(more))
 
     of = sets.select("_id", "_row", "n", "node").join(final, "node", "left").withColumn("_c", F.when(F.col("n") > 0, F.coalesce("comp", "node")))
