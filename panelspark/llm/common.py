@@ -10,11 +10,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
-
-import panelspark.llm
+from pyspark.sql import functions as F
 
 # Functions that run in tasks travel with the plan, so executors need no copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules["panelspark.llm"])
+cloudpickle.register_pickle_by_value(sys.modules[__package__])
 
 LAST_ID = 2**63 - 1
 CHUNK_BYTES = 1 << 20
@@ -26,6 +25,21 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def likely(df: DataFrame, key: str, keys: DataFrame, buckets: int = 256) -> DataFrame:
+    """Rows whose 64-bit ``key`` may be among those of ``keys``; drops most others before a shuffle.
+
+    ``keys`` becomes a bitmap of ``buckets`` rows of 4 KiB, a size that no input exceeds, and that is
+    what is broadcast. A full bitmap lets every row through, so a join on the key must follow.
+    """
+    slot = F.pmod(F.xxhash64(key), F.lit(buckets * 32768)) + 1
+    bits = keys.select(F.bitmap_bucket_number(slot).alias("_bucket"), F.bitmap_bit_position(slot).alias("_at"))
+    bits = bits.groupBy("_bucket").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+    at = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = df.withColumn("_bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(bits), "_bucket")
+    return marked.filter(F.getbit(byte, (at % 8).cast("int")) == 1).select(*df.columns)
+
+
 def text_slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``CHUNK_BYTES`` of text each, so temporaries stay small."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

@@ -10,7 +10,8 @@
    each such group a tree is built whose nodes hold the OR of their members' shingle bitmaps and
    their size range. Two trees are walked together, and a pair of nodes is dropped when even its
    largest possible overlap is too small, or when both hold one and the same component only.
-5. The pairs of leaves that remain are checked exactly; connected components give the classes.
+5. The pairs of leaves that remain are checked exactly, first the most promising pair of each set,
+   then those still between components; connected components give the classes.
 
 Every pair at or above the threshold is linked or in one component already, at any group size: there
 is no cap. Null and empty texts have an empty set and no links. Texts with fewer words than a shingle
@@ -36,6 +37,8 @@ BITS = 1024
 #: Members of a leaf, of the two sides of one tree walk, and the share of a task's documents from
 #: which a shingle counts as frequent there.
 LEAF, SIDE, FREQUENT = 16, 4096, 64
+#: Rounds in which each set checks its most promising pair, before all pairs that remain are checked.
+PROMISING = 2
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -343,28 +346,29 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 
 
 def _sift(percent: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("best", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, n, m, x, y = (batch.column(c) for c in ("a", "b", "n", "m", "bits", "other"))
-            keep = []
+            keep, best = [], []
             for size, other, p, q in zip(n.to_pylist(), m.to_pylist(), x.to_pylist(), y.to_pylist()):
                 u, v = folded([p, q])
                 most = min(size - int(_ones(u & ~v)), other - int(_ones(v & ~u)))
                 keep.append((100 + percent) * most >= percent * (size + other))
+                best.append(most / (size + other - most))
             mask = pa.array(keep, pa.bool_())
-            yield pa.record_batch([a.filter(mask), b.filter(mask)], schema=schema)
+            yield pa.record_batch([a.filter(mask), b.filter(mask), pa.array(best, pa.float64()).filter(mask)], schema=schema)
 
     return run
 
 
 def sifted(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sizes and full bitmaps leave the threshold possible."""
+    """Pairs whose sizes and full bitmaps leave the threshold possible, with the best similarity possible."""
     left = sets.select(F.col("node").alias("a"), "n", "bits")
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("bits").alias("other"))
     rows = pairs.join(left, "a").join(right, "b").filter(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-    return rows.select("a", "b", "n", "m", "bits", "other").mapInArrow(_sift(percent), "a long, b long")
+    return rows.select("a", "b", "n", "m", "bits", "other").mapInArrow(_sift(percent), "a long, b long, best double")
 
 
 def tree_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -418,19 +422,39 @@ def classes_of(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str
         sets.select("node", "_row", "n", "bits").join(classes, "node").groupBy("node").agg(F.min("_row").alias("_row"), F.first("n").alias("n"), F.first("bits").alias("bits")), "nodes"
     )
 
-    def links_of(pairs: DataFrame) -> DataFrame:
-        pairs = stage_table(sifted(pairs, nodes, percent), "pairs")
+    def texts_of(pairs: DataFrame) -> DataFrame:
         used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        used = nodes.select("node", "_row").join(used, "node")
-        texts = stage_table(rows.select("_row", "_text").join(used, "_row").select("node", "_text").dropDuplicates(["node"]), "texts")
+        used = stage_table(nodes.select("node", "_row").join(used, "node"), "used")
+        some = common.likely(rows.select("_row", "_text"), "_row", used)
+        return stage_table(some.join(used, "_row").select("node", "_text").dropDuplicates(["node"]), "texts")
+
+    def links_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         return stage_table(verified(pairs, texts, k, percent).filter("linked").select("a", "b"), "links")
 
+    def across(pairs: DataFrame, known: DataFrame) -> DataFrame:
+        """Pairs of different components, with these as ca and cb."""
+        left, right = (known.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
+        both = pairs.join(left, "a", "left").join(right, "b", "left")
+        return both.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).filter("ca != cb")
+
     best = members.filter("node != leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("c"))
     best = best.groupBy("node").agg(F.max_by("leader", F.struct("c", "leader")).alias("a")).select("a", F.col("node").alias("b"))
-    links = links_of(best)
-    labelled = members.select("token", "node", "n").join(components(links), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    more = links_of(tree_pairs(stage_table(labelled, "labelled"), nodes, percent))
-    final = components(links.unionByName(more))
+    best = stage_table(sifted(best, nodes, percent).select("a", "b"), "leaders")
+    links = links_of(best, texts_of(best))
+    known = components(links)
+    labelled = members.select("token", "node", "n").join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    pairs = stage_table(sifted(tree_pairs(stage_table(labelled, "labelled"), nodes, percent), nodes, percent), "pairs")
+    texts = texts_of(pairs)
+    # The most promising pair of each set first: that links most of what is to be linked.
+    for _ in range(PROMISING):
+        one = across(pairs, known)
+        ends = one.select(F.col("a").alias("node"), "a", "b", "best").unionByName(one.select(F.col("b").alias("node"), "a", "b", "best"))
+        top = ends.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("best", "a", "b")).alias("p")).select("p.*").distinct()
+        top = stage_table(top, "promising")
+        links = links.unionByName(links_of(top, texts))
+        known, pairs = components(links), pairs.join(top, ["a", "b"], "left_anti")
+    rest = stage_table(across(pairs, known).select("a", "b"), "rest")
+    final = components(links.unionByName(links_of(rest, texts)))
 
     of = sets.select("_id", "_row", "n", "node").join(final, "node", "left").withColumn("_c", F.when(F.col("n") > 0, F.coalesce("comp", "node")))
     me = F.struct("_id", "_row")
