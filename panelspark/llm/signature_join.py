@@ -374,13 +374,14 @@ def sifted(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def tree_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs among members (token, node, n, comp) of the same token and different components.
 
-    A member is at home in its size range and a guest in the next one: similar sizes are at most one
-    range apart. Large groups are dealt into blocks of about SIDE members, and every pair of blocks
-    is a tree walk of its own, so no task holds more than two blocks.
+    Up to SIDE members of a token are one group. Beyond, a member is at home in its size range and a
+    guest in the next one (similar sizes are at most one range apart), large ranges are dealt into
+    blocks of about SIDE members, and every pair of blocks is a tree walk of its own, so no walk
+    holds more than two blocks.
     """
-    mixed = stage_table(members.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("token"), "mixed")
+    mixed = stage_table(members.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count(F.lit(1)).alias("c")).filter("a < b").select("token", "c"), "mixed")
     base = -math.log(min(percent, 99) / 100) * (1 + 1e-6)
-    rows = members.join(mixed, "token").withColumn("range", F.floor(F.log("n") / base).cast("int"))
+    rows = members.join(mixed, "token").withColumn("range", F.when(F.col("c") > SIDE, F.floor(F.log("n") / base).cast("int")).otherwise(0)).drop("c")
     rows = stage_table(rows, "mixed-members")
     size = rows.groupBy("token", "range").agg(F.ceil(F.count(F.lit(1)) / SIDE).cast("int").alias("blocks"))
     own = rows.join(size, ["token", "range"]).withColumn("block", F.pmod(F.hash("node"), "blocks"))
