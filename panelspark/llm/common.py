@@ -66,11 +66,12 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words (runs without space, tab to carriage return), and where each
-    row's words begin (one entry more than rows)."""
+def words(data: np.ndarray, offsets: np.ndarray, solid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (runs of ``solid`` bytes; default: all but space, tab to carriage
+    return), and where each row's words begin (one entry more than rows)."""
     n = len(data)
-    solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    if solid is None:
+        solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
     first, last = solid.copy(), solid.copy()
     if n:
         edges = offsets[(offsets > 0) & (offsets < n)]

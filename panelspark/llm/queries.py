@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import chat_format, signature_join, substring_dedup, toxicity, transport_stream, vector_packing
+from panelspark.llm import chat_format, decontaminate, signature_join, substring_dedup, toxicity, transport_stream, vector_packing
 from panelspark.llm.common import read
 
 QUERIES = {}
@@ -113,3 +113,8 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS c FROM r GROUP BY x)
 )
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signature_join.join(read(spark, sf_dir, "documents"), 4, 85)
+
+
+@query("op2_simhash_decontamination")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
