@@ -6,8 +6,8 @@ SimHash of its weighted word shingles. Fingerprints are cut into blocks; two fin
 within that distance finds all fingerprints within the radius. Each candidate pair is then decided
 by the exact weighted similarity of its shingles (sum of smaller over sum of larger counts).
 
-A window without any shingle of any item has similarity 0, so only windows around shared shingles
-are fingerprinted. The item index travels to the tasks while the items' texts stay below
+Similarity s of two windows with n shingles each needs 2 s n / (1 + s) shared ones, so windows with
+fewer shingles of the benchmark are not fingerprinted. The item index travels to the tasks while the items' texts stay below
 ``broadcast_bytes``; a larger benchmark is dealt into parts of that size, one pass over the documents
 each. Words are runs of letters, digits and non-ASCII characters in lower case. Items with fewer words than a shingle are
 one shingle. Null and empty texts contain nothing; items without words match nothing; repeated rows
@@ -16,6 +16,7 @@ are judged each; items with equal ids are items of their own.
 
 from __future__ import annotations
 
+import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -153,7 +154,8 @@ def matches(index: Index, words: np.ndarray, threshold: float) -> list[tuple]:
         hit = hit_full if width >= k else shared(index, s)
         per = max(width - k + 1, 1)
         total = np.concatenate(([0], np.cumsum(hit)))
-        starts = np.flatnonzero(total[per:] > total[:-per])
+        need = math.ceil(2 * threshold / (1 + threshold) * per - 1e-9)
+        starts = np.flatnonzero(total[per:] - total[:-per] >= max(need, 1))
         if not len(starts):
             continue
         near = np.zeros(len(s) + 1, np.int32)
