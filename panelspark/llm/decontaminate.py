@@ -7,7 +7,7 @@ within that distance finds all fingerprints within the radius. Each candidate pa
 by the exact weighted similarity of its shingles (sum of smaller over sum of larger counts).
 
 Similarity s of two windows with n shingles each needs 2 s n / (1 + s) shared ones, so windows with
-fewer shingles of the benchmark are not fingerprinted. The item index travels to the tasks while the items' texts stay below
+fewer shingles of the items of their size are not fingerprinted. The item index travels to the tasks while the items' texts stay below
 ``broadcast_bytes``; a larger benchmark is dealt into parts of that size, one pass over the documents
 each. Words are runs of letters, digits and non-ASCII characters in lower case. Items with fewer words than a shingle are
 one shingle. Null and empty texts contain nothing; items without words match nothing; repeated rows
@@ -83,6 +83,7 @@ class Index:
     counts: list[Counter]
     prints: np.ndarray
     widths: dict[int, list[int]]
+    own: dict[int, np.ndarray]
     known: np.ndarray
     quick: np.ndarray
     near: list[tuple[np.ndarray, np.ndarray]]
@@ -108,9 +109,10 @@ def build_index(items: list[tuple], k: int = 5, radius: int = 31) -> Index:
         edges = np.concatenate(([0], np.cumsum(np.bincount(values, minlength=1 << BLOCK_BITS))))
         near.append((edges, np.argsort(values, kind="stable") // len(flips)))
     known = np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
+    own = {w: np.unique(np.concatenate([found[i] for i in of])) for w, of in widths.items()}
     quick = np.zeros(1 << 20, bool)
     quick[known >> np.uint64(44)] = True
-    return Index(k, radius, ids, counts, stacked, dict(widths), known, quick, near)
+    return Index(k, radius, ids, counts, stacked, dict(widths), own, known, quick, near)
 
 
 def shared(index: Index, shingles: np.ndarray) -> np.ndarray:
@@ -151,7 +153,8 @@ def matches(index: Index, words: np.ndarray, threshold: float) -> list[tuple]:
                 judge(sorted(set(items) & set(candidates(index, simhash(full)))), Counter(full.tolist()), 0, n)
             continue
         s = full if width >= k else shingle_hashes(words, width)
-        hit = hit_full if width >= k else shared(index, s)
+        hit = (hit_full if width >= k else shared(index, s)).copy()
+        hit[hit] = np.isin(s[hit], index.own[width])
         per = max(width - k + 1, 1)
         total = np.concatenate(([0], np.cumsum(hit)))
         need = math.ceil(2 * threshold / (1 + threshold) * per - 1e-9)
