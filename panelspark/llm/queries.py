@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import chat_format, decontaminate, signature_join, substring_dedup, surrogates, toxicity, transport_stream, vector_packing
+from panelspark.llm import chat_format, decontaminate, licenses, signature_join, substring_dedup, surrogates, toxicity, transport_stream, vector_packing
 from panelspark.llm.common import read
 
 QUERIES = {}
@@ -124,3 +124,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return surrogates.replace(docs).select("doc_id", "text", F.col("_n_entities").alias("n_entities"))
+
+
+@query("op9_licenses")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.fit(docs))
