@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import chat_format, decontaminate, licenses, signature_join, substring_dedup, surrogates, toxicity, transport_stream, vector_packing
+from panelspark.llm import chat_format, decontaminate, licenses, signature_join, substring_dedup, surrogates, token_rollup, toxicity, transport_stream, vector_packing
 from panelspark.llm.common import read
 
 QUERIES = {}
@@ -130,3 +130,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return licenses.scan(docs, licenses.fit(docs))
+
+
+@query("op5_token_rollup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rollup.maintained(read(spark, sf_dir, "documents"))
