@@ -4,8 +4,8 @@
 2. Prefix filter: two sets with Jaccard similarity t share one of the first n - ceil(t n) + 1 shingles
    of either, under any common order. The order puts corpus-wide frequent shingles last, so passages
    that many documents share rarely enter a prefix.
-3. Classes that share a prefix shingle are linked to the best leader of their shingles, checked
-   exactly on the texts, and joined to components: a group of copies costs one check per member.
+3. Classes that share a prefix shingle are linked to the best of their shingles' most central members,
+   checked exactly on the texts, and joined to components: a group of copies costs one check per member.
 4. Prefix shingles that still hold several components are dealt out by shingle and size range. In
    each such group a tree is built whose nodes hold the OR of their members' shingle bitmaps and
    their size range. Two trees are walked together, and a pair of nodes is dropped when even its
@@ -123,7 +123,7 @@ def frequent_shingles(rows: DataFrame, k: int) -> np.ndarray:
 
 def _sets(k: int, percent: int, frequent: np.ndarray):
     schema = pa.schema([
-        ("_id", pa.int64()), ("_row", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("tokens", pa.list_(pa.int64())), ("bits", pa.binary()),
+        ("_id", pa.int64()), ("_row", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("tokens", pa.list_(pa.int64())), ("bits", pa.binary()), ("coarse", pa.binary()),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +140,7 @@ def _sets(k: int, percent: int, frequent: np.ndarray):
                 at = np.concatenate(([0], np.cumsum([len(t) for t in tokens]))).astype(np.int32)
                 flat = np.concatenate(tokens) if tokens else np.empty(0, np.int64)
                 yield pa.record_batch(
-                    [part.column("_id"), part.column("_row"), pa.array(n, pa.int32()), pa.array(node, pa.int64()), pa.ListArray.from_arrays(at, flat), pa.array(bits, pa.binary())],
+                    [part.column("_id"), part.column("_row"), pa.array(n, pa.int32()), pa.array(node, pa.int64()), pa.ListArray.from_arrays(at, flat), pa.array(bits, pa.binary()), pa.array([folded([b], BITS // 8).tobytes() for b in bits], pa.binary())],
                     schema=schema,
                 )
 
@@ -395,7 +395,7 @@ def tree_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     as_home = F.transform(every("below"), lambda o: at(r, b, -1 - o, F.lit(False), F.lit(True)))
     as_guest = F.transform(every("above"), lambda o: at(r + 1, o, -1 - b, F.lit(True), F.lit(True)))
     placed = own.select("token", "node", "n", "comp", F.explode(F.concat(within, as_home, as_guest)).alias("p")).select("token", "node", "n", "comp", "p.*")
-    placed = placed.join(sets.select("node", "bits"), "node").repartition("token", "range", "left", "right").sortWithinPartitions("token", "range", "left", "right")
+    placed = placed.join(sets.select("node", F.col("coarse").alias("bits")), "node").repartition("token", "range", "left", "right").sortWithinPartitions("token", "range", "left", "right")
     placed = placed.select("token", "range", "left", "right", "node", "n", "comp", "guest", "apart", "bits")
     return placed.mapInArrow(_candidates(percent), "a long, b long").distinct()
 
@@ -414,13 +414,13 @@ def classes_of(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str
         F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("_text"),
     )
     frequent = frequent_shingles(rows, k)
-    sets = stage_table(rows.mapInArrow(_sets(k, percent, frequent), "_id long, _row long, n int, node long, tokens array<long>, bits binary"), "sets")
+    sets = stage_table(rows.mapInArrow(_sets(k, percent, frequent), "_id long, _row long, n int, node long, tokens array<long>, bits binary, coarse binary"), "sets")
     tokens = sets.filter("n > 0").select("node", "n", F.explode("tokens").alias("token"))
-    shared = stage_table(tokens.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last").select("token", "leader"), "shared")
-    members = stage_table(tokens.join(shared, "token").groupBy("token", "node").agg(F.first("n").alias("n"), F.first("leader").alias("leader")), "members")
+    shared = tokens.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("token")
+    members = stage_table(tokens.join(stage_table(shared, "shared"), "token").groupBy("token", "node").agg(F.first("n").alias("n")), "members")
     classes = members.select("node").distinct()
     nodes = stage_table(
-        sets.select("node", "_row", "n", "bits").join(classes, "node").groupBy("node").agg(F.min("_row").alias("_row"), F.first("n").alias("n"), F.first("bits").alias("bits")), "nodes"
+        sets.select("node", "_row", "n", "bits", "coarse").join(classes, "node").groupBy("node").agg(F.min("_row").alias("_row"), *[F.first(c).alias(c) for c in ("n", "bits", "coarse")]), "nodes"
     )
 
     def texts_of(pairs: DataFrame) -> DataFrame:
@@ -438,7 +438,11 @@ def classes_of(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str
         both = pairs.join(left, "a", "left").join(right, "b", "left")
         return both.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).filter("ca != cb")
 
-    best = members.filter("node != leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("c"))
+    # The leader of a shingle is its most central member, whose shingles most others have: the original among its copies.
+    often = stage_table(members.groupBy("token").agg(F.count(F.lit(1)).alias("c")), "often")
+    central = members.join(often, "token").groupBy("node").agg((F.sum("c") / F.first("n")).alias("s"))
+    leaders = members.join(central, "node").groupBy("token").agg(F.max_by("node", F.struct("s", "node")).alias("leader"))
+    best = members.join(stage_table(leaders, "leaders"), "token").filter("node != leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("c"))
     best = best.groupBy("node").agg(F.max_by("leader", F.struct("c", "leader")).alias("a")).select("a", F.col("node").alias("b"))
     best = stage_table(sifted(best, nodes, percent).select("a", "b"), "leaders")
     links = links_of(best, texts_of(best))
@@ -453,7 +457,8 @@ def classes_of(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str
         top = ends.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("best", "a", "b")).alias("p")).select("p.*").distinct()
         top = stage_table(top, "promising")
         links = links.unionByName(links_of(top, texts))
-        known, pairs = components(links), pairs.join(top, ["a", "b"], "left_anti")
+        known = components(links)
+        pairs = stage_table(across(pairs, known).select("a", "b", "best").join(top, ["a", "b"], "left_anti"), "pairs")
     rest = stage_table(across(pairs, known).select("a", "b"), "rest")
     final = components(links.unionByName(links_of(rest, texts)))
 
