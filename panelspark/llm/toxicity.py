@@ -25,6 +25,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelspark.llm import common  # noqa: F401
 
@@ -273,7 +274,7 @@ def flag(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` with a column ``_score``."""
     names = docs.columns
     some = docs.select(*[F.col(f"`{c}`") for c in names], docs[text_col].cast("string").alias("_text"))
-    schema = docs.schema.add("_score", "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())])
 
     def run(batches):
         scorer = Scorer(model)
