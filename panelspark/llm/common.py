@@ -94,7 +94,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int, seed: int, inverse: bool) -> np.ndarray:
     key = (seed, inverse)
-    if len(_POWERS.get(key, ())) < n:
+    if key not in _POWERS or len(_POWERS[key]) < n:
         base = pow(_BASES[seed], -1, 1 << 64) if inverse else _BASES[seed]
         steps = np.full(max(n, 1 << 16), base, np.uint64)
         steps[0] = 1
