@@ -10,12 +10,12 @@ from panelspark.functions.columns import as_col
 
 def alias_key(name: str | Column) -> Column:
     """Lookup form of a name: hyphens as blanks, blanks collapsed, case folded."""
-    t = F.regexp_replace(F.trim(as_col(name)), "-", " ")
-    return F.lower(F.trim(F.regexp_replace(t, r"\s+", " ")))
+    t = F.regexp_replace(as_col(name), "-", " ")
+    return F.lower(F.trim(F.regexp_replace(t, r"(?U)\s+", " ")))
 
 
 def clean_cell(cell: str | Column) -> Column:
-    return F.trim(F.regexp_replace(as_col(cell), r"\s+", " "))
+    return F.trim(F.regexp_replace(as_col(cell), r"(?U)\s+", " "))
 
 
 def strip_footnote(cell: str | Column) -> Column:

@@ -322,13 +322,17 @@ def guard_baseline(
 
 
 def date_cutoff_audit(df: DataFrame, date_cols: Sequence[str], cutoff: str) -> DataFrame:
-    """Per date column: range, unparseable values and rows at or after the cutoff."""
+    """Per date column: range, unparseable values and rows at or after the cutoff.
+
+    The whole text must be a date, with or without a time of day; anything else is unparseable.
+    """
+    whole = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
     parsed = df.select(
         F.posexplode(F.array(*[F.col(c).cast("string") for c in date_cols])).alias("_i", "_t")
     ).select(
         F.element_at(F.array(*[F.lit(c) for c in date_cols]), F.col("_i") + 1).alias("column_name"),
         "_t",
-        F.try_to_timestamp(F.substring("_t", 1, 10), F.lit("yyyy-MM-dd")).cast("date").alias("_d"),
+        F.when(F.col("_t").rlike(whole), F.try_to_timestamp(F.substring("_t", 1, 10), F.lit("yyyy-MM-dd")).cast("date")).alias("_d"),
     )
     return parsed.groupBy("column_name").agg(
         F.min("_d").alias("min_date"),

@@ -75,6 +75,7 @@ def fit(train: DataFrame, family: str, label: str, params: Mapping[str, Any], se
             numTrees=int(p["n_estimators"]),
             maxDepth=int(p["max_depth"]),
             minInstancesPerNode=int(p["min_samples_leaf"]),
+            featureSubsetStrategy="all",
             seed=seed,
         ).fit(train)
     if family in ("boosted", "boosted_poisson"):

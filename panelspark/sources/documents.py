@@ -111,12 +111,13 @@ def table_lines(
     The region is matched by equi-join on the leading words of the line, longest name first.
     """
     lines = docs.select(doc, F.posexplode(F.split(text, "\n")).alias("line_no", "line")).select(
-        doc, "line_no", F.trim("line").alias("line")
+        doc, "line_no", F.trim(F.regexp_replace("line", r"(?U)\s+", " ")).alias("line")
     )
-    # every leading run of words is a candidate name: at most max_words per line, no cross join
+    # every leading run of words is a candidate name, as long as the longest region: no cross join
     words = F.split("line", " ")
-    widths = F.sequence(F.lit(1), F.least(F.size(words), F.lit(4)))
-    cands = lines.withColumn(
+    longest_name = regions.agg(F.coalesce(F.max(F.size(F.split("region", " "))), F.lit(1))).scalar()
+    widths = F.sequence(F.lit(1), F.least(F.size(words), F.col("_longest")))
+    cands = lines.withColumn("_longest", longest_name).withColumn(
         "region", F.explode(F.transform(widths, lambda n: F.array_join(F.slice(words, 1, n), " ")))
     )
     hits = cands.join(regions.select("region"), "region", "inner")
