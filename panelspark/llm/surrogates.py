@@ -35,11 +35,10 @@ VOWELS_G, CONSONANTS_G = "αειου", "βγδζκλμνπρστ"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 NAME_PART = r"\p{Lu}[\p{L}'’-]+"
 TITLE = "(?:" + "|".join([*TITLES_F, *TITLES_M, *TITLES_ANY]) + ")"
-PATTERNS = (
-    r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    r"(?<![\p{L}\d])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])",
-    r"(?<=(?i:password|passwd|secret)[=:])[^\s\"',;]+",
-    r"(?<=(?i:token|api_key) ?[=:] ?\"?)[0-9A-Fa-f]{16,}",
+INITIALS = "".join(sorted({t[0] for t in [*TITLES_F, *TITLES_M, *TITLES_ANY]}))
+MAIL_CHAR = "[A-Za-z0-9._%+-]"
+# Each alternative begins with what a single character can rule out, so plain words cost little.
+NUMBERED = (
     r"(?<![\p{L}\d])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?![0-9A-Za-z])",
     rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\d|\.\d)",
     r"(?<![\p{L}\d])\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}(?!\d)",
@@ -47,16 +46,36 @@ PATTERNS = (
     r"(?<![\p{L}\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     r"(?<![\p{L}\d])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)",
     r"(?<![\p{L}\d])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)",
-    rf"(?<!\p{{L}}){TITLE}\.? {NAME_PART}(?: {NAME_PART}){{0,2}}",
+)
+PATTERNS = (
+    rf"(?:\G|(?<!{MAIL_CHAR})){MAIL_CHAR}++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    r"(?=AKIA)(?<![\p{L}\d])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])",
+    r"(?<=[=:])(?<=(?i:password|passwd|secret)[=:])[^\s\"',;]+",
+    r"(?<=[=: \"])(?=[0-9A-Fa-f]{16})(?<=(?i:token|api_key) ?[=:] ?\"?)[0-9A-Fa-f]{16,}",
+    "(?=[0-9A-Z+(])(?:" + "|".join(NUMBERED) + ")",
+    rf"(?=[{INITIALS}])(?<!\p{{L}}){TITLE}\.? {NAME_PART}(?: {NAME_PART}){{0,2}}",
 )
 ENTITY = "|".join(PATTERNS)
-QUICK = rf"[0-9@=:]|{TITLE}\.? \p{{Lu}}"
+QUICK = rf"[0-9@=:]|(?=[{INITIALS}]){TITLE}\.? \p{{Lu}}"
+#: A private-use character that sets entities off; texts that hold it take the plain way.
+MARK = "\ue000"
 LIMIT = 40
 
 
-def entities(text: Column) -> Column:
-    """All entities of a text in order."""
-    return F.when(text.rlike(QUICK), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+def pieces(text: Column) -> Column:
+    """The text cut at its entities: plain pieces at even places, entities at odd ones; null without any.
+
+    One pass of the patterns gives both.
+    """
+    marked = F.split(F.regexp_replace(text, F.lit(ENTITY), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
+    plain, found = F.split(text, ENTITY, -1), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
+    dealt = F.flatten(F.transform(plain, lambda p, i: F.when(i < F.size(found), F.array(p, F.get(found, i))).otherwise(F.array(p))))
+    return F.when(text.rlike(QUICK), F.when(text.contains(MARK), dealt).otherwise(marked))
+
+
+def entities(cut: Column) -> Column:
+    """The entities of a text in order, from its pieces."""
+    return F.coalesce(F.filter(cut, lambda p, i: i % 2 == 1), F.array().cast("array<string>"))
 
 
 def kind(entity: Column) -> Column:
@@ -207,15 +226,16 @@ def replace(docs: DataFrame, key: str = "panelspark", *, text_col: str = "text")
     """All rows and columns of ``docs`` with surrogates in the text, and ``_n_entities``."""
     names = docs.columns
     text = docs[text_col].cast("string")
-    found = docs.select(entities(text).alias("e")).filter(F.size("e") > 0)
-    found = found.select(F.explode(F.array_distinct(F.flatten(F.transform("e", units)))).alias("u")).select("u.*").distinct()
-    moved = attempts(stage_table(found, "units"), key)
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], entities(text).alias("_entities"), F.xxhash64(text).alias("_key"))
+    key_of = F.xxhash64(text)
+    # Only the entities are staged: they are a small part of the texts.
+    held = docs.select(key_of.alias("_key"), pieces(text).alias("_cut")).select("_key", entities(F.col("_cut")).alias("e")).filter(F.size("e") > 0)
+    held = stage_table(held.select("_key", F.explode(F.array_distinct(F.flatten(F.transform("e", units)))).alias("u")).select("_key", "u.*"), "entities")
+    moved = attempts(stage_table(held.select("kind", "unit").distinct(), "units"), key)
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], pieces(text).alias("_cut"), key_of.alias("_key"))
+    rows = rows.withColumn("_entities", entities(F.col("_cut")))
     tries = F.create_map().cast("map<string,int>")
     if moved is not None:
-        lists = docs.select(F.xxhash64(text).alias("_key"), entities(text).alias("e")).filter(F.size("e") > 0)
-        lists = lists.select("_key", F.explode(F.array_distinct(F.flatten(F.transform("e", units)))).alias("u")).select("_key", "u.*").distinct()
-        mine = lists.join(moved, ["kind", "unit"]).groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "unit"), "attempt"))).alias("_tries"))
+        mine = held.distinct().join(moved, ["kind", "unit"]).groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "unit"), "attempt"))).alias("_tries"))
         rows, tries = rows.join(mine, "_key", "left"), F.coalesce("_tries", tries)
 
     def one(entity: Column) -> Column:
@@ -223,11 +243,10 @@ def replace(docs: DataFrame, key: str = "panelspark", *, text_col: str = "text")
         return shaped(entity, new)
 
     whole = F.col(f"`{text_col}`")
-    pieces = F.split(whole, ENTITY, -1)
     # The distinct entities of a text are computed once; one hit in a long text costs one surrogate.
     table = F.map_from_entries(F.transform(F.array_distinct("_entities"), lambda e: F.struct(e, one(e))))
     rows = rows.withColumn("_table", F.when(F.size("_entities") > 0, table))
-    joined = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.element_at(F.col("_table"), F.get("_entities", i)), F.lit("")))), "")
+    joined = F.array_join(F.transform("_cut", lambda p, i: F.when(i % 2 == 1, F.element_at(F.col("_table"), p)).otherwise(p)), "")
     rows = rows.withColumn("_new", F.when(F.size("_entities") > 0, joined).otherwise(whole))
     out = {text_col: F.col("_new")}
     if "n_chars" in names and text_col != "n_chars":
