@@ -83,6 +83,17 @@ def digest_int(*parts: str | Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
+def digest_sum(*parts: str | Column, half: int = 0) -> Column:
+    """Exact sum of one 64-bit half of the md5 of the joined parts; independent of the order of rows."""
+    text = F.concat_ws("|", *[as_col(p).cast("string") for p in parts])
+    return F.sum(F.conv(F.substring(F.md5(text), 1 + 16 * half, 16), 16, 10).cast("decimal(20,0)"))
+
+
+def set_digest(*parts: str | Column) -> Column:
+    """Fingerprint of a set of rows: the sums of both md5 halves."""
+    return F.concat_ws(":", *[digest_sum(*parts, half=h).cast("string") for h in (0, 1)])
+
+
 def join_parts(parts: Sequence[Column], separator: str) -> Column:
     """Separator-joined non-null parts, null when there is none."""
     joined = F.concat_ws(separator, *parts)

@@ -31,6 +31,14 @@ def printed_count(cell: str | Column) -> Column:
     )
 
 
+def strict_count(cell: str | Column) -> Column:
+    """Count of a cell that holds nothing but digits, separators of thousands and a footnote mark, or ``nil``."""
+    c = strip_footnote(cell)
+    return F.when(F.lower(c) == "nil", F.lit(0).cast("long")).when(
+        c.rlike(r"^(\d+|\d{1,3}(,\d{3})+)$"), F.replace(c, F.lit(","), F.lit("")).try_cast("long")
+    )
+
+
 def revision_mark(cell: str | Column) -> Column:
     return as_col(cell).contains("*")
 
@@ -42,6 +50,12 @@ def cell_problem(cell: str | Column) -> Column:
     )
 
 
+def number_word(n: int) -> str:
+    """A small number as an English word, others in digits."""
+    words = ("no", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
+    return words[n] if 0 <= n < len(words) else str(n)
+
+
 # Month names and the printed period layout.
 MONTHS = (
     "january", "february", "march", "april", "may", "june",
@@ -55,21 +69,25 @@ PERIOD_PATTERN = (
 
 
 def month_number(token: Column) -> Column:
-    """Number of a month name or of its three-letter form."""
+    """Number of a month name or of its short form."""
     t = F.lower(token)
     out = F.lit(None).cast("int")
     for i, name in enumerate(MONTHS, start=1):
-        out = F.when(t.isin(name, name[:3]), i).otherwise(out)
+        short = {name, name[:3], *(["sept"] if i == 9 else [])}
+        out = F.when(t.isin(*sorted(short)), i).otherwise(out)
     return out
 
 
 def printed_period(text: str | Column) -> dict[str, Column]:
-    """Day, month, year and week numbers of a printed period."""
+    """Day, month, year and week numbers of a printed period.
+
+    A start month that is printed but unknown is 0, which no date fits; null means that none is printed.
+    """
     t = F.regexp_replace(F.regexp_replace(as_col(text), "[–—]", "-"), r"\s+", " ")
     part = lambda i: F.regexp_extract(t, PERIOD_PATTERN, i)
     return {
         "start_day": part(1).try_cast("int"),
-        "start_month": F.when(part(2) != "", month_number(part(2))),
+        "start_month": F.when(part(2) != "", F.coalesce(month_number(part(2)), F.lit(0))),
         "end_day": part(3).try_cast("int"),
         "end_month": month_number(part(4)),
         "source_year": part(5).try_cast("int"),

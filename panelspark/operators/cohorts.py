@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from panelspark.functions.columns import (
     all_of,
     count_where,
-    digest_int,
     finite_nonnegative,
     plus_days,
     present,
+    set_digest,
 )
 from panelspark.functions.quantiles import weighted_quantiles
 from panelspark.operators.features import HORIZONS, eligible, target_end
@@ -154,15 +154,15 @@ def cohort_fingerprint(
 ) -> DataFrame:
     """Row count and order-free digests of keys, targets and other values.
 
-    Sums of per-row digests are associative: no sort, no collect, one partial aggregation.
+    A digest is two 64-bit sums, and sums are associative: no sort, no collect, one partial aggregation.
     """
     key = [ENTITY, WEEK]
-    out = [F.count(F.lit(1)).alias("row_count"), F.sum(digest_int(*key)).alias("key_digest")]
+    out = [F.count(F.lit(1)).alias("row_count"), set_digest(*key).alias("key_digest")]
     if target:
-        out.append(F.sum(digest_int(*key, F.col(target))).alias("target_digest"))
+        out.append(set_digest(*key, F.col(target)).alias("target_digest"))
     if values:
         text = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in values]
-        out.append(F.sum(digest_int(*key, *text)).alias("value_digest"))
+        out.append(set_digest(*key, *text).alias("value_digest"))
     return rows.groupBy(*by).agg(*out)
 
 

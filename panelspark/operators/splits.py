@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.functions.text import number_word
 from panelspark.functions.columns import count_where, join_parts, plus_days, present
 from panelspark.functions.quantiles import exact_quantiles
 from panelspark.functions.runs import run_lengths
@@ -252,7 +253,8 @@ def expanding_folds(
     out = prior.join(val, "year", "left").join(train, "year", "left")
     reason = (
         F.when(
-            F.col("prior_years") < policy.min_training_years, "fewer than four prior training years"
+            F.col("prior_years") < policy.min_training_years,
+            f"fewer than {number_word(policy.min_training_years)} prior training years",
         )
         .when(F.col("trainable_rows").isNull(), "no scored rows")
         .otherwise(

@@ -12,6 +12,12 @@ from panelspark.queries.base import cte, query
 from panelspark.sources.panels import Panels
 
 
+def sql_set_digest(expr: str) -> str:
+    """SQL of ``columns.set_digest``."""
+    halves = [f"sum(('0x' || substr(md5({expr}), {at}, 16))::UBIGINT)::VARCHAR" for at in (1, 17)]
+    return " || ':' || ".join(halves)
+
+
 def sql_digest(expr: str) -> str:
     return f"('0x' || substr(md5({expr}), 1, 8))::BIGINT"
 

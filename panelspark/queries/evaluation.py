@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.functions.columns import digest_int, rounded
+from panelspark.functions.columns import digest_int, digest_sum, rounded
 from panelspark.operators import baselines as B
 from panelspark.operators import contracts as C
 from panelspark.operators import errors as E
@@ -14,7 +14,7 @@ from panelspark.operators import preprocess as P
 from panelspark.operators import selection as SEL
 from panelspark.plans import forecasts as FC
 from panelspark.queries.base import cte, query
-from panelspark.queries.contracts import sql_digest
+from panelspark.queries.contracts import sql_digest, sql_set_digest
 from panelspark.queries.splits import HOLDOUT, POLICY, evaluation, thresholds
 from panelspark.session import stage_table
 from panelspark.sources.panels import Panels
@@ -592,7 +592,7 @@ def champion_select(p: Panels) -> DataFrame:
     folds = pred.groupBy(config.alias("config_id"), "fold").agg(
         M.mae(E.TARGET, E.MODEL).alias("mae"),
         M.mae(E.TARGET, E.MODEL, high).alias("mae_high"),
-        F.sum(digest_int("entity_id", "origin_start")).alias("cohort_digest"),
+        digest_sum("entity_id", "origin_start").alias("cohort_digest"),
     )
     out = SEL.champion_ranking(
         folds, simplicity=F.length("config_id").cast("long"), fingerprint="cohort_digest"
@@ -799,7 +799,7 @@ def evidence_reconcile(p: Panels) -> DataFrame:
 @query(
     "shared_cohort_check",
     f"""
-WITH d AS (SELECT fold, horizon, feature_set, family, sum({sql_digest("entity_id || '|' || origin_start")})::BIGINT AS k FROM predictions
+WITH d AS (SELECT fold, horizon, feature_set, family, {sql_set_digest("entity_id || '|' || origin_start")} AS k FROM predictions
   WHERE NOT (feature_set = 'cases_full_weather' AND fold = 2000 AND entity_id = 2) GROUP BY 1, 2, 3, 4)
 SELECT fold, horizon, count(*)::BIGINT AS members, min(k) = max(k) AS shared FROM d GROUP BY 1, 2
 """,

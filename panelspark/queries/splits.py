@@ -10,7 +10,7 @@ from panelspark.operators import cohorts as K
 from panelspark.operators import splits as S
 
 from panelspark.queries.base import cte, query
-from panelspark.queries.contracts import sql_digest
+from panelspark.queries.contracts import sql_digest, sql_set_digest
 from panelspark.sources.panels import Panels
 
 POLICY = S.SplitPolicy(
@@ -360,9 +360,9 @@ _KEY = "entity_id || '|' || week_start"
 @query(
     "cohort_fingerprint",
     f"""
-SELECT fold, horizon::BIGINT AS horizon, count(*)::BIGINT AS row_count, sum({sql_digest(_KEY)})::BIGINT AS key_digest,
-  sum({sql_digest(_KEY + " || '|' || target")})::BIGINT AS target_digest,
-  sum({sql_digest(_KEY + " || '|' || cases || '|' || cases_lag_1 || '|' || cases_lag_2")})::BIGINT AS value_digest
+SELECT fold, horizon::BIGINT AS horizon, count(*)::BIGINT AS row_count, {sql_set_digest(_KEY)} AS key_digest,
+  {sql_set_digest(_KEY + " || '|' || target")} AS target_digest,
+  {sql_set_digest(_KEY + " || '|' || cases || '|' || cases_lag_1 || '|' || cases_lag_2")} AS value_digest
 FROM eval_long GROUP BY 1, 2
 """,
 )

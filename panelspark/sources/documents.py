@@ -48,8 +48,8 @@ def explode_hourly(df: DataFrame, payload: str = "payload") -> DataFrame:
 
 
 # Patterns of report links.
-ANCHOR_HREF = r'(?is)<a\s[^>]*?href="([^"]*)"[^>]*>.*?</a>'
-ANCHOR_TEXT = r'(?is)<a\s[^>]*?href="[^"]*"[^>]*>(.*?)</a>'
+ANCHOR = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))[^>]*>(.*?)</a>"""
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
 VOLUME_PATTERN = r"(?i)vol[_\s.-]*(\d+)"
 NUMBER_PATTERN = r"(?:no|No)[_\s.-]*(\d{1,2})"
 VOLUME_YEAR_OFFSET = 1973
@@ -69,18 +69,18 @@ def discover_links(
     One row per url (the first in page order), limited to the wanted issue years.
     """
     anchors = F.arrays_zip(
-        F.regexp_extract_all(html, F.lit(ANCHOR_HREF), F.lit(1)).alias("href"),
-        F.regexp_extract_all(html, F.lit(ANCHOR_TEXT), F.lit(1)).alias("text"),
+        *[
+            F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(i)).alias(name)
+            for i, name in enumerate(("double", "single", "bare", "text"), start=1)
+        ]
     )
-    origin = F.regexp_extract(base_url, r"^(https?://[^/]+)", 1)
     found = pages.select(
-        F.col("page_id"), origin.alias("_origin"), F.posexplode(anchors).alias("_pos", "_a")
-    )
-    href = F.col("_a.href")
-    url = F.when(href.rlike("^https?://"), href).otherwise(
-        F.concat("_origin", F.when(href.startswith("/"), href).otherwise(F.concat(F.lit("/"), href)))
+        F.col("page_id"), F.col(base_url).alias("_base"), F.posexplode(anchors).alias("_pos", "_a")
     )
-    text = F.trim(F.regexp_replace(F.regexp_replace("_a.text", r"<[^>]*>", " "), r"\s+", " "))
+    href = F.trim(unescape_html(F.concat("_a.double", "_a.single", "_a.bare")))
+    url = join_url(F.col("_base"), href)
+    plain = unescape_html(F.regexp_replace("_a.text", r"<[^>]*>", " "))
+    text = F.trim(F.regexp_replace(plain, r"\s+", " "))
     title = F.when(text != "", text).otherwise(F.element_at(F.split(href, "/"), -1))
     named = found.select("page_id", "_pos", url.alias("url"), title.alias("title")).filter(
         F.lower("url").contains(suffix)
@@ -103,6 +103,40 @@ def discover_links(
     return issues.groupBy("url").agg(first.alias("f")).select("url", "f.*")
 
 
+def unescape_html(text: Column) -> Column:
+    """Text with the predefined entities decoded."""
+    for entity, char in ENTITIES:
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
+
+
+def join_url(base: Column, href: Column) -> Column:
+    """Absolute url of a link on the page ``base``: full, scheme-, site-, query- or page-relative."""
+    page = F.regexp_replace(base, r"[?#].*$", "")
+    origin = F.regexp_extract(page, r"^([A-Za-z][\w+.-]*://[^/]*)", 1)
+    path = F.substring(page, F.length(origin) + 1, F.length(page))
+    folder = F.concat(F.lit("/"), F.regexp_extract(path, r"^/(.*/)", 1))
+    target = F.when(href.startswith("/"), href).otherwise(F.concat(folder, href))
+    tail = F.regexp_extract(target, r"([?#].*)$", 1)
+    steps = F.split(F.regexp_replace(target, r"[?#].*$", ""), "/")
+    walked = F.aggregate(
+        steps,
+        F.array().cast("array<string>"),
+        lambda done, s: F.when(s == ".", done)
+        .when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1))))
+        .otherwise(F.concat(done, F.array(s))),
+    )
+    closed = F.when(F.element_at(steps, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
+    return (
+        F.when(href.rlike(r"^[A-Za-z][\w+.-]*:"), href)
+        .when(href == "", base)
+        .when(href.startswith("//"), F.concat(F.regexp_extract(base, r"^([^:/]+:)", 1), href))
+        .when(href.startswith("?"), F.concat(page, href))
+        .when(href.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), href))
+        .otherwise(F.concat(origin, F.array_join(walked, "/"), closed, tail))
+    )
+
+
 def table_lines(
     docs: DataFrame, regions: DataFrame, *, text: str = "text", doc: str = "doc_id"
 ) -> DataFrame:

@@ -313,3 +313,42 @@ def test_date_shift_ignores_gaps_and_other_weekdays(spark):
     out = features.exact_date_shift(df, "v", {"back": 1, "ahead": -2}).orderBy("week_start").collect()
     got = {r.week_start: (r.back, r.ahead) for r in out}
     assert got[w[1]] == (1, 4) and got[w[3]] == (None, None) and got[w[0]] == (None, None)
+
+
+def test_links_resolve_like_urls(spark):
+    from urllib.parse import urljoin
+
+    from panelspark.sources.documents import discover_links, join_url
+
+    bases = ["https://x.org/a/b/page.html", "https://x.org", "https://x.org/a/?q=1", "http://x.org/p?u=/q/r"]
+    hrefs = ["v.pdf", "../v.pdf", "../../../v.pdf", "./v.pdf?x=../y", "/v/./w/../z.pdf", "//h.org/v.pdf", "https://o.org/v", "?n=2", "#top", "c/..", ""]
+    rows = [(b, h) for b in bases for h in hrefs]
+    out = spark.createDataFrame(rows, "b string, h string").select("b", "h", join_url(F.col("b"), F.col("h")).alias("u")).collect()
+    assert {(r.b, r.h): r.u for r in out} == {(b, h): urljoin(b, h) for b, h in rows}
+    html = "<a href='n/vol_41_no_8.pdf'>Q &amp; A</a><a class=z href=../vol_42_no_9.pdf>R</a><a data-href=\"vol_43.pdf\">no</a>"
+    pages = spark.createDataFrame([(1, bases[0], html)], "page_id int, url string, html string")
+    found = discover_links(pages, start_year=2010, end_year=2025).collect()
+    assert {(r.url, r.title, r.volume, r.issue_week) for r in found} == {
+        ("https://x.org/a/b/n/vol_41_no_8.pdf", "Q & A", 41, 8), ("https://x.org/a/vol_42_no_9.pdf", "R", 42, 9),
+    }
+
+
+def test_strict_counts_and_printed_months(spark):
+    from panelspark.functions.text import infer_period_end, number_word, printed_period, strict_count
+
+    cells = {"12.5": None, "-5": None, "1,234*": 1234, "nil": 0, "12 ": 12, "1,23": None, "": None, "x7": None}
+    df = spark.createDataFrame([(c,) for c in [*cells, None]], "c string")
+    assert {r.c: r.n for r in df.select("c", strict_count("c").alias("n")).collect()} == {**cells, None: None}
+    texts = ["30th Sept - 6th Oct 2023 (40th week)", "30th Foo - 6th Oct 2023 (40th week)", "30th - 6th Oct 2023 (40th week)"]
+    parts = spark.createDataFrame([(t,) for t in texts], "t string").withColumns(printed_period("t")).withColumn("issue", F.lit(None).cast("int"))
+    end = infer_period_end(start_day="start_day", start_month="start_month", end_day="end_day", end_month="end_month", printed_year="source_year", issue_year="issue")
+    assert [(r.start_month, r.e) for r in parts.select("t", "start_month", end.alias("e")).collect()] == [(9, D(2023, 10, 6)), (0, None), (None, D(2023, 10, 6))]
+    assert (number_word(4), number_word(12)) == ("four", "12")
+
+
+def test_set_digest_tells_cohorts_apart(spark):
+    from panelspark.functions.columns import set_digest
+
+    one = lambda n: spark.range(n).repartition(3).agg(set_digest("id").alias("d")).first().d
+    assert one(50) == one(50) != one(51)
+    assert all(part.isdigit() for part in one(50).split(":"))
