@@ -330,3 +330,28 @@ def test_notices_are_named_and_prose_is_not(spark, licence_model):
     assert out.collect() == []
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_surrogate_pieces_are_the_text_cut_at_its_entities(spark):
+    from pyspark.sql import functions as F
+
+    from panelspark.llm import surrogates
+
+    cases = {
+        "a.b@x.org first, a@b@c.org last": ["a.b@x.org", "b@c.org"],
+        "a@b.co_x@y.com": ["a@b.co", "_x@y.com"],
+        "call +49 301 234 5678 or 10.0.0.1": ["+49 301 234 5678", "10.0.0.1"],
+        "password=p@ss! Mrs Ana Lopez": ["p@ss!", "Mrs Ana Lopez"],
+        "x10.0.0.1 and SMrs Ana": ["10.0.0.1"],
+        "token: 0123456789abcdef0 $1 \\1": ["0123456789abcdef0"],
+        "no entity in 3 words": [],
+        "": [],
+    }
+    # Texts that hold the mark take the plain way and must be cut alike.
+    rows = [(t + end, found) for t, found in cases.items() for end in ("", f" {surrogates.MARK} end")]
+    df = spark.createDataFrame([(t,) for t, _ in rows], "text string").withColumn("cut", surrogates.pieces(F.col("text")))
+    got = {r.text: (r.e, r.cut) for r in df.select("text", "cut", surrogates.entities(F.col("cut")).alias("e")).collect()}
+    for text, found in rows:
+        entities, cut = got[text]
+        assert entities == found, text
+        assert cut is None or "".join(cut) == text
