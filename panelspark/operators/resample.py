@@ -14,13 +14,24 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.columns import digest_int
 from panelspark.functions.runs import label_runs
+from panelspark.functions.text import number_word
 
 # Fixed values.
 SEED = 42
 BLOCK_WEEKS = 4
 REPS = 1000
-SHORT_RUN = "one_or_more_required_contiguous_runs_has_fewer_than_4_origin_weeks"
-NO_BLOCK = "one_or_more_required_contiguous_runs_has_no_four_week_contiguous_block"
+_RUNS = "one_or_more_required_contiguous_runs_has_"
+
+
+def short_run(block: int) -> str:
+    return f"{_RUNS}fewer_than_{block}_origin_weeks"
+
+
+def no_block(block: int) -> str:
+    return f"{_RUNS}no_{number_word(block)}_week_contiguous_block"
+
+
+SHORT_RUN, NO_BLOCK = short_run(BLOCK_WEEKS), no_block(BLOCK_WEEKS)
 
 
 def week_positions(weeks: DataFrame, by: Sequence[str], week: str = "origin_start") -> DataFrame:
@@ -46,8 +57,8 @@ def support(positions: DataFrame, by: Sequence[str], *, block: int = BLOCK_WEEKS
         ordered.alias("_runs"),
     )
     text = lambda f: F.array_join(F.transform("_runs", lambda r: r[f].cast("string")), ",")
-    reason = F.when(F.col("min_run_weeks") < block, SHORT_RUN).when(
-        F.col("min_run_blocks") < 1, NO_BLOCK
+    reason = F.when(F.col("min_run_weeks") < block, short_run(block)).when(
+        F.col("min_run_blocks") < 1, no_block(block)
     )
     return agg.select(
         *by,
