@@ -355,3 +355,18 @@ def test_surrogate_pieces_are_the_text_cut_at_its_entities(spark):
         entities, cut = got[text]
         assert entities == found, text
         assert cut is None or "".join(cut) == text
+
+
+def test_every_entity_finds_a_free_surrogate(spark):
+    """Units that no attempt of their shape can change or tell apart still end with one of their own."""
+    secrets = ["****", "{}", "密码", "😀", "(((", "p@ss", "½"]
+    mails = [f"{c}@ab.org" for c in "abcdefghijklmnopqrstuvwxyz"]
+    texts = [f"password={s}" for s in secrets] + ["Dr Հայկ"] + mails + ["A@AB.org"]
+    out = replaced(spark, texts)
+    new = [t.removeprefix("password=") for t in out[: len(secrets)]]
+    assert len(set(new)) == len(secrets) and not set(new) & set(secrets)
+    assert out[len(secrets)].startswith("Dr ") and out[len(secrets)] != "Dr Հայկ"
+    letters = out[len(secrets) + 1 : -1]
+    assert len(set(letters)) == 26 and not set(letters) & set(mails)
+    assert len({m.split("@")[1] for m in letters}) == 1 and any(len(m) > len(mails[0]) for m in letters)
+    assert out[-1].lower() == letters[0]
