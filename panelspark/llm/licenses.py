@@ -1,10 +1,10 @@
 """Licence notices by a trained paragraph classifier, in Spark expressions and Spark ML only.
 
 Paragraphs (lines) become sparse counts of word n-grams of a closed vocabulary: the one- and two-word
-grams of the notices below that are rare in ordinary text. A multinomial logistic regression tells the
-licence families and an unknown class apart. Its threshold is calibrated on held-out background
-paragraphs, so that at most a stated share of them would be named; a named family must also resemble
-one of its notices (share of the notice's word pairs found) to be confirmed.
+grams of the notices below that are rare in the paragraphs of all documents. A multinomial logistic
+regression tells the licence families and an unknown class apart. Its threshold is calibrated on all
+background paragraphs it was not fitted on, so that at most a stated share of them would be named; a named
+family must also resemble one of its notices (share of the notice's word pairs found) to be confirmed.
 
 The regression is fitted on the notices, shortened variants of them and the paragraphs of at most
 ``sample`` documents chosen by a hash of their id; a paragraph of these that resembles a notice is
@@ -26,6 +26,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelspark.functions.quantiles import weighted_quantiles
+from panelspark.session import stage_table
+
 # Short notices by which works name their licence.
 NOTICES = {
     "apache": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "Apache License Version 2.0, January 2004"],
@@ -80,16 +83,19 @@ def notice_table(spark: SparkSession) -> DataFrame:
     return table.withColumn("pairs", pairs_of(F.col("grams")))
 
 
+def _best(notices: DataFrame) -> Column:
+    """share and family of the notice that ``_pairs`` resembles most."""
+    known = notices.select("family", "pairs").collect()
+    share = [F.struct((F.size(F.array_intersect("_pairs", F.array(*[F.lit(p) for p in r.pairs]))) / F.lit(float(len(r.pairs)))).alias("share"), F.lit(r.family).alias("family")) for r in known]
+    return F.array_max(F.array(*share))
+
+
 def resembled(lines: DataFrame, notices: DataFrame) -> DataFrame:
     """Lines (with grams) and the notice they resemble most: best family and share of its word pairs found.
 
     The notices are a fixed list, so they are one literal array; no rows are paired.
     """
-    known = notices.select("family", "pairs").collect()
-    mine = pairs_of(F.col("grams"))
-    share = [F.struct((F.size(F.array_intersect("_pairs", F.array(*[F.lit(p) for p in r.pairs]))) / F.lit(float(len(r.pairs)))).alias("share"), F.lit(r.family).alias("family")) for r in known]
-    best = F.array_max(F.array(*share))
-    return lines.withColumn("_pairs", mine).withColumn("_best", best).withColumns({"near": F.col("_best.family"), "share": F.col("_best.share")}).drop("_pairs", "_best")
+    return lines.withColumn("_pairs", pairs_of(F.col("grams"))).withColumn("_best", _best(notices)).withColumns({"near": F.col("_best.family"), "share": F.col("_best.share")}).drop("_pairs", "_best")
 
 
 @dataclass
@@ -108,36 +114,67 @@ def _variants(notices: DataFrame) -> DataFrame:
     return notices.select("family", F.explode(F.array_distinct(cut)).alias("line")).withColumn("grams", grams(F.col("line")))
 
 
+def _held(line: str = "line") -> Column:
+    return F.pmod(F.xxhash64(line), F.lit(4)) == 0
+
+
+def line_counts(docs: DataFrame, notices: DataFrame, fitted: Column) -> dict[str, int]:
+    """Background lines of all documents that hold each gram of the notices; "" counts all, "\n" those not ``fitted``."""
+    candidates = [r.g for r in notices.select(F.explode("grams").alias("g")).distinct().collect()]
+    mine = F.array_distinct(F.filter(grams(F.col("line")), lambda g: g.isin(candidates)))
+    lines = paragraphs(docs).select((~fitted).alias("free"), mine.alias("grams")).withColumn("_pairs", pairs_of(F.col("grams")))
+    # A line with one pair reaches RESEMBLANCE of no notice: the shortest has three.
+    background = lines.filter(F.when(F.size("_pairs") > 1, _best(notices)["share"] < RESEMBLANCE).otherwise(True))
+    marks = F.when(F.col("free"), F.array(F.lit(""), F.lit("\n"))).otherwise(F.array(F.lit("")))
+    return {r["g"]: r["count"] for r in background.select(F.explode(F.concat(marks, "grams")).alias("g")).groupBy("g").count().collect()}
+
+
+def calibrated(scores: DataFrame, n: int, named_share: float) -> float:
+    """A threshold, 0.5 at least, that at most ``named_share`` of ``n`` lines reach; ``scores`` has p of those with a vocabulary gram."""
+    allowed = int(named_share * n)
+    data = scores.groupBy("p").agg(F.count(F.lit(1)).alias("c"))
+    data = stage_table(data, "scores")
+    total, high = data.agg(F.sum("c"), F.sum(F.when(F.col("p") >= 0.5, F.col("c")))).first()
+    if (high or 0) <= allowed:
+        return 0.5
+    rest = data.sparkSession.range(1).select(F.lit(0.0).alias("p"), F.lit(max(n - total, 0)).cast("long").alias("c")).filter("c > 0")
+    n = max(n, total)
+    at = weighted_quantiles(data.unionByName(rest), [], "p", "c", {"q": (n - 1 - allowed) / max(1, n - 1)}).first()["q"]
+    return max(0.5, at + 1e-6)
+
+
 def fit(docs: DataFrame, sample: int = 1024, common_share: float = 0.005, named_share: float = 0.001) -> Classifier:
     spark = docs.sparkSession
     notices = notice_table(spark)
     ids = docs.select(F.col("doc_id").cast("long").alias("_id")).dropna().distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
+    chosen = F.coalesce(F.col("doc_id").cast("long").isin([r[0] for r in ids.collect()]), F.lit(False))
+    some = docs.filter(chosen)
+    fitted = chosen & ~_held()
     lines = resembled(paragraphs(some).withColumn("grams", grams(F.col("line"))), notices)
     lines = lines.withColumn("family", F.when(F.col("share") >= RESEMBLANCE, F.col("near")).otherwise(UNKNOWN)).select("doc_id", "line", "grams", "family").persist()
     try:
         background = lines.filter(F.col("family") == UNKNOWN)
-        n = max(1, background.count())
+        often = line_counts(docs, notices, fitted)
+        n = max(1, often.get("", 0))
         candidates = notices.select(F.explode("grams").alias("g")).distinct()
-        often = background.select(F.explode(F.array_distinct("grams")).alias("g")).groupBy("g").count().filter(F.col("count") > common_share * n)
-        vocabulary = sorted(r.g for r in candidates.join(often, "g", "left_anti").collect())
+        vocabulary = sorted(r.g for r in candidates.collect() if often.get(r.g, 0) <= common_share * n)
         counts = CountVectorizerModel.from_vocabulary(vocabulary, "grams", "features", minTF=1.0).setBinary(True)
         label = F.element_at(F.create_map(*[F.lit(x) for i, f in enumerate(FAMILIES) for x in (f, float(i))]), F.col("family"))
-        held = F.pmod(F.xxhash64("line"), F.lit(4)) == 0
-        # Each side has the same total weight; half of the held-out background calibrates the threshold.
+        # A quarter of the sample's lines is not fitted, but calibrates the threshold with all other documents.
         positive = _variants(notices).unionByName(lines.filter(F.col("family") != UNKNOWN).select("family", "line", "grams"))
-        rows = positive.withColumn("w", F.lit(4.0)).unionByName(background.filter(~held).select("family", "line", "grams").withColumn("w", F.lit(1.0)))
+        rows = positive.withColumn("w", F.lit(4.0)).unionByName(background.filter(~_held()).select("family", "line", "grams").withColumn("w", F.lit(1.0)))
         train = counts.transform(rows.withColumn("label", label))
         regression = LogisticRegression(family="multinomial", regParam=0.002, maxIter=60, weightCol="w", standardization=False).fit(train)
-        best = F.array_max(F.slice(vector_to_array("probability"), 2, len(FAMILIES)))
-        above = regression.transform(counts.transform(background.filter(held).select("grams"))).select(best.alias("p"))
-        calibrated = above.agg(F.percentile("p", F.lit(1.0 - named_share)).alias("p")).first().p or 0.0
     finally:
         lines.unpersist()
     single = [v for v in vocabulary if " " not in v]
     double = [v for v in vocabulary if " " in v and not set(v.split()) & set(single)]
     options = "|".join([re.escape(v).replace("\\ ", r"[^\p{L}\p{N}]+") for v in sorted([*single, *double], key=len, reverse=True)])
-    return Classifier(vocabulary, counts, regression, max(0.5, min(calibrated, 0.9)), rf"(?iu)(?<![\p{{L}}\p{{N}}])(?:{options})(?![\p{{L}}\p{{N}}])")
+    pattern = rf"(?iu)(?<![\p{{L}}\p{{N}}])(?:{options})(?![\p{{L}}\p{{N}}])"
+    free = resembled(paragraphs(docs, pattern).filter(~fitted).withColumn("grams", grams(F.col("line"))), notices).filter(F.col("share") < RESEMBLANCE)
+    best = F.array_max(F.slice(vector_to_array("probability"), 2, len(FAMILIES)))
+    scores = regression.transform(counts.transform(free.select("grams"))).select(best.alias("p"))
+    return Classifier(vocabulary, counts, regression, calibrated(scores, often.get("\n", 0), named_share), pattern)
 
 
 def scan(docs: DataFrame, model: Classifier) -> DataFrame:

@@ -370,3 +370,15 @@ def test_every_entity_finds_a_free_surrogate(spark):
     assert len(set(letters)) == 26 and not set(letters) & set(mails)
     assert len({m.split("@")[1] for m in letters}) == 1 and any(len(m) > len(mails[0]) for m in letters)
     assert out[-1].lower() == letters[0]
+
+
+def test_licence_statistics_cover_all_documents(spark):
+    """A gram that is common outside the sample leaves the vocabulary; ties never pass the stated share."""
+    docs = table(spark, ["plain words here"] * 8 + ["the redistribution of grain"] * 8)
+    counts = licenses.line_counts(docs, licenses.notice_table(spark), F.col("doc_id") < 4)
+    assert (counts[""], counts["\n"], counts["redistribution"]) == (16, 12, 8)
+    assert "redistribution" not in licenses.fit(docs, sample=1).vocabulary
+    scores = spark.createDataFrame([(0.95,)] * 5 + [(0.99,)] * 2, "p double")
+    for share, named in ((0.01, 0), (0.02, 2), (0.06, 2), (0.07, 7)):
+        limit = licenses.calibrated(scores, 100, share)
+        assert sum(p >= limit for p in [0.95] * 5 + [0.99] * 2) == named
