@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import chat_format, decontaminate, licenses, signature_join, substring_dedup, surrogates, token_rollup, toxicity, transport_stream, vector_packing
+from panelspark.llm import chat_format, decontaminate, lexical_tree, licenses, merkle_manifest, prefix_hash, signature_join, substring_dedup, surrogates, token_rollup, toxicity, transport_stream, vector_packing
 from panelspark.llm.common import read
 
 QUERIES = {}
@@ -135,3 +135,85 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_token_rollup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rollup.maintained(read(spark, sf_dir, "documents"))
+
+
+#: CRC-32 of a decimal number in SQL: per byte an exclusive-or, then eight shifts (marked -1).
+CRC32 = """4294967295 - list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(str_split(doc_id::VARCHAR, ''),
+  lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) ELSE xor(s >> 1, 3988292384 * (s & 1)) END)"""
+
+
+def _framed(field: str) -> str:
+    return f"coalesce(strlen({field}::VARCHAR)::VARCHAR || ':' || {field}::VARCHAR, '-')"
+
+
+def _merkle_sql() -> str:
+    leaf = lambda n: "sha256(" + " || ".join(_framed(f) for f in ("doc_id", "source", "lang", n, "text")) + ")"
+    return f"""
+WITH RECURSIVE d AS (SELECT *, {CRC32} AS c FROM documents),
+l AS (SELECT doc_id, lang, {leaf('n_chars')} AS leaf,
+    CASE WHEN c % 7 = 0 THEN {leaf('(n_chars + 1)')} ELSE {leaf('n_chars')} END AS found FROM d),
+p AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+    count(*) OVER (PARTITION BY lang) AS n FROM l),
+t AS (
+  SELECT g, 0 AS lvl, i::BIGINT AS i, n::BIGINT AS n, leaf AS h FROM p
+  UNION ALL
+  SELECT g, lvl + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY g, lvl, i // 2, n),
+s AS (SELECT g, h, lvl AS top FROM t WHERE n = 1),
+u AS (
+  SELECT 0 AS lvl, g::BIGINT AS i, (SELECT count(*) FROM s)::BIGINT AS n, h FROM s
+  UNION ALL
+  SELECT lvl + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY lvl, i // 2, n),
+a AS (
+  SELECT p.doc_id, p.leaf, p.found, s.h AS subroot, p.g, p.i, 0 AS lvl, s.top, '' AS proof, p.found AS f FROM p JOIN s USING (g)
+  UNION ALL
+  SELECT a.doc_id, a.leaf, a.found, a.subroot, a.g, a.i // 2, a.lvl + 1, a.top, a.proof || coalesce(t.h, ''),
+    sha256(CASE WHEN a.i % 2 = 1 THEN t.h || a.f ELSE a.f || coalesce(t.h, '') END)
+  FROM a LEFT JOIN t ON t.g = a.g AND t.lvl = a.lvl AND t.i = xor(a.i, 1) WHERE a.lvl < a.top),
+b AS (
+  SELECT doc_id, leaf, subroot, g::BIGINT AS i, 0 AS lvl, proof, f FROM a WHERE lvl = top
+  UNION ALL
+  SELECT b.doc_id, b.leaf, b.subroot, b.i // 2, b.lvl + 1, b.proof || coalesce(u.h, ''),
+    sha256(CASE WHEN b.i % 2 = 1 THEN u.h || b.f ELSE b.f || coalesce(u.h, '') END)
+  FROM b LEFT JOIN u ON u.lvl = b.lvl AND u.i = xor(b.i, 1) WHERE b.lvl < (SELECT max(lvl) FROM u))
+SELECT doc_id, leaf, subroot, (SELECT h FROM u WHERE n = 1) AS root, sha256(proof) AS proof_sha256, f AS folded_root,
+  f = (SELECT h FROM u WHERE n = 1) AS verified
+FROM b WHERE lvl = (SELECT max(lvl) FROM u)
+"""
+
+
+@query("op11_merkle_manifest", _merkle_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    changed = F.crc32(docs["doc_id"].cast("string")) % 7 == 0
+    n_chars = docs["n_chars"].cast("long")
+    rows = merkle_manifest.manifest(docs, {"n_chars": F.when(changed, n_chars + 1).otherwise(n_chars)})
+    return merkle_manifest.verified(rows).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@query("op12_prefix_fingerprints")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_hash.edited_fingerprints(read(spark, sf_dir, "documents"))
+
+
+TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+
+@query(
+    "op13_document_tree",
+    f"""
+WITH d AS (SELECT doc_id, {TERMS} AS w FROM documents),
+q AS (SELECT item_id, unnest({TERMS}) AS t FROM benchmark),
+v AS (SELECT DISTINCT t FROM q),
+s AS (SELECT count(*)::BIGINT AS N, sum(len(w))::BIGINT AS L FROM d WHERE len(w) > 0),
+m AS (SELECT doc_id, 75 + (25 * len(w)::BIGINT * N) // L AS m FROM d, s WHERE len(w) > 0),
+f AS (SELECT doc_id, t, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(w) AS t FROM d) JOIN v USING (t) GROUP BY ALL),
+w AS (SELECT t, floor(1000 * ln((2 * N + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM f, s GROUP BY t, N),
+r AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM q JOIN w USING (t) JOIN f USING (t) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+FROM r WHERE score > 0 QUALIFY rank <= 20
+""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_tree.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
