@@ -94,7 +94,7 @@ class PrefixArray:
 
     def __init__(self, text: str):
         self.codes = code_points(text)
-        self.p = np.concatenate(([0], prefixes(self.codes, np.arange(1, len(self.codes) + 1)))).tolist()
+        self.p = prefixes(self.codes, np.arange(len(self.codes) + 1)).tolist()
 
     def __len__(self) -> int:
         return len(self.codes)
