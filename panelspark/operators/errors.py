@@ -498,10 +498,10 @@ def missingness_masks() -> dict[str, Column]:
     }
 
 
-def final_table(final: DataFrame, development: DataFrame) -> DataFrame:
-    """Final fits with the flags fixed by the development folds."""
+def final_table(final: DataFrame, development: DataFrame, reference: str = "ridge") -> DataFrame:
+    """Final fits with the flags fixed by the development folds; ``reference`` wins ties."""
     summary = development.groupBy("horizon", "feature_set", "family").agg(F.avg("mae").alias("_m"))
-    order = F.struct("_m", (F.col("family") != "ridge").cast("int"), "feature_set")
+    order = F.struct("_m", (F.col("family") != reference).cast("int"), "feature_set")
     best = summary.groupBy("horizon").agg(
         F.min_by(F.struct("feature_set", "family"), order).alias("_b")
     )
@@ -516,7 +516,7 @@ def final_table(final: DataFrame, development: DataFrame) -> DataFrame:
         F.col("persistence_mae").alias("mae_persistence"),
         (F.col("model_mae") - F.col("persistence_mae")).alias("mae_difference"),
         (mine == F.col("_b")).alias("preselected_champion"),
-        ((F.col("feature_set") == "cases_only") & (F.col("family") == "ridge")).alias(
+        ((F.col("feature_set") == "cases_only") & (F.col("family") == reference)).alias(
             "fixed_reference"
         ),
     )

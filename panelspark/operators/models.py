@@ -15,7 +15,7 @@ from pyspark.ml.regression import (
     LinearRegression,
     RandomForestRegressor,
 )
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.functions.columns import digest_int, finite
@@ -221,25 +221,20 @@ def random_search(
     return reduce(DataFrame.unionByName, tables).orderBy("mean_fold_mae", "config_id")
 
 
-def coefficient_table(spark: SparkSession, fitted: FittedFold) -> DataFrame:
-    """Coefficient, size, sign and raw feature per transformed feature of a linear fit."""
-    values = [float(v) for v in fitted.model.coefficients]
-    df = spark.createDataFrame(
-        list(zip(fitted.columns, values, strict=True)), "feature string, coefficient double"
-    )
+def coefficient_columns(feature: str = "feature", coefficient: str = "coefficient") -> dict[str, Column]:
+    """Raw feature, size, sign and unit of the coefficients of transformed features."""
+    name, value = F.col(feature), F.col(coefficient)
     unit = (
-        F.when(F.col("feature").endswith("__missing"), "binary_missing_indicator_0_or_1")
-        .when(F.col("feature").contains("__"), "one_hot_encoded_indicator_0_or_1")
+        F.when(name.endswith("__missing"), "binary_missing_indicator_0_or_1")
+        .when(name.contains("__"), "one_hot_encoded_indicator_0_or_1")
         .otherwise("training_standard_deviations")
     )
-    return df.select(
-        "feature",
-        F.regexp_replace("feature", "__.*$", "").alias("raw_feature"),
-        "coefficient",
-        F.abs("coefficient").alias("abs_coefficient"),
-        F.when(F.col("coefficient") >= 0, "positive").otherwise("negative").alias("sign"),
-        unit.alias("unit"),
-    )
+    return {
+        "raw_feature": F.regexp_replace(feature, "__.*$", ""),
+        "abs_coefficient": F.abs(value),
+        "sign": F.when(value >= 0, "positive").otherwise("negative"),
+        "unit": unit,
+    }
 
 
 def tree_importance(spark: SparkSession, fitted: FittedFold) -> DataFrame:

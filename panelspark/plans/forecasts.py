@@ -1,4 +1,4 @@
-"""Forecast tables: baselines per fold and the closed-form forecasts used by the error tables."""
+"""Forecast tables: fitted studies, baselines per fold, and closed-form blends whose rows SQL can state."""
 
 from __future__ import annotations
 
@@ -8,13 +8,20 @@ from pyspark.sql import functions as F
 from panelspark.functions.quantiles import exact_quantiles
 from panelspark.operators import baselines as B
 from panelspark.operators import errors as E
+from panelspark.operators import cohorts as K
+from panelspark.operators import features as FE
+from panelspark.operators import registry as REG
 from panelspark.operators import splits as S
+from panelspark.operators import study as ST
 from panelspark.operators.features import HORIZONS
 from panelspark.operators.metrics import clip_nonnegative
+from panelspark.session import shared_dir, stage_table
 from panelspark.sources.panels import Panels
 
 FEATURE_SETS = ("cases_only", "cases_rainfall", "cases_full_weather")
+#: Families of the study, which are fitted, and blends of recent values, which are not.
 FAMILIES = ("ridge", "boosted")
+BLENDS = ("blend_6", "blend_4")
 COMPARISONS = (
     ("B_minus_A", "cases_rainfall", "cases_only"),
     ("C_minus_B", "cases_full_weather", "cases_rainfall"),
@@ -22,18 +29,18 @@ COMPARISONS = (
 
 
 def scorers() -> dict[tuple[str, str], F.Column]:
-    """Linear scores of the origin columns, so that error tables do not depend on a fit."""
+    """Blends of the origin columns: error tables over them can be recomputed in SQL row by row."""
     mean4 = sum((F.col(f"cases_lag_{k}") for k in (2, 3, 4)), F.col("cases_lag_1")) / 4.0
     rain = F.coalesce("rainfall_sum_mm", F.lit(0.0)) / 613.0
     temp = (F.coalesce("temp_mean_c", F.lit(25.0)) - 25.0) / 97.0
     mix = lambda w: (F.col("cases") * w + mean4 * (13.0 - w)) / 13.0
-    base = {"ridge": mix(6.0), "boosted": mix(4.0)}
+    base = {"blend_6": mix(6.0), "blend_4": mix(4.0)}
     extra = {"cases_only": F.lit(0.0), "cases_rainfall": rain, "cases_full_weather": rain + temp}
-    return {(fam, fs): base[fam] + extra[fs] for fam in FAMILIES for fs in FEATURE_SETS}
+    return {(fam, fs): base[fam] + extra[fs] for fam in BLENDS for fs in FEATURE_SETS}
 
 
 def forecast_table(p: Panels, evaluation: DataFrame) -> DataFrame:
-    """Prediction rows of every fit over the evaluation cohort."""
+    """Prediction rows of every blend over the evaluation cohort."""
     wx = p.weather_weekly.select("entity_id", "week_start", "rainfall_sum_mm", "temp_mean_c")
     rows = evaluation.join(wx, ["entity_id", "week_start"], "left")
     return E.prediction_table(rows, scorers())
@@ -95,7 +102,7 @@ def holdout_series(
     limits = exact_quantiles(
         train, [], policy.target, {"threshold90": 0.9, "threshold95": 0.95}
     ).select(F.struct("threshold90", "threshold95"))
-    score = scorers()[("ridge", "cases_only")]
+    score = scorers()[("blend_6", "cases_only")]
     model = (
         S.holdout_rows(p.model_panel, policy, year)
         .withColumn("_t", limits.scalar())
@@ -134,3 +141,37 @@ def fit_schedule(folds: DataFrame) -> DataFrame:
             "family",
         )
     )
+
+
+def study_panel(p: Panels) -> DataFrame:
+    """All features with the direct targets of every horizon, as a staged table."""
+    return stage_table(p.feature_panel.withColumns(FE.direct_targets(over=FE.entity_weeks())), "study_panel")
+
+
+def run_study(p: Panels, years: tuple[int, ...], boundary: str, families: tuple[str, ...] = FAMILIES) -> ST.Schedule:
+    """Fits every horizon x feature set x family x fold that the study of this panel has not fitted yet.
+
+    The study's folder is named by a digest of the panel and the folds, so fits are found again by any
+    later run over the same rows, and changed rows begin a study of their own.
+    """
+    panel = study_panel(p)
+    sets = {s: REG.feature_set_columns(panel.columns, s) for s in FEATURE_SETS}
+    seen = panel.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*panel.columns).cast("decimal(38,0)"))).first()
+    mark = f"{seen[0]}-{seen[1]}-{'-'.join(map(str, years))}-{boundary}"
+    schedule = ST.Schedule(p.spark, f"{shared_dir(p.spark).rstrip('/')}/study-{mark}")
+    origins = stage_table(K.fold_origins(panel, years), "fold_origins")
+    folds = sorted(r.fold for r in origins.select("fold").collect())
+    units = {f"{fam}-h{h}": {f"h{h}__{s}__{fam}__{f}" for s in FEATURE_SETS for f in folds} for fam in families for h in HORIZONS}
+    done = schedule.done()
+    if all(fits <= done for fits in units.values()):
+        return schedule
+    data = ST.prepare(K.training_rows(K.long_targets(panel), origins, boundary=boundary), K.long_targets(K.evaluation_rows(panel, years)), sets)
+
+    def work(unit: str) -> tuple[DataFrame, list[dict]]:
+        family, horizon = unit.rsplit("-h", 1)
+        part = data.of_horizon(int(horizon))
+        fitted = ST.fit_family(part, family)
+        return ST.predictions(fitted, part, family), ST.fit_rows(fitted, part, family)
+
+    schedule.run(units, work)
+    return schedule

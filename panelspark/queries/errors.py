@@ -208,10 +208,10 @@ def change_categories(p: Panels) -> DataFrame:
     "category_pivot",
     "SELECT horizon, fold, "
     + ", ".join(f"count(*) FILTER (category = '{c}')::BIGINT AS {c}" for c in E.CHANGE_CATEGORIES)
-    + " FROM categorized WHERE feature_set = 'cases_only' AND family = 'ridge' GROUP BY 1, 2",
+    + " FROM categorized WHERE feature_set = 'cases_only' AND family = 'blend_6' GROUP BY 1, 2",
 )
 def category_pivot(p: Panels) -> DataFrame:
-    one = predictions(p).filter((F.col("feature_set") == "cases_only") & (F.col("family") == "ridge"))
+    one = predictions(p).filter((F.col("feature_set") == "cases_only") & (F.col("family") == "blend_6"))
     return E.category_pivot(E.categorized(one, thresholds(p)), ["horizon", "fold"])
 
 
@@ -265,7 +265,7 @@ SELECT fold, horizon, round(avg(abs(perr)) FILTER (y >= q90_incidence), 8) AS ma
   round(avg(perr) FILTER (y >= q90_incidence), 8) + 0.0 AS bias_top_10pct, round(avg((perr < 0)::INT) FILTER (y >= q90_incidence), 8) AS underprediction_rate_top_10pct,
   round(avg(abs(perr)) FILTER (y >= q95_incidence), 8) AS mae_top_5pct, round(sqrt(avg(perr * perr) FILTER (y >= q95_incidence)), 8) AS rmse_top_5pct,
   round(avg(perr) FILTER (y >= q95_incidence), 8) + 0.0 AS bias_top_5pct, round(avg((perr < 0)::INT) FILTER (y >= q95_incidence), 8) AS underprediction_rate_top_5pct
-FROM scored WHERE feature_set = 'cases_only' AND family = 'ridge' GROUP BY 1, 2
+FROM scored WHERE feature_set = 'cases_only' AND family = 'blend_6' GROUP BY 1, 2
 """,
 )
 def high_incidence_metrics(p: Panels) -> DataFrame:

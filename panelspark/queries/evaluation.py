@@ -218,7 +218,7 @@ FROM fold_rows JOIN fold_thr USING (fold_id) WHERE role = 'validation'
 
 def fold_model(rows: DataFrame) -> DataFrame:
     """A model series on the validation rows: the cases-only linear score."""
-    score = FC.scorers()[("ridge", "cases_only")]
+    score = FC.scorers()[("blend_6", "cases_only")]
     return (
         rows.filter("role = 'validation'")
         .join(FC.fold_thresholds(rows), "fold_id")
@@ -421,7 +421,7 @@ b AS (SELECT e.*, coalesce(rainfall_sum_mm, 0) / 613.0 AS rain, (coalesce(temp_m
   FROM eval_long e LEFT JOIN w ON w.entity_id = e.entity_id AND w.week_start = e.week_start),
 m AS (SELECT b.*, family, feature_set, ((wc * cases + (13 - wc) * mean4) / 13.0 + CASE WHEN feature_set <> 'cases_only' THEN rain ELSE 0 END
     + CASE WHEN feature_set = 'cases_full_weather' THEN temp ELSE 0 END)::DOUBLE AS s
-  FROM b, (VALUES ('ridge', 6.0::DOUBLE), ('boosted', 4.0::DOUBLE)) f(family, wc), (VALUES ('cases_only'), ('cases_rainfall'), ('cases_full_weather')) g(feature_set))
+  FROM b, (VALUES ('blend_6', 6.0::DOUBLE), ('blend_4', 4.0::DOUBLE)) f(family, wc), (VALUES ('cases_only'), ('cases_rainfall'), ('cases_full_weather')) g(feature_set))
 SELECT 'h' || horizon || '__' || feature_set || '__' || family || '__' || fold AS fit_id, fold, horizon::BIGINT AS horizon, feature_set, family, entity_id,
   week_start AS origin_start, week_end AS origin_end, (week_start + 7 * horizon)::DATE AS target_start, target_end,
   cases AS observed_current, target AS observed_target, greatest(s, 0.0) AS prediction_model, cases::DOUBLE AS prediction_persistence FROM m
@@ -561,12 +561,12 @@ def tuning_feature_set_pick(p: Panels) -> DataFrame:
     """
 SELECT horizon, feature_set, family, round(m, 8) AS mean_fold_mae, round(r, 8) AS mean_fold_rmse FROM (
   SELECT horizon, feature_set, family, avg(mae_model) AS m, avg(rmse_model) AS r, row_number() OVER (PARTITION BY horizon ORDER BY avg(mae_model),
-    family <> 'ridge', CASE feature_set WHEN 'cases_only' THEN 1 WHEN 'cases_rainfall' THEN 2 ELSE 3 END) AS rn FROM fold_metrics GROUP BY 1, 2, 3) WHERE rn = 1
+    family <> 'blend_6', CASE feature_set WHEN 'cases_only' THEN 1 WHEN 'cases_rainfall' THEN 2 ELSE 3 END) AS rn FROM fold_metrics GROUP BY 1, 2, 3) WHERE rn = 1
 """,
 )
 def champion_per_horizon(p: Panels) -> DataFrame:
     counts = {"cases_only": 28, "cases_rainfall": 45, "cases_full_weather": 60}
-    out = SEL.champion_per_horizon(h_folds(p), counts, first_family="ridge")
+    out = SEL.champion_per_horizon(h_folds(p), counts, first_family="blend_6")
     return _round(out, "mean_fold_mae", "mean_fold_rmse")
 
 
@@ -682,7 +682,7 @@ def prediction_semantics(p: Panels) -> DataFrame:
     "prediction_contract",
     f"""
 WITH bad AS (SELECT * FROM predictions WHERE NOT (feature_set = 'cases_rainfall' AND entity_id = 4)),
-dup AS (SELECT * FROM bad UNION ALL SELECT * FROM predictions WHERE feature_set = 'cases_only' AND family = 'ridge' AND entity_id = 6),
+dup AS (SELECT * FROM bad UNION ALL SELECT * FROM predictions WHERE feature_set = 'cases_only' AND family = 'blend_6' AND entity_id = 6),
 e AS (SELECT DISTINCT fold, horizon, entity_id, week_start FROM eval_long),
 c AS (SELECT DISTINCT horizon, feature_set, family FROM predictions)
 SELECT c.horizon, c.feature_set, c.family,
@@ -698,7 +698,7 @@ def prediction_contract(p: Panels) -> DataFrame:
     full = staged_predictions(p)
     bad = full.filter(~((F.col("feature_set") == "cases_rainfall") & (F.col("entity_id") == 4)))
     dup = bad.unionByName(
-        full.filter((F.col("feature_set") == "cases_only") & (F.col("family") == "ridge") & (F.col("entity_id") == 6))
+        full.filter((F.col("feature_set") == "cases_only") & (F.col("family") == "blend_6") & (F.col("entity_id") == 6))
     )
     return C.prediction_contract(
         dup, evaluation(p), config=["horizon", "feature_set", "family"],
@@ -710,7 +710,7 @@ def prediction_contract(p: Panels) -> DataFrame:
     "fold_coverage_check",
     """
 WITH c AS (SELECT DISTINCT horizon, feature_set, family FROM fold_metrics), f AS (SELECT DISTINCT fold FROM fold_metrics),
-have AS (SELECT * FROM fold_metrics WHERE NOT (fold = 1999 AND horizon = 3 AND family = 'ridge'))
+have AS (SELECT * FROM fold_metrics WHERE NOT (fold = 1999 AND horizon = 3 AND family = 'blend_6'))
 SELECT c.horizon, c.feature_set, c.family, f.fold FROM c, f WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.horizon = c.horizon AND h.feature_set = c.feature_set
   AND h.family = c.family AND h.fold = f.fold)
 """,
@@ -719,7 +719,7 @@ def fold_coverage_check(p: Panels) -> DataFrame:
     """Expected configurations x folds that have no metrics."""
     folds = stage_table(E.fold_table(predictions(p)), "fold_metrics")
     have = folds.filter(
-        ~((F.col("fold") == 1999) & (F.col("horizon") == 3) & (F.col("family") == "ridge"))
+        ~((F.col("fold") == 1999) & (F.col("horizon") == 3) & (F.col("family") == "blend_6"))
     )
     config = ["horizon", "feature_set", "family"]
     expected = C.expected_combinations(folds, config, "fold")
