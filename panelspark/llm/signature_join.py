@@ -6,10 +6,13 @@
    that many documents share rarely enter a prefix.
 3. Classes that share a prefix shingle are linked to the best of their shingles' most central members,
    checked exactly on the texts, and joined to components: a group of copies costs one check per member.
-4. Prefix shingles that still hold several components are dealt out by shingle and size range. In
-   each such group a tree is built whose nodes hold the OR of their members' shingle bitmaps and
-   their size range. Two trees are walked together, and a pair of nodes is dropped when even its
-   largest possible overlap is too small, or when both hold one and the same component only.
+4. Prefix shingles that still hold several components are dealt out by shingle and size range; of
+   shingles with the very same members only the first in the order is kept, since every pair that
+   shares a later one shares it too. In each such group a tree is built whose nodes hold the OR of
+   their members' shingle bitmaps, their size range, and how many shingles follow in the order at
+   most. Two trees are walked together, and a pair of nodes is dropped when even its largest possible
+   overlap is too small, or when both hold one and the same component only. A pair of members stays if
+   its full bitmaps allow the threshold.
 5. The pairs of leaves that remain are checked exactly, first the most promising pair of each set,
    then those still between components; connected components give the classes.
 
@@ -123,7 +126,7 @@ def frequent_shingles(rows: DataFrame, k: int) -> np.ndarray:
 
 def _sets(k: int, percent: int, frequent: np.ndarray):
     schema = pa.schema([
-        ("_id", pa.int64()), ("_row", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("tokens", pa.list_(pa.int64())), ("bits", pa.binary()), ("coarse", pa.binary()),
+        ("_id", pa.int64()), ("_row", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("tokens", pa.list_(pa.int64())), ("bits", pa.binary()),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +143,7 @@ def _sets(k: int, percent: int, frequent: np.ndarray):
                 at = np.concatenate(([0], np.cumsum([len(t) for t in tokens]))).astype(np.int32)
                 flat = np.concatenate(tokens) if tokens else np.empty(0, np.int64)
                 yield pa.record_batch(
-                    [part.column("_id"), part.column("_row"), pa.array(n, pa.int32()), pa.array(node, pa.int64()), pa.ListArray.from_arrays(at, flat), pa.array(bits, pa.binary()), pa.array([folded([b], BITS // 8).tobytes() for b in bits], pa.binary())],
+                    [part.column("_id"), part.column("_row"), pa.array(n, pa.int32()), pa.array(node, pa.int64()), pa.ListArray.from_arrays(at, flat), pa.array(bits, pa.binary())],
                     schema=schema,
                 )
 
@@ -208,16 +211,16 @@ def components(links: DataFrame, name: str = "components", rounds: int = 60) ->
 class Tree:
     """Members sorted by component and size; level 0 are leaves, each level above joins eight nodes."""
 
-    def __init__(self, node: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: np.ndarray):
-        order = np.lexsort((node, n, comp))
-        self.node, self.n, self.comp, self.bits = node[order], n[order], comp[order], bits[order]
-        #: Per level: nodes' width, size range, OR and AND of the bitmaps, component range.
+    def __init__(self, node: np.ndarray, n: np.ndarray, rest: np.ndarray, comp: np.ndarray, bits: np.ndarray):
+        self.order = order = np.lexsort((node, n, comp))
+        self.node, self.n, self.rest, self.comp, self.bits = node[order], n[order], rest[order], comp[order], bits[order]
+        #: Per level: nodes' width, size range, most shingles from the shared one on, OR and AND of the bitmaps, component range.
         self.levels, width = [], LEAF
         while True:
             at = np.arange(0, len(node), width)
             low, high = np.minimum.reduceat(self.n, at), np.maximum.reduceat(self.n, at)
             first, last = np.minimum.reduceat(self.comp, at), np.maximum.reduceat(self.comp, at)
-            self.levels.append((width, low, high, np.bitwise_or.reduceat(self.bits, at), np.bitwise_and.reduceat(self.bits, at), first, last))
+            self.levels.append((width, low, high, np.maximum.reduceat(self.rest, at), np.bitwise_or.reduceat(self.bits, at), np.bitwise_and.reduceat(self.bits, at), first, last))
             if len(at) == 1:
                 break
             width *= 8
@@ -227,25 +230,26 @@ def _ones(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).sum(axis=-1, dtype=np.int64)
 
 
-def _possible(percent, low_a, high_a, miss_a, low_b, high_b, miss_b):
+def _possible(percent, low_a, high_a, rest_a, miss_a, low_b, high_b, rest_b, miss_b):
     """Whether sizes in these ranges, with so many bits certainly missing on the other side, can reach the
-    threshold: overlap o needs (100 + percent) o >= percent (x + y), and o <= x - miss_a, o <= y - miss_b."""
-    most = np.minimum(high_a - miss_a, high_b - miss_b)
+    threshold: overlap o needs (100 + percent) o >= percent (x + y), and o <= x - miss_a, o <= y - miss_b.
+    At the first shared shingle the overlap lies in the ``rest`` from it on."""
+    most = np.minimum(np.minimum(high_a - miss_a, high_b - miss_b), np.minimum(rest_a, rest_b))
     near = 100 * np.minimum(high_a, high_b) >= percent * np.maximum(low_a, low_b)
     return near & ((100 + percent) * most >= percent * (low_a + low_b))
 
 
 def walk(left: Tree, right: Tree, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of nodes of different components that the bounds can't exclude, by dual traversal."""
+    """Places of pairs of members of different components that the bounds can't exclude, by dual traversal."""
     depth = max(len(left.levels), len(right.levels)) - 1
     a, b = np.zeros(1, np.int64), np.zeros(1, np.int64)
     for level in range(depth, -1, -1):
         la, lb = min(level, len(left.levels) - 1), min(level, len(right.levels) - 1)
-        _, low_a, high_a, or_a, and_a, fa, za = left.levels[la]
-        _, low_b, high_b, or_b, and_b, fb, zb = right.levels[lb]
+        _, low_a, high_a, rest_a, or_a, and_a, fa, za = left.levels[la]
+        _, low_b, high_b, rest_b, or_b, and_b, fb, zb = right.levels[lb]
         miss_a, miss_b = _ones(and_a[a] & ~or_b[b]), _ones(and_b[b] & ~or_a[a])
         same = (fa[a] == za[a]) & (fb[b] == zb[b]) & (fa[a] == fb[b])
-        keep = ~same & _possible(percent, low_a[a], high_a[a], miss_a, low_b[b], high_b[b], miss_b)
+        keep = ~same & _possible(percent, low_a[a], high_a[a], rest_a[a], miss_a, low_b[b], high_b[b], rest_b[b], miss_b)
         a, b = a[keep], b[keep]
         if not len(a):
             return
@@ -265,23 +269,32 @@ def walk(left: Tree, right: Tree, percent: int) -> Iterator[tuple[np.ndarray, np
         x, y = x.ravel(), y.ravel()
         keep = (x < len(left.n)) & (y < len(right.n)) & ((x < y) if left is right else True)
         x, y = x[keep], y[keep]
-        keep = (left.comp[x] != right.comp[y]) & (100 * np.minimum(left.n[x], right.n[y]) >= percent * np.maximum(left.n[x], right.n[y]))
+        keep = left.comp[x] != right.comp[y]
         x, y = x[keep], y[keep]
         bx, by = left.bits[x], right.bits[y]
         nx, ny = left.n[x], right.n[y]
-        most = np.minimum(nx - _ones(bx & ~by), ny - _ones(by & ~bx))
-        keep = (100 + percent) * most >= percent * (nx + ny)
-        yield left.node[x[keep]], right.node[y[keep]]
+        keep = _possible(percent, nx, nx, left.rest[x], _ones(bx & ~by), ny, ny, right.rest[y], _ones(by & ~bx))
+        yield x[keep], y[keep]
 
 
 def _candidates(percent: int):
-    """Groups (part, home or guest rows) follow each other; gives the pairs of each that survive the walk."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """Groups (part, home or guest rows) follow each other; gives the pairs of each that survive, with their best similarity."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("best", pa.float64())])
+
+    def judged(rows: dict, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        """Pairs of places whose full bitmaps leave the threshold possible."""
+        node, n, bits, out = rows["node"], rows["n"], rows["bits"], []
+        for i, j in zip(x.tolist(), y.tolist()):
+            u, v = folded([bits[i], bits[j]])
+            most = min(n[i] - int(_ones(u & ~v)), n[j] - int(_ones(v & ~u)))
+            if (100 + percent) * most >= percent * (n[i] + n[j]):
+                out.append((min(node[i], node[j]), max(node[i], node[j]), most / (n[i] + n[j] - most)))
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out), schema)] if out else [pa.array([], f.type) for f in schema], schema=schema)
 
     def walked(rows: dict) -> Iterator[pa.RecordBatch]:
         bits = folded(rows["bits"])
         home = ~rows["guest"]
-        tree = lambda m: Tree(rows["node"][m], rows["n"][m], rows["comp"][m], bits[m])
+        tree = lambda m: (Tree(rows["node"][m], rows["n"][m], rows["rest"][m], rows["comp"][m], bits[m]), np.flatnonzero(m))
         sides = []
         if home.any():
             own = tree(home)
@@ -289,35 +302,33 @@ def _candidates(percent: int):
                 sides.append((own, own))
             if not home.all():
                 sides.append((own, tree(~home)))
-        for left, right in sides:
-            for a, b in walk(left, right, percent):
-                yield pa.record_batch([np.minimum(a, b), np.maximum(a, b)], schema=schema)
+        for (left, at), (right, of) in sides:
+            for x, y in walk(left, right, percent):
+                yield judged(rows, at[left.order[x]], of[right.order[y]])
 
     def single_leaves(group: np.ndarray, rows: dict) -> Iterator[pa.RecordBatch]:
         """Groups that fit a leaf, all at once: their members are compared with the next ones in the group."""
         bits = folded(rows["bits"], BITS // 8)
-        node, n, comp, guest, apart = (rows[c] for c in ("node", "n", "comp", "guest", "apart"))
+        n, rest, comp, guest, apart = (rows[c] for c in ("n", "rest", "comp", "guest", "apart"))
         for step in range(1, LEAF):
             x = np.flatnonzero(group[step:] == group[:-step]) if len(group) > step else np.empty(0, np.int64)
             if not len(x):
                 return
             y = x + step
-            keep = (comp[x] != comp[y]) & np.where(apart[x], guest[x] != guest[y], ~guest[x] & ~guest[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+            keep = (comp[x] != comp[y]) & np.where(apart[x], guest[x] != guest[y], ~guest[x] & ~guest[y])
             x, y = x[keep], y[keep]
-            most = np.minimum(n[x] - _ones(bits[x] & ~bits[y]), n[y] - _ones(bits[y] & ~bits[x]))
-            keep = (100 + percent) * most >= percent * (n[x] + n[y])
-            a, b = node[x[keep]], node[y[keep]]
-            yield pa.record_batch([np.minimum(a, b), np.maximum(a, b)], schema=schema)
+            keep = _possible(percent, n[x], n[x], rest[x], _ones(bits[x] & ~bits[y]), n[y], n[y], rest[y], _ones(bits[y] & ~bits[x]))
+            yield judged(rows, x[keep], y[keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain, rest = ("node", "n", "comp", "guest", "apart"), None
+        plain, rest = ("node", "n", "rest", "comp", "guest", "apart"), None
         for batch in _with_end(batches):
             key = np.empty((0, 4), np.int64)
             rows = {c: np.empty(0, bool if c in ("guest", "apart") else np.int64) for c in plain} | {"bits": []}
             if batch is not None:
                 key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("token", "range", "left", "right")], axis=1)
                 rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in plain} | {"bits": batch.column("bits").to_pylist()}
-                rows["n"] = rows["n"].astype(np.int64)
+                rows |= {c: rows[c].astype(np.int64) for c in ("n", "rest")}
             if rest:
                 key = np.concatenate([rest[0], key])
                 rows = {c: [*rest[1][c], *v] if c == "bits" else np.concatenate([rest[1][c], v]) for c, v in rows.items()}
@@ -372,16 +383,20 @@ def sifted(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def tree_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs among members (token, node, n, comp) of the same token and different components.
+    """Candidate pairs among members (token, pos, node, n, comp) of the same token and different components.
 
     Up to SIDE members of a token are one group. Beyond, a member is at home in its size range and a
     guest in the next one (similar sizes are at most one range apart), large ranges are dealt into
     blocks of about SIDE members, and every pair of blocks is a tree walk of its own, so no walk
     holds more than two blocks.
     """
-    mixed = stage_table(members.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count(F.lit(1)).alias("c")).filter("a < b").select("token", "c"), "mixed")
+    same = [F.expr(f"bit_xor(xxhash64(node, {seed}))").alias(f"s{seed}") for seed in (0, 1)]
+    mixed = members.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count(F.lit(1)).alias("c"), F.min("pos").alias("least"), *same)
+    # Tokens with the same members stand in the same order in all of them; the first one is enough.
+    mixed = mixed.filter("a < b").groupBy("c", "s0", "s1").agg(F.min_by("token", "least").alias("token")).select("token", "c")
+    mixed = stage_table(mixed, "mixed")
     base = -math.log(min(percent, 99) / 100) * (1 + 1e-6)
-    rows = members.join(mixed, "token").withColumn("range", F.when(F.col("c") > SIDE, F.floor(F.log("n") / base).cast("int")).otherwise(0)).drop("c")
+    rows = members.join(mixed, "token").withColumn("range", F.when(F.col("c") > SIDE, F.floor(F.log("n") / base).cast("int")).otherwise(0)).withColumn("rest", F.col("n") - F.col("pos")).drop("c", "pos")
     rows = stage_table(rows, "mixed-members")
     size = rows.groupBy("token", "range").agg(F.ceil(F.count(F.lit(1)) / SIDE).cast("int").alias("blocks"))
     own = rows.join(size, ["token", "range"]).withColumn("block", F.pmod(F.hash("node"), "blocks"))
@@ -394,10 +409,11 @@ def tree_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     within = F.transform(every("blocks"), lambda o: at(r, F.least(b, o), F.greatest(b, o), b > o, b != o))
     as_home = F.transform(every("below"), lambda o: at(r, b, -1 - o, F.lit(False), F.lit(True)))
     as_guest = F.transform(every("above"), lambda o: at(r + 1, o, -1 - b, F.lit(True), F.lit(True)))
-    placed = own.select("token", "node", "n", "comp", F.explode(F.concat(within, as_home, as_guest)).alias("p")).select("token", "node", "n", "comp", "p.*")
-    placed = placed.join(sets.select("node", F.col("coarse").alias("bits")), "node").repartition("token", "range", "left", "right").sortWithinPartitions("token", "range", "left", "right")
-    placed = placed.select("token", "range", "left", "right", "node", "n", "comp", "guest", "apart", "bits")
-    return placed.mapInArrow(_candidates(percent), "a long, b long").distinct()
+    kept = ["token", "node", "n", "rest", "comp"]
+    placed = own.select(*kept, F.explode(F.concat(within, as_home, as_guest)).alias("p")).select(*kept, "p.*")
+    placed = placed.join(sets.select("node", "bits"), "node").repartition("token", "range", "left", "right").sortWithinPartitions("token", "range", "left", "right")
+    placed = placed.select("token", "range", "left", "right", "node", "n", "rest", "comp", "guest", "apart", "bits")
+    return placed.mapInArrow(_candidates(percent), "a long, b long, best double").dropDuplicates(["a", "b"])
 
 
 def row_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
@@ -414,13 +430,13 @@ def classes_of(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str
         F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("_text"),
     )
     frequent = frequent_shingles(rows, k)
-    sets = stage_table(rows.mapInArrow(_sets(k, percent, frequent), "_id long, _row long, n int, node long, tokens array<long>, bits binary, coarse binary"), "sets")
-    tokens = sets.filter("n > 0").select("node", "n", F.explode("tokens").alias("token"))
+    sets = stage_table(rows.mapInArrow(_sets(k, percent, frequent), "_id long, _row long, n int, node long, tokens array<long>, bits binary"), "sets")
+    tokens = sets.filter("n > 0").select("node", "n", F.posexplode("tokens").alias("pos", "token"))
     shared = tokens.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("token")
-    members = stage_table(tokens.join(stage_table(shared, "shared"), "token").groupBy("token", "node").agg(F.first("n").alias("n")), "members")
+    members = stage_table(tokens.join(stage_table(shared, "shared"), "token").groupBy("token", "node").agg(F.first("n").alias("n"), F.first("pos").alias("pos")), "members")
     classes = members.select("node").distinct()
     nodes = stage_table(
-        sets.select("node", "_row", "n", "bits", "coarse").join(classes, "node").groupBy("node").agg(F.min("_row").alias("_row"), *[F.first(c).alias(c) for c in ("n", "bits", "coarse")]), "nodes"
+        sets.select("node", "_row", "n", "bits").join(classes, "node").groupBy("node").agg(F.min("_row").alias("_row"), *[F.first(c).alias(c) for c in ("n", "bits")]), "nodes"
     )
 
     def texts_of(pairs: DataFrame) -> DataFrame:
@@ -447,8 +463,8 @@ def classes_of(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str
     best = stage_table(sifted(best, nodes, percent).select("a", "b"), "leaders")
     links = links_of(best, texts_of(best))
     known = components(links)
-    labelled = members.select("token", "node", "n").join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    pairs = stage_table(sifted(tree_pairs(stage_table(labelled, "labelled"), nodes, percent), nodes, percent), "pairs")
+    labelled = members.select("token", "pos", "node", "n").join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    pairs = stage_table(tree_pairs(stage_table(labelled, "labelled"), nodes, percent), "pairs")
     texts = texts_of(pairs)
     # The most promising pair of each set first: that links most of what is to be linked.
     for _ in range(PROMISING):
@@ -462,10 +478,13 @@ def classes_of(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str
     rest = stage_table(across(pairs, known).select("a", "b"), "rest")
     final = components(links.unionByName(links_of(rest, texts)))
 
-    of = sets.select("_id", "_row", "n", "node").join(final, "node", "left").withColumn("_c", F.when(F.col("n") > 0, F.coalesce("comp", "node")))
     me = F.struct("_id", "_row")
-    first = of.filter("n > 0").groupBy("_c").agg(F.min(me).alias("_first"))
-    return of.join(first, "_c", "left").select("_id", "_row", "n", F.coalesce("_first", me).alias("_first"))
+    every = sets.select("_id", "_row", "n", "node")
+    of = every.filter("n > 0").join(final, "node", "left").withColumn("_c", F.coalesce("comp", "node"))
+    first = of.groupBy("_c").agg(F.min(me).alias("_first"))
+    linked = of.join(first, "_c").select("_id", "_row", "n", "_first")
+    # Texts without words are linked with nothing, so they have no class to meet in.
+    return linked.unionByName(every.filter("n = 0").select("_id", "_row", "n", me.alias("_first")))
 
 
 def join(docs: DataFrame, k: int = 4, percent: int = 85, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

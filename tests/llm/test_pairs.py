@@ -90,8 +90,8 @@ def test_tree_walk_keeps_every_pair_above_the_threshold():
         sets.append(np.unique(np.concatenate([base[keep], rng.integers(0, 2**63, rng.integers(1, 60)).astype(np.uint64)])))
     bits = signature_join.folded([signature_join.bitmap(s).tobytes() for s in sets])
     n, ids = np.array([len(s) for s in sets]), np.arange(len(sets))
-    tree = signature_join.Tree(ids, n, ids.copy(), bits)
-    found = {tuple(sorted(p)) for a, b in signature_join.walk(tree, tree, 85) for p in zip(a.tolist(), b.tolist())}
+    tree = signature_join.Tree(ids, n, n.copy(), ids.copy(), bits)
+    found = {tuple(sorted(p)) for a, b in signature_join.walk(tree, tree, 85) for p in zip(tree.node[a].tolist(), tree.node[b].tolist())}
     for i in range(len(sets)):
         for j in range(i):
             both = len(np.intersect1d(sets[i], sets[j]))
