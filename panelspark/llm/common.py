@@ -40,6 +40,13 @@ def likely(df: DataFrame, key: str, keys: DataFrame, buckets: int = 256) -> Data
     return marked.filter(F.getbit(byte, (at % 8).cast("int")) == 1).select(*df.columns)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 def text_slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``CHUNK_BYTES`` of text each, so temporaries stay small."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

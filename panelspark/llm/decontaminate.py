@@ -27,6 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelspark.llm import common  # noqa: F401
 
@@ -220,9 +221,38 @@ def search(
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` in whose text no item is found; every column is kept."""
-    key = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
-    keyed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], key.alias("_key"))
-    bad = search(keyed.select(F.col("_key").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), benchmark, **options).select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(bad, "_key", "left_anti").drop("_key")
+def _flagged(items: list[tuple], k: int, radius: int, threshold: float, kept: list[str]):
+    """Rows in whose text no item is found; the decision needs the row alone, so nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = build_index(items, k, radius)
+        small = [w for w in index.widths if w < index.k]
+        for batch in batches:
+            for part in common.text_slices(batch, "text"):
+                words, bounds = word_hashes(part.column("text"))
+                some = np.zeros(len(part), bool)
+                for size in {k, *small}:
+                    at, row = common.gram_starts(bounds, size)
+                    some[row[shared(index, common.span_hashes(words, at, at + size))]] = True
+                for i in np.flatnonzero(some):
+                    some[i] = bool(matches(index, words[bounds[i] : bounds[i + 1]], threshold))
+                yield part.select(kept).filter(pa.array(~some))
+
+    return run
+
+
+def clean(
+    docs: DataFrame, benchmark: DataFrame, *, k: int = 5, threshold: float = 0.8, radius: int = 31, broadcast_bytes: int = 4 << 20,
+    text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``docs`` in whose text no item is found; every column is kept, whatever its name."""
+    names, at = docs.columns, docs.columns.index(text_col)
+    own, string = [f"c{i}" for i in range(len(names))], docs.schema[at].dataType == T.StringType()
+    kept = ["text" if string and i == at else c for i, c in enumerate(own)]
+    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(kept, docs.schema)])
+    out = docs.toDF(*own)
+    for items in parts(benchmark, broadcast_bytes, item_col, item_text_col):
+        if items:
+            with_text = out.withColumnRenamed(own[at], "text") if string else out.withColumn("text", F.col(own[at]).cast("string"))
+            out = with_text.mapInArrow(_flagged(items, k, radius, threshold, kept), schema).toDF(*own)
+    return out.toDF(*names)

@@ -498,5 +498,9 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 80, *, id_col: str =
 
     Texts without words stay; rows that repeat both id and text stand or fall together.
     """
+    names = docs.columns
+    own = [f"c{i}" for i in range(len(names))]
     gone = classes_of(docs, k, percent, id_col, text_col).filter("_row != _first._row").select("_row").distinct()
-    return docs.withColumn("_row", row_key(docs, id_col, text_col)).join(gone, "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.toDF(*own)
+    key = row_key(rows, own[names.index(id_col)], own[names.index(text_col)])
+    return rows.withColumn("_row", key).join(gone, "_row", "left_anti").select(*own).toDF(*names)

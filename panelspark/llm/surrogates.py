@@ -50,23 +50,31 @@ MAIL_DOMAIN = r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 # Each alternative begins with what a single character can rule out, so plain words cost little.
 NUMBERED = (
     r"(?<![\p{L}\d])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?![0-9A-Za-z])",
+    r"(?<![\p{L}\d])[a-z]{2}\d{2}(?=[a-z]{0,8}\d{6})[a-z0-9]{11,30}(?![0-9A-Za-z])",
+    r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])",
+    r"(?<![0-9A-Za-z:.])(?=[A-Fa-f:]{0,30}[0-9])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![0-9A-Za-z:])",
     rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\d|\.\d)",
     r"(?<![\p{L}\d])\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}(?!\d)",
     r"(?<![\p{L}\d])\d{13,19}(?![\p{L}\d])",
     r"(?<![\p{L}\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     r"(?<![\p{L}\d])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)",
+    r"(?<![\p{L}\d])\+(?=(?:[ .()-]{0,2}\d){8,15}(?!\d))\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,6}(?!\d)",
+    r"(?<![\p{L}\d.-])\d{3}([-.])\d{3}\1\d{4}(?![\d-])",
+    r"(?<![\p{L}\d])0\d{2,4}[ /-]\d{6,8}(?!\d)",
     r"(?<![\p{L}\d])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)",
 )
 PATTERNS = (
     rf"(?:\G|(?<!{MAIL_CHAR})){MAIL_CHAR}++{MAIL_DOMAIN}",
     r"(?=AKIA)(?<![\p{L}\d])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])",
-    r"(?<=[=:])(?<=(?i:password|passwd|secret)[=:])[^\s\"',;]+",
-    r"(?<=[=: \"])(?=[0-9A-Fa-f]{16})(?<=(?i:token|api_key) ?[=:] ?\"?)[0-9A-Fa-f]{16,}",
-    "(?=[0-9A-Z+(])(?:" + "|".join(NUMBERED) + ")",
+    r"(?<=[=:\"'])(?<=(?i:password|passwd|passphrase|secret)[=:][\"']?)[^\s\"',;]+",
+    r"(?<=[=: \"'])(?=[^\s\"',;]{0,60}[0-9_@#$%^&*+!])(?<=(?i:password|passwd|passphrase|secret) {0,2}[=:] {0,2}[\"']?)[^\s\"',;]+",
+    r"(?<=[=: \"'])(?=[0-9A-Za-z_-]{0,60}\d)(?<=(?i:token|api[_-]?key|access[_-]?key|secret[_-]?key) ?[=:] ?[\"']?)[0-9A-Za-z_-]{12,}",
+    "(?=[0-9A-Za-z+(])(?:" + "|".join(NUMBERED) + ")",
     rf"(?=[{INITIALS}])(?<!\p{{L}}){TITLE}\.? {NAME_PART}(?: {NAME_PART}){{0,2}}",
 )
 ENTITY = "|".join(PATTERNS)
-QUICK = rf"[0-9@=:]|(?=[{INITIALS}]){TITLE}\.? \p{{Lu}}"
+#: What every match of ``ENTITY`` contains: texts without it hold no entity. A test draws matches of each pattern.
+QUICK = rf"[0-9@=:]|AKIA|(?=[{INITIALS}]){TITLE}\.? \p{{Lu}}"
 #: A private-use character that sets entities off; texts that hold it take the plain way.
 MARK = "\ue000"
 #: Attempts that keep the length; later ones add one character each.
@@ -95,9 +103,10 @@ def kind(entity: Column) -> Column:
         F.when(entity.contains("@") & entity.rlike(f"^{MAIL_CHAR}+{MAIL_DOMAIN}$"), "mail")
         .when(entity.rlike(rf"^{TITLE}\.? \p{{Lu}}"), "name")
         .when(entity.rlike(r"^AKIA[0-9A-Z]{16}$"), "access_key")
-        .when(entity.rlike(r"^[A-Z]{2}\d{2}[ A-Z0-9]+$"), "account")
+        .when(entity.rlike(r"^(?:[A-Z]{2}\d{2}[ A-Z0-9]+|[a-z]{2}\d{2}(?=.*\d{6})[a-z0-9]{11,30})$"), "account")
+        .when(entity.rlike(r"^[0-9A-Fa-f:]+$") & entity.contains(":"), "ip6")
         .when(entity.rlike(rf"^{OCTET}(\.{OCTET}){{3}}$"), "ip")
-        .when(entity.rlike(r"^[+(][\d ().-]+$") & (digits >= 7), "phone")
+        .when((entity.rlike(r"^[+(][\d ().-]+$") & (digits >= 7)) | entity.rlike(r"^(?:\d{3}([-.])\d{3}\1\d{4}|0\d{2,4}[ /-]\d{6,8})$"), "phone")
         .when(entity.rlike(r"^\d{3}-\d{2}-\d{4}$"), "social")
         .when(entity.rlike(r"^[\d -]+$") & (digits >= 13), "card")
         .otherwise("secret")
@@ -111,7 +120,7 @@ def units(entity: Column) -> Column:
     names = F.slice(F.split(entity, " "), 2, 3)
     woman, man = entity.rlike("^(" + "|".join(TITLES_F) + r")\b"), entity.rlike("^(" + "|".join(TITLES_M) + r")\b")
     given = lambda n, i: F.when((i == F.size(names) - 1), "family").when(n.isin(*FEMALE), "female").when(n.isin(*MALE), "male").when(woman, "female").when(man, "male").otherwise("family")
-    canonical = F.when(k == "mail", F.lower(entity)).when(k.isin("phone", "card", "social"), F.regexp_replace(entity, r"\D", "")).when(k == "account", F.replace(entity, F.lit(" "), F.lit(""))).otherwise(entity)
+    canonical = F.when(k == "mail", F.lower(entity)).when(k.isin("phone", "card", "social"), F.regexp_replace(entity, r"\D", "")).when(k == "account", F.upper(F.replace(entity, F.lit(" "), F.lit("")))).when(k == "ip6", F.lower(entity)).otherwise(entity)
     return F.when(k == "name", F.transform(names, lambda n, i: part(given(n, i), F.lower(n)))).otherwise(F.array(part(k, canonical)))
 
 
@@ -196,6 +205,7 @@ def _surrogate(key: str, k: Column, unit: Column, attempt: Column, h: Column) ->
     card = F.concat(body, F.when(valid, _luhn(body)).otherwise(_draw(h, at(39), 10).cast("string")))
     ip = F.array_join(F.transform(F.split(unit, r"\."), lambda o, i: F.when(F.length(o) == 1, _draw(h, i, 9) + 1).when(F.length(o) == 2, _draw(h, i, 90) + 10).otherwise(_draw(h, i, 156) + 100).cast("string")), ".")
     ip = F.concat(ip, F.when(attempt >= LIMIT, F.concat(F.lit("."), more("0123456789"))).otherwise(""))
+    ip6 = F.concat(_each(unit, h, lambda c, i, x: F.when(c == ":", c).otherwise(_pick("abcdef0123456789", x, i))), more("abcdef"))
     access = F.concat(F.lit("AKIA"), _each(F.substring(unit, 5, 16), h, lambda c, i, x: _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", x, i)), more("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"))
     hexed = F.concat(_each(unit, h, lambda c, i, x: F.when(c.rlike("[A-F]"), F.upper(_pick("abcdef0123456789", x, i))).otherwise(_pick("abcdef0123456789", x, i))), more("abcdef0123456789"))
     # A secret without letters and digits has no class to keep.
@@ -210,18 +220,23 @@ def _surrogate(key: str, k: Column, unit: Column, attempt: Column, h: Column) ->
         return F.when(unit.rlike(r"^\p{IsLatin}"), F.when(attempt < 6, latin).otherwise(F.concat(latin, F.lit("-"), ending))).otherwise(ending)
 
     return (
-        F.when(k == "mail", mail).when(k == "phone", phone).when(k == "social", F.concat(_each(unit, h, _char), more("0123456789"))).when(k == "card", card).when(k == "ip", ip)
+        F.when(k == "mail", mail).when(k == "phone", phone).when(k == "social", F.concat(_each(unit, h, _char), more("0123456789"))).when(k == "card", card).when(k == "ip", ip).when(k == "ip6", ip6)
         .when(k == "access_key", access).when(k == "account", account).when(k == "female", given(FEMALE)).when(k == "male", given(MALE))
         .when(k == "family", F.concat(_each(unit, h, _char), more_name)).when(unit.rlike("^[0-9A-Fa-f]+$"), hexed).otherwise(other)
     )
 
 
+def _like(old: Column, new: Column) -> Column:
+    """A character in lower case where the old one is."""
+    return F.when(old != F.upper(old), F.lower(new)).otherwise(new)
+
+
 def shaped(entity: Column, new: Column) -> Column:
     """Canonical surrogates written in the shape of the entity; what is longer than that follows it."""
     k = kind(entity)
     one = F.element_at(new, 1)
     numbered = F.array_join(
-        F.transform(_chars(entity), lambda c, i: F.when(c.rlike("[0-9A-Za-z]"), F.substring(one, F.length(F.regexp_replace(F.substring(entity, F.lit(1), i + 1), "[^0-9A-Za-z]", "")), F.lit(1))).otherwise(c)), ""
+        F.transform(_chars(entity), lambda c, i: F.when(c.rlike("[0-9A-Za-z]"), _like(c, F.substring(one, F.length(F.regexp_replace(F.substring(entity, F.lit(1), i + 1), "[^0-9A-Za-z]", "")), F.lit(1)))).otherwise(c)), ""
     )
     numbered = F.concat(numbered, F.substring(one, F.length(F.regexp_replace(entity, "[^0-9A-Za-z]", "")) + 1, F.length(one)))
     like = lambda old, put: F.array_join(F.transform(_chars(old), lambda c, i: F.when(c != F.lower(c), F.upper(F.substring(put, i + 1, F.lit(1)))).otherwise(F.substring(put, i + 1, F.lit(1)))), "")
@@ -263,16 +278,24 @@ def attempts(found: DataFrame, key: str) -> DataFrame:
     return None if moved is None else moved.select("kind", "unit", "attempt")
 
 
-def replace(docs: DataFrame, key: str = "panelspark", *, text_col: str = "text") -> DataFrame:
-    """All rows and columns of ``docs`` with surrogates in the text, and ``_n_entities``."""
+def replace(docs: DataFrame, key: str = "panelspark", *, text_col: str = "text", count_col: str = "_n_entities") -> DataFrame:
+    """All rows and columns of ``docs`` with surrogates in the text, and ``count_col``, which ``docs`` must not have.
+
+    Columns are told apart by place inside, so no name of the caller's can clash.
+    """
+    if count_col in docs.columns:
+        raise ValueError(f"the documents have a column {count_col}; name another count_col")
     names = docs.columns
-    text = docs[text_col].cast("string")
+    own = [f"c{i}" for i in range(len(names))]
+    docs = docs.toDF(*own)
+    whole = F.col(own[names.index(text_col)])
+    text = whole.cast("string")
     key_of = F.xxhash64(text)
     # Only the entities are staged: they are a small part of the texts.
     held = docs.select(key_of.alias("_key"), pieces(text).alias("_cut")).select("_key", entities(F.col("_cut")).alias("e")).filter(F.size("e") > 0)
     held = stage_table(held.select("_key", F.explode(F.array_distinct(F.flatten(F.transform("e", units)))).alias("u")).select("_key", "u.*"), "entities")
     moved = attempts(stage_table(held.select("kind", "unit").distinct(), "units"), key)
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], pieces(text).alias("_cut"), key_of.alias("_key"))
+    rows = docs.select(*own, pieces(text).alias("_cut"), key_of.alias("_key"))
     rows = rows.withColumn("_entities", entities(F.col("_cut")))
     tries = F.create_map().cast("map<string,int>")
     if moved is not None:
@@ -283,7 +306,6 @@ def replace(docs: DataFrame, key: str = "panelspark", *, text_col: str = "text")
         new = F.transform(units(entity), lambda u: surrogate(key, u["kind"], u["unit"], F.coalesce(F.element_at(tries, F.concat_ws("|", u["kind"], u["unit"])), F.lit(0))))
         return _let(new, lambda made: shaped(entity, made))
 
-    whole = F.col(f"`{text_col}`")
     # The distinct entities of a text are computed once; one hit in a long text costs one surrogate.
     table = F.map_from_entries(F.transform(F.array_distinct("_entities"), lambda e: F.struct(e, one(e))))
     rows = rows.withColumn("_table", F.when(F.size("_entities") > 0, table))
@@ -291,5 +313,6 @@ def replace(docs: DataFrame, key: str = "panelspark", *, text_col: str = "text")
     rows = rows.withColumn("_new", F.when(F.size("_entities") > 0, joined).otherwise(whole))
     out = {text_col: F.col("_new")}
     if "n_chars" in names and text_col != "n_chars":
-        out["n_chars"] = F.when(F.size("_entities") > 0, F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return rows.select(*[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in names], F.size("_entities").alias("_n_entities"))
+        at = own[names.index("n_chars")]
+        out["n_chars"] = F.when(F.size("_entities") > 0, F.length("_new").cast(docs.schema[at].dataType)).otherwise(F.col(at))
+    return rows.select(*[out.get(n, F.col(c)).alias(n) for n, c in zip(names, own)], F.size("_entities").alias(count_col))

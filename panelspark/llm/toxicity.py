@@ -223,7 +223,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8192, least: int = 3)
     pick = labels.select(F.col("doc_id").cast("long").alias("_id"), (F.col("toxic") > 0).cast("int").alias("toxic")).dropna()
     pick = pick.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.select(docs["doc_id"].cast("long").alias("_id"), docs["text"].cast("string").alias("text")).join(F.broadcast(pick), "_id")
-    rows = rows.select("_id", "text", "toxic").persist()
+    # One text per id, by a hash: as many rows as labels, however often an id occurs.
+    rows = rows.groupBy("_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("_id", "t.text", "toxic")
+    rows = rows.persist()
     try:
         size = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
         n_toxic, n_clean = size.get(1, 0), size.get(0, 0)
@@ -252,9 +254,10 @@ def _scored(model: Model, text_col: str, raw: bool):
         scorer = Scorer(model)
         value = scorer.raw if raw else scorer.score
         for batch in batches:
-            out = pa.array([value(t) for t in batch.column(text_col).to_pylist()], pa.float64())
-            kept = [c for c in batch.schema.names if c != text_col]
-            yield pa.record_batch([batch.column(c) for c in kept] + [out], names=[*kept, "raw" if raw else "score"])
+            for part in common.text_slices(batch, text_col):
+                out = pa.array([value(t) for t in part.column(text_col).to_pylist()], pa.float64())
+                kept = [c for c in part.schema.names if c != text_col]
+                yield pa.record_batch([part.column(c) for c in kept] + [out], names=[*kept, "raw" if raw else "score"])
 
     return run
 
@@ -270,16 +273,27 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return some.mapInArrow(_scored(model, "_text", False), "doc_id long, score double")
 
 
-def flag(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All rows and columns of ``docs`` with a column ``_score``."""
+def flag(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "_score") -> DataFrame:
+    """All rows and columns of ``docs`` with a column ``score_col``, which ``docs`` must not have."""
+    if score_col in docs.columns:
+        raise ValueError(f"the documents have a column {score_col}; name another score_col")
     names = docs.columns
-    some = docs.select(*[F.col(f"`{c}`") for c in names], docs[text_col].cast("string").alias("_text"))
-    schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())])
+    # Columns are told apart by place, so no name of the caller's can clash.
+    at = names.index(text_col)
+    fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)]
+    some = docs.toDF(*[f.name for f in fields])
+    if docs.schema[at].dataType != T.StringType():
+        some = some.withColumn("text", F.col(f"c{at}").cast("string"))
+    else:
+        some = some.withColumnRenamed(f"c{at}", "text")
+        fields[at] = T.StructField("text", T.StringType())
+    kept = [f.name for f in fields]
 
     def run(batches):
         scorer = Scorer(model)
         for batch in batches:
-            out = pa.array([scorer.score(t) for t in batch.column("_text").to_pylist()], pa.float64())
-            yield pa.record_batch([batch.column(c) for c in names] + [out], names=[*names, "_score"])
+            for part in common.text_slices(batch, "text"):
+                out = pa.array([scorer.score(t) for t in part.column("text").to_pylist()], pa.float64())
+                yield pa.record_batch([part.column(c) for c in kept] + [out], names=[*kept, "score"])
 
-    return some.mapInArrow(run, schema)
+    return some.mapInArrow(run, T.StructType([*fields, T.StructField("score", T.DoubleType())])).toDF(*names, score_col)

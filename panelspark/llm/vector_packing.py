@@ -207,13 +207,14 @@ def pack(
 
         packer = Packer(limits, emit)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            prompts = batch.column("prompt").to_pylist() if prompt_col else [None] * len(texts)
-            for doc_id, text, prompt in zip(batch.column("doc_id").to_pylist(), texts, prompts):
-                before = encode(prompt) if prompt else []
-                ids = np.array([*before, *encode(text or ""), closing_id] if before else [*encode(text or ""), closing_id], "<u4")
-                packer.add(Piece(doc_id, ids, 0, len(ids), len(before)))
-            yield out()
+            for part in common.text_slices(batch, "text"):
+                texts = part.column("text").to_pylist()
+                prompts = part.column("prompt").to_pylist() if prompt_col else [None] * len(texts)
+                for doc_id, text, prompt in zip(part.column("doc_id").to_pylist(), texts, prompts):
+                    before = encode(prompt) if prompt else []
+                    ids = np.array([*before, *encode(text or ""), closing_id] if before else [*encode(text or ""), closing_id], "<u4")
+                    packer.add(Piece(doc_id, ids, 0, len(ids), len(before)))
+                yield out()
         packer.finish()
         yield out()
 
