@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm import decontaminate, signature_join, surrogates, toxicity, vector_packing
-from panelspark.llm.common import read
+from panelspark.llm.common import free_name, read
 from panelspark.session import shared_dir
 
 #: Documents at or above this score are rejected.
@@ -23,7 +23,8 @@ TOXIC = 0.3
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4, fitted on the labels of the given documents; a document that it rejects goes."""
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
-    return toxicity.flag(docs, model).filter(F.col("_score") < TOXIC).drop("_score")
+    score = free_name(docs, "_score")
+    return toxicity.flag(docs, model, score_col=score).filter(F.col(score) < TOXIC).drop(score)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +39,8 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6; texts with personal data get surrogates, all documents stay."""
-    return surrogates.replace(docs).drop("_n_entities")
+    count = free_name(docs, "_n_entities")
+    return surrogates.replace(docs, count_col=count).drop(count)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
