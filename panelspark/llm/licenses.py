@@ -17,7 +17,6 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -49,31 +48,39 @@ RESEMBLANCE = 0.6
 
 
 def word_list(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}.+-]+"), lambda w: ~w.rlike(r"^[.+-]*$"))
+    """Lower-case words without the stops and hyphens around them."""
+    bare = F.transform(F.split(F.lower(text), r"[^\p{L}\p{N}.+-]+"), lambda w: F.btrim(w, F.lit(".-")))
+    return F.filter(bare, lambda w: F.btrim(w, F.lit(".+-")) != "")
 
 
-def _clean(words: Column) -> Column:
-    return F.transform(words, lambda w: F.regexp_replace(w, r"^[.-]+|[.-]+$", ""))
+def grams_of(words: Column) -> Column:
+    """One- and two-word grams of a word array."""
+    pairs = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat(F.get(words, i), F.lit(" "), w))
+    return F.concat(words, pairs)
 
 
 def grams(text: Column) -> Column:
-    """One- and two-word grams of a paragraph."""
-    words = _clean(word_list(text))
-    pairs = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat(F.get(words, i), F.lit(" "), w))
-    return F.concat(words, pairs)
+    """One- and two-word grams of a paragraph; its words are written once in the expression."""
+    return F.get(F.transform(F.array(word_list(text)), grams_of), F.lit(0))
 
 
 def pairs_of(found: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda g: g.contains(" ")))
 
 
-def paragraphs(docs: DataFrame, some: str | None = None) -> DataFrame:
-    """doc_id, paragraph (number from 0), line; with ``some`` only lines that match it, whatever the document."""
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """doc_id, paragraph (number from 0), line of every paragraph that is not blank."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if some:
-        rows = rows.filter(F.col("text").rlike(some))
     lines = rows.select("doc_id", F.posexplode(F.split("text", r"[\r\n]+")).alias("paragraph", "line"))
-    return lines.filter(F.col("line").rlike(some) if some else F.length(F.trim("line")) > 0)
+    return lines.filter(F.length(F.trim("line")) > 0)
+
+
+def with_words(lines: DataFrame, some: list[str]) -> DataFrame:
+    """Lines that hold one of these words, with their word array.
+
+    The array comes out of a generator: conditions on it are not pushed below and it is computed once per line.
+    """
+    return lines.withColumn("words", F.explode(F.array(word_list(F.col("line"))))).filter(F.exists("words", lambda w: w.isin(some)))
 
 
 def notice_table(spark: SparkSession) -> DataFrame:
@@ -83,19 +90,25 @@ def notice_table(spark: SparkSession) -> DataFrame:
     return table.withColumn("pairs", pairs_of(F.col("grams")))
 
 
-def _best(notices: DataFrame) -> Column:
-    """share and family of the notice that ``_pairs`` resembles most."""
-    known = notices.select("family", "pairs").collect()
-    share = [F.struct((F.size(F.array_intersect("_pairs", F.array(*[F.lit(p) for p in r.pairs]))) / F.lit(float(len(r.pairs)))).alias("share"), F.lit(r.family).alias("family")) for r in known]
-    return F.array_max(F.array(*share))
-
-
 def resembled(lines: DataFrame, notices: DataFrame) -> DataFrame:
-    """Lines (with grams) and the notice they resemble most: best family and share of its word pairs found.
+    """Lines (with grams) and the notice they resemble most: its family ``near`` and the ``share`` of its word pairs found.
 
-    The notices are a fixed list, so they are one literal array; no rows are paired.
+    The notices are a fixed list: one literal map leads from a pair to the numbers of the notices that hold it, and
+    a line's pairs are looked up and counted once.
     """
-    return lines.withColumn("_pairs", pairs_of(F.col("grams"))).withColumn("_best", _best(notices)).withColumns({"near": F.col("_best.family"), "share": F.col("_best.share")}).drop("_pairs", "_best")
+    known = notices.select("family", "pairs").collect()
+    holders: dict[str, list[int]] = {}
+    for i, r in enumerate(known):
+        for pair in r.pairs:
+            holders.setdefault(pair, []).append(i)
+    where = F.create_map(*[x for pair, of in holders.items() for x in (F.lit(pair), F.array(*[F.lit(i) for i in of]))])
+    mine = F.filter(pairs_of(F.col("grams")), lambda g: g.isin(list(holders)))
+    hits = lines.withColumn("_hits", F.explode(F.array(F.flatten(F.transform(mine, lambda g: F.element_at(where, g))))))
+    size, family = F.array(*[F.lit(float(len(r.pairs))) for r in known]), F.array(*[F.lit(r.family) for r in known])
+    share = lambda i: F.size(F.filter("_hits", lambda h: h == i)) / F.get(size, i)
+    best = F.array_max(F.transform(F.array_distinct("_hits"), lambda i: F.struct(share(i).alias("share"), F.get(family, i).alias("family"))))
+    out = hits.withColumn("_best", F.explode(F.array(best)))
+    return out.withColumns({"near": F.col("_best.family"), "share": F.coalesce("_best.share", F.lit(0.0))}).drop("_hits", "_best")
 
 
 @dataclass
@@ -104,7 +117,7 @@ class Classifier:
     counts: CountVectorizerModel
     regression: LogisticRegressionModel
     threshold: float
-    pattern: str
+    words: list[str]
 
 
 def _variants(notices: DataFrame) -> DataFrame:
@@ -119,14 +132,28 @@ def _held(line: str = "line") -> Column:
 
 
 def line_counts(docs: DataFrame, notices: DataFrame, fitted: Column) -> dict[str, int]:
-    """Background lines of all documents that hold each gram of the notices; "" counts all, "\n" those not ``fitted``."""
+    """Background lines of all documents that hold each gram of the notices; "" counts all, "\n" those not ``fitted``.
+
+    Lines without a word of the notices are background and hold no gram: they are only counted.
+    """
     candidates = [r.g for r in notices.select(F.explode("grams").alias("g")).distinct().collect()]
-    mine = F.array_distinct(F.filter(grams(F.col("line")), lambda g: g.isin(candidates)))
-    lines = paragraphs(docs).select((~fitted).alias("free"), mine.alias("grams")).withColumn("_pairs", pairs_of(F.col("grams")))
-    # A line with one pair reaches RESEMBLANCE of no notice: the shortest has three.
-    background = lines.filter(F.when(F.size("_pairs") > 1, _best(notices)["share"] < RESEMBLANCE).otherwise(True))
-    marks = F.when(F.col("free"), F.array(F.lit(""), F.lit("\n"))).otherwise(F.array(F.lit("")))
-    return {r["g"]: r["count"] for r in background.select(F.explode(F.concat(marks, "grams")).alias("g")).groupBy("g").count().collect()}
+    single, double = [g for g in candidates if " " not in g], [g for g in candidates if " " in g]
+    lines = paragraphs(docs).select("line", (~fitted).alias("free"))
+    every = lines.groupBy("free").count().collect()
+    mine = lambda words: F.concat(
+        F.filter(words, lambda w: w.isin(single)),
+        F.filter(F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.when(w.isin(single), F.concat(F.get(words, i), F.lit(" "), w))), lambda g: g.isin(double)),
+    )
+    held = with_words(lines, single).select("free", F.explode(F.array(F.array_distinct(mine(F.col("words"))))).alias("grams"))
+    # Few lines hold two pairs of the notices; only these can reach RESEMBLANCE, since the shortest notice has three.
+    near = resembled(held.filter(F.size(pairs_of(F.col("grams"))) > 1), notices).filter(F.col("share") >= RESEMBLANCE)
+    count = lambda df: {(r["g"], r["free"]): r["count"] for r in df.select("free", F.explode(F.concat(F.array(F.lit("")), "grams")).alias("g")).groupBy("g", "free").count().collect()}
+    seen, out = count(held), count(near)
+    found = {g: sum(seen.get((g, f), 0) - out.get((g, f), 0) for f in (True, False)) for g in candidates}
+    free = {bool(r["free"]): r["count"] for r in every}
+    found[""] = sum(free.values()) - sum(out.get(("", f), 0) for f in (True, False))
+    found["\n"] = free.get(True, 0) - out.get(("", True), 0)
+    return found
 
 
 def calibrated(scores: DataFrame, n: int, named_share: float) -> float:
@@ -167,20 +194,19 @@ def fit(docs: DataFrame, sample: int = 1024, common_share: float = 0.005, named_
         regression = LogisticRegression(family="multinomial", regParam=0.002, maxIter=60, weightCol="w", standardization=False).fit(train)
     finally:
         lines.unpersist()
-    single = [v for v in vocabulary if " " not in v]
-    double = [v for v in vocabulary if " " in v and not set(v.split()) & set(single)]
-    options = "|".join([re.escape(v).replace("\\ ", r"[^\p{L}\p{N}]+") for v in sorted([*single, *double], key=len, reverse=True)])
-    pattern = rf"(?iu)(?<![\p{{L}}\p{{N}}])(?:{options})(?![\p{{L}}\p{{N}}])"
-    free = resembled(paragraphs(docs, pattern).filter(~fitted).withColumn("grams", grams(F.col("line"))), notices).filter(F.col("share") < RESEMBLANCE)
+    words = sorted({w for v in vocabulary for w in v.split()[:1]})
+    free = with_words(paragraphs(docs).filter(~fitted), words).select(F.explode(F.array(grams_of(F.col("words")))).alias("grams"))
+    free = free.filter(F.exists("grams", lambda g: g.isin(vocabulary)))
     best = F.array_max(F.slice(vector_to_array("probability"), 2, len(FAMILIES)))
-    scores = regression.transform(counts.transform(free.select("grams"))).select(best.alias("p"))
-    return Classifier(vocabulary, counts, regression, calibrated(scores, often.get("\n", 0), named_share), pattern)
+    scores = regression.transform(counts.transform(resembled(free, notices).filter(F.col("share") < RESEMBLANCE).select("grams"))).select(best.alias("p"))
+    return Classifier(vocabulary, counts, regression, calibrated(scores, often.get("\n", 0), named_share), words)
 
 
 def scan(docs: DataFrame, model: Classifier) -> DataFrame:
     """Paragraphs with a licence notice: doc_id, paragraph, family, probability, resemblance, confirmed."""
     notices = notice_table(docs.sparkSession)
-    lines = paragraphs(docs, model.pattern).withColumn("grams", grams(F.col("line")))
+    lines = with_words(paragraphs(docs), model.words).select("doc_id", "paragraph", F.explode(F.array(grams_of(F.col("words")))).alias("grams"))
+    lines = lines.filter(F.exists("grams", lambda g: g.isin(model.vocabulary)))
     scored = model.regression.transform(model.counts.transform(lines)).withColumn("p", vector_to_array("probability"))
     top = F.array_max(F.transform(F.slice("p", 2, len(FAMILIES)), lambda v, i: F.struct(v.alias("p"), (i + 2).cast("int").alias("i"))))
     named = scored.select("doc_id", "paragraph", "grams", top.alias("top")).filter(F.col("top.p") >= model.threshold)
