@@ -145,14 +145,19 @@ def line_counts(docs: DataFrame, notices: DataFrame, fitted: Column) -> dict[str
         F.filter(F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.when(w.isin(single), F.concat(F.get(words, i), F.lit(" "), w))), lambda g: g.isin(double)),
     )
     held = with_words(lines, single).select("free", F.explode(F.array(F.array_distinct(mine(F.col("words"))))).alias("grams"))
-    # Few lines hold two pairs of the notices; only these can reach RESEMBLANCE, since the shortest notice has three.
-    near = resembled(held.filter(F.size(pairs_of(F.col("grams"))) > 1), notices).filter(F.col("share") >= RESEMBLANCE)
-    count = lambda df: {(r["g"], r["free"]): r["count"] for r in df.select("free", F.explode(F.concat(F.array(F.lit("")), "grams")).alias("g")).groupBy("g", "free").count().collect()}
-    seen, out = count(held), count(near)
-    found = {g: sum(seen.get((g, f), 0) - out.get((g, f), 0) for f in (True, False)) for g in candidates}
+    near = F.coalesce(F.col("share") >= RESEMBLANCE, F.lit(False)).alias("near")
+    marked = resembled(held, notices).select("free", near, F.explode(F.concat(F.array(F.lit("")), "grams")).alias("g"))
+    seen: dict[str, int] = {}
+    out = {True: 0, False: 0}
+    for r in marked.groupBy("g", "free", "near").count().collect():
+        if not r["near"]:
+            seen[r["g"]] = seen.get(r["g"], 0) + r["count"]
+        elif r["g"] == "":
+            out[bool(r["free"])] += r["count"]
+    found = {g: seen.get(g, 0) for g in candidates}
     free = {bool(r["free"]): r["count"] for r in every}
-    found[""] = sum(free.values()) - sum(out.get(("", f), 0) for f in (True, False))
-    found["\n"] = free.get(True, 0) - out.get(("", True), 0)
+    found[""] = sum(free.values()) - sum(out.values())
+    found["\n"] = free.get(True, 0) - out[True]
     return found
 
 
