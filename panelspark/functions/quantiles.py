@@ -2,13 +2,14 @@
 
 ``percentile`` keeps every distinct value of a group in one aggregation buffer. That is fine for
 groups bounded by a calendar, not for a cohort that holds a third of all rows. Here a bounded
-sketch cuts each group into slots, exact counts tell which slots hold the wanted ranks, and only
-the distinct values inside those slots are ordered.
+sketch cuts each group into slots and exact counts tell which slots hold the wanted ranks. Slots
+that are still large become groups of the next round, so what one task orders in the end is bounded
+however large a group is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,10 @@ SKETCH_ACCURACY = 10_000
 # 5 * 5 * 5 slots: a value finds its slot with 12 comparisons, all inside generated code
 FAN = 5
 SLOTS = FAN**3
+# most distinct values that one task orders
+ORDERED = 500_000
+# most rounds: a slot's number stays a long, and SLOTS**ROUNDS exceeds any number of values
+ROUNDS = 8
 
 
 def exact_quantiles(
@@ -28,6 +33,7 @@ def exact_quantiles(
     probabilities: dict[str, float],
     *,
     accuracy: int = SKETCH_ACCURACY,
+    ordered: int = ORDERED,
 ) -> DataFrame:
     """One row per key with one column per named probability; null values are ignored."""
     keys = list(keys)
@@ -39,7 +45,9 @@ def exact_quantiles(
         .groupBy(*keys, "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    return weighted_quantiles(data, keys, "_v", "_c", probabilities, accuracy=accuracy)
+    return weighted_quantiles(
+        data, keys, "_v", "_c", probabilities, accuracy=accuracy, ordered=ordered
+    )
 
 
 def weighted_quantiles(
@@ -50,83 +58,109 @@ def weighted_quantiles(
     probabilities: dict[str, float],
     *,
     accuracy: int = SKETCH_ACCURACY,
+    ordered: int = ORDERED,
 ) -> DataFrame:
     """As :func:`exact_quantiles` for rows that already are (key, distinct value, count).
 
-    The distinct values are written once and scanned three times. The cuts and the wanted slots are
-    written too: their file size is known when the next step is planned, so Spark joins them without
-    shuffling the values while they are small, and falls back to a shuffle when they are not.
+    The distinct values are written once. A round scans them twice: for the cuts, and for the counts
+    that find the slot of each wanted rank. Rounds go on inside those slots until none holds more than
+    ``ordered`` distinct values; a round keeps about 1/SLOTS of them, so one or two rounds are usual.
+    Cuts and slots are written too: their file size is known when the next step is planned, so Spark
+    joins them without shuffling the values while they are small, and shuffles when they are not.
     """
     by = list(keys) or ["_all"]
-    names = list(probabilities)
+    group = [*by, "_g"]
     data = data if keys else data.withColumn("_all", F.lit(0))
-    data = stage_table(
-        data.select(*by, F.col(value).alias("_v"), F.col(weight).alias("_c")), "distinct_values"
-    )
-    # The cuts only spread the distinct values over slots; any cuts give the same exact result,
-    # because the counts below decide which slot holds a rank.
-    steps = [i / SLOTS for i in range(SLOTS + 1)]
-    cuts = stage_table(
-        data.groupBy(*by).agg(
-            F.percentile_approx("_v", steps, accuracy).alias("_cuts"), F.sum("_c").alias("_n")
-        ),
-        "cuts",
+    data = data.select(
+        *by, F.lit(0).cast("long").alias("_g"), F.col(value).alias("_v"), F.col(weight).alias("_c")
     )
-    slotted = (
-        data.join(cuts, by)
-        .withColumn("_slot", _step(F.lit(0), SLOTS // FAN))
-        .withColumn("_slot", _step(F.col("_slot"), SLOTS // FAN**2))
-        .withColumn("_slot", _step(F.col("_slot"), 1))
-        .drop("_cuts")
-    )
-    need = stage_table(_wanted_slots(slotted, by, [probabilities[n] for n in names]), "slots")
-    # order only the slots that hold a wanted rank: about 1/SLOTS of a key's distinct values each
-    slots = need.select(*by, "_slot", "_before").distinct()
-    inside = slotted.drop("_n").join(slots, [*by, "_slot"])
-    w = Window.partitionBy(*by, "_slot").orderBy("_v")
-    ranked = inside.withColumn(
-        "_end",
-        F.col("_before") + F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)),
-    ).withColumn("_start", F.col("_end") - F.col("_c"))
-    hits = ranked.drop("_before").join(need.drop("_before"), [*by, "_slot"])
-    covers = lambda rank: (F.col(rank) >= F.col("_start")) & (F.col(rank) < F.col("_end"))
-    per_prob = hits.groupBy(*by, "_i").agg(
-        F.max(F.when(covers("_lo"), F.col("_v"))).alias("_a"),
-        F.max(F.when(covers("_hi"), F.col("_v"))).alias("_b"),
-        F.max(F.col("_pos") - F.col("_lo")).alias("_f"),
+    slots, largest = None, None
+    for _ in range(ROUNDS):
+        data = stage_table(data, "distinct_values")
+        cuts = _cuts(data, group, accuracy)
+        if slots is None:
+            cuts = cuts.withColumn("_base", F.lit(0).cast("long")).withColumn(
+                "_ranks", _ranks(probabilities.values())
+            )
+        else:
+            cuts = cuts.drop("_n").join(slots, group)
+        cuts = stage_table(cuts, "cuts")
+        slotted = (
+            data.join(cuts.select(*group, "_cuts"), group)
+            .withColumn("_slot", _step(F.lit(0), SLOTS // FAN))
+            .withColumn("_slot", _step(F.col("_slot"), SLOTS // FAN**2))
+            .withColumn("_slot", _step(F.col("_slot"), 1))
+            .withColumn("_g", F.col("_g") * SLOTS + F.col("_slot"))
+            .select(*group, "_v", "_c")
+        )
+        slots = stage_table(_wanted_slots(slotted, cuts, by), "slots")
+        before, largest = largest, slots.agg(F.max("_d")).first()[0] or 0
+        data = slotted.join(slots.select(*group), group)
+        slots = slots.drop("_d")
+        # a sketch that is too coarse hardly parts the values any further
+        if largest <= ordered or (before is not None and largest > before // 2):
+            break
+    w = Window.partitionBy(*group).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ends = data.withColumn("_end", F.sum("_c").over(w)).join(slots, group)
+    end = F.col("_base") + F.col("_end")
+    hits = ends.withColumn(
+        "_hit", F.filter("_ranks", lambda r: (r >= end - F.col("_c")) & (r < end))
+    ).filter(F.size("_hit") > 0)
+    # at most two values per probability
+    found = hits.select(*by, "_n", "_v", F.explode("_hit").alias("_rank")).groupBy(*by).agg(
+        F.max("_n").alias("_n"),
+        F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"),
     )
-    value_at = F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")
-    out = per_prob.groupBy(*by).agg(
-        *[F.max(F.when(F.col("_i") == i, value_at)).alias(n) for i, n in enumerate(names)]
+    return found.select(*keys, *[_between(p).alias(name) for name, p in probabilities.items()])
+
+
+def _position(p: float) -> Column:
+    return F.lit(float(p)) * (F.col("_n") - 1)
+
+
+def _ranks(probabilities: Iterable[float]) -> Column:
+    """The ranks, from 0, on both sides of each probability's place."""
+    around = [f(_position(p)) for p in probabilities for f in (F.floor, F.ceil)]
+    return F.array_distinct(F.array(*around))
+
+
+def _between(p: float) -> Column:
+    """Linear interpolation between the values found at the two ranks."""
+    low, high = (F.try_element_at("_at", f(_position(p))) for f in (F.floor, F.ceil))
+    return low + (high - low) * (_position(p) - F.floor(_position(p)))
+
+
+def _cuts(data: DataFrame, group: list[str], accuracy: int) -> DataFrame:
+    """Cuts that spread a group's distinct values over slots.
+
+    Any cuts give the same exact result, because counts decide which slot holds a rank.
+    """
+    steps = [i / SLOTS for i in range(SLOTS + 1)]
+    return data.groupBy(*group).agg(
+        F.percentile_approx("_v", steps, accuracy).alias("_cuts"), F.sum("_c").alias("_n")
     )
-    return out.select(*keys, *names)
 
 
-def _wanted_slots(slotted: DataFrame, by: list[str], probabilities: Sequence[float]) -> DataFrame:
-    """Slots that hold the ranks around each probability, with the rows before them."""
-    # at most SLOTS rows per key
-    per_slot = slotted.groupBy(*by, "_slot").agg(F.sum("_c").alias("_m"), F.max("_n").alias("_n"))
-    w = Window.partitionBy(*by).orderBy("_slot")
-    per_slot = per_slot.withColumn(
-        "_before", F.sum("_m").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_m")
+def _wanted_slots(slotted: DataFrame, cuts: DataFrame, by: list[str]) -> DataFrame:
+    """Slots that hold wanted ranks: these ranks, the rows before the slot, and its distinct values."""
+    # at most SLOTS rows per group
+    per_slot = (
+        slotted.groupBy(*by, "_g")
+        .agg(F.sum("_c").alias("_m"), F.count(F.lit(1)).alias("_d"))
+        .withColumn("_in", F.expr(f"_g div {SLOTS}"))
     )
-    wanted = F.array(
-        *[
-            F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("_n") - 1)).alias("pos"))
-            for i, p in enumerate(probabilities)
-        ]
+    w = Window.partitionBy(*by, "_in").orderBy("_g").rowsBetween(Window.unboundedPreceding, 0)
+    per_slot = per_slot.withColumn("_to", F.sum("_m").over(w))
+    wanted = per_slot.join(
+        cuts.select(*by, F.col("_g").alias("_in"), "_base", "_ranks", "_n"), [*by, "_in"]
     )
-    last = F.col("_before") + F.col("_m") - 1
+    last = F.col("_base") + F.col("_to")
+    inside = F.filter("_ranks", lambda r: (r >= last - F.col("_m")) & (r < last))
     return (
-        per_slot.withColumn("_w", F.explode(wanted))
-        .select("*", F.col("_w.i").alias("_i"), F.col("_w.pos").alias("_pos"))
-        .withColumn("_lo", F.floor("_pos"))
-        .withColumn("_hi", F.ceil("_pos"))
-        .filter(
-            F.col("_lo").between(F.col("_before"), last)
-            | F.col("_hi").between(F.col("_before"), last)
-        )
-        .select(*by, "_slot", "_before", "_i", "_pos", "_lo", "_hi")
+        wanted.withColumn("_ranks", inside)
+        .withColumn("_base", last - F.col("_m"))
+        .filter(F.size("_ranks") > 0)
+        .select(*by, "_g", "_base", "_ranks", "_n", "_d")
     )
 
 
