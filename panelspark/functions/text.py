@@ -23,7 +23,7 @@ def strip_footnote(cell: str | Column) -> Column:
 
 
 def printed_count(cell: str | Column) -> Column:
-    """Count printed in a cell: ``nil`` is 0, commas and marks dropped, null when not a number."""
+    """Lenient reading of a cell: its digits whatever else it holds (``12.5`` is 125), ``nil`` is 0."""
     c = clean_cell(cell)
     digits = F.regexp_replace(c, "[^0-9]", "")
     return F.when(F.lower(c) == "nil", F.lit(0).cast("long")).when(
@@ -43,11 +43,11 @@ def revision_mark(cell: str | Column) -> Column:
     return as_col(cell).contains("*")
 
 
-def cell_problem(cell: str | Column) -> Column:
+def cell_problem(cell: str | Column, *, lenient: bool = False) -> Column:
+    """Why a cell gives no count: ``blank`` or ``not_numeric``."""
     c = clean_cell(cell)
-    return F.when(c.isNull() | (c == ""), "blank").when(
-        printed_count(cell).isNull(), "not_numeric"
-    )
+    count = printed_count(cell) if lenient else strict_count(cell)
+    return F.when(c.isNull() | (c == ""), "blank").when(count.isNull(), "not_numeric")
 
 
 def number_word(n: int) -> str:

@@ -72,13 +72,20 @@ def _column_checks(name: str, rule: ColumnRule, dtype: T.DataType) -> dict[str,
         checks["not_a_datetime"] = some & c.try_cast("timestamp").isNull()
     elif rule.dtype == "enum":
         checks["not_allowed"] = some & ~c.isin(*rule.allowed)
-    elif rule.dtype == "boolean":
-        checks["null"] = c.isNull()
+    elif rule.dtype in ("boolean", "string"):
+        kind = T.BooleanType if rule.dtype == "boolean" else T.StringType
+        checks[f"not_{rule.dtype}"] = some & F.lit(not isinstance(dtype, kind))
+    else:
+        raise ValueError(f"no such kind: {rule.dtype}")
     return checks
 
 
 def check_schema(df: DataFrame, contract: TableContract) -> DataFrame:
-    """Violation counts per (column, rule): one pass over the data for all rules."""
+    """Violation counts per (column, rule); ``repeated_key`` counts rows beyond the first of their key.
+
+    One scan for all: rows are first counted per key, together with their violations, so the shuffle that
+    finds a key that occurs more than once (null parts included) carries the counts of the rules along.
+    """
     missing = [n for n, r in contract.columns.items() if r.required and n not in df.columns]
     checks = {
         (name, rule_name): cond
@@ -86,14 +93,30 @@ def check_schema(df: DataFrame, contract: TableContract) -> DataFrame:
         if name in df.columns
         for rule_name, cond in _column_checks(name, rule, df.schema[name].dataType).items()
     }
-    counted = df.agg(
-        *[count_where(cond).alias(f"{n}|{r}") for (n, r), cond in checks.items()],
-        *[F.lit(1).cast("long").alias(f"{n}|missing_column") for n in missing],
-    )
-    names = counted.columns
+    key = [k for k in contract.key if k in df.columns]
+    missing += [k for k in contract.key if k not in df.columns and k not in missing]
+    labels = {f"_v{i}": f"{n}|{r}" for i, (n, r) in enumerate(checks)}
+    sums = [count_where(cond).alias(v) for v, cond in zip(labels, checks.values(), strict=True)]
+    if key and len(key) == len(contract.key):
+        name = "+".join(key)
+        per_key = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]).agg(
+            F.count(F.lit(1)).alias("_n"), *sums
+        )
+        zero = F.lit(0).cast("long")
+        counted = per_key.agg(
+            *[F.coalesce(F.sum(v), zero).alias(label) for v, label in labels.items()],
+            F.coalesce(F.sum(F.col("_n") - 1), zero).alias(f"{name}|repeated_key"),
+        )
+    else:
+        first = count_where(F.lit(False)).alias("|")
+        counted = df.agg(first, *sums).withColumnsRenamed(labels)
+    counted = counted.withColumns({f"{n}|missing_column": F.lit(1).cast("long") for n in missing})
+    names = [c for c in counted.columns if c != "|"]
+    if not names:
+        return df.sparkSession.createDataFrame([], "column_name string, rule string, violations long")
     parts = F.split("rule_key", r"\|")
     return (
-        counted.unpivot([], names, "rule_key", "violations")
+        counted.unpivot([], [F.col(f"`{n}`") for n in names], "rule_key", "violations")
         .select(parts[0].alias("column_name"), parts[1].alias("rule"), "violations")
     )
 

@@ -466,16 +466,23 @@ def requested_coverage(
 
 
 def cohort_status(
-    index: DataFrame, *, date: str, failed: str, first: str, last: str
+    index: DataFrame, *, date: str, failed: str, first: str, last: str, rows: str | None = None
 ) -> DataFrame:
-    """Status per document: quarantined, parsed, or outside the wanted dates."""
+    """Status per document: quarantined, parsed, or outside the wanted dates.
+
+    With ``rows``, the rows read from a document, only those of parsed documents are accepted.
+    """
     inside = F.col(date).between(F.lit(first).cast("date"), F.lit(last).cast("date"))
-    return index.withColumn(
+    out = index.withColumn(
         "status",
         F.when(F.col(failed) == 1, "quarantined")
         .when(inside, "parsed")
         .otherwise("excluded_outside_cohort"),
     )
+    if rows is None:
+        return out
+    accepted = F.when(F.col("status") == "parsed", F.col(rows)).otherwise(F.lit(0))
+    return out.withColumn("accepted_rows", F.coalesce(accepted.cast("long"), F.lit(0).cast("long")))
 
 
 def quarantine_summary(
@@ -489,17 +496,22 @@ def quarantine_summary(
 
 
 def wide_to_long(
-    printed: DataFrame, keys: Sequence[str], columns: Sequence[str]
+    printed: DataFrame, keys: Sequence[str], columns: Sequence[str], *, lenient: bool = False
 ) -> DataFrame:
-    """One row per printed component cell with its count and revision mark."""
-    from panelspark.functions.text import printed_count, revision_mark
+    """One row per printed component cell with its count, revision mark and problem.
+
+    A cell that is no plain count has a null value and says why; ``lenient`` takes its digits instead.
+    """
+    from panelspark.functions.text import cell_problem, printed_count, revision_mark, strict_count
 
     cells = F.array(
         *[F.struct(F.lit(c).alias("component"), F.col(c).alias("cell")) for c in columns]
     )
     long = printed.select(*keys, F.explode(cells).alias("c")).select(*keys, "c.*")
+    count = printed_count("cell") if lenient else strict_count("cell")
     return long.select(
-        *keys, "component", printed_count("cell").alias("value"), revision_mark("cell").alias("revised")
+        *keys, "component", count.alias("value"), revision_mark("cell").alias("revised"),
+        cell_problem("cell", lenient=lenient).alias("problem"),
     )
 
 

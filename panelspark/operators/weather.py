@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.functions.columns import all_of, as_col, clamp, count_where, present, week_start
+from panelspark.functions.columns import all_of, as_col, clamp, count_where, finite, present, week_start
 
 # Fixed values.
 NODATA = -9999.0
@@ -43,16 +43,19 @@ def zonal_mean(
     entity: str = "entity_id",
     cell: str = "cell_id",
     day: str = "day",
+    entities: DataFrame | None = None,
 ) -> DataFrame:
     """Area-weighted daily mean per entity over cells that have all ``values``.
 
     The weights are renormalised over the valid cells; coverage is the valid weight in percent.
     Partial sums are combined map-side, so a large entity never gathers its cells in one task.
+    With ``entities`` every one of them has a row for each day that occurs in ``cells``: null values, no
+    coverage and 0 cells where none of its cells reports. ``weights_out_of_range`` checks the weights.
     """
     ok = all_of(present(v) for v in values)
     valid_weight = F.sum(F.when(ok, F.col("weight")).otherwise(0.0))
     joined = cells.join(weights.select(entity, cell, "weight"), cell, "inner")
-    return (
+    out = (
         joined.groupBy(entity, day)
         .agg(
             valid_weight.alias("_vw"),
@@ -67,6 +70,40 @@ def zonal_mean(
             "grid_cells",
         )
     )
+    if entities is None:
+        return out
+    # the days fit one row: their number is that of a calendar
+    days = cells.filter(F.col(day).isNotNull()).agg(F.collect_set(day).alias("_days")).scalar()
+    grid = entities.select(entity).distinct().select(entity, F.explode(days).alias(day))
+    return grid.join(out, [entity, day], "left").fillna({"spatial_coverage_pct": 0.0, "grid_cells": 0})
+
+
+def weights_out_of_range(
+    weights: DataFrame, *, entity: str = "entity_id", cell: str = "cell_id", tolerance: float = 1e-9
+) -> DataFrame:
+    """Entities whose weights can give no share of an area: a weight that is missing, not finite or outside
+    0..1, a cell listed twice, or a sum above 1. A coverage of 170 % would otherwise be held to 100 %."""
+    w = F.col("weight")
+    bad = ~finite(w) | (w < -tolerance) | (w > 1 + tolerance)
+    # one row per cell first, so the number of cells is a plain count
+    per_cell = weights.groupBy(entity, cell).agg(
+        F.sum("weight").alias("_w"),
+        F.count(F.lit(1)).alias("_n"),
+        count_where(F.coalesce(bad, F.lit(True))).alias("_bad"),
+    )
+    return (
+        per_cell.groupBy(entity)
+        .agg(
+            F.sum("_w").alias("weight_sum"),
+            F.sum("_bad").alias("bad_weights"),
+            count_where(F.col("_n") > 1).alias("repeated_cells"),
+        )
+        .filter(
+            (F.col("bad_weights") > 0)
+            | (F.col("repeated_cells") > 0)
+            | (F.col("weight_sum") > 1 + tolerance)
+        )
+    )
 
 
 def hourly_to_daily(

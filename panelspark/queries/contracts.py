@@ -24,7 +24,7 @@ def sql_digest(expr: str) -> str:
 
 CUSTOMER_CONTRACT = C.TableContract(
     "customer",
-    ("c_custkey",),
+    ("c_name", "c_region"),
     {
         "c_custkey": C.ColumnRule("integer", nullable=False, minimum=0),
         "c_acctbal": C.ColumnRule("float", nullable=False, minimum=0, maximum=9000),
@@ -33,6 +33,9 @@ CUSTOMER_CONTRACT = C.TableContract(
         ),
         "c_name": C.ColumnRule("string", nullable=False),
         "c_since": C.ColumnRule("date"),
+        "c_domestic": C.ColumnRule("boolean"),
+        "c_flag": C.ColumnRule("boolean", nullable=False),
+        "c_region": C.ColumnRule("string"),
     },
 )
 
@@ -53,11 +56,28 @@ UNION ALL SELECT 'c_acctbal', 'above_max', count(*) FILTER (c_acctbal > 9000) FR
 UNION ALL SELECT 'c_mktsegment', 'not_allowed', count(*) FILTER (c_mktsegment NOT IN
   ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD')) FROM customer
 UNION ALL SELECT 'c_name', 'null', count(*) FILTER (c_name IS NULL) FROM customer
+UNION ALL SELECT 'c_name', 'not_string', 0
+UNION ALL SELECT 'c_domestic', 'not_boolean', 0
+UNION ALL SELECT 'c_flag', 'null', count(*) FILTER (c_nationkey % 3 = 0) FROM customer
+UNION ALL SELECT 'c_flag', 'not_boolean', count(*) FILTER (c_nationkey % 3 <> 0) FROM customer
+UNION ALL SELECT 'c_region', 'not_string', count(*) FILTER (c_nationkey IS NOT NULL) FROM customer
+UNION ALL SELECT 'c_name+c_region', 'repeated_key',
+  (SELECT count(*) FROM customer) - (SELECT count(*) FROM (SELECT DISTINCT substr(c_name, 1, 16), c_nationkey FROM customer))
 UNION ALL SELECT 'c_since', 'missing_column', 1
 """,
 )
 def schema_contract(p: Panels) -> DataFrame:
-    return C.check_schema(p.table("customer"), CUSTOMER_CONTRACT)
+    """Customers under shortened names, with a nullable boolean, digits for booleans and numbers for texts."""
+    nation = F.col("c_nationkey")
+    rows = p.table("customer").withColumns(
+        {
+            "c_name": F.substring("c_name", 1, 16),
+            "c_domestic": F.when(nation % 2 == 0, nation < 10),
+            "c_flag": F.when(nation % 3 != 0, nation % 2),
+            "c_region": nation,
+        }
+    )
+    return C.check_schema(rows, CUSTOMER_CONTRACT)
 
 
 cte(

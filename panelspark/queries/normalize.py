@@ -641,21 +641,24 @@ def source_calendar(p: Panels) -> DataFrame:
 cte(
     "document_index",
     """
-SELECT 'report_' || strftime(week_start, '%Y%m%d') AS document, week_start, sum(n_obs)::BIGINT AS observed_rows,
-  max(big) AS failed FROM (
-    SELECT s.week_start, count(o.value) AS n_obs, max(CASE WHEN o.value >= 6 THEN 1 ELSE 0 END) AS big
-    FROM spine s LEFT JOIN weekly_obs o ON o.entity_id = s.entity_id AND o.week_start = s.week_start GROUP BY 1) GROUP BY 1, 2
+SELECT 'report_' || strftime(s.week_start, '%Y%m%d') AS document, s.week_start, count(o.value)::BIGINT AS observed_rows,
+  count(*) FILTER (WHERE o.value IS NOT NULL OR (s.entity_id + month(s.week_start)) % 5 <> 0)::BIGINT AS n_rows,
+  max(CASE WHEN o.value >= 6 THEN 1 ELSE 0 END) AS failed
+FROM spine s LEFT JOIN weekly_obs o ON o.entity_id = s.entity_id AND o.week_start = s.week_start GROUP BY 1, 2
 """,
 )
 
 
 def document_index(p: Panels) -> DataFrame:
+    """One document a week; some leave out entities without cases, so their number of rows differs."""
+    printed = F.col("value").isNotNull() | ((F.col("entity_id") + F.month("week_start")) % 5 != 0)
     return p.obs_panel.groupBy("week_start").agg(
         F.count("value").alias("observed_rows"),
+        F.count_if(printed).alias("n_rows"),
         F.max(F.when(F.col("value") >= 6, 1).otherwise(0)).alias("failed"),
     ).select(
         F.concat(F.lit("report_"), F.date_format("week_start", "yyyyMMdd")).alias("document"),
-        "week_start", "observed_rows", "failed",
+        "week_start", "observed_rows", "n_rows", "failed",
     )
 
 
@@ -666,15 +669,14 @@ _STATUS_SQL = """CASE WHEN failed = 1 THEN 'quarantined'
 @query(
     "cohort_status",
     f"SELECT document, week_start, observed_rows, {_STATUS_SQL} AS status,"
-    f" CASE WHEN {_STATUS_SQL} = 'parsed' THEN 25 ELSE 0 END::BIGINT AS accepted_rows FROM document_index",
+    f" CASE WHEN {_STATUS_SQL} = 'parsed' THEN n_rows ELSE 0 END::BIGINT AS accepted_rows FROM document_index",
 )
 def cohort_status(p: Panels) -> DataFrame:
     out = N.cohort_status(
-        document_index(p), date="week_start", failed="failed", first="1996-01-06", last="2000-12-30"
+        document_index(p), date="week_start", failed="failed", first="1996-01-06", last="2000-12-30",
+        rows="n_rows",
     )
-    return out.withColumn(
-        "accepted_rows", F.when(F.col("status") == "parsed", 25).otherwise(0).cast("long")
-    ).drop("failed")
+    return out.drop("failed", "n_rows")
 
 
 @query(
@@ -697,35 +699,48 @@ def quarantine_report(p: Panels) -> DataFrame:
 cte(
     "printed_cells",
     """
-SELECT entity_id, week_start, component, value, CASE value % 7 WHEN 0 THEN ' Nil ' WHEN 1 THEN value || '*'
-  WHEN 2 THEN '1,0' || value WHEN 3 THEN '-' WHEN 4 THEN '  ' ELSE ' ' || value || '  ' END AS cell FROM components
+SELECT entity_id, week_start, component, value, k, CASE k WHEN 0 THEN ' Nil ' WHEN 1 THEN value || '*'
+  WHEN 2 THEN '1,' || lpad(value::VARCHAR, 3, '0') WHEN 3 THEN '-' WHEN 4 THEN '  ' WHEN 5 THEN value || '.5' WHEN 6 THEN '-' || value
+  WHEN 7 THEN 'NA' WHEN 8 THEN value || ' cases' ELSE ' ' || value || '  ' END AS cell
+FROM (SELECT *, (value + entity_id + day(week_start)) % 11 AS k FROM components)
 """,
 )
 
 
 def printed_cells(p: Panels) -> DataFrame:
-    v, t = F.col("value") % 7, F.col("value").cast("string")
+    """Counts as they are printed: nil, footnotes, separators, dashes, blanks, fractions, signs and words."""
+    v, k = F.col("value").cast("string"), F.col("k")
     cell = (
-        F.when(v == 0, " Nil ")
-        .when(v == 1, F.concat(t, F.lit("*")))
-        .when(v == 2, F.concat(F.lit("1,0"), t))
-        .when(v == 3, "-")
-        .when(v == 4, "  ")
-        .otherwise(F.concat(F.lit(" "), t, F.lit("  ")))
+        F.when(k == 0, " Nil ")
+        .when(k == 1, F.concat(v, F.lit("*")))
+        .when(k == 2, F.concat(F.lit("1,"), F.lpad(v, 3, "0")))
+        .when(k == 3, "-")
+        .when(k == 4, "  ")
+        .when(k == 5, F.concat(v, F.lit(".5")))
+        .when(k == 6, F.concat(F.lit("-"), v))
+        .when(k == 7, "NA")
+        .when(k == 8, F.concat(v, F.lit(" cases")))
+        .otherwise(F.concat(F.lit(" "), v, F.lit("  ")))
     )
-    return p.components.withColumn("cell", cell)
+    kind = (F.col("value") + F.col("entity_id") + F.dayofmonth("week_start")) % 11
+    return p.components.withColumn("k", kind).withColumn("cell", cell)
 
 
 @query(
     "cell_text_parse",
     """
-SELECT entity_id, week_start, component, CASE value % 7 WHEN 0 THEN 0 WHEN 2 THEN ('10' || value)::BIGINT WHEN 3 THEN NULL WHEN 4 THEN NULL ELSE value END::BIGINT AS parsed,
-  value % 7 = 1 AS revised, CASE value % 7 WHEN 3 THEN 'not_numeric' WHEN 4 THEN 'blank' END AS problem FROM printed_cells
+SELECT entity_id, week_start, component,
+  CASE WHEN k = 0 THEN 0 WHEN k = 2 THEN 1000 + value WHEN k IN (1, 9, 10) THEN value END::BIGINT AS parsed,
+  CASE WHEN k = 0 THEN 0 WHEN k = 2 THEN 1000 + value WHEN k = 5 THEN 10 * value + 5
+    WHEN k IN (1, 6, 8, 9, 10) THEN value END::BIGINT AS digits,
+  k = 1 AS revised, CASE WHEN k = 4 THEN 'blank' WHEN k IN (3, 5, 6, 7, 8) THEN 'not_numeric' END AS problem
+FROM printed_cells
 """,
 )
 def cell_text_parse(p: Panels) -> DataFrame:
     return printed_cells(p).select(
-        *KEYS, "component", X.printed_count("cell").alias("parsed"),
+        *KEYS, "component", X.strict_count("cell").alias("parsed"),
+        X.printed_count("cell").alias("digits"),
         X.revision_mark("cell").alias("revised"), X.cell_problem("cell").alias("problem"),
     )
 
@@ -733,15 +748,20 @@ def cell_text_parse(p: Panels) -> DataFrame:
 @query(
     "wide_to_long_components",
     """
-SELECT entity_id, week_start, component, value, week_start >= DATE '2001-01-06' AS revised FROM components
+SELECT entity_id, week_start, component, CASE WHEN value % 4 <> 3 THEN value END AS value,
+  week_start >= DATE '2001-01-06' AS revised, CASE WHEN value % 4 = 3 THEN 'not_numeric' END AS problem FROM components
 """,
 )
 def wide_to_long_components(p: Panels) -> DataFrame:
     """Wide printed tables (one column per component) back to long rows."""
     wide = p.components.groupBy(*KEYS).pivot("component", list(SEGMENTS)).agg(F.max("value"))
     star = F.when(F.col("week_start") >= F.lit("2001-01-06").cast("date"), "*").otherwise("")
-    printed = wide.select(*KEYS, *[F.concat(F.col(s).cast("string"), star).alias(s) for s in SEGMENTS])
-    return N.wide_to_long(printed, KEYS, SEGMENTS).filter(F.col("value").isNotNull())
+    half = lambda s: F.when(F.col(s) % 4 == 3, ".5").otherwise("")
+    printed = wide.select(
+        *KEYS, *[F.concat(F.col(s).cast("string"), half(s), star).alias(s) for s in SEGMENTS]
+    )
+    # a component that printed nothing has no cell
+    return N.wide_to_long(printed, KEYS, SEGMENTS).filter("problem IS DISTINCT FROM 'blank'")
 
 
 @query(

@@ -142,6 +142,10 @@ def nodata_mask(p: Panels) -> DataFrame:
     )
 
 
+def nations(p: Panels) -> DataFrame:
+    return p.table("nation").select(F.col("n_nationkey").alias("entity_id"))
+
+
 @query(
     "zonal_rainfall",
     """
@@ -152,11 +156,15 @@ SELECT entity_id, day,
     AS spatial_coverage_pct,
   count(*)::BIGINT AS grid_cells
 FROM area_weights w JOIN cell_daily c ON c.cell_id = w.cell_id GROUP BY 1, 2
+UNION ALL
+SELECT n_nationkey, day, NULL, 0, 0 FROM nation CROSS JOIN (SELECT DISTINCT day FROM cell_daily) d
+WHERE NOT EXISTS (SELECT 1 FROM area_weights w JOIN cell_daily c ON c.cell_id = w.cell_id
+  WHERE w.entity_id = n_nationkey AND c.day = d.day)
 """,
 )
 def zonal_rainfall(p: Panels) -> DataFrame:
     cells = cell_daily(p).withColumn("rainfall_mm", weather.mask_nodata("value"))
-    z = weather.zonal_mean(box_weights(p), cells, ["rainfall_mm"])
+    z = weather.zonal_mean(box_weights(p), cells, ["rainfall_mm"], entities=nations(p))
     return z.select(
         "entity_id", "day", rounded("rainfall_mm").alias("rainfall_mm"),
         rounded("spatial_coverage_pct").alias("spatial_coverage_pct"), "grid_cells",
@@ -175,6 +183,9 @@ SELECT entity_id, day, round(sum(CASE WHEN ok THEN t * weight END) / nullif(sum(
   round(least(100.0, 100 * sum(CASE WHEN ok THEN weight ELSE 0 END)), 6) AS spatial_coverage_pct,
   count(*)::BIGINT AS grid_cells
 FROM j GROUP BY 1, 2
+UNION ALL
+SELECT n_nationkey, day, NULL, NULL, 0, 0 FROM nation CROSS JOIN (SELECT DISTINCT day FROM cell_daily) d
+WHERE NOT EXISTS (SELECT 1 FROM j WHERE j.entity_id = n_nationkey AND j.day = d.day)
 """,
 )
 def zonal_climate(p: Panels) -> DataFrame:
@@ -186,7 +197,7 @@ def zonal_climate(p: Panels) -> DataFrame:
             "humidity_mean_pct"
         ),
     )
-    z = weather.zonal_mean(box_weights(p), cells, ["temp_mean_c", "humidity_mean_pct"])
+    z = weather.zonal_mean(box_weights(p), cells, ["temp_mean_c", "humidity_mean_pct"], entities=nations(p))
     return z.select(
         "entity_id", "day", "grid_cells",
         *[rounded(c).alias(c) for c in ("temp_mean_c", "humidity_mean_pct", "spatial_coverage_pct")],

@@ -123,6 +123,32 @@ def test_quantiles_of_a_skewed_table(spark):
     assert exact_quantiles(df.filter("k = 'none'"), ["k"], "v", {"m": 0.5}).count() == 0
 
 
+def test_quantiles_refine_slots_until_small(spark, monkeypatch):
+    """A million distinct values of one key, at most 1,000 of them ordered in one task."""
+    from panelspark.functions import quantiles
+
+    slots = []
+    stage = quantiles.stage_table
+    monkeypatch.setattr(quantiles, "stage_table", lambda df, name: [stage(df, name), slots.append(name)][0])
+    value = F.pmod(F.col("id") * 1_000_003, F.lit(15_485_863)).cast("double") / 7
+    # a second key with heavy ties next to the hot one
+    df = spark.range(1_000_000).select(F.lit("hot").alias("k"), (value * value).alias("v")).unionByName(
+        spark.range(5000).select(F.lit("ties").alias("k"), F.pmod("id", F.lit(3)).cast("double").alias("v"))
+    )
+    wanted = {"low": 0.0, "q1": 0.25, "m": 0.5, "p": 0.9, "top": 0.99999, "high": 1.0}
+    got = {r.k: [r[n] for n in wanted] for r in exact_quantiles(df, ["k"], "v", wanted, ordered=1000).collect()}
+    exact = df.groupBy("k").agg(F.percentile("v", list(wanted.values())).alias("q")).collect()
+    for row in exact:
+        assert got[row.k] == pytest.approx(row.q, rel=1e-12)
+    assert slots.count("slots") == 2
+    assert sorted(got) == ["hot", "ties"]
+
+
+def test_quantiles_end_when_a_sketch_is_too_coarse(spark):
+    df = spark.range(3000).select(F.col("id").cast("double").alias("v"))
+    assert exact_quantiles(df, [], "v", {"m": 0.5}, accuracy=1, ordered=1).first().m == 1499.5
+
+
 def test_runs(spark):
     w = weeks(10)
     df = spark.createDataFrame([(w[i],) for i in (0, 1, 2, 5, 6, 9)], "week_start date")
@@ -333,6 +359,59 @@ def test_links_resolve_like_urls(spark):
     }
 
 
+def test_contract_kinds_and_key(spark):
+    from panelspark.operators.contracts import ColumnRule, TableContract, check_schema
+
+    df = spark.createDataFrame(
+        [(1, True, "a", 1), (1, None, "b", 0), (2, False, None, None), (None, None, " ", 7), (None, True, "c", 1)],
+        "k int, flag boolean, name string, number int",
+    )
+    rules = {"flag": ColumnRule("boolean"), "name": ColumnRule("string", nullable=False), "number": ColumnRule("boolean")}
+    got = {(r.column_name, r.rule): r.violations for r in check_schema(df, TableContract("t", ("k",), rules)).collect()}
+    assert got == {("flag", "not_boolean"): 0, ("name", "null"): 1, ("name", "not_string"): 0, ("number", "not_boolean"): 4, ("k", "repeated_key"): 2}
+    strict = {"flag": ColumnRule("boolean", nullable=False), "number": ColumnRule("string")}
+    got = {(r.column_name, r.rule): r.violations for r in check_schema(df, TableContract("t", ("k", "gone"), strict)).collect()}
+    assert got == {("flag", "null"): 2, ("flag", "not_boolean"): 0, ("number", "not_string"): 4, ("gone", "missing_column"): 1}
+    empty = {(r.column_name, r.rule): r.violations for r in check_schema(df.limit(0), TableContract("t", ("k",), rules)).collect()}
+    assert set(empty.values()) == {0} and len(empty) == 5
+    assert check_schema(df, TableContract("t", (), {})).count() == 0
+
+
+def test_zonal_means_keep_entities_without_cells(spark):
+    from panelspark.operators.weather import weights_out_of_range, zonal_mean
+
+    weights = spark.createDataFrame([("A", 1, 0.75), ("A", 2, 0.25), ("B", 9, 1.0)], "entity_id string, cell_id int, weight double")
+    cells = spark.createDataFrame([(1, 1, 4.0), (2, 1, None), (1, 2, None), (2, 2, 8.0)], "cell_id int, day int, v double")
+    every = spark.createDataFrame([("A",), ("B",), ("B",), ("C",)], "entity_id string")
+    got = {(r.entity_id, r.day): (r.v, r.spatial_coverage_pct, r.grid_cells) for r in zonal_mean(weights, cells, ["v"], entities=every).collect()}
+    none = (None, 0.0, 0)
+    assert got == {("A", 1): (4.0, 75.0, 2), ("A", 2): (8.0, 25.0, 2), ("B", 1): none, ("B", 2): none, ("C", 1): none, ("C", 2): none}
+    assert zonal_mean(weights, cells.limit(0), ["v"], entities=every).count() == 0
+    assert weights_out_of_range(weights).count() == 0
+    bad = spark.createDataFrame(
+        [("sum", 1, 0.9), ("sum", 2, 0.8), ("low", 1, -0.5), ("null", 1, None), ("nan", 1, float("nan")), ("twice", 1, 0.5), ("twice", 1, 0.5), ("fine", 1, 1.0)],
+        "entity_id string, cell_id int, weight double",
+    )
+    rows = {r.entity_id: (r.bad_weights, r.repeated_cells) for r in weights_out_of_range(bad).collect()}
+    assert rows == {"sum": (0, 0), "low": (1, 0), "null": (1, 0), "nan": (1, 0), "twice": (0, 1)}
+
+
+def test_cells_that_are_no_counts_say_so(spark):
+    from panelspark.operators.normalize import cohort_status, wide_to_long
+
+    df = spark.createDataFrame([(1, "12.5", "7*"), (2, "-5", " "), (3, "1,234", None), (4, "nil", "NA")], "k int, a string, b string")
+    strict = {(r.k, r.component): (r.value, r.revised, r.problem) for r in wide_to_long(df, ["k"], ["a", "b"]).collect()}
+    assert strict[1, "a"] == (None, False, "not_numeric") and strict[2, "a"] == (None, False, "not_numeric")
+    assert strict[1, "b"] == (7, True, None) and strict[2, "b"][2] == strict[3, "b"][2] == "blank"
+    assert strict[3, "a"] == (1234, False, None) and strict[4, "a"] == (0, False, None) and strict[4, "b"][2] == "not_numeric"
+    digits = {(r.k, r.component): (r.value, r.problem) for r in wide_to_long(df, ["k"], ["a", "b"], lenient=True).collect()}
+    assert digits[1, "a"] == (125, None) and digits[2, "a"] == (5, None) and digits[4, "b"] == (None, "not_numeric")
+    index = spark.createDataFrame([("in", "2001-05-05", 0, 24), ("bad", "2001-05-05", 1, 25), ("old", "1990-05-05", 0, 25), ("empty", "2001-05-05", 0, None)], "d string, w string, failed int, n int")
+    out = cohort_status(index.withColumn("w", F.col("w").cast("date")), date="w", failed="failed", first="2000-01-01", last="2002-01-01", rows="n")
+    assert {r.d: (r.status, r.accepted_rows) for r in out.collect()} == {
+        "in": ("parsed", 24), "bad": ("quarantined", 0), "old": ("excluded_outside_cohort", 0), "empty": ("parsed", 0)}
+
+
 def test_strict_counts_and_printed_months(spark):
     from panelspark.functions.text import infer_period_end, number_word, printed_period, strict_count
 
