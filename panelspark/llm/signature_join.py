@@ -12,7 +12,8 @@
    their members' shingle bitmaps, their size range, and how many shingles follow in the order at
    most. Two trees are walked together, and a pair of nodes is dropped when even its largest possible
    overlap is too small, or when both hold one and the same component only. A pair of members stays if
-   its full bitmaps allow the threshold.
+   its full bitmaps allow the threshold and none of the first EARLIER such shingles of both lies before
+   this one: a pair that shares many shingles leaves the trees of the first.
 5. The pairs of leaves that remain are checked exactly, first the most promising pair of each set,
    then those still between components; connected components give the classes.
 
@@ -40,6 +41,9 @@ BITS = 1024
 #: Members of a leaf, of the two sides of one tree walk, and the share of a task's documents from
 #: which a shingle counts as frequent there.
 LEAF, SIDE, FREQUENT = 16, 4096, 64
+#: Shingles that a member takes along to tell whether a pair met before. Members that may reach the
+#: threshold share most of theirs; the few pairs that first meet beyond are made distinct afterwards.
+EARLIER = 8
 #: Rounds in which each set checks its most promising pair, before all pairs that remain are checked.
 PROMISING = 2
 
@@ -283,8 +287,10 @@ def _candidates(percent: int):
 
     def judged(rows: dict, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
         """Pairs of places whose full bitmaps leave the threshold possible."""
-        node, n, bits, out = rows["node"], rows["n"], rows["bits"], []
+        node, n, bits, earlier, out = rows["node"], rows["n"], rows["bits"], rows["earlier"], []
         for i, j in zip(x.tolist(), y.tolist()):
+            if not earlier[i].isdisjoint(earlier[j]):
+                continue
             u, v = folded([bits[i], bits[j]])
             most = min(n[i] - int(_ones(u & ~v)), n[j] - int(_ones(v & ~u)))
             if (100 + percent) * most >= percent * (n[i] + n[j]):
@@ -321,17 +327,18 @@ def _candidates(percent: int):
             yield judged(rows, x[keep], y[keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain, rest = ("node", "n", "rest", "comp", "guest", "apart"), None
+        plain, lists, rest = ("node", "n", "rest", "comp", "guest", "apart"), ("bits", "earlier"), None
         for batch in _with_end(batches):
             key = np.empty((0, 4), np.int64)
-            rows = {c: np.empty(0, bool if c in ("guest", "apart") else np.int64) for c in plain} | {"bits": []}
+            rows = {c: np.empty(0, bool if c in ("guest", "apart") else np.int64) for c in plain} | {c: [] for c in lists}
             if batch is not None:
                 key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("token", "range", "left", "right")], axis=1)
                 rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in plain} | {"bits": batch.column("bits").to_pylist()}
+                rows["earlier"] = [frozenset(e) for e in batch.column("earlier").to_pylist()]
                 rows |= {c: rows[c].astype(np.int64) for c in ("n", "rest")}
             if rest:
                 key = np.concatenate([rest[0], key])
-                rows = {c: [*rest[1][c], *v] if c == "bits" else np.concatenate([rest[1][c], v]) for c, v in rows.items()}
+                rows = {c: [*rest[1][c], *v] if c in lists else np.concatenate([rest[1][c], v]) for c, v in rows.items()}
             if not len(key):
                 continue
             cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
@@ -344,7 +351,7 @@ def _candidates(percent: int):
             group = np.repeat(np.arange(len(begins)), ends - begins)
             pick = np.flatnonzero(small[group]) if len(group) else group
             if len(pick):
-                yield from single_leaves(group[pick], {c: [v[i] for i in pick] if c == "bits" else v[pick] for c, v in rows.items()})
+                yield from single_leaves(group[pick], {c: [v[i] for i in pick] if c in lists else v[pick] for c, v in rows.items()})
             for a, z in zip(begins[~small], ends[~small]):
                 yield from walked({c: v[a:z] for c, v in rows.items()})
 
@@ -396,7 +403,14 @@ def tree_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     mixed = mixed.filter("a < b").groupBy("c", "s0", "s1").agg(F.min_by("token", "least").alias("token")).select("token", "c")
     mixed = stage_table(mixed, "mixed")
     base = -math.log(min(percent, 99) / 100) * (1 + 1e-6)
-    rows = members.join(mixed, "token").withColumn("range", F.when(F.col("c") > SIDE, F.floor(F.log("n") / base).cast("int")).otherwise(0)).withColumn("rest", F.col("n") - F.col("pos")).drop("c", "pos")
+    # One row per set with its shared shingles in order: each goes with the first ones before it.
+    listed = members.join(mixed, "token").groupBy("node").agg(F.first("n").alias("n"), F.first("comp").alias("comp"), F.array_sort(F.collect_list(F.struct("pos", "token", "c"))).alias("all"))
+    listed = listed.withColumn("start", F.transform(F.slice("all", 1, EARLIER), lambda m: m["token"]))
+    rows = listed.select("node", "n", "comp", "start", F.posexplode("all").alias("i", "m"))
+    rows = rows.select(
+        "node", "n", "comp", F.col("m.token").alias("token"), F.when(F.col("m.c") > SIDE, F.floor(F.log("n") / base).cast("int")).otherwise(0).alias("range"),
+        (F.col("n") - F.col("m.pos")).alias("rest"), F.slice("start", F.lit(1), F.col("i")).alias("earlier"),
+    )
     rows = stage_table(rows, "mixed-members")
     size = rows.groupBy("token", "range").agg(F.ceil(F.count(F.lit(1)) / SIDE).cast("int").alias("blocks"))
     own = rows.join(size, ["token", "range"]).withColumn("block", F.pmod(F.hash("node"), "blocks"))
@@ -409,10 +423,10 @@ def tree_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     within = F.transform(every("blocks"), lambda o: at(r, F.least(b, o), F.greatest(b, o), b > o, b != o))
     as_home = F.transform(every("below"), lambda o: at(r, b, -1 - o, F.lit(False), F.lit(True)))
     as_guest = F.transform(every("above"), lambda o: at(r + 1, o, -1 - b, F.lit(True), F.lit(True)))
-    kept = ["token", "node", "n", "rest", "comp"]
+    kept = ["token", "node", "n", "rest", "comp", "earlier"]
     placed = own.select(*kept, F.explode(F.concat(within, as_home, as_guest)).alias("p")).select(*kept, "p.*")
     placed = placed.join(sets.select("node", "bits"), "node").repartition("token", "range", "left", "right").sortWithinPartitions("token", "range", "left", "right")
-    placed = placed.select("token", "range", "left", "right", "node", "n", "rest", "comp", "guest", "apart", "bits")
+    placed = placed.select("token", "range", "left", "right", "node", "n", "rest", "comp", "guest", "apart", "bits", "earlier")
     return placed.mapInArrow(_candidates(percent), "a long, b long, best double").dropDuplicates(["a", "b"])
 
 
