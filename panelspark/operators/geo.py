@@ -1,16 +1,13 @@
 """Grids, polygon areas and area weights in a cylindrical equal-area projection.
 
 The projection is closed-form column math (WGS84 ellipsoid, standard parallel 30 degrees), so
-projecting is a column expression. Only clipping a general ring needs Python, per Arrow batch.
+projecting is a column expression, and areas and their shares of cells are sums over edges.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,117 +132,115 @@ def box_area_weights(boxes: DataFrame, resolution: float, *, entity: str = "enti
     )
 
 
-def ring_bounds(rings: DataFrame, *, entity: str = "entity_id") -> DataFrame:
-    lon = F.transform("ring", lambda p: p["lon"])
-    lat = F.transform("ring", lambda p: p["lat"])
-    return rings.select(
-        entity,
-        "ring",
-        F.array_min(lon).alias("min_lon"),
-        F.array_max(lon).alias("max_lon"),
-        F.array_min(lat).alias("min_lat"),
-        F.array_max(lat).alias("max_lat"),
+def _parts(rings: DataFrame, entity: str) -> DataFrame:
+    """Rings as closed arrays of projected points, with the sign their surface counts with.
+
+    A row is one ring; an entity may have several, and rows whose ``hole`` is true are cut out. Rings may
+    run either way round and need not repeat their first vertex.
+    """
+    hole = F.coalesce(F.col("hole"), F.lit(False)) if "hole" in rings.columns else F.lit(False)
+    ends_meet = F.get("ring", F.lit(0)) == F.get("ring", F.size("ring") - 1)
+    points = F.transform(
+        F.when(ends_meet, F.col("ring")).otherwise(F.concat("ring", F.slice("ring", 1, 1))),
+        lambda p: F.struct(project_x(p["lon"]).alias("x"), project_y(p["lat"]).alias("y"), p["lon"].alias("lon")),
     )
+    some = rings.filter(F.size("ring") > 0).select(entity, F.when(hole, -1.0).otherwise(1.0).alias("_sign"), points.alias("_p"))
+    edges = F.zip_with(F.expr("slice(_p, 1, greatest(size(_p) - 1, 0))"), F.expr("slice(_p, 2, greatest(size(_p) - 1, 0))"), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return some.select(entity, "_sign", F.get("_p", F.lit(0)).alias("_o"), edges.alias("_e"))
 
 
-def ring_area_centroid(rings: DataFrame, *, entity: str = "entity_id") -> DataFrame:
-    """Equal-area surface (km2) and centroid of closed rings by the shoelace sums."""
-    points = (
-        rings.select(entity, F.posexplode("ring").alias("i", "p"))
-        .select(
-            entity, "i", project_x(F.col("p.lon")).alias("x"), project_y(F.col("p.lat")).alias("y")
+def _shoelace() -> dict[str, Column]:
+    """Twice the signed area of a ring and its first moments, relative to the ring's first vertex."""
+    zero = F.struct(*[F.lit(0.0).alias(n) for n in ("c", "sx", "sy")])
+
+    def add(total: Column, e: Column) -> Column:
+        ax, ay, bx, by = (e[k][v] - F.col("_o")[v] for k, v in (("a", "x"), ("a", "y"), ("b", "x"), ("b", "y")))
+        cross = ax * by - bx * ay
+        return F.struct(
+            (total["c"] + cross).alias("c"), (total["sx"] + (ax + bx) * cross).alias("sx"), (total["sy"] + (ay + by) * cross).alias("sy")
         )
-    )
-    w = Window.partitionBy(entity).orderBy("i")
-    nx, ny = F.lead("x").over(w), F.lead("y").over(w)
-    # coordinates relative to the first vertex keep the products small
-    x0, y0 = F.first("x").over(w), F.first("y").over(w)
-    rel = points.select(
-        entity,
-        x0.alias("x0"),
-        y0.alias("y0"),
-        (F.col("x") - x0).alias("x"),
-        (F.col("y") - y0).alias("y"),
-        (nx - x0).alias("nx"),
-        (ny - y0).alias("ny"),
-    ).filter(F.col("nx").isNotNull())
-    cross = F.col("x") * F.col("ny") - F.col("nx") * F.col("y")
-    sums = rel.groupBy(entity).agg(
-        F.sum(cross).alias("c"),
-        F.sum((F.col("x") + F.col("nx")) * cross).alias("sx"),
-        F.sum((F.col("y") + F.col("ny")) * cross).alias("sy"),
-        F.max("x0").alias("x0"),
-        F.max("y0").alias("y0"),
+
+    return {"_s": F.aggregate("_e", zero, add)}
+
+
+def ring_area_centroid(rings: DataFrame, *, entity: str = "entity_id") -> DataFrame:
+    """Equal-area surface (km2) and centroid of areas of one or more rings, holes cut out.
+
+    Each ring gives its area and moments within its row; the rings of an entity are sums. Rings of one
+    entity must not overlap. An area without surface has a null centroid.
+    """
+    ring = _parts(rings, entity).withColumns(_shoelace()).select(entity, "_sign", "_o", "_s.*")
+    turn = F.col("_sign") * F.signum("c")
+    area = turn * F.col("c") / 2.0
+    sums = ring.groupBy(entity).agg(
+        F.sum(area).alias("a"),
+        F.sum(area * F.col("_o.x") + turn * F.col("sx") / 6.0).alias("mx"),
+        F.sum(area * F.col("_o.y") + turn * F.col("sy") / 6.0).alias("my"),
     )
     return sums.select(
         entity,
-        (F.abs("c") / 2.0 / 1_000_000.0).alias("area_km2"),
-        unproject_lat(F.col("y0") + F.col("sy") / (F.col("c") * 3.0)).alias("centroid_lat"),
-        unproject_lon(F.col("x0") + F.col("sx") / (F.col("c") * 3.0)).alias("centroid_lon"),
+        (F.col("a") / 1_000_000.0).alias("area_km2"),
+        unproject_lat(ratio("my", "a")).alias("centroid_lat"),
+        unproject_lon(ratio("mx", "a")).alias("centroid_lon"),
     )
 
 
-def _clip_to_box(xs: np.ndarray, ys: np.ndarray, box: tuple[float, float, float, float]) -> float:
-    """Area of a ring inside a box: keep the inside of each of the four edges in turn."""
-    pts = np.column_stack([xs, ys])
-    for axis, limit, sign in ((0, box[0], 1), (0, box[1], -1), (1, box[2], 1), (1, box[3], -1)):
-        if len(pts) == 0:
-            return 0.0
-        nxt = np.roll(pts, -1, axis=0)
-        d, dn = sign * (pts[:, axis] - limit), sign * (nxt[:, axis] - limit)
-        kept: list[np.ndarray] = []
-        for p, q, dp, dq in zip(pts, nxt, d, dn, strict=True):
-            if dp >= 0:
-                kept.append(p)
-            if (dp > 0 > dq) or (dp < 0 < dq):
-                kept.append(p + (q - p) * (dp / (dp - dq)))
-        pts = np.array(kept)
-    if len(pts) < 3:
-        return 0.0
-    x, y = pts[:, 0] - pts[0, 0], pts[:, 1] - pts[0, 1]
-    return abs(float(np.sum(x * np.roll(y, -1) - np.roll(x, -1) * y))) / 2.0
+# Shares of a cell below this are rounding noise of the sums.
+SLIVER = 1e-9
 
 
 def ring_area_weights(rings: DataFrame, resolution: float, *, entity: str = "entity_id") -> DataFrame:
-    """Area weights of general rings: candidate cells by index, clipping in Arrow batches."""
+    """Share of each area's equal-area surface in each cell, for areas of any number of rings and holes.
+
+    The surface inside a cell is a sum over edges: an edge adds the strip between it and the cell's lower
+    side (the whole height where it runs above the cell), rightward edges against leftward ones. So an edge is
+    one row per column and row of cells that it touches, sums need no vertices side by side, and a coast of millions
+    of vertices is pre-aggregated like any other sum. What an edge adds to all cells below comes from a
+    running sum down each column of cells, which also gives the cells that no edge touches.
+    """
     half = resolution / 2
-    lat, lon = F.col("cell_row") * F.lit(resolution), F.col("cell_col") * F.lit(resolution)
-    candidates = (
-        touched_cells(ring_bounds(rings, entity=entity), resolution)
-        .select(
-            entity,
-            "cell_id",
-            "lat",
-            "lon",
-            F.transform("ring", lambda p: project_x(p["lon"])).alias("xs"),
-            F.transform("ring", lambda p: project_y(p["lat"])).alias("ys"),
-            project_x(lon - half).alias("west"),
-            project_x(lon + half).alias("east"),
-            project_y(lat - half).alias("south"),
-            project_y(lat + half).alias("north"),
-        )
+    parts = _parts(rings, entity).withColumns(_shoelace())
+    edges = parts.select(entity, (-F.col("_sign") * F.signum("_s.c")).alias("turn"), F.explode("_e").alias("e"))
+    edges = edges.select(entity, "turn", F.col("e.a.x").alias("xa"), F.col("e.a.y").alias("ya"), F.col("e.b.x").alias("xb"), F.col("e.b.y").alias("yb"), F.col("e.a.lon").alias("la"), F.col("e.b.lon").alias("lb"))
+    index = lambda degrees, slack: F.floor(degrees / resolution + 0.5 + slack).cast("long")
+    tolerance = 1e-6
+    cut = edges.filter("xa <> xb").withColumn(
+        "cell_col", F.explode(F.sequence(index(F.least("la", "lb"), -tolerance), index(F.greatest("la", "lb"), tolerance)))
     )
-    key = candidates.schema[entity].dataType.simpleString()
-
-    def clip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        everything = (-np.inf, np.inf, -np.inf, np.inf)
-        for b in batches:
-            area, total = [], []
-            for r in b.itertuples(index=False):
-                xs, ys = np.asarray(r.xs)[:-1], np.asarray(r.ys)[:-1]
-                area.append(_clip_to_box(xs, ys, (r.west, r.east, r.south, r.north)))
-                total.append(_clip_to_box(xs, ys, everything))
-            out = b[[entity, "cell_id", "lat", "lon"]].copy()
-            out["intersection_area_m2"] = area
-            out["entity_area_m2"] = total
-            yield out[out["intersection_area_m2"] > 0]
-
-    clipped = candidates.mapInPandas(
-        clip,
-        f"{entity} {key}, cell_id string, lat double, lon double, "
-        "intersection_area_m2 double, entity_area_m2 double",
+    lon = F.col("cell_col") * F.lit(resolution)
+    held = lambda x: F.least(F.greatest(F.col(x), project_x(lon - half)), project_x(lon + half))
+    at = lambda x: F.col("ya") + (F.col("yb") - F.col("ya")) * ((x - F.col("xa")) / (F.col("xb") - F.col("xa")))
+    cut = cut.select(entity, "cell_col", "turn", (held("xb") - held("xa")).alias("dx"), at(held("xa")).alias("y0"), at(held("xb")).alias("y1"))
+    cut = cut.filter("dx <> 0").select(entity, "cell_col", (F.col("turn") * F.col("dx")).alias("dx"), F.least("y0", "y1").alias("lo"), F.greatest("y0", "y1").alias("hi"))
+    first = index(unproject_lat(F.col("lo")), -tolerance)
+    rows = cut.withColumn("_first", first).withColumn("cell_row", F.explode(F.sequence("_first", index(unproject_lat(F.col("hi")), tolerance))))
+    lat = F.col("cell_row") * F.lit(resolution)
+    south, north = project_y(lat - half), project_y(lat + half)
+    rows = rows.withColumns({"s": south, "n": north})
+    into = lambda y: F.least(F.greatest(F.col(y), F.col("s")), F.col("n"))
+    # Mean height above the cell's lower side: the part of the edge inside the cell, and the part above it.
+    inside = (into("hi") - into("lo")) * ((into("hi") + into("lo")) / 2 - F.col("s"))
+    above = (F.col("hi") - F.least("hi", F.greatest("lo", "n"))) * (F.col("n") - F.col("s"))
+    height = F.when(F.col("hi") > F.col("lo"), (inside + above) / (F.col("hi") - F.col("lo"))).otherwise(into("lo") - F.col("s"))
+    sums = rows.groupBy(entity, "cell_col", "cell_row").agg(
+        F.sum(F.col("dx") * height).alias("own"), F.sum(F.when(F.col("cell_row") == F.col("_first"), F.col("dx")).otherwise(0.0)).alias("over")
     )
-    return clipped.withColumn("weight", F.col("intersection_area_m2") / F.col("entity_area_m2"))
+    down = Window.partitionBy(entity, "cell_col").orderBy(F.desc("cell_row"))
+    # The width of surface that reaches into the cells below this one, and the next cell below that edges touch.
+    column = sums.withColumns({"below": F.sum("over").over(down), "next_row": F.lead("cell_row").over(down)})
+    column = column.withColumn("above", F.col("below") - F.col("over"))
+    gap = F.expr("CASE WHEN next_row < cell_row - 1 THEN sequence(cell_row - 1, next_row + 1, -1) ELSE array() END")
+    cells = column.select(
+        entity, "cell_col",
+        F.explode(F.concat(F.array(F.struct("cell_row", "own", F.col("above").alias("width"))), F.transform(gap, lambda r: F.struct(r.alias("cell_row"), F.lit(0.0).alias("own"), F.col("below").alias("width"))))).alias("c"),
+    ).select(entity, "cell_col", "c.*")
+    tall = project_y(lat + half) - project_y(lat - half)
+    cells = cells.withColumn("intersection_area_m2", F.col("own") + F.col("width") * tall)
+    cells = cells.filter(F.col("intersection_area_m2") > tall * F.lit(A * K0 * math.radians(resolution) * SLIVER))
+    turn = F.col("_sign") * F.signum("_s.c")
+    total = parts.groupBy(entity).agg(F.sum(turn * F.col("_s.c") / 2.0).alias("entity_area_m2"))
+    named = cells.withColumns(cell_columns("cell_row", "cell_col", resolution)).join(total, entity)
+    return named.select(entity, "cell_id", "lat", "lon", "intersection_area_m2", "entity_area_m2", ratio("intersection_area_m2", "entity_area_m2").alias("weight"))
 
 
 def cell_window(

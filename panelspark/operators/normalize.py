@@ -254,6 +254,30 @@ def coverage_by_year(
     )
 
 
+# Bucket widths in days by length class; an interval touches at most two buckets of its class or a wider one.
+CLASS_DAYS = tuple(7 * 8**k for k in range(7))
+
+
+def length_class(start: str, end: str) -> Column:
+    """Number of the narrowest class whose buckets are at least as wide as the interval."""
+    days = F.datediff(F.col(end), F.col(start)) + 1
+    return sum(((days > w).cast("int") for w in CLASS_DAYS[:-1]), F.lit(0))
+
+
+def spread_intervals(df: DataFrame, start: str, end: str, levels: Column) -> DataFrame:
+    """Intervals under the day buckets they touch, at their own length class and the wider ones of ``levels``.
+
+    ``_class`` is the class of the interval, ``_level`` that of the listing and ``_k`` the bucket. At most
+    two copies per level, however long the interval; intervals with a null or reversed end are left out.
+    """
+    epoch = F.lit("1970-01-01").cast("date")
+    some = df.filter(F.col(start) <= F.col(end)).withColumns({"_class": length_class(start, end), "_levels": levels})
+    listed = F.array_distinct(F.concat(F.array("_class"), F.filter("_levels", lambda v: v > F.col("_class"))))
+    width = F.element_at(F.lit(list(CLASS_DAYS)), F.col("_level") + 1)
+    bucket = lambda d: F.floor(F.datediff(F.col(d), epoch) / width)
+    return some.withColumn("_level", F.explode(listed)).withColumn("_k", F.explode(F.sequence(bucket(start), bucket(end))))
+
+
 def overlap_join(
     left: DataFrame,
     right: DataFrame,
@@ -261,31 +285,39 @@ def overlap_join(
     entity: str = "entity_id",
     start: str = "start",
     end: str = "end",
-    bucket_days: int = 7,
 ) -> DataFrame:
     """Pairs of overlapping intervals of the same entity.
 
-    Both sides are listed under the day buckets they touch and met by equi-join on (entity,
-    bucket); a pair is kept only in the bucket of its overlap start, so it appears once.
+    Buckets come in length classes. The longer interval of a pair is listed at its own class only, the
+    shorter one also at each wider class that the other side has, and they meet by equi-join on (entity,
+    class, bucket). ``_way`` tells whether the left or the right one is the longer, so two intervals never meet
+    at a class wider than both. A pair is kept only in the bucket of its overlap start, so it appears once.
     """
     epoch = F.lit("1970-01-01").cast("date")
-    bucket = lambda d: F.floor(F.datediff(d, epoch) / bucket_days)
-
-    def spread(df: DataFrame, tag: str) -> DataFrame:
-        renamed = df.select(
-            entity, *[F.col(c).alias(f"{tag}_{c}") for c in df.columns if c != entity]
-        )
-        return renamed.withColumn(
-            "_k",
-            F.explode(F.sequence(bucket(F.col(f"{tag}_{start}")), bucket(F.col(f"{tag}_{end}")))),
-        )
 
-    joined = spread(left, "a").join(spread(right, "b"), [entity, "_k"])
+    def side(df: DataFrame, tag: str) -> DataFrame:
+        return df.select(entity, *[F.col(c).alias(f"{tag}_{c}") for c in df.columns if c != entity])
+
+    def classes(df: DataFrame, tag: str) -> Column:
+        """The length classes that occur, seven at most."""
+        lo, hi = f"{tag}_{start}", f"{tag}_{end}"
+        return df.filter(F.col(lo) <= F.col(hi)).agg(F.collect_set(length_class(lo, hi))).scalar()
+
+    a, b = side(left, "a"), side(right, "b")
+    of_a, of_b = classes(a, "a"), classes(b, "b")
+    home = F.col("_level") == F.col("_class")
+    smaller = F.exists("_levels", lambda v: v < F.col("_class"))
+    a = spread_intervals(a, f"a_{start}", f"a_{end}", of_b).withColumn("_way", F.when(home, 0).otherwise(1))
+    b = spread_intervals(b, f"b_{start}", f"b_{end}", of_a)
+    b = b.withColumn("_way", F.explode(F.when(home & smaller, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    joined = a.drop("_class", "_levels").join(b.drop("_class", "_levels"), [entity, "_level", "_way", "_k"])
+    width = F.element_at(F.lit(list(CLASS_DAYS)), F.col("_level") + 1)
+    bucket = lambda d: F.floor(F.datediff(d, epoch) / width)
     lo = F.greatest(F.col(f"a_{start}"), F.col(f"b_{start}"))
     hi = F.least(F.col(f"a_{end}"), F.col(f"b_{end}"))
     return (
         joined.filter((lo <= hi) & (F.col("_k") == bucket(lo)))
-        .drop("_k")
+        .drop("_k", "_level", "_way")
         .withColumn("overlap_start", lo)
         .withColumn("overlap_end", hi)
         .withColumn("overlap_days", (F.datediff(hi, lo) + 1).cast("long"))

@@ -10,6 +10,7 @@ from panelspark.functions.columns import digest_int, plus_days
 from panelspark.operators import normalize as N
 from panelspark.queries.base import cte, query
 from panelspark.queries.contracts import sql_digest
+from panelspark.session import stage_table
 from panelspark.sources.panels import Panels
 
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
@@ -336,10 +337,14 @@ FROM weekly_obs a JOIN (
 
 
 def overlap_pairs(p: Panels) -> DataFrame:
-    sat = p.weekly_obs.select(
-        "entity_id", F.col("week_start").alias("start"), plus_days("week_start", 6).alias("end"), "value"
-    )
-    other = p.offset_obs.filter("entity_id % 5 <> 0").unionByName(
+    """The weekly tables are staged: the join reads each side for its length classes and for its rows."""
+    sat = stage_table(
+        p.weekly_obs.select(
+            "entity_id", F.col("week_start").alias("start"), plus_days("week_start", 6).alias("end"), "value"
+        ),
+        "weekly_intervals",
+    )
+    other = stage_table(p.offset_obs.filter("entity_id % 5 <> 0"), "offset_intervals").unionByName(
         sat.filter("entity_id % 5 = 0").withColumn("value", F.col("value") + 1)
     )
     return N.overlap_join(sat, other)

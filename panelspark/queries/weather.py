@@ -123,6 +123,56 @@ def polygon_area_centroid(p: Panels) -> DataFrame:
     )
 
 
+cte(
+    "part_boxes",
+    """
+SELECT entity_id, sign, min_lon + (max_lon - min_lon) * x0 AS min_lon, min_lat + (max_lat - min_lat) * y0 AS min_lat,
+  min_lon + (max_lon - min_lon) * x1 AS max_lon, min_lat + (max_lat - min_lat) * y1 AS max_lat
+FROM boxes, (VALUES (1, 0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE), (-1, 1 / 3.0::DOUBLE, 1 / 3.0::DOUBLE, 2 / 3.0::DOUBLE, 2 / 3.0::DOUBLE),
+  (1, 1.5::DOUBLE, 0.25::DOUBLE, 1.75::DOUBLE, 0.5::DOUBLE)) AS t(sign, x0, y0, x1, y1)
+""",
+)
+cte(
+    "part_areas",
+    f"""
+SELECT entity_id, sum(sign * a) AS area, sum(sign * a * (min_lon + max_lon) / 2) / sum(sign * a) AS centroid_lon,
+  sum(sign * a * ({py("min_lat")} + {py("max_lat")}) / 2) / sum(sign * a) AS centroid_y
+FROM (SELECT *, ({px("max_lon")} - {px("min_lon")}) * ({py("max_lat")} - {py("min_lat")}) AS a FROM part_boxes) GROUP BY 1
+""",
+)
+
+
+@query(
+    "multipart_area_weights",
+    f"""
+WITH t AS (SELECT b.*, r AS cell_row, c AS cell_col FROM part_boxes b,
+  unnest(generate_series(floor((min_lat - 0.125) / {RES})::BIGINT, ceil((max_lat + 0.125) / {RES})::BIGINT)) AS t1(r),
+  unnest(generate_series(floor((min_lon - 0.125) / {RES})::BIGINT, ceil((max_lon + 0.125) / {RES})::BIGINT)) AS t2(c)),
+g AS (SELECT entity_id, cell_row, cell_col, sum(sign * ({px(_E)} - {px(_W)}) * ({py(_N)} - {py(_S)})) AS a FROM t WHERE {_E} > {_W} AND {_N} > {_S} GROUP BY 1, 2, 3)
+SELECT entity_id, printf('%.4f,%.4f', cell_row * {RES}::DOUBLE, cell_col * {RES}::DOUBLE) AS cell_id, round(a / 1e6, 4) AS intersection_km2, round(a / area, 6) AS weight
+FROM g JOIN part_areas USING (entity_id) WHERE a > 1
+""",
+)
+def multipart_area_weights(p: Panels) -> DataFrame:
+    """Areas of several rings with a hole and an island."""
+    w = geo.ring_area_weights(p.part_rings, RES)
+    return w.select("entity_id", "cell_id", rounded(F.col("intersection_area_m2") / 1e6, 4).alias("intersection_km2"), rounded("weight").alias("weight"))
+
+
+@query(
+    "multipart_area_centroid",
+    "SELECT entity_id, round(area / 1e6, 4) AS area_km2, round(centroid_lon, 6) AS centroid_lon, round(centroid_y, 1) AS centroid_y FROM part_areas",
+)
+def multipart_area_centroid(p: Panels) -> DataFrame:
+    c = geo.ring_area_centroid(p.part_rings)
+    return c.select(
+        "entity_id",
+        rounded("area_km2", 4).alias("area_km2"),
+        rounded("centroid_lon").alias("centroid_lon"),
+        rounded(geo.project_y(F.col("centroid_lat")), 1).alias("centroid_y"),
+    )
+
+
 @query(
     "nodata_mask",
     """

@@ -227,6 +227,36 @@ class Panels:
             ).alias("ring"),
         )
 
+    @cached_property
+    def part_boxes(self) -> DataFrame:
+        """Three boxes per entity: its area, a hole of a third of each side in the middle, and an island beyond."""
+        w, h = F.col("max_lon") - F.col("min_lon"), F.col("max_lat") - F.col("min_lat")
+        parts = ((False, 0.0, 0.0, 1.0, 1.0), (True, 1 / 3, 1 / 3, 2 / 3, 2 / 3), (False, 1.5, 0.25, 1.75, 0.5))
+        return self.boxes.select(
+            "entity_id",
+            F.explode(
+                F.array(
+                    *[
+                        F.struct(
+                            F.lit(hole).alias("hole"),
+                            (F.col("min_lon") + w * x0).alias("min_lon"),
+                            (F.col("min_lat") + h * y0).alias("min_lat"),
+                            (F.col("min_lon") + w * x1).alias("max_lon"),
+                            (F.col("min_lat") + h * y1).alias("max_lat"),
+                        )
+                        for hole, x0, y0, x1, y1 in parts
+                    ]
+                )
+            ).alias("_b"),
+        ).select("entity_id", "_b.*")
+
+    @cached_property
+    def part_rings(self) -> DataFrame:
+        """The rings of :attr:`part_boxes`, open and clockwise."""
+        corner = lambda x, y: F.struct(F.col(x).alias("lon"), F.col(y).alias("lat"))
+        ring = [corner("min_lon", "min_lat"), corner("min_lon", "max_lat"), corner("max_lon", "max_lat"), corner("max_lon", "min_lat")]
+        return self.part_boxes.select("entity_id", "hole", F.array(*ring).alias("ring"))
+
     @cached_property
     def population(self) -> DataFrame:
         per_nation = (

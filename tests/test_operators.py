@@ -231,25 +231,37 @@ def test_conflicts_become_missing(spark):
     assert out[3].value is None and not out[3].is_conflict
 
 
-def test_overlap_join_equals_brute_force(spark):
-    rng = np.random.default_rng(1)
-    base = D(2020, 1, 1)
+@pytest.mark.parametrize("longest", [30, 40_000])
+def test_overlap_join_equals_brute_force(spark, longest):
+    rng = np.random.default_rng(longest)
+    base = D(1900, 1, 1)
 
     def intervals(n):
         out = []
         for i in range(n):
-            s = base + dt.timedelta(days=int(rng.integers(0, 120)))
-            out.append((int(rng.integers(0, 2)), s, s + dt.timedelta(days=int(rng.integers(0, 30))), i))
-        return out
+            s = base + dt.timedelta(days=int(rng.integers(0, 4 * longest)))
+            out.append((int(rng.integers(0, 2)), s, s + dt.timedelta(days=int(longest ** rng.random()) - 1), i))
+        return [*out, (0, base, None, n), (0, None, base, n + 1), (1, base + dt.timedelta(days=9), base, n + 2), out[0]]
 
     a, b = intervals(60), intervals(60)
     schema = "entity_id int, start date, end date, id int"
     got = N.overlap_join(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)).select("a_id", "b_id", "overlap_days")
+    whole = lambda rows: [r for r in rows if r[1] and r[2] and r[1] <= r[2]]
     expect = sorted(
         (x[3], y[3], (min(x[2], y[2]) - max(x[1], y[1])).days + 1)
-        for x in a for y in b if x[0] == y[0] and x[1] <= y[2] and x[2] >= y[1]
+        for x in whole(a) for y in whole(b) if x[0] == y[0] and x[1] <= y[2] and x[2] >= y[1]
     )
-    assert sorted(tuple(r) for r in got.collect()) == expect
+    assert expect and sorted(tuple(r) for r in got.collect()) == expect
+
+
+def test_copies_of_an_interval_are_bounded(spark):
+    spans = [1, 7, 8, 56, 57, 449, 11_000, 100_000, 700_000]
+    df = spark.createDataFrame([(D(1950, 1, 5) - dt.timedelta(days=min(n, 600_000)), n) for n in spans], "s date, n int")
+    df = df.withColumn("e", F.expr("date_add(s, n - 1)"))
+    every = F.lit(list(range(7)))
+    out = N.spread_intervals(df, "s", "e", every).groupBy("n", "_class", "_level").count().collect()
+    assert all(r["count"] <= 2 and N.CLASS_DAYS[r._level] >= r.n for r in out)
+    assert {r.n: r._class for r in out} == {1: 0, 7: 0, 8: 1, 56: 1, 57: 2, 449: 3, 11_000: 4, 100_000: 5, 700_000: 6}
 
 
 def test_weekly_weather_joint_coverage(spark):
@@ -280,11 +292,81 @@ def test_humidity_is_held_to_100(spark):
     assert got[0] == pytest.approx(100.0) and got[1] == 100.0 and 0 < got[2] < 100
 
 
+RINGS = "entity_id string, hole boolean, ring array<struct<lon:double,lat:double>>"
+
+
+def clipped_area(ring, box):
+    """Area of a projected ring inside a box, edge by edge of the box."""
+    for axis, limit, sign in ((0, box[0], 1), (0, box[1], -1), (1, box[2], 1), (1, box[3], -1)):
+        kept = []
+        for p, q in zip(ring, ring[1:] + ring[:1]):
+            dp, dq = sign * (p[axis] - limit), sign * (q[axis] - limit)
+            if dp >= 0:
+                kept.append(p)
+            if dp * dq < 0:
+                t = dp / (dp - dq)
+                kept.append((p[0] + (q[0] - p[0]) * t, p[1] + (q[1] - p[1]) * t))
+        ring = kept
+    return abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, ring[1:] + ring[:1]))) / 2
+
+
+def star(rng, lon, lat, size, n):
+    turn = sorted(rng.random(n) * 2 * np.pi)
+    reach = size * (0.3 + 0.7 * rng.random(n))
+    return [(lon + float(r * np.cos(t)), lat + float(r * np.sin(t))) for t, r in zip(turn, reach)]
+
+
+def test_area_weights_of_many_rings_equal_clipping(spark):
+    """A ragged area with a hole and an island, rings either way round, closed or open."""
+    rng = np.random.default_rng(5)
+    outer, island = star(rng, 80.0, 6.0, 2.0, 60), star(rng, 84.0, 7.0, 0.6, 9)
+    hole = [(80.0 + 0.25 * (x - 80.0), 6.0 + 0.25 * (y - 6.0)) for x, y in outer]
+    box = [(79.875, 6.125), (80.375, 6.125), (80.375, 6.625), (79.875, 6.625)]
+    rows = [
+        ("many", False, outer + outer[:1]), ("many", True, hole), ("many", None, island[::-1]),
+        ("cells", False, box), ("line", False, [(80.0, 6.0), (81.0, 7.0), (80.0, 6.0)]), ("none", False, []), ("null", False, None),
+    ]
+    rings = spark.createDataFrame(rows, RINGS)
+    got = {(r.entity_id, r.cell_id): r for r in geo.ring_area_weights(rings, 0.25).collect()}
+
+    def planar(points):
+        df = spark.createDataFrame(points, "lon double, lat double")
+        return [tuple(r) for r in df.select(geo.project_x(F.col("lon")), geo.project_y(F.col("lat"))).collect()]
+
+    parts = [(planar(outer), 1), (planar(hole), -1), (planar(island), 1)]
+    every = (-1e9, 1e9, -1e9, 1e9)
+    total = sum(sign * clipped_area(r, every) for r, sign in parts)
+    span = [(c, r) for c in range(310, 345) for r in range(12, 36)]
+    sides = planar([(c * 0.25 + d, r * 0.25 + d) for c, r in span for d in (-0.125, 0.125)])
+    want = {}
+    for k, (c, r) in enumerate(span):
+        (w, s), (e, n) = sides[2 * k], sides[2 * k + 1]
+        area = sum(sign * clipped_area(ring, (w, e, s, n)) for ring, sign in parts)
+        if area > 1.0:
+            want[f"{r * 0.25:.4f},{c * 0.25:.4f}"] = area
+    mine = {c: r for (e, c), r in got.items() if e == "many"}
+    assert mine.keys() == want.keys() and len(want) > 100
+    assert all(mine[c].intersection_area_m2 == pytest.approx(a, rel=1e-6, abs=1.0) for c, a in want.items())
+    assert all(r.entity_area_m2 == pytest.approx(total, rel=1e-9) for r in mine.values())
+    assert sum(r.weight for r in mine.values()) == pytest.approx(1.0, abs=1e-9)
+    assert sorted(c for e, c in got if e == "cells") == ["6.2500,80.0000", "6.2500,80.2500", "6.5000,80.0000", "6.5000,80.2500"]
+    assert {e for e, _ in got} == {"many", "cells"}
+
+    centre = {r.entity_id: r for r in geo.ring_area_centroid(rings).collect()}
+    assert centre["many"].area_km2 == pytest.approx(total / 1e6, rel=1e-9)
+    assert centre["line"].area_km2 == 0 and centre["line"].centroid_lat is None
+    moment = lambda ring: sum((p[0] + q[0]) * (p[0] * q[1] - q[0] * p[1]) for p, q in zip(ring, ring[1:] + ring[:1])) / 6
+    turn = lambda ring: math.copysign(1, sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, ring[1:] + ring[:1])))
+    x = sum(sign * turn(r) * moment(r) for r, sign in parts) / total
+    assert centre["many"].centroid_lon == pytest.approx(math.degrees(x / (geo.A * geo.K0)), abs=1e-7)
+
+
 def test_triangle_weights_sum_to_one(spark):
     ring = [(80.0, 6.0), (81.0, 6.1), (80.4, 7.0), (80.0, 6.0)]
     df = spark.createDataFrame([("T", ring)], "entity_id string, ring array<struct<lon:double,lat:double>>")
     w = geo.ring_area_weights(df, 0.25)
     assert w.agg(F.sum("weight")).first()[0] == pytest.approx(1.0)
+    assert "Python" not in w._jdf.queryExecution().executedPlan().toString()
     c = geo.ring_area_centroid(df).first()
     assert c.centroid_lon == pytest.approx(sum(p[0] for p in ring[:3]) / 3, abs=1e-6)
     assert c.centroid_lat == pytest.approx(sum(p[1] for p in ring[:3]) / 3, abs=1e-3)
