@@ -247,6 +247,15 @@ def fit_many(rows: DataFrame, groups: int, sets: Sequence[Sequence[int]], sizes:
     return forest, stage_table(out, "boosting")
 
 
+def score(rows: DataFrame, forest: Forest, sizes: Sequence[int], p: Boosting, keep: Sequence[str]) -> DataFrame:
+    """``keep`` of any rows with g and bins, and ``margin``, one score per set."""
+    start = F.element_at(F.lit(forest.base.tolist()), F.col("g") + 1)
+    names = list(dict.fromkeys([*keep, "g", "y", "bins"]))
+    some = rows.select(*names).withColumn("margin", F.array_repeat(start, len(forest.sets)))
+    kinds = ", ".join(f"`{n}` {t}" for n, t in some.dtypes)
+    return some.mapInArrow(_apply(_upto(forest, p.rounds), len(sizes), 0, p.rounds, p.depth, some.columns), kinds).select(*keep, "margin")
+
+
 def _upto(forest: Forest, last: int) -> Forest:
     """The trees of the last rounds that tasks need, without statistics."""
     return Forest(forest.base, forest.sets, forest.feature[:, :, :last].copy(), forest.cut[:, :, :last].copy(), forest.value[:, :, :last].copy())

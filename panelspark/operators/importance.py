@@ -45,10 +45,11 @@ def permutation_importance(
     target: str,
     repeats: int,
     seed: int,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """MAE increase per feature and repeat when the feature's values are permuted.
+    """MAE increase per group, feature and repeat when the feature's values are permuted.
 
-    Input is a bounded sample. Inside each (feature, repeat) the row at position i by key receives
+    Input is a bounded sample per group. Inside each (group, feature, repeat) the row at position i by key receives
     the value of the row at position i by seeded digest; all copies are scored in one pass.
     """
     spread = F.array(
@@ -63,7 +64,7 @@ def permutation_importance(
         .withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
         .drop("_f")
     )
-    group = ["feature", "repeat"]
+    group = [*by, "feature", "repeat"]
     by_key = Window.partitionBy(*group).orderBy(*key)
     draw = digest_int(F.lit(seed), "feature", "repeat", *key)
     by_draw = Window.partitionBy(*group).orderBy(draw, *key)
@@ -86,8 +87,8 @@ def permutation_importance(
     return per.withColumn("mae_increase", F.col("permuted_mae") - F.col("baseline_mae"))
 
 
-def importance_means(per_repeat: DataFrame) -> DataFrame:
-    return per_repeat.groupBy("feature").agg(
+def importance_means(per_repeat: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return per_repeat.groupBy(*by, "feature").agg(
         F.avg("mae_increase").alias("mean_increase"),
         F.stddev_pop("mae_increase").alias("std_increase"),
         F.count(F.lit(1)).alias("repeats"),

@@ -3,8 +3,8 @@
 The rows of all folds and horizons are prepared once: medians, means and scales come from each fold's training
 rows in one aggregation, and imputed values, indicators and the category's level are written as one table.
 A unit of work is a family at a horizon: all folds and feature sets of it share their passes. Units run from
-a bounded pool of threads. A unit's predictions are a table of their own, and its fits enter the registry
-only when that table stands, so a study that was interrupted goes on with the fits that are not registered.
+a bounded pool of threads. A unit's predictions and permutation importance are tables of their own, and its fits enter
+the registry only when those stand, so a study that was interrupted goes on with the fits that are not registered.
 """
 
 from __future__ import annotations
@@ -22,9 +22,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.columns import plus_days
+from panelspark.functions.columns import digest_int, plus_days
 from panelspark.operators import boosting, linear
 from panelspark.operators import preprocess as P
+from panelspark.operators.importance import seeded_sample
 from panelspark.session import stage_table
 
 # Default parameters of the families.
@@ -71,8 +72,8 @@ class Prepared:
         return linear.Design(table("mean", 0.0), table("scale", 1.0), len(self.levels), tuple(self.sets.values()))
 
     @cached_property
-    def binned(self) -> tuple[DataFrame, np.ndarray]:
-        """Rows with one byte per column, and the number of bins of each column over all groups."""
+    def cuts(self) -> np.ndarray:
+        """[group, column, cut] values between the bins, from each group's training rows; filled up with infinity."""
         p, at = len(self.numeric), [k / BINS for k in range(1, BINS)]
         found = self.rows.filter("train").groupBy("g").agg(*[F.percentile_approx(F.get("x", F.lit(i)), at, 1000).alias(str(i)) for i in range(p)]).collect()
         cuts = np.full((len(self.groups), 2 * p + len(self.levels), BINS - 1), np.inf)
@@ -81,11 +82,18 @@ class Prepared:
                 values = np.unique(np.array(r[str(i)] or [], float))
                 cuts[r.g, i, : len(values)] = values
         cuts[:, p:, 0] = 0.5
+        return cuts
+
+    @property
+    def sizes(self) -> list[int]:
+        """The number of bins of each column over all groups."""
+        return (np.isfinite(self.cuts).sum(axis=2).max(axis=0) + 1).tolist()
+
+    def binned(self, rows: DataFrame, keep: Sequence[str]) -> DataFrame:
+        """``keep`` of some prepared rows with one byte per column."""
         hot = F.transform(F.sequence(F.lit(0), F.lit(max(len(self.levels) - 1, 0))), lambda v: (v == F.col("level")).cast("double"))
         every = F.concat("x", hot if self.levels else F.array().cast("array<double>"))
-        sizes = np.isfinite(cuts).sum(axis=2).max(axis=0) + 1
-        keep = ["g", "train", "y", *KEYS]
-        return boosting.binned(self.rows.select(*keep, every.alias("every")), "every", cuts), sizes
+        return boosting.binned(rows.select(*dict.fromkeys([*keep, "g", "y"]), every.alias("every")), "every", self.cuts)
 
 
 def prepare(training: DataFrame, evaluation: DataFrame, sets: Mapping[str, Sequence[str]], *, category: str = "entity_id") -> Prepared:
@@ -123,13 +131,18 @@ def prepare(training: DataFrame, evaluation: DataFrame, sets: Mapping[str, Seque
 
 @dataclass
 class Fitted:
-    """What one family left: the scored rows, and its coefficients or trees."""
+    """What one family left: the scored rows, its parameters, and its coefficients or trees."""
 
     scored: DataFrame
+    params: Mapping[str, float]
     coefficients: linear.Coefficients | None = None
     forest: boosting.Forest | None = None
 
 
+def boosting_of(family: str, params: Mapping[str, float]) -> boosting.Boosting:
+    return boosting.Boosting(FAMILIES[family][0], **{k: int(v) if k in ("rounds", "depth") else v for k, v in params.items()})
+
+
 def fit_family(data: Prepared, family: str, params: Mapping[str, float] | None = None) -> Fitted:
     """All folds, horizons and feature sets of ``data`` for one family."""
     loss, defaults = FAMILIES[family]
@@ -137,11 +150,56 @@ def fit_family(data: Prepared, family: str, params: Mapping[str, float] | None =
     keep = ["g", "train", "y", *KEYS]
     if family in LINEAR:
         found = linear.fit_many(data.rows, len(data.groups), data.design, loss, given["alpha"])
-        return Fitted(linear.score(data.rows, data.design, loss, found, keep), coefficients=found)
-    rows, sizes = data.binned
-    p = boosting.Boosting(loss, **{k: int(v) if k in ("rounds", "depth") else v for k, v in given.items()})
-    forest, scored = boosting.fit_many(rows, len(data.groups), list(data.sets.values()), sizes.tolist(), p)
-    return Fitted(scored.drop("bins"), forest=forest)
+        return Fitted(linear.score(data.rows, data.design, loss, found, keep), given, coefficients=found)
+    forest, scored = boosting.fit_many(data.binned(data.rows, keep), len(data.groups), list(data.sets.values()), data.sizes, boosting_of(family, given))
+    return Fitted(scored.drop("bins"), given, forest=forest)
+
+
+def rescored(fitted: Fitted, data: Prepared, family: str, rows: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """``keep`` of other prepared rows with ``margin``, the scores of a family that is fitted already."""
+    if fitted.coefficients:
+        return linear.score(rows, data.design, FAMILIES[family][0], fitted.coefficients, keep)
+    return boosting.score(data.binned(rows, keep), fitted.forest, data.sizes, boosting_of(family, fitted.params), keep)
+
+
+def _value(family: str) -> Column:
+    """The prediction of a margin ``_m``: clipped at zero, null where it is not finite."""
+    value = F.exp("_m") if FAMILIES[family][0] == "poisson" else F.col("_m")
+    return F.when(~F.isnan(value) & (F.abs(value) != F.lit(float("inf"))), F.greatest(value, F.lit(0.0)))
+
+
+def permutation(fitted: Fitted, data: Prepared, family: str, *, rows: int = 200, repeats: int = 3, seed: int = 7) -> DataFrame:
+    """How much the error of each fit grows when a feature's values change places within a fold's evaluation rows.
+
+    Works on the ``rows`` evaluation rows of a group with the smallest seeded digests; equal digests of one
+    feature and repeat make the order the rows receive each other's values in. A value travels with its missing
+    mark, so this equals permuting the raw column before it is imputed; the category is one feature.
+    """
+    p, key = len(data.numeric), ["entity_id", "week_start"]
+    raw = [*data.numeric, *(["entity_id"] if data.levels else [])]
+    sample = seeded_sample(data.rows.filter("NOT train"), ["g"], key, rows=rows, seed=seed)
+    sample = stage_table(sample.withColumn("_pos", F.row_number().over(Window.partitionBy("g").orderBy(*key))), "study_sample")
+    turns = sample.select("g", F.col("_pos").alias("_from"), *key, F.explode(F.sequence(F.lit(0), F.lit(len(raw) - 1))).alias("_j"))
+    turns = turns.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    draw = Window.partitionBy("g", "_j", "repeat").orderBy(digest_int(F.lit(seed), F.element_at(F.lit(raw), F.col("_j") + 1), "repeat", *key), *key)
+    turns = turns.select("g", "_j", "repeat", "_from", F.row_number().over(draw).alias("_pos"))
+    given = sample.select("g", F.col("_pos").alias("_from"), F.col("x").alias("_x"), F.col("level").alias("_level"))
+    both = turns.join(sample, ["g", "_pos"]).join(given, ["g", "_from"])
+    moved = lambda v, i: F.when((F.col("_j") < p) & (i % max(p, 1) == F.col("_j")), F.get("_x", i)).otherwise(v)
+    keep = ["g", "y", "fold", "horizon", "_j", "repeat"]
+    both = both.withColumns({"x": F.transform("x", moved), "level": F.when(F.col("_j") == p, F.col("_level")).otherwise(F.col("level"))})
+    every = both.select(*keep, "x", "level").unionByName(sample.withColumns({"_j": F.lit(-1), "repeat": F.lit(0)}).select(*keep, "x", "level"))
+    long = rescored(fitted, data, family, every, keep).select(*keep, F.posexplode("margin").alias("_s", "_m")).withColumn("_v", _value(family))
+    fit = ["g", "fold", "horizon", "_s"]
+    per = stage_table(long.groupBy(*fit, "_j", "repeat").agg(F.avg(F.abs(F.col("y") - F.col("_v"))).alias("mae"), F.count("_v").alias("n_rows")), "study_permuted")
+    base = per.filter("_j < 0").select(*fit, F.col("mae").alias("baseline_mae"))
+    used = [sorted({i % p if i < 2 * p else p for i in at}) for at in data.sets.values()]
+    out = per.filter(F.array_contains(F.get(F.lit(used), F.col("_s")), F.col("_j"))).join(base, fit)
+    out = out.withColumns({"feature_set": F.get(F.lit(list(data.sets)), F.col("_s")), "family": F.lit(family)})
+    return out.select(
+        fit_id().alias("fit_id"), "fold", F.col("horizon").cast("long").alias("horizon"), "feature_set", "family", F.get(F.lit(raw), F.col("_j")).alias("feature"),
+        F.col("repeat").cast("long").alias("repeat"), "n_rows", "baseline_mae", F.col("mae").alias("permuted_mae"), (F.col("mae") - F.col("baseline_mae")).alias("mae_increase"),
+    )
 
 
 def fit_id() -> Column:
@@ -151,15 +209,13 @@ def fit_id() -> Column:
 def predictions(fitted: Fitted, data: Prepared, family: str) -> DataFrame:
     """Long prediction rows of the evaluation rows, clipped at zero; scores that are not finite are null."""
     long = fitted.scored.filter("NOT train").select("*", F.posexplode("margin").alias("_s", "_m"))
-    value = F.exp("_m") if FAMILIES[family][0] == "poisson" else F.col("_m")
-    usable = ~F.isnan("_v") & (F.abs("_v") != F.lit(float("inf")))
-    long = long.withColumns({"feature_set": F.get(F.lit(list(data.sets)), F.col("_s")), "family": F.lit(family), "_v": value})
+    long = long.withColumns({"feature_set": F.get(F.lit(list(data.sets)), F.col("_s")), "family": F.lit(family)})
     start = plus_days("week_start", F.col("horizon") * 7)
     return long.select(
         fit_id().alias("fit_id"), "fold", F.col("horizon").cast("long").alias("horizon"), "feature_set", "family", "entity_id",
         F.col("week_start").alias("origin_start"), F.col("week_end").alias("origin_end"), start.alias("target_start"), plus_days(start, 6).alias("target_end"),
         F.col("cases").alias("observed_current"), F.col("y").cast("long").alias("observed_target"),
-        F.when(usable, F.greatest("_v", F.lit(0.0))).alias("prediction_model"), F.col("cases").cast("double").alias("prediction_persistence"),
+        _value(family).alias("prediction_model"), F.col("cases").cast("double").alias("prediction_persistence"),
     )
 
 
@@ -187,7 +243,7 @@ def fit_rows(fitted: Fitted, data: Prepared, family: str) -> list[dict]:
 
 @dataclass
 class Schedule:
-    """Runs units of fits once: ``root`` holds the registry of finished fits and a table of predictions per unit."""
+    """Runs units of fits once: ``root`` holds the registry of finished fits and the tables of each unit."""
 
     spark: SparkSession
     root: str
@@ -211,20 +267,21 @@ class Schedule:
         found = self.registry()
         return set() if found is None else {r.fit_id for r in found.select("fit_id").distinct().collect()}
 
-    def run(self, units: Mapping[str, set[str]], work: Callable[[str], tuple[DataFrame, list[dict]]]) -> list[str]:
+    def run(self, units: Mapping[str, set[str]], work: Callable[[str], tuple[Mapping[str, DataFrame], list[dict]]]) -> list[str]:
         """Runs the units that have fits not done yet and returns their names.
 
-        ``work`` gives a unit's predictions and registry rows. A failed unit ends the run after the units under way;
+        ``work`` gives a unit's tables (rows with fit_id) and registry rows. A failed unit ends the run after the units under way;
         what they finished stays, and the next run goes on from there.
         """
         done = self.done()
         todo = [u for u, fits in units.items() if not fits <= done]
 
         def one(unit: str) -> None:
-            path = f"{self.root}/predictions/{unit}-{uuid.uuid4().hex}"
-            rows, fits = work(unit)
+            path = f"{self.root}/units/{unit}-{uuid.uuid4().hex}"
+            tables, fits = work(unit)
             wanted = units[unit] - done
-            rows.filter(F.col("fit_id").isin(sorted(wanted))).write.parquet(path)
+            for name, rows in tables.items():
+                rows.filter(F.col("fit_id").isin(sorted(wanted))).write.parquet(f"{path}/{name}")
             entries = [r | {"unit": unit, "path": path} for r in fits if r["fit_id"] in wanted]
             with self._lock:
                 self.spark.createDataFrame(entries, REGISTRY).coalesce(1).write.mode("append").parquet(self.registry_path)
@@ -234,9 +291,9 @@ class Schedule:
                 job.result()
         return todo
 
-    def predictions(self) -> DataFrame:
-        """The predictions of all registered fits."""
+    def table(self, name: str = "predictions") -> DataFrame:
+        """A table of all registered fits."""
         found = self.registry()
         if found is None:
             raise ValueError("no fit is registered")
-        return self.spark.read.parquet(*sorted({r.path for r in found.select("path").distinct().collect()}))
+        return self.spark.read.parquet(*sorted(f"{r.path}/{name}" for r in found.select("path").distinct().collect()))

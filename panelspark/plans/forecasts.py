@@ -167,11 +167,12 @@ def run_study(p: Panels, years: tuple[int, ...], boundary: str, families: tuple[
         return schedule
     data = ST.prepare(K.training_rows(K.long_targets(panel), origins, boundary=boundary), K.long_targets(K.evaluation_rows(panel, years)), sets)
 
-    def work(unit: str) -> tuple[DataFrame, list[dict]]:
+    def work(unit: str) -> tuple[dict[str, DataFrame], list[dict]]:
         family, horizon = unit.rsplit("-h", 1)
         part = data.of_horizon(int(horizon))
         fitted = ST.fit_family(part, family)
-        return ST.predictions(fitted, part, family), ST.fit_rows(fitted, part, family)
+        tables = {"predictions": ST.predictions(fitted, part, family), "importance": ST.permutation(fitted, part, family)}
+        return tables, ST.fit_rows(fitted, part, family)
 
     schedule.run(units, work)
     return schedule

@@ -479,17 +479,17 @@ def seeded_sample(p: Panels) -> DataFrame:
 
 
 _PERM_SQL = f"""
-WITH s AS (SELECT * FROM sample_rows WHERE horizon = 1),
+WITH s AS (SELECT * FROM sample_rows),
 c AS (SELECT s.*, unnest(['cases', 'cases_lag_1', 'cases_lag_2', 'cases_lag_3', 'cases_lag_4']) AS feature,
     unnest([cases, cases_lag_1, cases_lag_2, cases_lag_3, cases_lag_4])::DOUBLE AS own FROM s),
 r AS (SELECT c.*, rep FROM c, unnest([0, 1, 2]) AS t(rep)),
-k AS (SELECT *, row_number() OVER (PARTITION BY feature, rep ORDER BY entity_id, week_start) AS pos,
-  row_number() OVER (PARTITION BY feature, rep ORDER BY {sql_digest("'7|' || feature || '|' || rep || '|' || entity_id || '|' || week_start")}, entity_id, week_start) AS dpos FROM r),
-j AS (SELECT a.*, b.own AS given FROM k a JOIN k b ON a.feature = b.feature AND a.rep = b.rep AND a.pos = b.dpos),
-sc AS (SELECT feature, rep, target, greatest((6 * cases + 7 * (cases_lag_1 + cases_lag_2 + cases_lag_3 + cases_lag_4) / 4.0) / 13.0, 0) AS bp,
+k AS (SELECT *, row_number() OVER (PARTITION BY horizon, feature, rep ORDER BY entity_id, week_start) AS pos,
+  row_number() OVER (PARTITION BY horizon, feature, rep ORDER BY {sql_digest("'7|' || feature || '|' || rep || '|' || entity_id || '|' || week_start")}, entity_id, week_start) AS dpos FROM r),
+j AS (SELECT a.*, b.own AS given FROM k a JOIN k b ON a.horizon = b.horizon AND a.feature = b.feature AND a.rep = b.rep AND a.pos = b.dpos),
+sc AS (SELECT horizon, feature, rep, target, greatest((6 * cases + 7 * (cases_lag_1 + cases_lag_2 + cases_lag_3 + cases_lag_4) / 4.0) / 13.0, 0) AS bp,
   greatest((6 * cases + 7 * (cases_lag_1 + cases_lag_2 + cases_lag_3 + cases_lag_4) / 4.0) / 13.0
     + (given - own) * CASE WHEN feature = 'cases' THEN 6 / 13.0::DOUBLE ELSE 7 / 52.0::DOUBLE END, 0) AS pp FROM j)
-SELECT feature, rep::INT AS repeat, avg(abs(bp - target)) AS baseline_mae, avg(abs(pp - target)) AS permuted_mae FROM sc GROUP BY 1, 2
+SELECT horizon::BIGINT AS horizon, feature, rep::INT AS repeat, avg(abs(bp - target)) AS baseline_mae, avg(abs(pp - target)) AS permuted_mae FROM sc GROUP BY 1, 2, 3
 """
 cte("permuted", _PERM_SQL)
 
@@ -499,15 +499,15 @@ def permuted(p: Panels) -> DataFrame:
         lags = x["cases_lag_1"] + x["cases_lag_2"] + x["cases_lag_3"] + x["cases_lag_4"]
         return (x["cases"] * 6.0 + lags / 4.0 * 7.0) / 13.0
 
-    sample = sample_rows(p).filter("horizon = 1")
+    sample = sample_rows(p).withColumn("horizon", F.col("horizon").cast("long"))
     return I.permutation_importance(
-        sample, PERM_FEATURES, scorer, key=["entity_id", "week_start"], target="target", repeats=3, seed=7
+        sample, PERM_FEATURES, scorer, key=["entity_id", "week_start"], target="target", repeats=3, seed=7, by=["horizon"]
     )
 
 
 @query(
     "permutation_importance",
-    "SELECT feature, repeat::BIGINT AS repeat, round(baseline_mae, 8) AS baseline_mae, round(permuted_mae, 8) AS permuted_mae,"
+    "SELECT horizon, feature, repeat::BIGINT AS repeat, round(baseline_mae, 8) AS baseline_mae, round(permuted_mae, 8) AS permuted_mae,"
     " round(permuted_mae - baseline_mae, 8) + 0.0 AS mae_increase FROM permuted",
 )
 def permutation_importance(p: Panels) -> DataFrame:
@@ -518,16 +518,16 @@ def permutation_importance(p: Panels) -> DataFrame:
 @query(
     "top_importance",
     """
-SELECT feature, round(m, 8) + 0.0 AS mean_increase, repeats, rank FROM (
-  SELECT feature, avg(permuted_mae - baseline_mae) AS m, count(*)::BIGINT AS repeats,
-    row_number() OVER (ORDER BY avg(permuted_mae - baseline_mae) DESC, feature)::BIGINT AS rank FROM permuted GROUP BY 1) WHERE rank <= 3
+SELECT horizon, feature, round(m, 8) + 0.0 AS mean_increase, repeats, rank FROM (
+  SELECT horizon, feature, avg(permuted_mae - baseline_mae) AS m, count(*)::BIGINT AS repeats,
+    row_number() OVER (PARTITION BY horizon ORDER BY avg(permuted_mae - baseline_mae) DESC, feature)::BIGINT AS rank FROM permuted GROUP BY 1, 2) WHERE rank <= 3
 """,
 )
 def top_importance(p: Panels) -> DataFrame:
-    means = I.importance_means(permuted(p)).withColumn("horizon", F.lit(1))
+    means = I.importance_means(permuted(p), ["horizon"])
     top = I.top_features(means, ["horizon"], value="mean_increase", name="feature", n=3)
     return _round(
-        top.select("feature", "mean_increase", "repeats", F.col("rank").cast("long").alias("rank")),
+        top.select("horizon", "feature", "mean_increase", "repeats", F.col("rank").cast("long").alias("rank")),
         "mean_increase",
     )
 

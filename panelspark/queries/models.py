@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from panelspark.operators import contracts as C
 from panelspark.operators import errors as E
+from panelspark.operators import importance as I
 from panelspark.operators import models as ML
 from panelspark.operators import resample as R
 from panelspark.operators import selection as SEL
@@ -45,7 +46,7 @@ def fits(p: Panels, family: str) -> DataFrame:
 
 
 def predictions(p: Panels) -> DataFrame:
-    return study(p).predictions().filter(F.col("family").isin(*FC.FAMILIES))
+    return study(p).table().filter(F.col("family").isin(*FC.FAMILIES))
 
 
 def _linear(p: Panels, family: str) -> DataFrame:
@@ -190,6 +191,40 @@ def study_bootstrap(p: Panels) -> DataFrame:
     return _round(R.model_vs_persistence(weekly, list(E.FIT)), "point_estimate", "ci_low", "ci_high", digits=6)
 
 
+def study_permuted(p: Panels) -> DataFrame:
+    return study(p).table("importance").filter(F.col("family").isin(*FC.FAMILIES))
+
+
+@query(
+    "study_permutation_rows",
+    """
+SELECT fold::BIGINT AS fold, horizon::BIGINT AS horizon, feature_set, family, 3::BIGINT AS repeats, least(count(*), 200)::BIGINT AS sample_rows
+FROM eval_long, study_sets, unnest(['ridge', 'boosted']) AS t(family) GROUP BY 1, 2, 3, 4
+""",
+)
+def study_permutation_rows(p: Panels) -> DataFrame:
+    """Per fit: repeats that every feature has, and rows whose values change places."""
+    per = study_permuted(p).groupBy("fold", *CONFIG, "feature").agg(F.count(F.lit(1)).alias("repeats"), F.max("n_rows").alias("n"))
+    every = F.when(F.min("repeats") == F.max("repeats"), F.max("repeats"))
+    return per.groupBy("fold", *CONFIG).agg(every.alias("repeats"), F.max("n").alias("sample_rows"))
+
+
+@query("study_permutation_importance")
+def study_permutation_importance(p: Panels) -> DataFrame:
+    """Growth of the error per fit and feature when the feature is permuted, over its repeats."""
+    per = study_permuted(p).groupBy("fold", *CONFIG, "feature").agg(
+        F.avg("baseline_mae").alias("baseline_mae"), F.avg("mae_increase").alias("mean_increase"), F.stddev_pop("mae_increase").alias("std_increase")
+    )
+    return _round(per, "baseline_mae", "mean_increase", "std_increase", digits=6)
+
+
+@query("study_top_importance")
+def study_top_importance(p: Panels) -> DataFrame:
+    """The five features per configuration whose permutation costs most, over folds and repeats."""
+    means = study_permuted(p).groupBy(*CONFIG, "feature").agg(F.round(F.avg("mae_increase"), 6).alias("mean_increase"), F.count_distinct("fold").alias("folds"))
+    return I.top_features(means, CONFIG, value="mean_increase", name="feature", n=5)
+
+
 @query("param_search")
 def param_search(p: Panels) -> DataFrame:
     out = ML.random_search(

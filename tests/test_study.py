@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -160,6 +162,42 @@ def test_boosted_study_scores_unseen_rows(data):
     assert {r["n_train"] for r in rows} == {240, 440} and all(r["losses"][-1] < r["losses"][0] for r in rows)
 
 
+@pytest.mark.parametrize(("family", "params"), [("ridge", {}), ("poisson", {"alpha": 0.1}), ("boosted", {"rounds": 12, "depth": 2, "rate": 0.3})])
+def test_permutation_equals_scoring_swapped_rows(spark, data, family, params):
+    """Against scores of rows swapped here, in the order of the digests."""
+    fitted = study.fit_family(data, family, params)
+    got = {(r.fold, r.feature_set, r.feature, r.repeat): r for r in study.permutation(fitted, data, family, rows=25, repeats=2, seed=3).collect()}
+    features = {"small": ["a", "entity_id"], "all": ["a", "b", "never", "entity_id"]}
+    assert set(got) == {(f, s, c, k) for f in (2000, 2001) for s, names in features.items() for c in names for k in (0, 1)}
+    rows = {r["g"]: [] for r in data.rows.select("g").distinct().collect()}
+    mark = lambda *parts: int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16)
+    for r in data.rows.filter("NOT train").collect():
+        rows[r.g].append(r)
+    sums = lambda margin: np.exp(margin) if family == "poisson" else np.maximum(margin, 0.0)
+    wide = len(data.numeric)
+
+    def errors(g, some):
+        df = spark.createDataFrame([(i, g, x, level, float(y)) for i, (x, level, y) in enumerate(some)], "i int, g int, x array<double>, level int, y double")
+        out = study.rescored(fitted, data, family, df, ["i"]).orderBy("i").collect()
+        return np.abs(sums(np.array([r.margin for r in out])) - np.array([y for _, _, y in some])[:, None]).mean(axis=0)
+
+    for g, mine in rows.items():
+        mine = sorted(sorted(mine, key=lambda r: (mark(3, r.entity_id, r.week_start), r.entity_id, r.week_start))[:25], key=lambda r: (r.entity_id, r.week_start))
+        base = errors(g, [(r.x, r.level, r.y) for r in mine])
+        for j, c in enumerate([*data.numeric, "entity_id"]):
+            order = sorted(mine, key=lambda r: (mark(3, c, 1, r.entity_id, r.week_start), r.entity_id, r.week_start))
+            swapped = []
+            for r, d in zip(mine, order):
+                x = list(r.x)
+                if j < wide:
+                    x[j], x[wide + j] = d.x[j], d.x[wide + j]
+                swapped.append((x, d.level if j == wide else r.level, r.y))
+            for s, (name, e) in enumerate(zip(features, errors(g, swapped))):
+                if c in features[name]:
+                    r = got[data.groups[g][0], name, c, 1]
+                    assert (r.baseline_mae, r.permuted_mae) == pytest.approx((base[s], e), abs=1e-9) and r.n_rows == 25
+
+
 def test_schedule_goes_on_after_a_failure_and_never_repeats_a_fit(spark, tmp_path):
     root, calls = str(tmp_path / "study"), []
     units = {"u1": {"a", "b"}, "u2": {"c"}}
@@ -170,17 +208,18 @@ def test_schedule_goes_on_after_a_failure_and_never_repeats_a_fit(spark, tmp_pat
             raise RuntimeError("lost")
         fits = sorted(units[unit])
         entry = lambda f: {"fit_id": f, "fold": 1, "horizon": 1, "feature_set": "s", "family": "ridge", "n_train": 3, "slope": 0.0, "losses": None, "weights": {"x": 1.0}}
-        return spark.createDataFrame([(f, 1.0) for f in fits], "fit_id string, prediction_model double"), [entry(f) for f in fits]
+        rows = spark.createDataFrame([(f, 1.0) for f in fits], "fit_id string, prediction_model double")
+        return {"predictions": rows, "importance": rows.select("fit_id")}, [entry(f) for f in fits]
 
     schedule = study.Schedule(spark, root, workers=2)
     assert schedule.done() == set()
     with pytest.raises(ValueError, match="no fit"):
-        schedule.predictions()
+        schedule.table()
     with pytest.raises(RuntimeError, match="lost"):
         schedule.run(units, work)
     assert schedule.done() == {"a", "b"}
     units["u1"].add("d")
     assert sorted(study.Schedule(spark, root).run(units, work)) == ["u1", "u2"]
     assert schedule.run(units, work) == []
-    assert sorted(r.fit_id for r in schedule.predictions().collect()) == ["a", "b", "c", "d"]
-    assert schedule.registry().count() == 4
+    assert sorted(r.fit_id for r in schedule.table().collect()) == ["a", "b", "c", "d"]
+    assert schedule.registry().count() == 4 and schedule.table("importance").count() == 4
