@@ -246,6 +246,32 @@ def test_batches_count_once(spark):
         roll.commit("../x", one)
 
 
+def test_torn_batches_count_nothing_and_snapshots_change_nothing(spark):
+    """Random deliveries, repeats, torn writes and snapshots against a dictionary of the batches that hold."""
+    rng, roll, held = random.Random(4), token_rollup.Rollup(spark), {}
+    total = lambda: {tuple(r)[:3]: tuple(r)[3:] for r in roll.totals().collect()}
+    assert total() == {}
+    for step in range(10):
+        batch = rng.choice("abc")
+        rows = [(rng.choice(["s", None]), rng.choice(["en", None]), "t", rng.randint(-3, 3), rng.randint(-9, 9), 1, 0, 2) for _ in range(rng.randint(0, 4))]
+        changes = spark.createDataFrame(rows, token_rollup.DELTA_SCHEMA)
+        if step % 4 == 3:
+            with pytest.raises(Exception, match="torn"):
+                roll.commit(batch, changes.withColumn("n_docs", F.raise_error(F.lit("torn")).cast("long")) if rows else changes.select("torn"))
+        else:
+            roll.commit(batch, changes)
+            held[batch] = rows
+        if step % 3 == 2:
+            roll.compact()
+        want = {}
+        for rows in held.values():
+            for key in {r[:3] for r in rows}:
+                sums = [sum(r[i] for r in rows if r[:3] == key) for i in range(3, 8)] + [1]
+                want[key] = tuple(a + b for a, b in zip(want.get(key, [0] * 6), sums))
+        assert total() == want
+    assert sum(r.covers is not None for r in roll.log()) == 3
+
+
 # ---- personal data ---------------------------------------------------------------------------
 
 
