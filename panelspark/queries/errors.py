@@ -206,13 +206,12 @@ def change_categories(p: Panels) -> DataFrame:
 
 @query(
     "category_pivot",
-    "SELECT horizon, fold, "
+    "SELECT horizon, feature_set, family, fold, "
     + ", ".join(f"count(*) FILTER (category = '{c}')::BIGINT AS {c}" for c in E.CHANGE_CATEGORIES)
-    + " FROM categorized WHERE feature_set = 'cases_only' AND family = 'blend_6' GROUP BY 1, 2",
+    + " FROM categorized GROUP BY 1, 2, 3, 4",
 )
 def category_pivot(p: Panels) -> DataFrame:
-    one = predictions(p).filter((F.col("feature_set") == "cases_only") & (F.col("family") == "blend_6"))
-    return E.category_pivot(E.categorized(one, thresholds(p)), ["horizon", "fold"])
+    return E.category_pivot(E.categorized(predictions(p), thresholds(p)), ["horizon", "feature_set", "family", "fold"])
 
 
 def _doc_sql(tag: str, col: str) -> str:
