@@ -5,6 +5,8 @@ level by level: one pass over the rows sums first- and second-order residuals pe
 bin; the sums of the tasks meet by fit, where the best split of every node is picked; only splits (one row per fit
 and node) reach the driver. So a pass serves all fits, and its traffic depends on fits, nodes and bins, not on
 rows. The rows' scores are written every ``STAGE`` rounds; in between, tasks apply the trees grown since.
+A group whose training rows are one block (``BLOCK_ROWS``) needs no passes: each of its fits meets in one task, which sums
+and splits in the same way for all rounds, so small groups take one job in place of one per round and level.
 
 Losses: ``squared``, and ``poisson`` with log link, whose leaves are estimated anew as the logarithm of
 observed over expected counts, the exact minimum in each leaf. A missing value is imputed before binning.
@@ -26,6 +28,9 @@ from panelspark.session import stage_table
 STAGE, BLOCK_ROWS = 10, 1 << 16
 #: Least share of expected counts a leaf may be scaled to, which keeps the logarithm finite.
 LEAST = 1e-6
+#: A split on its way to the driver: its fit, round and place in the tree, and the sums left of it and in all.
+SPLIT = ("fit", "round", "node", "feature", "cut", "gain", "gl", "hl", "g", "h", "loss")
+SPLIT_KINDS = ", ".join(f"{n} {'int' if i < 5 else 'double'}" for i, n in enumerate(SPLIT))
 
 
 @dataclass(frozen=True)
@@ -87,29 +92,41 @@ def residuals(loss: str, y: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray,
     return y - mean, mean, 2 * (log - y + mean)
 
 
-def _sums(forest: Forest, p: Boosting, sizes: np.ndarray, first: int, t: int, level: int):
-    """Per fit the sums of residuals and curvatures by node and bin, and in front the fit's loss."""
-    nodes, width = 1 << level, len(sizes)
-    starts, totals = [], []
-    for used in forest.sets:
-        starts.append(np.concatenate(([0], np.cumsum(sizes[used])))[:-1])
-        totals.append(int(sizes[used].sum()))
-    wide = [np.flatnonzero(sizes[used] > 2) for used in forest.sets]
-    two = [np.flatnonzero(sizes[used] == 2) for used in forest.sets]
-
-    def cells(bins: np.ndarray, node: np.ndarray, weight: np.ndarray, s: int) -> np.ndarray:
-        """[node, bin] sums of the weights; columns with two bins by one product, the others by counting."""
-        out = np.zeros((nodes, totals[s]))
-        if len(wide[s]):
-            at = bins[:, forest.sets[s][wide[s]]] + starts[s][wide[s]] + (node * totals[s])[:, None]
-            out += np.bincount(at.ravel(), np.repeat(weight, len(wide[s])), nodes * totals[s]).reshape(out.shape)
-        if len(two[s]):
+class Cells:
+    """Sums of weights by node and bin over the columns of one set."""
+
+    def __init__(self, used: np.ndarray, sizes: np.ndarray):
+        own = sizes[used]
+        self.total = int(own.sum())
+        starts = np.concatenate(([0], np.cumsum(own)))[:-1].astype(np.int64)
+        wide, two = own > 2, own == 2
+        self.wide, self.wide_starts = used[wide], starts[wide]
+        self.two, self.two_starts = used[two], starts[two]
+
+    def places(self, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What :meth:`sums` reads of binned rows, the same for all nodes and weights."""
+        return bins[:, self.wide] + self.wide_starts, bins[:, self.two].astype(float)
+
+    def sums(self, places: tuple[np.ndarray, np.ndarray], node: np.ndarray, weight: np.ndarray, nodes: int) -> np.ndarray:
+        """[node, bin]; columns with two bins by one product, the others by counting."""
+        many, ones = places
+        out = np.zeros((nodes, self.total))
+        if many.shape[1]:
+            at = many + (node * self.total)[:, None]
+            out += np.bincount(at.ravel(), np.repeat(weight, many.shape[1]), nodes * self.total).reshape(out.shape)
+        if ones.shape[1]:
             by_node = np.zeros((len(node), nodes))
             by_node[np.arange(len(node)), node] = weight
-            ones = by_node.T @ bins[:, forest.sets[s][two[s]]].astype(float)
-            out[:, starts[s][two[s]] + 1] = ones
-            out[:, starts[s][two[s]]] = by_node.sum(axis=0)[:, None] - ones
+            right = by_node.T @ ones
+            out[:, self.two_starts + 1] = right
+            out[:, self.two_starts] = by_node.sum(axis=0)[:, None] - right
         return out
+
+
+def _sums(forest: Forest, p: Boosting, sizes: np.ndarray, first: int, t: int, level: int):
+    """Per fit the sums of residuals and curvatures by node and bin, and in front the fit's loss."""
+    nodes, width = 1 << level, len(sizes)
+    cells = [Cells(used, sizes) for used in forest.sets]
     schema = pa.schema([("fit", pa.int32()), ("sums", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +142,8 @@ def _sums(forest: Forest, p: Boosting, sizes: np.ndarray, first: int, t: int, le
                 node = forest.node(group, bins, rows, s, t, level)
                 for one in np.unique(group):
                     mine = group == one
-                    sums = [cells(bins[mine], node[mine], w[mine], s).ravel() for w in (g, h)]
+                    places = cells[s].places(bins[mine])
+                    sums = [cells[s].sums(places, node[mine], w[mine], nodes).ravel() for w in (g, h)]
                     sums = np.concatenate(([loss[mine].sum()], *sums))
                     fit = int(one) * len(forest.sets) + s
                     found[fit] = found[fit] + sums if fit in found else sums
@@ -134,6 +152,33 @@ def _sums(forest: Forest, p: Boosting, sizes: np.ndarray, first: int, t: int, le
     return run
 
 
+def _whole_fits(sets: Sequence[np.ndarray], base: np.ndarray, p: Boosting, sizes: np.ndarray):
+    """All rounds of the fit whose training rows, at most one block, meet in a task: the splits of its trees."""
+    cells = [Cells(used, sizes) for used in sets]
+    schema = pa.schema([(n, pa.int32() if n in SPLIT[:5] else pa.float64()) for n in SPLIT])
+
+    def run(table: pa.Table) -> pa.Table:
+        fit = table.column("fit")[0].as_py()
+        group, s = divmod(fit, len(sets))
+        y = table.column("y").to_numpy().astype(float)
+        bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint8).reshape(len(y), len(sizes))
+        places, rows, out = cells[s].places(bins), np.arange(len(y)), []
+        margin = np.full(len(y), base[group])
+        for t in range(p.rounds):
+            g, h, loss = residuals(p.loss, y, margin)
+            cost, node = float(loss.sum()), np.zeros(len(y), np.int64)
+            for level in range(p.depth):
+                both = np.stack([cells[s].sums(places, node, w, 1 << level) for w in (g, h)])
+                found = [best_split(both[:, k], sets[s], sizes, p) for k in range(1 << level)]
+                out += [(fit, t, (1 << level) - 1 + k, *x, cost) for k, x in enumerate(found)]
+                feature, cut = np.array([x[0] for x in found]), np.array([x[1] for x in found])
+                node = 2 * node + (bins[rows, feature[node]] > cut[node])
+            margin = margin + np.array([v for x in found for v in leaf_values(x, p)])[node]
+        return pa.table([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    return run
+
+
 def best_split(sums: np.ndarray, used: np.ndarray, sizes: np.ndarray, p: Boosting) -> tuple:
     """Feature, cut and gain of a node's best split with its sums left and in all; sums is [2, bins of the used features]."""
     g, h = sums
@@ -149,19 +194,22 @@ def best_split(sums: np.ndarray, used: np.ndarray, sizes: np.ndarray, p: Boostin
     ok = (hl >= p.min_child) & (hr >= p.min_child)
     ok[ends - 1] = False
     with np.errstate(divide="ignore", invalid="ignore"):
-        gain = gl**2 / (hl + p.penalty) + gr**2 / (hr + p.penalty) - total_g**2 / (total_h + p.penalty)
+        both = gl**2 / (hl + p.penalty) + gr**2 / (hr + p.penalty)
+        gain = both - total_g**2 / (total_h + p.penalty)
     gain = np.where(ok & np.isfinite(gain), gain, -np.inf)
-    at = int(np.argmax(gain)) if len(gain) else 0
-    if not len(gain) or gain[at] <= 1e-9 * max(1.0, total_h):
+    at = int(np.argmax(gain))
+    # Splits that part the rows alike differ by the order of a sum only: the first of them is taken, whatever that order.
+    if np.isfinite(gain[at]):
+        at = int(np.argmax(gain >= gain[at] - 1e-9 * max(1.0, both[at])))
+    if gain[at] <= 1e-9 * max(1.0, total_h):
         return 0, 255, 0.0, total_g, total_h, total_g, total_h
     f = int(np.searchsorted(ends, at, side="right"))
     return int(used[f]), at - int(begins[f]), float(gain[at]), gl[at], hl[at], total_g, total_h
 
 
-def _splits(forest: Forest, p: Boosting, sizes: np.ndarray, level: int):
+def _splits(forest: Forest, p: Boosting, sizes: np.ndarray, t: int, level: int):
     """The best split of every node of the fits that meet in a task."""
-    names = ("fit", "node", "feature", "cut", "gain", "gl", "hl", "g", "h", "loss")
-    schema = pa.schema([(n, pa.int32() if n in names[:4] else pa.float64()) for n in names])
+    schema = pa.schema([(n, pa.int32() if n in SPLIT[:5] else pa.float64()) for n in SPLIT])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, np.ndarray] = {}
@@ -174,7 +222,7 @@ def _splits(forest: Forest, p: Boosting, sizes: np.ndarray, level: int):
             used = forest.sets[fit % len(forest.sets)]
             by_node = sums[1:].reshape(2, 1 << level, -1)
             for node in range(1 << level):
-                rows.append((fit, node, *best_split(by_node[:, node], used, sizes, p), sums[0]))
+                rows.append((fit, t, (1 << level) - 1 + node, *best_split(by_node[:, node], used, sizes, p), sums[0]))
         yield pa.record_batch([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
     return run
@@ -188,6 +236,23 @@ def leaf_value(g: float, h: float, p: Boosting) -> float:
     return p.rate * float(g / (h + p.penalty))
 
 
+def leaf_values(split: Sequence[float], p: Boosting) -> tuple[float, float]:
+    """Values left and right of a split of the last level: feature, cut, gain, gl, hl, g, h."""
+    _, cut, _, gl, hl, g, h = split
+    return leaf_value(gl, hl, p), leaf_value(g - gl, h - hl, p) if cut < 255 else 0.0
+
+
+def _enter(forest: Forest, p: Boosting, r) -> None:
+    """Puts a split into its tree."""
+    g, s = divmod(r.fit, len(forest.sets))
+    at = g, s, r.round, r.node
+    forest.feature[at], forest.cut[at], forest.gain[at] = r.feature, r.cut, r.gain
+    forest.losses[r.round][g, s] = r.loss
+    last = r.node - (1 << (p.depth - 1)) + 1
+    if last >= 0:
+        forest.value[g, s, r.round, 2 * last : 2 * last + 2] = leaf_values((r.feature, r.cut, r.gain, r.gl, r.hl, r.g, r.h), p)
+
+
 def _apply(forest: Forest, width: int, first: int, last: int, depth: int, names: Sequence[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,31 +283,28 @@ def fit_many(rows: DataFrame, groups: int, sets: Sequence[Sequence[int]], sizes:
     forest = Forest(base, [np.array(s, np.int64) for s in sets], np.zeros((*shape, inner), np.int32), np.full((*shape, inner), 255, np.int32), np.zeros((*shape, inner + 1)), gain=np.zeros((*shape, inner)))
     start = F.element_at(F.lit(base.tolist()), F.col("g") + 1)
     scored = rows.withColumn("margin", F.array_repeat(start, len(sets)))
-    blocks = F.element_at(F.lit([max(1, -(-means.get(g, (0, 0))[1] // BLOCK_ROWS)) for g in range(groups)]), F.col("g") + 1)
-    part = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in ("bins", "y", "train")]), blocks)
+    forest.losses = [np.zeros((groups, len(sets))) for _ in range(p.rounds)]
+    per_group = [max(1, -(-means.get(g, (0, 0))[1] // BLOCK_ROWS)) for g in range(groups)]
+    small, large = ([g for g in means if (per_group[g] == 1) == one] for one in (True, False))
+    part = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in ("bins", "y", "train")]), F.element_at(F.lit(per_group), F.col("g") + 1))
     scored = stage_table(scored.repartition("g", part), "boosting")
     kinds = ", ".join(f"`{n}` {t}" for n, t in scored.dtypes)
+    if small:
+        fit = F.explode(F.sequence(F.col("g") * len(sets), F.col("g") * len(sets) + len(sets) - 1)).alias("fit")
+        fits = scored.filter("train").filter(F.col("g").isin(small)).select(fit, "y", "bins").repartitionByRange(len(small) * len(sets), "fit")
+        for r in fits.groupBy("fit").applyInArrow(_whole_fits(forest.sets, base, p, size), SPLIT_KINDS).collect():
+            _enter(forest, p, r)
     first = 0
-    for t in range(p.rounds):
+    for t in range(p.rounds if large else 0):
         if t - first == STAGE:
             scored = stage_table(scored.mapInArrow(_apply(_upto(forest, t), len(size), first, t, p.depth, scored.columns), kinds), "boosting")
             first = t
         for level in range(p.depth):
             now = _upto(forest, t + 1)
-            train = scored.filter("train").select("g", "y", "bins", "margin")
+            train = scored.filter("train").filter(F.col("g").isin(large)).select("g", "y", "bins", "margin")
             sums = train.mapInArrow(_sums(now, p, size, first, t, level), "fit int, sums binary").repartition("fit")
-            kinds_out = "fit int, node int, feature int, cut int, gain double, gl double, hl double, g double, h double, loss double"
-            losses = np.zeros((groups, len(sets)))
-            for r in sums.mapInArrow(_splits(now, p, size, level), kinds_out).collect():
-                g, s = divmod(r.fit, len(sets))
-                losses[g, s] = r.loss
-                at = (1 << level) - 1 + r.node
-                forest.feature[g, s, t, at], forest.cut[g, s, t, at], forest.gain[g, s, t, at] = r.feature, r.cut, r.gain
-                if level == p.depth - 1:
-                    forest.value[g, s, t, 2 * r.node] = leaf_value(r.gl, r.hl, p)
-                    forest.value[g, s, t, 2 * r.node + 1] = leaf_value(r.g - r.gl, r.h - r.hl, p) if r.cut < 255 else 0.0
-            if level == 0:
-                forest.losses.append(losses)
+            for r in sums.mapInArrow(_splits(now, p, size, t, level), SPLIT_KINDS).collect():
+                _enter(forest, p, r)
     out = scored.mapInArrow(_apply(_upto(forest, p.rounds), len(size), first, p.rounds, p.depth, scored.columns), kinds)
     return forest, stage_table(out, "boosting")
 

@@ -223,3 +223,38 @@ def test_schedule_goes_on_after_a_failure_and_never_repeats_a_fit(spark, tmp_pat
     assert schedule.run(units, work) == []
     assert sorted(r.fit_id for r in schedule.table().collect()) == ["a", "b", "c", "d"]
     assert schedule.registry().count() == 4 and schedule.table("importance").count() == 4
+
+
+@pytest.mark.parametrize("loss", ["squared", "poisson"])
+def test_small_groups_take_one_job_and_large_ones_the_same_trees(spark, monkeypatch, loss):
+    """Groups of one block are grown in one job whatever the rounds; with blocks of 200 rows one of them needs passes."""
+    rng = np.random.default_rng(5)
+    rows = [(g, i % 6 > 0, float(rng.poisson(2 + 3 * g + a)), bytearray([a, int(rng.integers(0, 2)), int(rng.integers(0, 9))]), i) for g, n in ((0, 150), (1, 400)) for i in range(n) for a in (i % 7,)]
+    df = stage_table(spark.createDataFrame(rows, "g int, train boolean, y double, bins binary, i int"), "small_groups")
+    p = boosting.Boosting(loss, rounds=12, depth=3, min_child=5.0)
+
+    def grown(label):
+        spark.sparkContext.setJobGroup(label, label)
+        try:
+            forest, scored = boosting.fit_many(df, 2, [[0, 1], [0, 1, 2]], [7, 2, 9], p)
+            margins = {(r.g, r.i): list(r.margin) for r in scored.collect()}
+            return forest, margins, len(spark.sparkContext.statusTracker().getJobIdsForGroup(label))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+    whole, margins, jobs = grown(f"whole-{loss}")
+    assert 0 < jobs < p.rounds
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 200)
+    mixed, again, passes = grown(f"mixed-{loss}")
+    assert passes >= p.rounds * p.depth
+    for name in ("feature", "cut"):
+        assert (getattr(whole, name) == getattr(mixed, name)).all()
+    assert whole.value == pytest.approx(mixed.value, abs=1e-9) and np.array(whole.losses) == pytest.approx(np.array(mixed.losses))
+    assert set(margins) == set(again) and all(margins[k] == pytest.approx(again[k], abs=1e-9) for k in margins)
+
+
+def test_equal_splits_give_the_first_feature_whatever_rounding_says():
+    sizes = np.array([2, 2])
+    g, h = np.array([-30.0, 30.0, -30.0 - 1e-12, 30.0]), np.array([40.0, 40.0, 40.0, 40.0])
+    for sums in (np.stack([g, h]), np.stack([g[[2, 3, 0, 1]], h])):
+        assert boosting.best_split(sums, np.array([0, 1]), sizes, boosting.Boosting())[:2] == (0, 0)
