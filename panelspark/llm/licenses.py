@@ -175,7 +175,24 @@ def calibrated(scores: DataFrame, n: int, named_share: float) -> float:
     return max(0.5, at + 1e-6)
 
 
+def marked_lines(lines: DataFrame, words: list[str], vocabulary: list[str], *keep: str) -> DataFrame:
+    """``keep`` and the grams of the lines that hold a gram of the vocabulary; ``words`` are the first words of its grams."""
+    held = with_words(lines, words).select(*keep, F.explode(F.array(grams_of(F.col("words")))).alias("grams"))
+    return held.filter(F.exists("grams", lambda g: g.isin(vocabulary)))
+
+
 def fit(docs: DataFrame, sample: int = 1024, common_share: float = 0.005, named_share: float = 0.001) -> Classifier:
+    return _fit(docs, sample, common_share, named_share)[0]
+
+
+def fit_and_scan(docs: DataFrame, **options: float) -> DataFrame:
+    """:func:`scan` of the documents that the classifier was fitted on: their lines are split once for its threshold and for the search."""
+    model, lines = _fit(docs, **options)
+    return _named(lines, model)
+
+
+def _fit(docs: DataFrame, sample: int = 1024, common_share: float = 0.005, named_share: float = 0.001) -> tuple[Classifier, DataFrame]:
+    """The classifier, and the marked lines of all documents as a staged table."""
     spark = docs.sparkSession
     notices = notice_table(spark)
     ids = docs.select(F.col("doc_id").cast("long").alias("_id")).dropna().distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample)
@@ -200,18 +217,21 @@ def fit(docs: DataFrame, sample: int = 1024, common_share: float = 0.005, named_
     finally:
         lines.unpersist()
     words = sorted({w for v in vocabulary for w in v.split()[:1]})
-    free = with_words(paragraphs(docs).filter(~fitted), words).select(F.explode(F.array(grams_of(F.col("words")))).alias("grams"))
-    free = free.filter(F.exists("grams", lambda g: g.isin(vocabulary)))
+    marked = marked_lines(paragraphs(docs).withColumn("free", ~fitted), words, vocabulary, "doc_id", "paragraph", "free")
+    marked = stage_table(marked, "licence_lines")
+    free = marked.filter("free").select("grams")
     best = F.array_max(F.slice(vector_to_array("probability"), 2, len(FAMILIES)))
     scores = regression.transform(counts.transform(resembled(free, notices).filter(F.col("share") < RESEMBLANCE).select("grams"))).select(best.alias("p"))
-    return Classifier(vocabulary, counts, regression, calibrated(scores, often.get("\n", 0), named_share), words)
+    return Classifier(vocabulary, counts, regression, calibrated(scores, often.get("\n", 0), named_share), words), marked
 
 
 def scan(docs: DataFrame, model: Classifier) -> DataFrame:
     """Paragraphs with a licence notice: doc_id, paragraph, family, probability, resemblance, confirmed."""
-    notices = notice_table(docs.sparkSession)
-    lines = with_words(paragraphs(docs), model.words).select("doc_id", "paragraph", F.explode(F.array(grams_of(F.col("words")))).alias("grams"))
-    lines = lines.filter(F.exists("grams", lambda g: g.isin(model.vocabulary)))
+    return _named(marked_lines(paragraphs(docs), model.words, model.vocabulary, "doc_id", "paragraph"), model)
+
+
+def _named(lines: DataFrame, model: Classifier) -> DataFrame:
+    notices = notice_table(lines.sparkSession)
     scored = model.regression.transform(model.counts.transform(lines)).withColumn("p", vector_to_array("probability"))
     top = F.array_max(F.transform(F.slice("p", 2, len(FAMILIES)), lambda v, i: F.struct(v.alias("p"), (i + 2).cast("int").alias("i"))))
     named = scored.select("doc_id", "paragraph", "grams", top.alias("top")).filter(F.col("top.p") >= model.threshold)

@@ -129,7 +129,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_licenses")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return licenses.scan(docs, licenses.fit(docs))
+    return licenses.fit_and_scan(docs)
 
 
 @query("op5_token_rollup")

@@ -408,3 +408,14 @@ def test_licence_statistics_cover_all_documents(spark):
     for share, named in ((0.01, 0), (0.02, 2), (0.06, 2), (0.07, 7)):
         limit = licenses.calibrated(scores, 100, share)
         assert sum(p >= limit for p in [0.95] * 5 + [0.99] * 2) == named
+
+
+def test_fit_and_scan_split_the_lines_once_after_the_vocabulary(licence_model, monkeypatch):
+    """The same rows as a scan by the fitted model, with one pass over all lines for the threshold and the search."""
+    docs, model = licence_model
+    passes, plain = [], licenses.with_words
+    monkeypatch.setattr(licenses, "with_words", lambda lines, some: passes.append(len(some)) or plain(lines, some))
+    found = sorted(licenses.fit_and_scan(docs).collect())
+    # One pass counts the grams, one marks the lines.
+    assert len(passes) == 2
+    assert found == sorted(licenses.scan(docs, model).collect()) and len(found) == 12
