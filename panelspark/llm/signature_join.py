@@ -8,7 +8,8 @@
    checked exactly on the texts, and joined to components: a group of copies costs one check per member.
 4. Prefix shingles that still hold several components are dealt out by shingle and size range; of
    shingles with the very same members only the first in the order is kept, since every pair that
-   shares a later one shares it too. In each such group a tree is built whose nodes hold the OR of
+   shares a later one shares it too; and of all only those that stand early enough in some set to be
+   the first that a pair shares. In each such group a tree is built whose nodes hold the OR of
    their members' shingle bitmaps, their size range, and how many shingles follow in the order at
    most. Two trees are walked together, and a pair of nodes is dropped when even its largest possible
    overlap is too small, or when both hold one and the same component only. A pair of members stays if
@@ -389,6 +390,32 @@ def sifted(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.select("a", "b", "n", "m", "bits", "other").mapInArrow(_sift(percent), "a long, b long, best double")
 
 
+def early(percent: int) -> Column:
+    """Whether a member (n, pos) can be the shorter one of a pair whose first shared shingle this is.
+
+    The overlap of a pair is at least percent (n + m) / (100 + percent), and no less with n in place of the longer m; it lies
+    in the n - pos shingles from the first shared one on.
+    """
+    return F.expr(f"pos <= n - (2 * {percent} * cast(n as long) + {99 + percent}) div {100 + percent}")
+
+
+def paired(members: DataFrame, percent: int) -> DataFrame:
+    """Members (token, pos, node, n, comp) of tokens that may be the first shared one of a pair of components, with the token's count ``c``.
+
+    A member that is not :func:`early` can only be the longer one of such a pair, so it needs an early one of its size or
+    a little less. The first shared token of every pair at the threshold keeps both: nothing is lost with the others.
+    """
+    same = [F.expr(f"bit_xor(xxhash64(node, {seed}))").alias(f"s{seed}") for seed in (0, 1)]
+    short = F.when(early(percent), F.col("n"))
+    mixed = members.groupBy("token").agg(
+        F.min("comp").alias("a"), F.max("comp").alias("b"), F.count(F.lit(1)).alias("c"), F.min("pos").alias("least"), F.min(short).alias("low"), F.max(short).alias("high"), *same
+    )
+    # Tokens with the same members stand in the same order in all of them; the first one is enough.
+    mixed = mixed.filter("a < b").groupBy("c", "s0", "s1").agg(F.min_by(F.struct("token", "low", "high"), "least").alias("t")).select("t.*", "c").filter("low IS NOT NULL")
+    near = (F.col("n") >= F.col("low")) & (100 * F.col("high").cast("long") >= percent * F.col("n").cast("long"))
+    return members.join(stage_table(mixed, "mixed"), "token").filter(early(percent) | near).drop("low", "high")
+
+
 def tree_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs among members (token, pos, node, n, comp) of the same token and different components.
 
@@ -397,14 +424,9 @@ def tree_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     blocks of about SIDE members, and every pair of blocks is a tree walk of its own, so no walk
     holds more than two blocks.
     """
-    same = [F.expr(f"bit_xor(xxhash64(node, {seed}))").alias(f"s{seed}") for seed in (0, 1)]
-    mixed = members.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count(F.lit(1)).alias("c"), F.min("pos").alias("least"), *same)
-    # Tokens with the same members stand in the same order in all of them; the first one is enough.
-    mixed = mixed.filter("a < b").groupBy("c", "s0", "s1").agg(F.min_by("token", "least").alias("token")).select("token", "c")
-    mixed = stage_table(mixed, "mixed")
     base = -math.log(min(percent, 99) / 100) * (1 + 1e-6)
     # One row per set with its shared shingles in order: each goes with the first ones before it.
-    listed = members.join(mixed, "token").groupBy("node").agg(F.first("n").alias("n"), F.first("comp").alias("comp"), F.array_sort(F.collect_list(F.struct("pos", "token", "c"))).alias("all"))
+    listed = paired(members, percent).groupBy("node").agg(F.first("n").alias("n"), F.first("comp").alias("comp"), F.array_sort(F.collect_list(F.struct("pos", "token", "c"))).alias("all"))
     listed = listed.withColumn("start", F.transform(F.slice("all", 1, EARLIER), lambda m: m["token"]))
     rows = listed.select("node", "n", "comp", "start", F.posexplode("all").alias("i", "m"))
     rows = rows.select(

@@ -230,3 +230,14 @@ def test_groups_of_copies_meet_their_first(spark):
     for r in signature_join.join(spark.createDataFrame(rows, SCHEMA)).collect():
         sizes[r.component_id] += 1
     assert sizes == {0: 300}
+
+
+def test_members_leave_the_trees_where_no_pair_can_meet_first(spark):
+    """With 100 shingles the first shared one of a pair has a place below 9 in the shorter set, and below 16 in the longer."""
+    rows = [
+        (1, 12, 10, 100, 1), (1, 12, 11, 100, 2),  # late in both
+        (2, 8, 10, 100, 1), (2, 15, 11, 105, 2), (2, 15, 12, 99, 3), (2, 20, 13, 130, 4),  # a late one may be longer, by a little
+        (3, 0, 10, 100, 1), (3, 0, 14, 90, 1),  # one component
+    ]
+    members = spark.createDataFrame(rows, "token long, pos int, node long, n int, comp long")
+    assert sorted((r.token, r.node) for r in signature_join.paired(members, 85).collect()) == [(2, 10), (2, 11)]
