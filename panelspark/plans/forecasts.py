@@ -9,7 +9,6 @@ from panelspark.functions.quantiles import exact_quantiles
 from panelspark.operators import baselines as B
 from panelspark.operators import errors as E
 from panelspark.operators import cohorts as K
-from panelspark.operators import features as FE
 from panelspark.operators import registry as REG
 from panelspark.operators import splits as S
 from panelspark.operators import study as ST
@@ -143,18 +142,13 @@ def fit_schedule(folds: DataFrame) -> DataFrame:
     )
 
 
-def study_panel(p: Panels) -> DataFrame:
-    """All features with the direct targets of every horizon, as a staged table."""
-    return stage_table(p.feature_panel.withColumns(FE.direct_targets(over=FE.entity_weeks())), "study_panel")
-
-
 def run_study(p: Panels, years: tuple[int, ...], boundary: str, families: tuple[str, ...] = FAMILIES) -> ST.Schedule:
     """Fits every horizon x feature set x family x fold that the study of this panel has not fitted yet.
 
     The study's folder is named by a digest of the panel and the folds, so fits are found again by any
     later run over the same rows, and changed rows begin a study of their own.
     """
-    panel = study_panel(p)
+    panel = p.study_panel
     sets = {s: REG.feature_set_columns(panel.columns, s) for s in FEATURE_SETS}
     seen = panel.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*panel.columns).cast("decimal(38,0)"))).first()
     mark = f"{seen[0]}-{seen[1]}-{'-'.join(map(str, years))}-{boundary}"

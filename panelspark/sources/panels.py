@@ -178,6 +178,53 @@ class Panels:
             )
         )
 
+    @cached_property
+    def daily_weather(self) -> DataFrame:
+        """:attr:`rain_daily` and :attr:`climate_daily` side by side, from one pass over the line items."""
+        temp = F.lit(20.0) + F.col("l_discount") * 100.0
+        hum = F.lit(60.0) + F.col("l_tax") * 100.0
+        rain, climate = F.col("l_returnflag") != UNRETURNED, F.col("l_linenumber") <= CLIMATE_LINES
+        per_supplier = (
+            self.table("lineitem")
+            .filter(rain | climate)
+            .groupBy("l_suppkey", F.to_date("l_shipdate").alias("day"))
+            .agg(
+                F.sum(F.when(rain, F.col("l_quantity"))).alias("q"),
+                F.count(F.when(rain, 1)).alias("rains"),
+                F.sum(F.when(climate, temp)).alias("st"),
+                F.min(F.when(climate, temp)).alias("nt"),
+                F.max(F.when(climate, temp)).alias("xt"),
+                F.sum(F.when(climate, hum)).alias("sh"),
+                F.count(F.when(climate, 1)).alias("n"),
+            )
+        )
+        return (
+            per_supplier.join(self._supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+            .groupBy(F.col("s_nationkey").alias("entity_id"), "day")
+            .agg(
+                F.sum("q").alias("rainfall_mm"),
+                F.count(F.when(F.col("rains") > 0, 1)).alias("rain_cells"),
+                (F.sum("st") / F.nullif(F.sum("n"), F.lit(0))).alias("temp_mean_c"),
+                F.min("nt").alias("temp_min_c"),
+                F.max("xt").alias("temp_max_c"),
+                (F.sum("sh") / F.nullif(F.sum("n"), F.lit(0))).alias("humidity_mean_pct"),
+                F.count(F.when(F.col("n") > 0, 1)).alias("climate_cells"),
+            )
+        )
+
+    def stage_sources(self) -> None:
+        """Writes weekly reports and daily weather, so that all panels of this object read orders and line items once."""
+        daily = stage_table(self.daily_weather, "daily_weather")
+
+        def cells(count: str, *values: str) -> DataFrame:
+            coverage = F.least(F.lit(1.0), F.col(count) / 2.0) * 100.0
+            kept = daily.filter(F.col(count) > 0)
+            return kept.select("entity_id", "day", *values, coverage.alias("spatial_coverage_pct"), F.col(count).alias("grid_cells"))
+
+        self.rain_daily = cells("rain_cells", "rainfall_mm")
+        self.climate_daily = cells("climate_cells", "temp_mean_c", "temp_min_c", "temp_max_c", "humidity_mean_pct")
+        self.weekly_obs = stage_table(self.weekly_obs, "weekly_obs")
+
     @cached_property
     def weather_weekly(self) -> DataFrame:
         return weather.weekly_weather(
@@ -311,6 +358,16 @@ class Panels:
             )
         )
 
+    @cached_property
+    def study_panel(self) -> DataFrame:
+        """All features with the direct targets of every horizon, as a staged table.
+
+        It is as small as a calendar, but folds, horizons and features multiply its rows, so it is dealt to all cores.
+        """
+        self.stage_sources()
+        panel = self.feature_panel.withColumns(features.direct_targets(over=features.entity_weeks()))
+        return stage_table(panel.repartition(self.spark.sparkContext.defaultParallelism), "study_panel")
+
     @cached_property
     def model_panel(self) -> DataFrame:
         """The model panel as a staged table, for work that reads it more than once."""
