@@ -62,7 +62,8 @@ def weighted_quantiles(
 ) -> DataFrame:
     """As :func:`exact_quantiles` for rows that already are (key, distinct value, count).
 
-    The distinct values are written once. A round scans them twice: for the cuts, and for the counts
+    The distinct values are written once. Where no group holds more than ``ordered`` of them, tasks order whole
+    groups. Otherwise a round scans them twice: for the cuts, and for the counts
     that find the slot of each wanted rank. Rounds go on inside those slots until none holds more than
     ``ordered`` distinct values; a round keeps about 1/SLOTS of them, so one or two rounds are usual.
     Cuts and slots are written too: their file size is known when the next step is planned, so Spark
@@ -74,9 +75,15 @@ def weighted_quantiles(
     data = data.select(
         *by, F.lit(0).cast("long").alias("_g"), F.col(value).alias("_v"), F.col(weight).alias("_c")
     )
-    slots, largest = None, None
-    for _ in range(ROUNDS):
-        data = stage_table(data, "distinct_values")
+    data = stage_table(data, "distinct_values")
+    whole = data.groupBy(*group).agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_d"))
+    whole = stage_table(
+        whole.withColumns({"_base": F.lit(0).cast("long"), "_ranks": _ranks(probabilities.values())}), "groups"
+    )
+    small = (whole.agg(F.max("_d")).first()[0] or 0) <= ordered
+    slots, largest = whole.drop("_d") if small else None, None
+    for turn in range(0 if small else ROUNDS):
+        data = data if turn == 0 else stage_table(data, "distinct_values")
         cuts = _cuts(data, group, accuracy)
         if slots is None:
             cuts = cuts.withColumn("_base", F.lit(0).cast("long")).withColumn(

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import pytest
+from pyspark.sql import functions as F
+
+from panelspark.functions import quantiles
 from panelspark.sources.panels import Panels
 
 SF = "/root/testdata/sf0.01"
@@ -25,3 +29,14 @@ def test_staged_sources_equal_the_tables_and_leave_them_unread(spark):
 def test_a_query_builds_the_study_panel_once(spark):
     p = Panels(spark, SF)
     assert p.study_panel is p.study_panel
+
+
+@pytest.mark.parametrize("ordered", [5, 1000])
+def test_quantiles_of_small_groups_need_no_slots(spark, monkeypatch, ordered):
+    df = spark.range(300).select((F.col("id") % 3).alias("k"), F.when(F.col("id") % 7 > 0, F.pow("id", F.lit(1.5))).alias("v"))
+    want = {(r.k, p): r[p] for r in df.groupBy("k").agg(F.percentile("v", 0.5).alias("a"), F.percentile("v", 0.9).alias("b")).collect() for p in "ab"}
+    calls, cuts = [], quantiles._cuts
+    monkeypatch.setattr(quantiles, "_cuts", lambda *a: calls.append(1) or cuts(*a))
+    got = {(r.k, p): r[p] for r in quantiles.exact_quantiles(df, ["k"], "v", {"a": 0.5, "b": 0.9}, ordered=ordered).collect() for p in "ab"}
+    assert got == pytest.approx(want)
+    assert bool(calls) == (ordered == 5)
