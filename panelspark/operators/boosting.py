@@ -26,6 +26,8 @@ from panelspark.session import stage_table
 
 #: Rounds between two written scores; rows of a block that one task sums before its sums travel.
 STAGE, BLOCK_ROWS = 10, 1 << 16
+#: Rows that pass all trees at once when they are scored.
+ROWS_AT_ONCE = 1 << 10
 #: Least share of expected counts a leaf may be scaled to, which keeps the logarithm finite.
 LEAST = 1e-6
 #: A split on its way to the driver: its fit, round and place in the tree, and the sums left of it and in all.
@@ -60,9 +62,20 @@ class Forest:
 
     def grown(self, group: np.ndarray, bins: np.ndarray, s: int, first: int, last: int, depth: int) -> np.ndarray:
         """Sum of the values of rounds first to last - 1 for rows of binned features."""
-        out, rows = np.zeros(len(group)), np.arange(len(group))
-        for t in range(first, last):
-            out += self.value[group, s, t, self.node(group, bins, rows, s, t, depth)]
+        out, trees = np.zeros(len(group)), np.arange(last - first)[:, None]
+        for one in np.unique(group) if last > first else ():
+            mine = np.flatnonzero(group == one)
+            feature, cut, value = (a[one, s, first:last] for a in (self.feature, self.cut.astype(np.uint8), self.value))
+            # a block of rows passes all trees of its group at once; leaves are added in the order of the rounds
+            for begin in range(0, len(mine), ROWS_AT_ONCE):
+                at = mine[begin : begin + ROWS_AT_ONCE]
+                columns, rows = np.ascontiguousarray(bins[at].T), np.arange(len(at))
+                node = np.zeros((last - first, len(at)), np.int64)
+                for level in range(depth):
+                    splits = slice((1 << level) - 1, (2 << level) - 1)
+                    right = columns[feature[:, splits]] > cut[:, splits, None]
+                    node = 2 * node + right.ravel()[(trees * right.shape[1] + node) * len(at) + rows]
+                out[at] = np.add.reduce(value.ravel()[trees * value.shape[1] + node], axis=0)
         return out
 
     def node(self, group: np.ndarray, bins: np.ndarray, rows: np.ndarray, s: int, t: int, depth: int) -> np.ndarray:
@@ -348,9 +361,11 @@ def binned(rows: DataFrame, values: str, cuts: np.ndarray) -> DataFrame:
             x = batch.column(values).flatten().to_numpy().reshape(len(batch), -1)
             group, out = batch.column("g").to_numpy(), np.empty(x.shape, np.uint8)
             for g in np.unique(group):
-                mine = group == g
-                for f in range(x.shape[1]):
-                    out[mine, f] = np.searchsorted(cuts[g, f], x[mine, f], side="left")
+                mine = np.flatnonzero(group == g)
+                found = np.empty((x.shape[1], len(mine)), np.uint8)
+                for f, own in enumerate(np.ascontiguousarray(x[mine].T)):
+                    found[f] = np.searchsorted(cuts[g, f], own, side="left")
+                out[mine] = found.T
             yield pa.record_batch([*[batch.column(c) for c in keep], pa.array([r.tobytes() for r in out], pa.binary())], names=[*keep, "bins"])
 
     return rows.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in rows.select(*keep).dtypes) + ", bins binary")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from panelspark.functions import quantiles
+from panelspark.operators import boosting
 from panelspark.sources.panels import Panels
 
 SF = "/root/testdata/sf0.01"
@@ -40,3 +42,21 @@ def test_quantiles_of_small_groups_need_no_slots(spark, monkeypatch, ordered):
     got = {(r.k, p): r[p] for r in quantiles.exact_quantiles(df, ["k"], "v", {"a": 0.5, "b": 0.9}, ordered=ordered).collect() for p in "ab"}
     assert got == pytest.approx(want)
     assert bool(calls) == (ordered == 5)
+
+
+def test_scoring_passes_all_trees_at_once_with_the_same_sums(monkeypatch):
+    rng = np.random.default_rng(3)
+    groups, sets, rounds, depth, width, n = 3, 2, 9, 3, 6, 500
+    shape = (groups, sets, rounds, (1 << depth) - 1)
+    forest = boosting.Forest(
+        np.zeros(groups), [np.arange(width)] * sets, rng.integers(0, width, shape).astype(np.int32),
+        rng.choice([0, 1, 2, 255], shape).astype(np.int32), rng.normal(size=(groups, sets, rounds, 1 << depth)),
+    )
+    group, bins = rng.integers(0, groups, n), rng.integers(0, 4, (n, width)).astype(np.uint8)
+    want = np.zeros(n)
+    for t in range(2, rounds):
+        want += forest.value[group, 1, t, forest.node(group, bins, np.arange(n), 1, t, depth)]
+    monkeypatch.setattr(boosting, "ROWS_AT_ONCE", 64)
+    monkeypatch.setattr(boosting.Forest, "node", None)
+    assert np.array_equal(forest.grown(group, bins, 1, 2, rounds, depth), want)
+    assert not forest.grown(group, bins, 1, 4, 4, depth).any()
