@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.columns import digest_int
+from panelspark.functions.columns import all_of, digest_int
 from panelspark.operators import metrics as M
 
 SALTS = 64
@@ -36,6 +36,30 @@ def seeded_sample(
     )
 
 
+def numbered(
+    df: DataFrame, by: Sequence[str], bucket: str, order: Sequence[str | Column], name: str
+) -> DataFrame:
+    """``name`` numbers the rows of each group from 1 in the order of ``bucket``, then ``order``.
+
+    A task orders the rows of one bucket; the buckets' counts, summed up, place them in the group.
+    """
+    within = Window.partitionBy(*by, bucket).orderBy(*order)
+    earlier = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    keys = [*by, bucket]
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select(
+        *[F.col(k).alias(f"_{k}") for k in keys],
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"),
+    )
+    same = all_of(F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys)
+    return (
+        df.withColumn(name, F.row_number().over(within))
+        .join(starts, same)
+        .withColumn(name, F.col(name) + F.col("_start"))
+        .select(*df.columns, name)
+    )
+
+
 def permutation_importance(
     sample: DataFrame,
     features: Sequence[str],

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from panelspark.functions.columns import digest_int, plus_days
 from panelspark.operators import boosting, linear
 from panelspark.operators import preprocess as P
-from panelspark.operators.importance import seeded_sample
+from panelspark.operators.importance import numbered, seeded_sample
 from panelspark.session import stage_table
 
 # Default parameters of the families.
@@ -37,6 +37,8 @@ FAMILIES: dict[str, tuple[str, Mapping[str, float]]] = {
 }
 LINEAR = ("ridge", "poisson")
 BINS = 32
+#: Rows of a group that a task puts into the order of their digests.
+ORDERED = 1 << 16
 KEYS = ("fold", "horizon", "entity_id", "week_start", "week_end", "cases")
 
 
@@ -168,27 +170,32 @@ def _value(family: str) -> Column:
     return F.when(~F.isnan(value) & (F.abs(value) != F.lit(float("inf"))), F.greatest(value, F.lit(0.0)))
 
 
-def permutation(fitted: Fitted, data: Prepared, family: str, *, rows: int = 200, repeats: int = 3, seed: int = 7) -> DataFrame:
+def permutation(fitted: Fitted, data: Prepared, family: str, *, rows: int | None = None, repeats: int = 3, seed: int = 7) -> DataFrame:
     """How much the error of each fit grows when a feature's values change places within a fold's evaluation rows.
 
-    Works on the ``rows`` evaluation rows of a group with the smallest seeded digests; equal digests of one
-    feature and repeat make the order the rows receive each other's values in. A value travels with its missing
+    Works on all evaluation rows of a group, or, where ``rows`` is given, on that many with the smallest seeded digests. Digests of
+    one feature and repeat make the order the rows receive each other's values in. A value travels with its missing
     mark, so this equals permuting the raw column before it is imputed; the category is one feature.
     """
     p, key = len(data.numeric), ["entity_id", "week_start"]
     raw = [*data.numeric, *(["entity_id"] if data.levels else [])]
-    sample = seeded_sample(data.rows.filter("NOT train"), ["g"], key, rows=rows, seed=seed)
-    sample = stage_table(sample.withColumn("_pos", F.row_number().over(Window.partitionBy("g").orderBy(*key))), "study_sample")
-    turns = sample.select("g", F.col("_pos").alias("_from"), *key, F.explode(F.sequence(F.lit(0), F.lit(len(raw) - 1))).alias("_j"))
-    turns = turns.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    draw = Window.partitionBy("g", "_j", "repeat").orderBy(digest_int(F.lit(seed), F.element_at(F.lit(raw), F.col("_j") + 1), "repeat", *key), *key)
-    turns = turns.select("g", "_j", "repeat", "_from", F.row_number().over(draw).alias("_pos"))
-    given = sample.select("g", F.col("_pos").alias("_from"), F.col("x").alias("_x"), F.col("level").alias("_level"))
-    both = turns.join(sample, ["g", "_pos"]).join(given, ["g", "_from"])
-    moved = lambda v, i: F.when((F.col("_j") < p) & (i % max(p, 1) == F.col("_j")), F.get("_x", i)).otherwise(v)
+    some = data.rows.filter("NOT train")
+    if rows is not None:
+        some = seeded_sample(some, ["g"], key, rows=rows, seed=seed)
+    some = stage_table(numbered(some, ["g"], "entity_id", ["week_start"], "_pos"), "study_permutable")
+    most = some.groupBy("g").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    value, mark = F.get("x", F.col("_j")).alias("_value"), F.get("x", F.col("_j") + p).alias("_mark")
+    given = some.select("g", "_pos", *key, "x", F.col("level").alias("_level"), F.explode(F.sequence(F.lit(0), F.lit(len(raw) - 1))).alias("_j"))
+    given = given.select("g", "_j", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"), F.col("_pos").alias("_from"), *key, value, mark, "_level")
+    given = given.withColumn("_draw", digest_int(F.lit(seed), F.element_at(F.lit(raw), F.col("_j") + 1), "repeat", *key))
+    given = given.withColumn("_part", F.shiftright(F.col("_draw") * max(1, -(-most // ORDERED)), 32))
+    turns = numbered(given, ["g", "_j", "repeat"], "_part", ["_draw", *key, "_from"], "_pos")
+    both = some.join(turns.select("g", "_pos", "_j", "repeat", "_value", "_mark", "_level"), ["g", "_pos"])
+    j, rest = F.col("_j"), lambda n: F.greatest(n, F.lit(0))
+    swapped = F.concat(F.slice("x", F.lit(1), j), F.array("_value"), F.slice("x", j + 2, rest(F.lit(p - 1))), F.array("_mark"), F.slice("x", j + p + 2, rest(p - 1 - j)))
     keep = ["g", "y", "fold", "horizon", "_j", "repeat"]
-    both = both.withColumns({"x": F.transform("x", moved), "level": F.when(F.col("_j") == p, F.col("_level")).otherwise(F.col("level"))})
-    every = both.select(*keep, "x", "level").unionByName(sample.withColumns({"_j": F.lit(-1), "repeat": F.lit(0)}).select(*keep, "x", "level"))
+    both = both.withColumns({"x": F.when(j < p, swapped).otherwise(F.col("x")), "level": F.when(j == p, F.col("_level")).otherwise(F.col("level"))})
+    every = both.select(*keep, "x", "level").unionByName(some.withColumns({"_j": F.lit(-1), "repeat": F.lit(0)}).select(*keep, "x", "level"))
     long = rescored(fitted, data, family, every, keep).select(*keep, F.posexplode("margin").alias("_s", "_m")).withColumn("_v", _value(family))
     fit = ["g", "fold", "horizon", "_s"]
     per = stage_table(long.groupBy(*fit, "_j", "repeat").agg(F.avg(F.abs(F.col("y") - F.col("_v"))).alias("mae"), F.count("_v").alias("n_rows")), "study_permuted")

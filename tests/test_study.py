@@ -9,7 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelspark.operators import boosting, study
+from panelspark.operators.importance import numbered
+from panelspark.plans import forecasts
 from panelspark.session import stage_table
+from panelspark.sources.panels import Panels
+from tests.conftest import SF
 
 
 @pytest.fixture(scope="module")
@@ -198,6 +202,61 @@ def test_permutation_equals_scoring_swapped_rows(spark, data, family, params):
                     assert (r.baseline_mae, r.permuted_mae) == pytest.approx((base[s], e), abs=1e-9) and r.n_rows == 25
 
 
+@pytest.mark.parametrize("family", ["ridge", "boosted"])
+def test_permutation_takes_every_evaluation_row(spark, monkeypatch, family):
+    """More rows than a sample would hold, put in order in parts; the error of the unchanged rows is that of the predictions."""
+    monkeypatch.setattr(study, "ORDERED", 60)
+    rng, held = np.random.default_rng(11), {2000: 230, 2001: 310}
+    rows = [(fold, e, i // 5, float(a), None if i % 6 == 0 else float(b), int(rng.poisson(np.exp(0.6 + 0.5 * a + 0.2 * e))), train)
+            for fold, n in held.items() for train, m in ((True, 300), (False, n)) for i in range(m) for e, a, b in ((i % 5, rng.normal(), rng.normal()),)]
+    df = spark.createDataFrame(rows, "fold long, entity_id int, i int, a double, b double, target long, train boolean").withColumns(
+        {"horizon": F.lit(1), "week_start": F.date_add(F.lit("2000-01-01").cast("date"), F.col("i") * 7), "cases": F.col("target")}
+    ).withColumn("week_end", F.date_add("week_start", 6))
+    df = stage_table(df, "panel")
+    data = study.prepare(df.filter("train").drop("train"), df.filter("NOT train").drop("train"), {"all": ["entity_id", "a", "b"]})
+    fitted = study.fit_family(data, family, {"rounds": 12, "depth": 2, "rate": 0.3} if family == "boosted" else {})
+    got = {(r.fold, r.feature): r for r in study.permutation(fitted, data, family, repeats=1).collect()}
+    assert {k: r.n_rows for k, r in got.items()} == {(fold, c): n for fold, n in held.items() for c in ("a", "b", "entity_id")}
+    error = F.avg(F.abs(F.col("prediction_model") - F.col("observed_target"))).alias("e")
+    base = {r.fold: r.e for r in study.predictions(fitted, data, family).groupBy("fold").agg(error).collect()}
+    assert {k: r.baseline_mae for k, r in got.items()} == pytest.approx({(fold, c): base[fold] for fold, c in got})
+
+    mark = lambda *parts: int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16)
+    every = data.rows.filter("NOT train").collect()
+    for j, c in enumerate([*data.numeric, "entity_id"]):
+        swapped = []
+        for fold in held:
+            mine = sorted((r for r in every if r.fold == fold), key=lambda r: (r.entity_id, r.week_start))
+            for r, d in zip(mine, sorted(mine, key=lambda r: (mark(7, c, 0, r.entity_id, r.week_start), r.entity_id, r.week_start))):
+                x = [d.x[k] if k % len(data.numeric) == j else v for k, v in enumerate(r.x)]
+                swapped.append((fold, r.g, x, d.level if c == "entity_id" else r.level, r.y))
+        some = spark.createDataFrame(swapped, "fold long, g int, x array<double>, level int, y double")
+        out = study.rescored(fitted, data, family, some, ["fold", "y"]).collect()
+        for fold in held:
+            assert got[fold, c].permuted_mae == pytest.approx(np.mean([abs(max(r.margin[0], 0.0) - r.y) for r in out if r.fold == fold]))
+
+
+def test_numbers_cross_buckets_in_order(spark):
+    """Against sorting here; the bucket comes with nulls, and keys come twice."""
+    rng = np.random.default_rng(2)
+    rows = [(g, None if e == 4 else e, int(rng.integers(0, 30)), i) for g, n in ((None, 40), (0, 90), (1, 1)) for i in range(n) for e in (int(rng.integers(0, 5)),)]
+    df = spark.createDataFrame(rows, "g int, e int, w int, i int")
+    got = {(r.g, r.i): r.n for r in numbered(df, ["g"], "e", ["w", "i"], "n").collect()}
+    first = lambda v: (v is not None, v or 0)
+    for g in (None, 0, 1):
+        mine = sorted((r for r in rows if r[0] == g), key=lambda r: (first(r[1]), r[2], r[3]))
+        assert [got[g, r[3]] for r in mine] == list(range(1, len(mine) + 1))
+
+
+def test_study_permutes_all_evaluation_rows_and_a_sample_apart(spark):
+    """One fold of ridge fits: importance over as many rows as are predicted, its sample over 200 of them."""
+    schedule = forecasts.run_study(Panels(spark, SF), (2000,), "2001-07-01", ("ridge",))
+    rows = {t: {r.fit_id: r.n for r in schedule.table(t).groupBy("fit_id").agg(n.alias("n")).collect()} for t, n in (
+        ("predictions", F.count("prediction_model")), ("importance", F.min("n_rows")), ("importance_sample", F.max("n_rows")))}
+    assert rows["importance"] == rows["predictions"] and min(rows["importance"].values()) > 200
+    assert rows["importance_sample"] == dict.fromkeys(rows["importance"], 200) and len(rows["importance"]) == 12
+
+
 def test_schedule_goes_on_after_a_failure_and_never_repeats_a_fit(spark, tmp_path):
     root, calls = str(tmp_path / "study"), []
     units = {"u1": {"a", "b"}, "u2": {"c"}}
