@@ -37,12 +37,15 @@ def seeded_sample(
 
 
 def numbered(
-    df: DataFrame, by: Sequence[str], bucket: str, order: Sequence[str | Column], name: str
+    df: DataFrame, by: Sequence[str], bucket: str | None, order: Sequence[str], name: str
 ) -> DataFrame:
     """``name`` numbers the rows of each group from 1 in the order of ``bucket``, then ``order``.
 
     A task orders the rows of one bucket; the buckets' counts, summed up, place them in the group.
+    Without a bucket a task orders whole groups.
     """
+    if bucket is None:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
     within = Window.partitionBy(*by, bucket).orderBy(*order)
     earlier = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     keys = [*by, bucket]

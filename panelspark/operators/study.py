@@ -14,7 +14,7 @@ import uuid
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
-from functools import cached_property
+from functools import cached_property, reduce
 
 import numpy as np
 from pyspark import inheritable_thread_target
@@ -177,36 +177,43 @@ def permutation(fitted: Fitted, data: Prepared, family: str, *, rows: int | None
     one feature and repeat make the order the rows receive each other's values in. A value travels with its missing
     mark, so this equals permuting the raw column before it is imputed; the category is one feature.
     """
-    p, key = len(data.numeric), ["entity_id", "week_start"]
+    return permutations(fitted, data, family, {"all": rows}, repeats=repeats, seed=seed)["all"]
+
+
+def permutations(fitted: Fitted, data: Prepared, family: str, tables: Mapping[str, int | None], *, repeats: int = 3, seed: int = 7) -> dict[str, DataFrame]:
+    """``permutation`` for several numbers of rows (None: all) in one pass, a table for each."""
+    p, key, group = len(data.numeric), ["entity_id", "week_start"], ["_t", "g"]
     raw = [*data.numeric, *(["entity_id"] if data.levels else [])]
-    some = data.rows.filter("NOT train")
-    if rows is not None:
-        some = seeded_sample(some, ["g"], key, rows=rows, seed=seed)
-    some = stage_table(numbered(some, ["g"], "entity_id", ["week_start"], "_pos"), "study_permutable")
-    most = some.groupBy("g").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    held = data.rows.filter("NOT train")
+    most = max([r.n for r in held.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()], default=0)
+    parts = max(1, -(-most // ORDERED))
+    some = [held if n is None else seeded_sample(held, ["g"], key, rows=n, seed=seed) for n in tables.values()]
+    some = reduce(DataFrame.unionByName, [rows.withColumn("_t", F.lit(t)) for t, rows in enumerate(some)])
+    some = stage_table(numbered(some, group, "entity_id" if parts > 1 else None, key, "_pos"), "study_permutable")
+    given = some.select(*group, "_pos", *key, "x", F.col("level").alias("_level"), F.explode(F.sequence(F.lit(0), F.lit(len(raw) - 1))).alias("_j"))
     value, mark = F.get("x", F.col("_j")).alias("_value"), F.get("x", F.col("_j") + p).alias("_mark")
-    given = some.select("g", "_pos", *key, "x", F.col("level").alias("_level"), F.explode(F.sequence(F.lit(0), F.lit(len(raw) - 1))).alias("_j"))
-    given = given.select("g", "_j", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"), F.col("_pos").alias("_from"), *key, value, mark, "_level")
+    given = given.select(*group, "_j", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"), F.col("_pos").alias("_from"), *key, value, mark, "_level")
     given = given.withColumn("_draw", digest_int(F.lit(seed), F.element_at(F.lit(raw), F.col("_j") + 1), "repeat", *key))
-    given = given.withColumn("_part", F.shiftright(F.col("_draw") * max(1, -(-most // ORDERED)), 32))
-    turns = numbered(given, ["g", "_j", "repeat"], "_part", ["_draw", *key, "_from"], "_pos")
-    both = some.join(turns.select("g", "_pos", "_j", "repeat", "_value", "_mark", "_level"), ["g", "_pos"])
+    given = given.withColumn("_part", F.shiftright(F.col("_draw") * parts, 32))
+    turns = numbered(given, [*group, "_j", "repeat"], "_part" if parts > 1 else None, ["_draw", *key, "_from"], "_pos")
+    both = some.join(turns.select(*group, "_pos", "_j", "repeat", "_value", "_mark", "_level"), [*group, "_pos"])
     j, rest = F.col("_j"), lambda n: F.greatest(n, F.lit(0))
     swapped = F.concat(F.slice("x", F.lit(1), j), F.array("_value"), F.slice("x", j + 2, rest(F.lit(p - 1))), F.array("_mark"), F.slice("x", j + p + 2, rest(p - 1 - j)))
-    keep = ["g", "y", "fold", "horizon", "_j", "repeat"]
+    keep = [*group, "y", "fold", "horizon", "_j", "repeat"]
     both = both.withColumns({"x": F.when(j < p, swapped).otherwise(F.col("x")), "level": F.when(j == p, F.col("_level")).otherwise(F.col("level"))})
     every = both.select(*keep, "x", "level").unionByName(some.withColumns({"_j": F.lit(-1), "repeat": F.lit(0)}).select(*keep, "x", "level"))
     long = rescored(fitted, data, family, every, keep).select(*keep, F.posexplode("margin").alias("_s", "_m")).withColumn("_v", _value(family))
-    fit = ["g", "fold", "horizon", "_s"]
+    fit = [*group, "fold", "horizon", "_s"]
     per = stage_table(long.groupBy(*fit, "_j", "repeat").agg(F.avg(F.abs(F.col("y") - F.col("_v"))).alias("mae"), F.count("_v").alias("n_rows")), "study_permuted")
     base = per.filter("_j < 0").select(*fit, F.col("mae").alias("baseline_mae"))
     used = [sorted({i % p if i < 2 * p else p for i in at}) for at in data.sets.values()]
     out = per.filter(F.array_contains(F.get(F.lit(used), F.col("_s")), F.col("_j"))).join(base, fit)
     out = out.withColumns({"feature_set": F.get(F.lit(list(data.sets)), F.col("_s")), "family": F.lit(family)})
-    return out.select(
+    columns = [
         fit_id().alias("fit_id"), "fold", F.col("horizon").cast("long").alias("horizon"), "feature_set", "family", F.get(F.lit(raw), F.col("_j")).alias("feature"),
         F.col("repeat").cast("long").alias("repeat"), "n_rows", "baseline_mae", F.col("mae").alias("permuted_mae"), (F.col("mae") - F.col("baseline_mae")).alias("mae_increase"),
-    )
+    ]
+    return {name: out.filter(F.col("_t") == t).select(*columns) for t, name in enumerate(tables)}
 
 
 def fit_id() -> Column:

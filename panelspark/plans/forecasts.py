@@ -168,11 +168,8 @@ def run_study(p: Panels, years: tuple[int, ...], boundary: str, families: tuple[
         family, horizon = unit.rsplit("-h", 1)
         part = data.of_horizon(int(horizon))
         fitted = ST.fit_family(part, family)
-        tables = {
-            "predictions": ST.predictions(fitted, part, family),
-            "importance": ST.permutation(fitted, part, family),
-            "importance_sample": ST.permutation(fitted, part, family, rows=SAMPLE_ROWS),
-        }
+        tables = {"predictions": ST.predictions(fitted, part, family)}
+        tables |= ST.permutations(fitted, part, family, {"importance": None, "importance_sample": SAMPLE_ROWS})
         return tables, ST.fit_rows(fitted, part, family)
 
     schedule.run(units, work)

@@ -202,10 +202,10 @@ def test_permutation_equals_scoring_swapped_rows(spark, data, family, params):
                     assert (r.baseline_mae, r.permuted_mae) == pytest.approx((base[s], e), abs=1e-9) and r.n_rows == 25
 
 
-@pytest.mark.parametrize("family", ["ridge", "boosted"])
-def test_permutation_takes_every_evaluation_row(spark, monkeypatch, family):
-    """More rows than a sample would hold, put in order in parts; the error of the unchanged rows is that of the predictions."""
-    monkeypatch.setattr(study, "ORDERED", 60)
+@pytest.mark.parametrize(("family", "ordered"), [("ridge", 60), ("boosted", 60), ("ridge", 1000)])
+def test_permutation_takes_every_evaluation_row(spark, monkeypatch, family, ordered):
+    """More rows than a sample would hold, put in order whole or in parts; the error of the unchanged rows is that of the predictions."""
+    monkeypatch.setattr(study, "ORDERED", ordered)
     rng, held = np.random.default_rng(11), {2000: 230, 2001: 310}
     rows = [(fold, e, i // 5, float(a), None if i % 6 == 0 else float(b), int(rng.poisson(np.exp(0.6 + 0.5 * a + 0.2 * e))), train)
             for fold, n in held.items() for train, m in ((True, 300), (False, n)) for i in range(m) for e, a, b in ((i % 5, rng.normal(), rng.normal()),)]
