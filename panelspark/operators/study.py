@@ -46,7 +46,8 @@ KEYS = ("fold", "horizon", "entity_id", "week_start", "week_end", "cases")
 class Prepared:
     """The prepared rows of all folds of some horizons.
 
-    ``rows`` has g, fold, horizon, train, y, x (values, then indicators), level and the row's keys.
+    ``rows`` has g, fold, horizon, train, y, x (values, then indicators), level and the row's keys; ``most`` is the
+    largest number of evaluation rows of a group.
     """
 
     rows: DataFrame
@@ -55,6 +56,7 @@ class Prepared:
     levels: list[str]
     state: list[dict[str, Mapping]]
     sets: dict[str, tuple[int, ...]]
+    most: int
 
     @property
     def names(self) -> list[str]:
@@ -128,7 +130,9 @@ def prepare(training: DataFrame, evaluation: DataFrame, sets: Mapping[str, Seque
     for s, used in sets.items():
         own = [index[c] for c in used if c != category]
         columns[s] = (*own, *[p + i for i in own], *([2 * p + v for v in range(len(names))] if category in used else []))
-    return Prepared(stage_table(out, "study_prepared"), groups, numeric, names, held, columns)
+    out = stage_table(out, "study_prepared")
+    sizes = out.filter("NOT train").groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()
+    return Prepared(out, groups, numeric, names, held, columns, max([r.n for r in sizes], default=0))
 
 
 @dataclass
@@ -177,25 +181,24 @@ def permutation(fitted: Fitted, data: Prepared, family: str, *, rows: int | None
     one feature and repeat make the order the rows receive each other's values in. A value travels with its missing
     mark, so this equals permuting the raw column before it is imputed; the category is one feature.
     """
-    return permutations(fitted, data, family, {"all": rows}, repeats=repeats, seed=seed)["all"]
+    return permutations(fitted, data, family, {"": rows}, repeats=repeats, seed=seed).drop("part")
 
 
-def permutations(fitted: Fitted, data: Prepared, family: str, tables: Mapping[str, int | None], *, repeats: int = 3, seed: int = 7) -> dict[str, DataFrame]:
-    """``permutation`` for several numbers of rows (None: all) in one pass, a table for each."""
-    p, key, group = len(data.numeric), ["entity_id", "week_start"], ["_t", "g"]
+def permutations(fitted: Fitted, data: Prepared, family: str, parts: Mapping[str, int | None], *, repeats: int = 3, seed: int = 7) -> DataFrame:
+    """``permutation`` for several numbers of rows (None: all) in one pass; ``part`` names which one a row is of."""
+    p, key, group = len(data.numeric), ["entity_id", "week_start"], ["part", "g"]
     raw = [*data.numeric, *(["entity_id"] if data.levels else [])]
     held = data.rows.filter("NOT train")
-    most = max([r.n for r in held.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()], default=0)
-    parts = max(1, -(-most // ORDERED))
-    some = [held if n is None else seeded_sample(held, ["g"], key, rows=n, seed=seed) for n in tables.values()]
-    some = reduce(DataFrame.unionByName, [rows.withColumn("_t", F.lit(t)) for t, rows in enumerate(some)])
-    some = stage_table(numbered(some, group, "entity_id" if parts > 1 else None, key, "_pos"), "study_permutable")
+    pieces = max(1, -(-data.most // ORDERED))
+    some = [held if n is None else seeded_sample(held, ["g"], key, rows=n, seed=seed) for n in parts.values()]
+    some = reduce(DataFrame.unionByName, [rows.withColumn("part", F.lit(name)) for name, rows in zip(parts, some)])
+    some = stage_table(numbered(some, group, "entity_id" if pieces > 1 else None, key, "_pos"), "study_permutable")
     given = some.select(*group, "_pos", *key, "x", F.col("level").alias("_level"), F.explode(F.sequence(F.lit(0), F.lit(len(raw) - 1))).alias("_j"))
     value, mark = F.get("x", F.col("_j")).alias("_value"), F.get("x", F.col("_j") + p).alias("_mark")
     given = given.select(*group, "_j", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"), F.col("_pos").alias("_from"), *key, value, mark, "_level")
     given = given.withColumn("_draw", digest_int(F.lit(seed), F.element_at(F.lit(raw), F.col("_j") + 1), "repeat", *key))
-    given = given.withColumn("_part", F.shiftright(F.col("_draw") * parts, 32))
-    turns = numbered(given, [*group, "_j", "repeat"], "_part" if parts > 1 else None, ["_draw", *key, "_from"], "_pos")
+    given = given.withColumn("_piece", F.shiftright(F.col("_draw") * pieces, 32))
+    turns = numbered(given, [*group, "_j", "repeat"], "_piece" if pieces > 1 else None, ["_draw", *key, "_from"], "_pos")
     both = some.join(turns.select(*group, "_pos", "_j", "repeat", "_value", "_mark", "_level"), [*group, "_pos"])
     j, rest = F.col("_j"), lambda n: F.greatest(n, F.lit(0))
     swapped = F.concat(F.slice("x", F.lit(1), j), F.array("_value"), F.slice("x", j + 2, rest(F.lit(p - 1))), F.array("_mark"), F.slice("x", j + p + 2, rest(p - 1 - j)))
@@ -209,11 +212,10 @@ def permutations(fitted: Fitted, data: Prepared, family: str, tables: Mapping[st
     used = [sorted({i % p if i < 2 * p else p for i in at}) for at in data.sets.values()]
     out = per.filter(F.array_contains(F.get(F.lit(used), F.col("_s")), F.col("_j"))).join(base, fit)
     out = out.withColumns({"feature_set": F.get(F.lit(list(data.sets)), F.col("_s")), "family": F.lit(family)})
-    columns = [
+    return out.select(
         fit_id().alias("fit_id"), "fold", F.col("horizon").cast("long").alias("horizon"), "feature_set", "family", F.get(F.lit(raw), F.col("_j")).alias("feature"),
-        F.col("repeat").cast("long").alias("repeat"), "n_rows", "baseline_mae", F.col("mae").alias("permuted_mae"), (F.col("mae") - F.col("baseline_mae")).alias("mae_increase"),
-    ]
-    return {name: out.filter(F.col("_t") == t).select(*columns) for t, name in enumerate(tables)}
+        F.col("repeat").cast("long").alias("repeat"), "n_rows", "baseline_mae", F.col("mae").alias("permuted_mae"), (F.col("mae") - F.col("baseline_mae")).alias("mae_increase"), "part",
+    )
 
 
 def fit_id() -> Column:

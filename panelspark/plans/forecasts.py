@@ -148,14 +148,14 @@ def run_study(p: Panels, years: tuple[int, ...], boundary: str, families: tuple[
     """Fits every horizon x feature set x family x fold that the study of this panel has not fitted yet.
 
     The study's folder is named by a digest of the panel and the folds, so fits are found again by any
-    later run over the same rows, and changed rows begin a study of their own. ``whole`` in it parts it from
-    studies of before, whose importance came from a sample.
+    later run over the same rows, and changed rows begin a study of their own. ``parts`` keeps it apart from
+    older studies, whose importance came from a sample alone.
     """
     panel = p.study_panel
     sets = {s: REG.feature_set_columns(panel.columns, s) for s in FEATURE_SETS}
     seen = panel.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*panel.columns).cast("decimal(38,0)"))).first()
     mark = f"{seen[0]}-{seen[1]}-{'-'.join(map(str, years))}-{boundary}"
-    schedule = ST.Schedule(p.spark, f"{shared_dir(p.spark).rstrip('/')}/study-whole-{mark}")
+    schedule = ST.Schedule(p.spark, f"{shared_dir(p.spark).rstrip('/')}/study-parts-{mark}")
     origins = stage_table(K.fold_origins(panel, years), "fold_origins")
     folds = sorted(r.fold for r in origins.select("fold").collect())
     units = {f"{fam}-h{h}": {f"h{h}__{s}__{fam}__{f}" for s in FEATURE_SETS for f in folds} for fam in families for h in HORIZONS}
@@ -168,8 +168,8 @@ def run_study(p: Panels, years: tuple[int, ...], boundary: str, families: tuple[
         family, horizon = unit.rsplit("-h", 1)
         part = data.of_horizon(int(horizon))
         fitted = ST.fit_family(part, family)
-        tables = {"predictions": ST.predictions(fitted, part, family)}
-        tables |= ST.permutations(fitted, part, family, {"importance": None, "importance_sample": SAMPLE_ROWS})
+        importance = ST.permutations(fitted, part, family, {"all": None, "sample": SAMPLE_ROWS})
+        tables = {"predictions": ST.predictions(fitted, part, family), "importance": importance}
         return tables, ST.fit_rows(fitted, part, family)
 
     schedule.run(units, work)

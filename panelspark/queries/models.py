@@ -191,8 +191,8 @@ def study_bootstrap(p: Panels) -> DataFrame:
     return _round(R.model_vs_persistence(weekly, list(E.FIT)), "point_estimate", "ci_low", "ci_high", digits=6)
 
 
-def study_permuted(p: Panels, table: str = "importance") -> DataFrame:
-    return study(p).table(table).filter(F.col("family").isin(*FC.FAMILIES))
+def study_permuted(p: Panels, part: str = "all") -> DataFrame:
+    return study(p).table("importance").filter(F.col("family").isin(*FC.FAMILIES) & (F.col("part") == part))
 
 
 @query(
@@ -204,7 +204,7 @@ FROM eval_long, study_sets, unnest(['ridge', 'boosted']) AS t(family) GROUP BY 1
 )
 def study_permutation_rows(p: Panels) -> DataFrame:
     """Per fit: repeats that every feature has, and rows whose values change places, in the sample."""
-    per = study_permuted(p, "importance_sample").groupBy("fold", *CONFIG, "feature").agg(F.count(F.lit(1)).alias("repeats"), F.max("n_rows").alias("n"))
+    per = study_permuted(p, "sample").groupBy("fold", *CONFIG, "feature").agg(F.count(F.lit(1)).alias("repeats"), F.max("n_rows").alias("n"))
     every = F.when(F.min("repeats") == F.max("repeats"), F.max("repeats"))
     return per.groupBy("fold", *CONFIG).agg(every.alias("repeats"), F.max("n").alias("sample_rows"))
 

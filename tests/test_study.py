@@ -248,13 +248,14 @@ def test_numbers_cross_buckets_in_order(spark):
         assert [got[g, r[3]] for r in mine] == list(range(1, len(mine) + 1))
 
 
-def test_study_permutes_all_evaluation_rows_and_a_sample_apart(spark):
+def test_study_permutes_all_evaluation_rows_and_a_sample_apart(spark, monkeypatch, tmp_path):
     """One fold of ridge fits: importance over as many rows as are predicted, its sample over 200 of them."""
+    monkeypatch.setattr(forecasts, "shared_dir", lambda _: str(tmp_path))
     schedule = forecasts.run_study(Panels(spark, SF), (2000,), "2001-07-01", ("ridge",))
-    rows = {t: {r.fit_id: r.n for r in schedule.table(t).groupBy("fit_id").agg(n.alias("n")).collect()} for t, n in (
-        ("predictions", F.count("prediction_model")), ("importance", F.min("n_rows")), ("importance_sample", F.max("n_rows")))}
-    assert rows["importance"] == rows["predictions"] and min(rows["importance"].values()) > 200
-    assert rows["importance_sample"] == dict.fromkeys(rows["importance"], 200) and len(rows["importance"]) == 12
+    predicted = {r.fit_id: r["count"] for r in schedule.table().groupBy("fit_id").count().collect()}
+    used = schedule.table("importance").groupBy("part", "fit_id").agg(F.min("n_rows").alias("a"), F.max("n_rows").alias("b")).collect()
+    assert len(predicted) == 12 and min(predicted.values()) > 200
+    assert {(r.part, r.fit_id): (r.a, r.b) for r in used} == {("all", k): (n, n) for k, n in predicted.items()} | {("sample", k): (200, 200) for k in predicted}
 
 
 def test_schedule_goes_on_after_a_failure_and_never_repeats_a_fit(spark, tmp_path):
